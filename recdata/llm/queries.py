@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_text
+from . import queries_dedup, queries_text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries_text.QUERIES}
-ORACLES: dict[str, str] = {**queries_text.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries_text.QUERIES, **queries_dedup.QUERIES}
+ORACLES: dict[str, str] = {**queries_text.ORACLES, **queries_dedup.ORACLES}
