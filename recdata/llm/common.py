@@ -62,3 +62,17 @@ def slices(texts: list[str], most: int) -> Iterator[slice]:
         size += len(text)
     if first < len(texts):
         yield slice(first, len(texts))
+
+
+def most_frequent(table: DataFrame, most: int, count: str = "n") -> DataFrame:
+    """The rows with the largest counts, `most` at most: those from the lowest quarter power of two that leaves no more.
+
+    Only the number of rows for each of these levels, 256 at most, reaches the driver.
+    """
+    level = F.floor(F.log2(F.col(count)) * 4)
+    kept, cut = 0, None
+    for row in table.groupBy(level.alias("level")).agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():
+        if kept + row["k"] > most:
+            break
+        kept, cut = kept + row["k"], row["level"]
+    return table.where(level >= cut) if cut is not None else table.where(F.lit(False))
