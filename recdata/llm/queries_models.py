@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm
+from . import gam, langid, lm
 from .common import id_crc
 
 
@@ -16,5 +16,20 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
 
 
-QUERIES = {"op10_lm_scoring": op10_lm_scoring}
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    held_out = id_crc(F.col("doc_id"), 3) == 1
+    scored = gam.classify(docs, labels, ~held_out, most=20_000)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    held_out = id_crc(F.col("doc_id"), 4) == 2
+    model = langid.train(docs.where(~held_out))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op5_quality_classifier": op5_quality_classifier, "op8_language_id": op8_language_id, "op10_lm_scoring": op10_lm_scoring}
 ORACLES: dict[str, str] = {}
