@@ -76,3 +76,25 @@ def most_frequent(table: DataFrame, most: int, count: str = "n") -> DataFrame:
             break
         kept, cut = kept + row["k"], row["level"]
     return table.where(level >= cut) if cut is not None else table.where(F.lit(False))
+
+
+#: Bits of the table of `possible`; its rows take 16 MB at most.
+FILTER_BITS = 1 << 26
+
+
+def possible(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose `column` may be among `keys`, the others), by a broadcast bit table of bounded size.
+
+    Keeps rows that have no partner out of a shuffle. Every row is in one of
+    the two, and those with a partner are in the first.
+    """
+
+    def place(frame: DataFrame) -> DataFrame:
+        at = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+        return frame.withColumns({"__slot": F.shiftright(at, 6), "__bit": at.bitwiseAND(F.lit(63).cast("long")).cast("int")})
+
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bit"))
+    table = place(keys.select(column)).groupBy("__slot").agg(F.bit_or(one).alias("__bits"))
+    marked = place(df).join(F.broadcast(table), "__slot", "left")
+    found = F.coalesce(F.getbit("__bits", "__bit") == 1, F.lit(False))
+    return marked.where(found).select(*df.columns), marked.where(~found).select(*df.columns)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, kind_of, map_rows, materialize
+from .common import WORD, kind_of, map_rows
 
 FEATURES = ("log_words", "word_length", "upper", "digit", "symbol", "exclaim", "separator", "comma", "stop", "distinct", "repeat_lines", "log_line", "end_marks", "repeat_windows", "doubled")
 _find = re.compile(WORD).findall
@@ -166,38 +166,42 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 64, coarse_bins: int = 8, roun
     return model
 
 
-def train(features: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str = "doc_id", label_col: str = "quality") -> Gam:
-    """Fits a model on the labelled rows, at most `most` of them: those with the least md5 of their id.
+def train(df: DataFrame, labels: DataFrame, training: Column, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Gam:
+    """Fits a model on labelled rows of `df`: those of the `most` labelled ids with the least md5.
 
-    `labels` has the id and the label (0 or 1); null labels and ids are not
-    used, and of several labels of one id the least one is. Only the sample
-    reaches the driver.
+    `labels` has the id and the label (0 or 1), and `training` is an expression
+    of the id. Null labels and ids are not used; of several labels of one id
+    the least counts. Only the features of the sample reach the driver; of
+    rows that repeat an id, `most` in all.
     """
-    wanted = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("y"))
-    order = F.md5(F.col(id_col).cast("string"))
-    sample = features.join(wanted, id_col).orderBy(order, id_col, F.col("features").cast("string")).limit(most).select("features", "y").toPandas()
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(training, F.lit(False)))
+    wanted = known.groupBy(id_col).agg(F.min(label_col).alias("y")).orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(most)
+    found = df.select(id_col, text_col).join(F.broadcast(wanted.select(id_col)), id_col, "left_semi")
+    sample = extract(found, id_col, text_col).join(F.broadcast(wanted), id_col)
+    sample = sample.orderBy(F.md5(F.col(id_col).cast("string")), id_col, "features").limit(most).select("features", "y").toPandas()
     x = np.array(sample["features"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, sample["y"].to_numpy(float))
 
 
-def score(features: DataFrame, model: Gam, column: str = "features") -> DataFrame:
-    """Adds score (0 to 1, higher: label 1 is likelier) and predicted (1 from 0.5 on)."""
+def score(df: DataFrame, model: Gam, text_col: str = "text") -> DataFrame:
+    """Adds score (0 to 1, higher: label 1 is likelier) and predicted (1 from 0.5 on) of every whole text.
+
+    Null texts count as empty and get the score of an empty text. Existing
+    columns of those names are replaced, all others stay. Nothing is shuffled.
+    """
 
     @F.pandas_udf("double")
-    def apply(rows: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(np.array(rows.tolist(), float).reshape(-1, len(model.edges))))
+    def apply(texts: pd.Series) -> pd.Series:
+        x = np.array([text_features(t or "") for t in texts], float).reshape(-1, len(FEATURES))
+        return pd.Series(model.scores(x))
 
-    return features.withColumn("score", apply(column)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return df.withColumn("score", apply(text_col)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def classify(df: DataFrame, labels: DataFrame, training: Column, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, predicted) of every whole text, learned from the labelled rows of `df` where `training` is true.
+def classify(df: DataFrame, labels: DataFrame, training: Column, most: int = 20_000) -> DataFrame:
+    """`df` (doc_id, text) with score and predicted, learned from its labelled rows where `training` holds.
 
-    Only the text makes the features; null texts count as empty and get the
-    score of an empty text. Repeated rows come back as often as they came, an
-    empty table gives an empty result, and other columns are not read. The
-    features, a few numbers a row, are stored once, so each text is read once.
+    Only the text makes the features. Repeated rows come back as often as they
+    came, and an empty table gives an empty result.
     """
-    features = materialize(extract(df, id_col, text_col), "features")
-    model = train(features.where(F.coalesce(training, F.lit(False))), labels, most, id_col)
-    return score(features, model).select(id_col, "score", "predicted")
+    return score(df, train(df, labels, training, most))

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, kind_of, map_rows, materialize, slices
+from .common import WORD, map_rows, materialize, possible, slices
 from .fmindex import FMIndex, matching_groups
 
 #: Words of an anchor.
@@ -31,8 +31,6 @@ RUN = 62
 HOT = 2000
 #: Words of a shard, about.
 SHARD = 400_000
-#: Bits of the filter that keeps documents without a candidate out of the shuffles; it takes 16 MB at most.
-FILTER_BITS = 1 << 26
 
 _find = re.compile(WORD).findall
 _B = 0x9E3779B97F4A7C15 | 1
@@ -167,17 +165,6 @@ def _search(cut: DataFrame, size: int, n_shards: int) -> DataFrame:
     return map_rows(cut.repartition(n_shards, "shard"), ["anchor", "seg", "at", "least", "words"], rows, fields)
 
 
-def _possible(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents whose id may be among `keys`, the others), by a broadcast bit table of bounded size."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    slot, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63).cast("long")).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
-    table = keys.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or(one).alias("bits"))
-    marked = docs.withColumns({"slot": slot, "bit": bit}).join(F.broadcast(table), "slot", "left")
-    found = F.coalesce(F.getbit("bits", "bit") == 1, F.lit(False))
-    return marked.where(found).select(*docs.columns), marked.where(~found).select(*docs.columns)
-
-
 def _keyed(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
 
@@ -197,7 +184,7 @@ def duplicate_windows(df: DataFrame, size: int = 50) -> DataFrame:
     once = materialize(segments.groupBy("anchor", "seg").agg(first).select("anchor", "seg", "r.*"), "distinct")
     total = once.agg(F.sum(F.when(F.col("hot"), F.col("n") * size).otherwise(F.col("n") + size - 1))).first()[0] or 0
     lists = once.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n", "anchor", "seg", F.col("doc_id").alias("least"), "hot")).alias("segs"))
-    wanted = _possible(docs, once.select("doc_id"))[0].join(lists, ["doc_id", "text_key"])
+    wanted = possible(docs, "doc_id", once.select("doc_id"))[0].join(lists, ["doc_id", "text_key"])
     found = _search(_cut(wanted, size), size, max(1, -(-int(total) // SHARD)))
     one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     repeated = F.transform("least_ids", lambda least, i: F.when(least < F.col("doc_id"), one(i)).otherwise(F.lit(0).cast("long")))
@@ -206,9 +193,9 @@ def duplicate_windows(df: DataFrame, size: int = 50) -> DataFrame:
     return marks.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "bits")).alias("marks"))
 
 
-def covered_spans(marks: list, size: int) -> list[tuple[int, int]]:
-    """Disjoint spans of words, in order, that the marked windows cover."""
-    starts = sorted({m["first"] + i for m in marks for i in range(64) if m["bits"] >> i & 1})
+def covered_spans(firsts: list[int], bits: list[int], size: int) -> list[tuple[int, int]]:
+    """Disjoint spans of words, in order, that the marked windows cover; see `duplicate_windows`."""
+    starts = sorted({int(first) + i for first, mask in zip(firsts, bits, strict=True) for i in range(64) if int(mask) >> i & 1})
     spans: list[list[int]] = []
     for s in starts:
         if spans and s <= spans[-1][1]:
@@ -221,46 +208,37 @@ def covered_spans(marks: list, size: int) -> list[tuple[int, int]]:
 def remove_repeats(df: DataFrame, size: int = 50) -> DataFrame:
     """Removes each word covered by a window of `size` words that also starts in a document with a smaller doc_id.
 
-    `df` has doc_id (an integer) and text. Returns one row for each row:
-    (doc_id, text, n_words, n_removed, spans: the spans of words removed), where
-    text is what is left, white space between kept words as it was. Windows
-    are judged on the input. Repetition within one document, and between rows
-    with the same doc_id, is left alone; repeated rows come back as often as
-    they came. A null text stays null and has no words; with a null doc_id
-    nothing is removed and no other row is compared with it. Empty tables give
-    empty results; other columns are not read.
+    `df` has doc_id (an integer) and text. Returns its rows and columns, with
+    text replaced by what is left (white space between kept words as it was)
+    and n_words, n_removed and spans (the spans of words removed) added or
+    replaced. Windows are judged on the input. Repetition within one document,
+    and between rows with the same doc_id, is left alone; repeated rows come
+    back as often as they came. A null text stays null and has no words; with a
+    null doc_id nothing is removed and no other row is compared with it. Empty
+    tables give empty results.
     """
-    docs = _keyed(df)
     marks = materialize(duplicate_windows(df, size), "marks")
-    touched, rest = _possible(docs, marks.select("doc_id"))
-    touched = touched.join(marks, ["doc_id", "text_key"], "left")
+    keyed = df.drop("__key", "__id").withColumns({"__key": F.xxhash64("text"), "__id": F.col("doc_id").cast("long")})
+    touched, rest = possible(keyed, "__id", marks.select(F.col("doc_id").alias("__id")))
+    renamed = marks.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.transform("marks", lambda m: m["first"]).alias("__firsts"), F.transform("marks", lambda m: m["bits"]).alias("__bits"))
     word = re.compile(WORD)
 
-    def rows(batches: Iterator[tuple]) -> Iterator[dict]:
-        for ids, texts, lists in batches:
-            for part in slices([t or "" for t in texts], 1 << 20):
-                out = []
-                for doc_id, text, found in zip(ids[part], texts[part], lists[part], strict=True):
-                    places = [m.span() for m in word.finditer(text or "")]
-                    spans = covered_spans(found or [], size)
-                    kept, last = [], 0
-                    for a, b in spans:
-                        kept.append(text[last : places[a][0]])
-                        last = places[b][0] if b < len(places) else len(text)
-                    out.append((doc_id, "".join(kept) + text[last:] if spans else text, len(places), sum(b - a for a, b in spans), [x for span in spans for x in span]))
-                yield dict(zip(fields, zip(*out, strict=True), strict=True))
-
-    fields = {"doc_id": "long", "text": "string", "n_words": "long", "n_removed": "long", "bounds": "array<int>"}
-    changed = map_rows(touched, ["doc_id", "text", "marks"], rows, fields)
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    same = rest.select("doc_id", "text", n_words.alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("bounds"))
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("bounds") / 2).cast("int") - 1), lambda i: F.struct(F.get("bounds", 2 * i).alias("start"), F.get("bounds", 2 * i + 1).alias("end")))
-    return changed.unionByName(same).withColumn("spans", _spans(pairs)).select(kind_cast(df), "text", "n_words", "n_removed", "spans")
-
-
-def _spans(pairs: Column) -> Column:
-    return F.when(F.size("bounds") > 0, pairs).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-
-
-def kind_cast(df: DataFrame) -> Column:
-    return F.col("doc_id").cast(kind_of(df, "doc_id")).alias("doc_id")
+    @F.pandas_udf("text string, n_words long, n_removed long, bounds array<int>")
+    def cut(texts: pd.Series, firsts: pd.Series, bits: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, some_firsts, some_bits in zip(texts, firsts, bits, strict=True):
+            places = [m.span() for m in word.finditer(text or "")]
+            spans = covered_spans(some_firsts, some_bits, size) if some_firsts is not None else []
+            kept, last = [], 0
+            for a, b in spans:
+                kept.append(text[last : places[a][0]])
+                last = places[b][0] if b < len(places) else len(text)
+            out.append(("".join(kept) + text[last:] if spans else text, len(places), sum(b - a for a, b in spans), [x for span in spans for x in span]))
+        return pd.DataFrame(out, columns=["text", "n_words", "n_removed", "bounds"])
+
+    same = F.struct(F.col("text"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("bounds"))
+    joined = touched.join(renamed, ["__id", "__key"], "left").withColumn("__cut", cut("text", "__firsts", "__bits"))
+    both = joined.select(*keyed.columns, "__cut").unionByName(rest.withColumn("__cut", same))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("__cut.bounds") / 2).cast("int") - 1), lambda i: F.struct(F.get("__cut.bounds", 2 * i).alias("start"), F.get("__cut.bounds", 2 * i + 1).alias("end")))
+    spans = F.when(F.size("__cut.bounds") > 0, pairs).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return both.withColumns({"text": F.col("__cut.text"), "n_words": F.col("__cut.n_words"), "n_removed": F.col("__cut.n_removed"), "spans": spans}).drop("__cut", "__key", "__id")
