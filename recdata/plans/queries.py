@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_splits
+from . import queries_eval, queries_splits
 
-_MODULES = (queries_splits,)
+_MODULES = (queries_splits, queries_eval)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
