@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ END_OF_REVIEW = "<end of review>"
 TAGS = r"<[^\n]*?>|&([a-z0-9]+|#[0-9]{1,6}|#x[0-9a-f]{1,6});"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, also where `body` uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_markup(value: Column) -> Column:
     """Without tags and entities."""
     return F.regexp_replace(value, TAGS, "")
@@ -81,17 +88,19 @@ def sentences(value: Column) -> Column:
 
 def ngrams(tokens: Column, sizes: tuple[int, ...] = (1,)) -> Column:
     """All n-grams of the given sizes, the tokens of each joined by a space; all of the first size come first."""
-    grams = [
-        F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
-        for n in sizes
-    ]
-    return F.concat(*grams)
+
+    def of(t: Column, n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, lambda t: F.concat(*(of(t, n) for n in sizes)))
 
 
 def chunk_tokens(tokens: Column, size: int) -> Column:
     """Consecutive runs of `size` tokens; no tokens make one empty chunk."""
-    cut = F.transform(F.sequence(F.lit(1), F.size(tokens), F.lit(size)), lambda i: F.slice(tokens, i, size))
-    return F.when(F.size(tokens) > 0, cut).otherwise(F.array(F.array().cast("array<string>")))
+    empty = F.array(F.array().cast("array<string>"))
+    cut = lambda t: F.transform(F.sequence(F.lit(1), F.size(t), F.lit(size)), lambda i: F.slice(t, i, size))
+    return let(tokens, lambda t: F.when(F.size(t) > 0, cut(t)).otherwise(empty))
 
 
 def chunk_items(value: Column, size: int) -> Column:
