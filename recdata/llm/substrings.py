@@ -28,7 +28,7 @@ GRAM = 24
 #: Windows of one segment at most; longer runs are cut.
 RUN = 62
 #: Segments with one anchor beyond which its windows are dealt out one by one, by their own hash; results do not depend on it.
-HOT = 2000
+HOT = 500
 #: Words of a shard, about.
 SHARD = 400_000
 
@@ -186,10 +186,12 @@ def duplicate_windows(df: DataFrame, size: int = 50) -> DataFrame:
     lists = once.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n", "anchor", "seg", F.col("doc_id").alias("least"), "hot")).alias("segs"))
     wanted = possible(docs, "doc_id", once.select("doc_id"))[0].join(lists, ["doc_id", "text_key"])
     found = _search(_cut(wanted, size), size, max(1, -(-int(total) // SHARD)))
+    parts = F.array_sort(F.collect_set(F.struct("at", "least_ids")))  # of a hot anchor one for each window; a repeated row makes equal ones
+    found = found.groupBy("anchor", "seg").agg(F.flatten(F.transform(parts, lambda p: p["least_ids"])).alias("least_ids"))
     one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     repeated = F.transform("least_ids", lambda least, i: F.when(least < F.col("doc_id"), one(i)).otherwise(F.lit(0).cast("long")))
     bits = F.aggregate(repeated, F.lit(0).cast("long"), lambda all_bits, b: all_bits.bitwiseOR(b))
-    marks = segments.join(found, ["anchor", "seg"]).select("doc_id", "text_key", (F.col("start") + F.col("at")).alias("first"), bits.alias("bits")).where("bits <> 0")
+    marks = segments.join(found, ["anchor", "seg"]).select("doc_id", "text_key", F.col("start").alias("first"), bits.alias("bits")).where("bits <> 0")
     return marks.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "bits")).alias("marks"))
 
 
