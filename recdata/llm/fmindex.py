@@ -58,18 +58,35 @@ class FMIndex:
             width *= 2
             if width > depth:
                 break
-        last = max(w for w in by_width if w <= depth)
-        part = by_width[last]
-        key = (part * (n + n_symbols + 1) + self._shifted(part, depth - last))[self.suffixes]
-        new = np.ones(n, bool)
-        new[1:] = key[1:] != key[:-1]
-        #: Suffixes with the same first `depth` symbols are neighbours: group of each place, and first place of each group.
-        self.group = np.cumsum(new) - 1
-        self.first = np.append(np.flatnonzero(new), n)
+        self.n, self._wide, self._by_width = n, n + n_symbols + 1, by_width
+        self._groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.group, self.first = self.groups(depth)
         self.wavelet = Wavelet(sequence[self.suffixes - 1], n_symbols)
         self.smaller = np.zeros(n_symbols + 1, np.int64)
         np.cumsum(np.bincount(sequence, minlength=n_symbols), out=self.smaller[1:])
-        self.n = n
+
+    def groups(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes with the same first `depth` symbols are neighbours: group of each place, and first place of each group."""
+        if depth not in self._groups:
+            last = max(w for w in self._by_width if w <= depth)
+            part = self._by_width[last]
+            key = (part * self._wide + self._shifted(part, depth - last))[self.suffixes]
+            new = np.append(True, key[1:] != key[:-1])
+            self._groups[depth] = np.cumsum(new) - 1, np.append(np.flatnonzero(new), self.n)
+        return self._groups[depth]
+
+    def shorten(self, low: np.ndarray, high: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the first `lengths` symbols of the patterns."""
+        low, high = low.copy(), high.copy()
+        for depth in np.unique(lengths).tolist():
+            some = lengths == depth
+            if depth:
+                group, first = self.groups(depth)
+                at = group[low[some]]
+                low[some], high[some] = first[at], first[at + 1]
+            else:
+                low[some], high[some] = 0, self.n
+        return low, high
 
     @staticmethod
     def _shifted(rank: np.ndarray, by: int) -> np.ndarray:
@@ -89,9 +106,10 @@ class FMIndex:
 def matching_groups(index: FMIndex, sequence: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> list[np.ndarray]:
     """For each document sequence[start:end], the group of each place whose next `depth` symbols occur in the index; -1 where they do not.
 
-    Backward search, all documents at once: a matching statistic of `depth` or
-    more is all that counts, so after each step an interval is widened to the
-    suffixes that share its first `depth` symbols.
+    Backward search, all documents at once. A match that cannot be extended to
+    the left is shortened from the right until it can, as for matching
+    statistics; those of `depth` or more are all that count, so a match is cut
+    to its first `depth` symbols.
     """
     lengths = ends - starts
     out = [np.full(max(0, n - depth + 1), -1, np.int64) for n in lengths.tolist()]
@@ -106,13 +124,20 @@ def matching_groups(index: FMIndex, sequence: np.ndarray, starts: np.ndarray, en
         place = ends[active] - 1 - step
         symbols = sequence[place]
         new_low, new_high = index.extend(low[active], high[active], symbols)
-        lost = new_low >= new_high
-        if lost.any():  # what is left of the match starts anew at this symbol
-            once = index.smaller[symbols[lost]], index.smaller[symbols[lost] + 1]
-            new_low[lost], new_high[lost] = once
-            matched[active[lost]] = 0
         matched[active] += 1
+        lost = np.flatnonzero(new_low >= new_high)
+        while len(lost):
+            who = active[lost]
+            matched[who] -= 1
+            some = who[matched[who] > 0]  # what is left of the match, one symbol shorter
+            low[some], high[some] = index.shorten(low[some], high[some], matched[some] - 1)
+            none = lost[matched[who] <= 0]  # the symbol itself does not occur
+            new_low[none], new_high[none], matched[active[none]] = 0, index.n, 0
+            lost = lost[matched[who] > 0]
+            new_low[lost], new_high[lost] = index.extend(low[active[lost]], high[active[lost]], symbols[lost])
+            lost = lost[new_low[lost] >= new_high[lost]]
         full = matched[active] >= depth
+        matched[active[full]] = depth
         group = index.group[new_low[full]]
         new_low[full], new_high[full] = index.first[group], index.first[group + 1]
         low[active], high[active] = new_low, new_high
