@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encode_text, encoding
@@ -130,12 +130,18 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     return ranked.withColumn("at", place("length", "rank")).select("*", "at.sequence_id", "at.offset").drop("part", "place", "before", "rank", "at")
 
 
-def pack_documents(df: DataFrame, rank_file: str, pattern: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, rank_file: str, pattern: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", instead: dict[str, Column] | None = None) -> DataFrame:
     """Tokenises, cuts and packs every whole text; see `token_pieces` and `pack`.
 
+    `instead`: columns made from `ids` that stand in its place, where the ids
+    themselves are not wanted; they are made before anything is stored, so that
+    the ids are neither stored nor shuffled.
+
     Null texts count as empty; repeated rows and ids are packed as often as they
     come; an empty table gives no rows; other columns are not read, so their
     names cannot clash.
     """
-    pieces = materialize(token_pieces(df, rank_file, pattern, size, end_id, id_col, text_col), "pieces")
-    return pack(pieces, size)
+    pieces = token_pieces(df, rank_file, pattern, size, end_id, id_col, text_col)
+    if instead is not None:
+        pieces = pieces.withColumns(instead).drop("ids")
+    return pack(materialize(pieces, "pieces"), size)

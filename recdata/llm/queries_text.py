@@ -13,8 +13,8 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    packed = packing.pack_documents(docs, RANKS, public_tokenizers.PATTERN, size=1024, end_id=0)
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    packed = packing.pack_documents(docs, RANKS, public_tokenizers.PATTERN, size=1024, end_id=0, instead={"ids_crc32": F.crc32("ids")})
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
