@@ -10,7 +10,7 @@ from pyspark.ml.classification import FMClassifier, MultilayerPerceptronClassifi
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recdata.functions.scalar import dot
@@ -18,8 +18,13 @@ from recdata.sources.scratch import materialize
 
 from .sample import dense_index
 
-#: Items of one block of the catalogue.
-BLOCK = 8192
+#: Items of one block of the catalogue, and users of one group, about.
+BLOCK, USERS = 8192, 512
+
+
+def _column(rows: str, field: str, alias: str) -> Column:
+    """One field of an array of structures as an array."""
+    return F.transform(rows, lambda x: x[field]).alias(alias)
 
 
 def score_pairs(cand: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame, user_bias: DataFrame | None = None, item_bias: DataFrame | None = None, bias: float = 0.0) -> DataFrame:
@@ -50,7 +55,8 @@ def top_n(user_vectors: DataFrame, item_vectors: DataFrame, used: DataFrame, n:
     """
     matrix = materialize(item_vectors.where("vec IS NOT NULL").select("item_id", F.transform("vec", lambda x: x.cast("double")).alias("vec")), "items")
     index = dense_index(matrix, "item_id")
-    blocks = matrix.join(index, "item_id").groupBy(F.floor(F.col("idx") / BLOCK).cast("int").alias("block")).agg(F.collect_list(F.struct("item_id", "vec")).alias("items"))
+    blocks = matrix.join(index, "item_id").groupBy(F.floor(F.col("idx") / BLOCK).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("item_id", "vec"))).alias("i"))
+    blocks = blocks.select("block", _column("i", "item_id", "ids"), F.flatten(F.transform("i", lambda x: x["vec"])).alias("matrix"))
     n_used = used.select("user_id", "item_id").distinct().groupBy("user_id").agg(F.count("*").alias("n_used"))
     users = user_vectors.where("vec IS NOT NULL").select("user_id", F.transform("vec", lambda x: x.cast("double")).alias("vec")).join(n_used, "user_id", "left")
     users = users.select("user_id", "vec", F.coalesce("n_used", F.lit(0)).alias("n_used"))
@@ -59,26 +65,23 @@ def top_n(user_vectors: DataFrame, item_vectors: DataFrame, used: DataFrame, n:
         users = users.join(wanted, "user_id", "left")
     else:
         users = users.withColumn("floor", F.lit(None).cast("double"))
-    packed = users.withColumn("group", F.pmod(F.xxhash64("user_id"), F.lit(1024))).groupBy("group").agg(F.collect_list(F.struct("user_id", "vec", "n_used", "floor")).alias("users"))
+    groups = max(1, -(-users.count() // USERS))
+    packed = users.withColumn("group", F.pmod(F.xxhash64("user_id"), F.lit(groups))).groupBy("group").agg(F.collect_list(F.struct("user_id", "vec", "n_used", F.coalesce("floor", F.lit(float("inf"))).alias("floor"))).alias("u"))
+    packed = packed.select(_column("u", "user_id", "users"), _column("u", "n_used", "n_used"), _column("u", "floor", "floors"), F.flatten(F.transform("u", lambda x: x["vec"])).alias("vectors"))
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for people, things in zip(frame["users"], frame["items"], strict=True):
-                ids = np.array([t["item_id"] for t in things], np.int64)
-                order = np.argsort(ids)
-                ids = ids[order]
-                items = np.array([t["vec"] for t in things], float)[order]
-                scores = np.array([p["vec"] for p in people], float) @ items.T
-                for person, row in zip(people, scores, strict=True):
-                    most = min(len(ids), n + person["n_used"])
-                    top = np.lexsort((ids, -row))[:most]
-                    floor = person["floor"]
-                    if floor is not None and floor == floor:
-                        top = np.union1d(top, np.flatnonzero(row >= floor - 1e-9))
-                    yield pd.DataFrame({"user_id": person["user_id"], "item_id": ids[top], "score": row[top]})
-
-    pairs = packed.withColumn("block", F.explode(F.lit(list(range(-(-index.count() // BLOCK)))))).join(blocks, "block")
-    found = pairs.select("users", "items").mapInPandas(best, "user_id long, item_id long, score double")
+            for row in frame.itertuples(index=False):
+                people, ids = np.asarray(row.users), np.asarray(row.ids)
+                scores = np.asarray(row.vectors).reshape(len(people), -1) @ np.asarray(row.matrix).reshape(len(ids), -1).T
+                most = np.minimum(len(ids), n + np.asarray(row.n_used))
+                ordered = -np.partition(-scores, np.unique(most - 1), axis=1)
+                least = np.minimum(ordered[np.arange(len(people)), most - 1], np.asarray(row.floors)) - 1e-9
+                u, i = np.nonzero(scores >= least[:, None])
+                yield pd.DataFrame({"user_id": people[u], "item_id": ids[i], "score": scores[u, i]})
+
+    pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-index.count() // BLOCK) - 1))))).join(blocks, "block")
+    found = pairs.select("users", "n_used", "floors", "vectors", "ids", "matrix").mapInPandas(best, "user_id long, item_id long, score double")
     left = found.join(used.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").withColumn("score", F.round("score", 9))
     ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")))
     if cover is None:
