@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +33,15 @@ def features(word: str) -> Iterator[str]:
             yield marked[i : i + n]
 
 
-def feature_counts(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """(lang, kind 'w' or 'g', feature, n) over all texts; counted in each task before anything is shuffled."""
+def word_counts(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """(lang, feature, n): words over all texts, counted in each task before anything is shuffled."""
 
     def rows(batches: Iterator[tuple]) -> Iterator[dict]:
         words: dict[str, Counter[str]] = {}
 
         def flush() -> Iterator[dict]:
             for lang, counts in words.items():
-                yield {"lang": [lang] * len(counts), "kind": ["w"] * len(counts), "feature": list(counts), "n": list(counts.values())}
-                grams: Counter[str] = Counter()
-                for word, n in counts.items():
-                    for gram in features(word):
-                        grams[gram] += n
-                yield {"lang": [lang] * len(grams), "kind": ["g"] * len(grams), "feature": list(grams), "n": list(grams.values())}
+                yield {"lang": [lang] * len(counts), "feature": list(counts), "n": list(counts.values())}
             words.clear()
 
         for langs, texts in batches:
@@ -55,56 +51,82 @@ def feature_counts(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    fields = {"lang": "string", "kind": "string", "feature": "string", "n": "long"}
-    return map_rows(df, [lang_col, text_col], rows, fields).groupBy("lang", "kind", "feature").agg(F.sum("n").alias("n"))
+    fields = {"lang": "string", "feature": "string", "n": "long"}
+    return map_rows(df, [lang_col, text_col], rows, fields).groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+
+
+def gram_counts(words: DataFrame) -> DataFrame:
+    """(lang, feature, n): n-grams of a table of word counts, so each word is taken apart once for each language."""
+
+    def rows(batches: Iterator[tuple]) -> Iterator[dict]:
+        grams: Counter[tuple[str, str]] = Counter()
+
+        def flush() -> Iterator[dict]:
+            if grams:
+                yield {"lang": [k[0] for k in grams], "feature": [k[1] for k in grams], "n": list(grams.values())}
+            grams.clear()
+
+        for langs, words, counts in batches:
+            for lang, word, n in zip(langs, words, counts, strict=True):
+                for gram in features(word):
+                    grams[lang, gram] += n
+                if len(grams) > 1 << 18:
+                    yield from flush()
+        yield from flush()
+
+    fields = {"lang": "string", "feature": "string", "n": "long"}
+    return map_rows(words, ["lang", "feature", "n"], rows, fields).groupBy("lang", "feature").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Log frequencies of words and n-grams by language."""
+    """Log frequencies of words and n-grams by language: rows of a matrix, and where each feature has its row."""
 
-    def __init__(self, langs: list[str], prior: np.ndarray, words: dict[str, np.ndarray], grams: dict[str, np.ndarray]) -> None:
-        self.langs, self.prior, self.words, self.grams = langs, prior, words, grams
+    def __init__(self, langs: list[str], prior: np.ndarray, words: dict[str, int], grams: dict[str, int], matrix: np.ndarray) -> None:
+        self.langs, self.prior, self.words, self.grams, self.matrix = langs, prior, words, grams, matrix
 
-    def word(self, word: str) -> np.ndarray:
-        """The score of a word for each language."""
-        if (found := self.words.get(word)) is not None:
-            return found
-        marked, i, total = f"{EDGE}{word}{EDGE}", 0, np.zeros(len(self.langs))
+    def rows(self, word: str) -> list[int]:
+        """The rows that add up to the score of a word: its own, or those of the n-grams that cover it."""
+        if (row := self.words.get(word)) is not None:
+            return [row]
+        marked, i, out, grams = f"{EDGE}{word}{EDGE}", 0, [], self.grams
         while i < len(marked):
             for n in range(min(LONGEST, len(marked) - i), 0, -1):
-                if (found := self.grams.get(marked[i : i + n])) is not None:
-                    total = total + found
+                if (row := grams.get(marked[i : i + n])) is not None:
+                    out.append(row)
                     i += n
                     break
             else:
                 i += 1
-        return total
+        return out
 
 
-def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", most_words: int = 1 << 17, most_grams: int = 1 << 17) -> Model:
+def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", most_words: int = 1 << 16, most_grams: int = 1 << 16) -> Model:
     """A model of all rows of `df` with a language.
 
     Counts cover every text. The model has a size: of words, and of n-grams,
-    the most frequent in any language are kept, as many as the two limits, so
-    what reaches the driver and the tasks is bounded.
+    the most frequent over all languages are kept, as many as the two limits,
+    so what reaches the driver and the tasks is bounded.
     """
     rows = df.where(F.col(lang_col).isNotNull())
-    counts = materialize(feature_counts(rows, lang_col, text_col), "features")
+    words = materialize(word_counts(rows, lang_col, text_col), "words")
+    grams = materialize(gram_counts(words), "grams")
     priors = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     langs = sorted(priors)
-    totals = {(r["lang"], r["kind"]): r["n"] for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
-    tables = []
-    for kind, most in (("w", most_words), ("g", most_grams)):
-        kept = most_frequent(counts.where(F.col("kind") == kind).groupBy("feature").agg(F.sum("n").alias("n")), most).select("feature")
-        frame = counts.where(F.col("kind") == kind).join(kept, "feature").select("feature", "lang", "n").toPandas()
-        table: dict[str, np.ndarray] = {}
-        at = {lang: k for k, lang in enumerate(langs)}
-        for feature, lang, n in zip(frame["feature"], frame["lang"], frame["n"].tolist(), strict=True):
-            table.setdefault(feature, np.zeros(len(langs)))[at[lang]] = n
-        size = np.array([totals.get((lang, kind), 0) for lang in langs], float)
-        tables.append({f: np.log((n + 0.1) / (size + 1.0)) for f, n in table.items()})
+    at = {lang: k for k, lang in enumerate(langs)}
+    places, parts, start = [], [], 0
+    for counts, most in ((words, most_words), (grams, most_grams)):
+        kept = most_frequent(counts.groupBy("feature").agg(F.sum("n").alias("n")), most).select("feature")
+        frame = counts.join(kept, "feature").select("feature", "lang", "n").toPandas()
+        codes, names = pd.factorize(frame["feature"])
+        table = np.zeros((len(names), len(langs)))
+        table[codes, frame["lang"].map(at).to_numpy(int)] = frame["n"].to_numpy(float)
+        totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        size = np.array([totals.get(lang, 0) for lang in langs], float)
+        parts.append(np.log((table + 0.1) / (size + 1.0)))
+        places.append({name: start + k for k, name in enumerate(names)})
+        start += len(names)
     n_docs = np.array([priors[lang] for lang in langs], float)
-    return Model(langs, np.log(n_docs / n_docs.sum()) if langs else n_docs, *tables)
+    return Model(langs, np.log(n_docs / n_docs.sum()) if langs else n_docs, *places, np.concatenate(parts))
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,12 +150,16 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                if len(known) > 1 << 18:
+                if len(known) > 1 << 17:
                     known.clear()
-                for word in counts:
-                    if word not in known:
-                        known[word] = model.word(word)
-                total = model.prior + np.array(list(counts.values()), float) @ np.array([known[w] for w in counts])
+                at: list[int] = []
+                times: list[int] = []
+                for word, n in counts.items():
+                    if (found := known.get(word)) is None:
+                        found = known[word] = model.rows(word)
+                    at += found
+                    times += [n] * len(found)
+                total = model.prior + np.array(times, float) @ model.matrix[at]
                 best = int(np.argmax(total))
                 langs.append(model.langs[best])
                 scores.append(float(1 / np.exp(total - total[best]).sum()))
