@@ -146,7 +146,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             langs, scores = [], []
             for text in texts:
                 counts = Counter(_LETTERS.findall((text or "").lower()))
-                if not counts or not model.langs:
+                if not model.langs or not any(c.isalpha() for word in counts for c in word):  # superscripts pass the pattern
                     langs.append("und")
                     scores.append(0.0)
                     continue
