@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recdata.functions.scalar import hash_int, hash_key, round_half_up
-from recdata.operators import corpus, evaluate, negatives, report, sample, split, stats
+from recdata.operators import corpus, evaluate, negatives, report, split, stats
 from recdata.sources.scratch import materialize
 
 from . import views as v
@@ -55,24 +55,24 @@ def neg_uniform_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neg_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With a catalogue of few items many users fall short."""
+    """With one author's items as the catalogue many users fall short."""
     splits = _splits(spark, sf_dir)
     pos = _positives(splits)
-    few = splits.where("item_id % 40 = 0").select("item_id")
-    neg = negatives.neg_uniform(pos, negatives.used_items(splits, "test"), few, K_NEG)
-    return negatives.shortfall(pos, neg, K_NEG)
+    few = splits.join(v.items(spark, sf_dir).where("author = 'Brand#11'"), "item_id", "left_semi").select("item_id")
+    neg = negatives.neg_uniform(pos, negatives.used_items(splits, "test"), few, 3 * K_NEG)
+    return negatives.shortfall(pos, neg, 3 * K_NEG)
 
 
 def neg_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the query users: every twentieth id."""
     splits = _splits(spark, sf_dir)
-    users = sample.sample_users(splits, 50)
+    users = splits.where("user_id % 20 = 0")
     return negatives.neg_all(users, splits.select("item_id"), negatives.used_items(splits, "train")).select("user_id", "item_id")
 
 
 def neg_genre(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = _splits(spark, sf_dir)
-    pos = sample.keep_users(_positives(splits), sample.sample_users(splits, 200))
-    return negatives.neg_genre(pos, v.items(spark, sf_dir), negatives.used_items(splits, "test"), 4).select("user_id", "ref_item", "item_id")
+    return negatives.neg_genre(_positives(splits), v.items(spark, sf_dir), negatives.used_items(splits, "test"), 4).select("user_id", "ref_item", "item_id")
 
 
 def neg_genre_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,19 +82,19 @@ def neg_genre_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neg_genre_proportional(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = _splits(spark, sf_dir)
-    pos = sample.keep_users(_positives(splits), sample.sample_users(splits, 200))
-    return negatives.neg_genre_proportional(pos, splits.where("split = 'train'"), v.items(spark, sf_dir), negatives.used_items(splits, "test"), 4).select("user_id", "item_id")
+    return negatives.neg_genre_proportional(_positives(splits), splits.where("split = 'train'"), v.items(spark, sf_dir), negatives.used_items(splits, "test"), 4).select("user_id", "item_id")
 
 
 def _ranking(spark: SparkSession, sf_dir: str, splits: DataFrame) -> DataFrame:
-    """BM25 neighbours, among all items, of the items of some test users."""
-    texts = v.item_texts(spark, sf_dir).withColumn("text", F.substring("text", 1, 200))
+    """BM25 neighbours, among all items, of the query items."""
+    texts = v.item_texts(spark, sf_dir)
     asked = _searched(splits).select("item_id").distinct()
     return corpus.bm25(texts.join(asked, "item_id", "left_semi"), texts, topn=100)
 
 
 def _searched(splits: DataFrame) -> DataFrame:
-    return sample.keep_users(_positives(splits), sample.sample_users(splits, 20))
+    """The positives whose item is a query: every twentieth id."""
+    return _positives(splits).where("item_id % 20 = 0")
 
 
 def neg_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +105,7 @@ def neg_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neg_cf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits, _, neg = _sampled(spark, sf_dir)
-    some = sample.keep_users(neg, sample.sample_users(splits, 100))
-    return _rounded(negatives.neg_cf_weighted(some, splits.where("split = 'train'"), v.item_vectors(spark, sf_dir), -0.5, 0.5))
+    return _rounded(negatives.neg_cf_weighted(neg, splits.where("split = 'train'"), v.item_vectors(spark, sf_dir), -0.5, 0.5))
 
 
 def eval_user(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +148,7 @@ def eval_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_query_micro_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = _splits(spark, sf_dir)
-    pos = sample.keep_users(_positives(splits), sample.sample_users(splits, 200))
+    pos = _positives(splits)
     neg = negatives.neg_genre(pos, v.items(spark, sf_dir), negatives.used_items(splits, "test"), 4)
     cand = materialize(negatives.assemble_queries(pos, neg), "queries")
     pred = cand.select("user_id", "ref_item", "item_id").join(_popularity(splits, cand.select("user_id", "item_id").distinct()), ["user_id", "item_id"])
@@ -241,8 +240,8 @@ SPLIT = f"{v.INTERACTIONS}, {v.split_sql()}, train AS (SELECT * FROM split WHERE
 _POS = f"{SPLIT}, pos AS (SELECT user_id, item_id FROM split WHERE split = 'test' AND rating >= 4), used AS (SELECT DISTINCT user_id, item_id FROM split)"
 
 
-def _uniform_sql(catalogue: str = "SELECT DISTINCT item_id FROM split") -> str:
-    return f"""{_POS}, need AS (SELECT user_id, count(*) * {K_NEG} AS need FROM pos GROUP BY user_id),
+def _uniform_sql(catalogue: str = "SELECT DISTINCT item_id FROM split", k: int = K_NEG) -> str:
+    return f"""{_POS}, need AS (SELECT user_id, count(*) * {k} AS need FROM pos GROUP BY user_id),
 idx AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM ({catalogue})),
 tries AS (SELECT user_id, need, d FROM need, range(0, need * 2 + 8) AS t(d)),
 drawn AS (SELECT user_id, need, {v.key_int(42, "user_id", "d")} % (SELECT count(*) FROM idx) AS idx, min(d) AS d FROM tries GROUP BY 1, 2, 3),
@@ -296,7 +295,6 @@ def _groups_sql(a: int, b: int) -> str:
 
 
 _GENRES = f"{v.ITEMS}, genre_items AS (SELECT DISTINCT item_id, unnest(genres) AS genre FROM items)"
-_SOME = lambda n, source="pos": f"some_users AS (SELECT user_id FROM (SELECT DISTINCT user_id FROM split) ORDER BY {v.key(42, 'user_id')}, user_id LIMIT {n}), some_pos AS (SELECT * FROM {source} WHERE user_id IN (SELECT user_id FROM some_users))"
 _QUOTA = f"""cnts AS (SELECT user_id, genre, count(*) AS cnt FROM train JOIN genre_items USING (item_id) GROUP BY ALL),
 q0 AS (SELECT *, sum(cnt) OVER (PARTITION BY user_id) AS total, count(*) OVER (PARTITION BY user_id) AS n0, row_number() OVER (PARTITION BY user_id ORDER BY cnt DESC, genre) AS rn
   FROM cnts JOIN (SELECT user_id, count(*) * 4 AS need FROM pos GROUP BY user_id) USING (user_id)),
@@ -304,12 +302,19 @@ q1 AS (SELECT *, least(n0, need) AS n, greatest(1, CAST(floor(CAST(cnt * need AS
 q2 AS (SELECT *, CAST(sum(q) OVER (PARTITION BY user_id) - need AS BIGINT) AS over_, CAST(coalesce(sum(q - 1) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spare FROM q1),
 quota AS (SELECT user_id, genre, CAST(q - greatest(0, least(q - 1, over_ - spare)) + greatest(0, -over_) // n + CASE WHEN rn <= greatest(0, -over_) % n THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q2)"""
 _GENRE_NEG = f"""mine AS (SELECT user_id, p.item_id AS ref_item, genre, count(*) OVER (PARTITION BY user_id, p.item_id) AS n,
-  row_number() OVER (PARTITION BY user_id, p.item_id ORDER BY {v.key(42, "user_id", "p.item_id", "genre")}, genre) - 1 AS g FROM some_pos AS p JOIN genre_items AS gi ON gi.item_id = p.item_id),
+  row_number() OVER (PARTITION BY user_id, p.item_id ORDER BY {v.key(42, "user_id", "p.item_id", "genre")}, genre) - 1 AS g FROM pos AS p JOIN genre_items AS gi ON gi.item_id = p.item_id),
 found AS (SELECT user_id, ref_item, m.genre, (3 - g) // n + 1 AS times, i.item_id FROM mine AS m JOIN genre_items AS i USING (genre) WHERE g <= 3),
 genre_neg AS (SELECT DISTINCT user_id, ref_item, item_id FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, ref_item, genre ORDER BY {v.key(42, "user_id", "ref_item", "item_id")}, item_id) AS rn FROM found ANTI JOIN used USING (user_id, item_id)) WHERE rn <= times)"""
 
 
+def _drawn_sql(name: str, quota: str, banned: str) -> str:
+    """SQL of one pass of `negatives.neg_genre_proportional`."""
+    return f"""{name} AS (SELECT user_id, item_id, min(genre) AS genre FROM (
+  SELECT user_id, genre, quota, item_id, row_number() OVER (PARTITION BY user_id, genre ORDER BY {v.key(42, "user_id", "item_id")}, item_id) AS rn
+  FROM (SELECT user_id, genre, quota, item_id FROM {quota} JOIN genre_items USING (genre)) ANTI JOIN {banned} USING (user_id, item_id)) WHERE rn <= quota GROUP BY 1, 2)"""
+
+
 def bm25_sql(queries: str, docs: str, topn: int, name: str = "ranking", tags: str | None = None) -> str:
     """SQL of `corpus.bm25` over relations (item_id, tokens)."""
     shared = f"JOIN {tags} AS allowed ON allowed.query_item = q.query_item AND allowed.item_id = tf.item_id" if tags else ""
@@ -329,7 +334,9 @@ def tokens_sql(text: str) -> str:
     return rf"list_filter(string_split(regexp_replace({spaced}, '\s+', ' ', 'g'), ' '), lambda t: t <> '')"
 
 
-_TEXT_TOKENS = f"{v.ITEM_TEXTS}, docs AS (SELECT item_id, {tokens_sql('substr(text, 1, 200)')} AS tokens FROM item_texts)"
+_ITEM_DOCS = f"{v.ITEM_TEXTS}, docs AS (SELECT item_id, {tokens_sql('text')} AS tokens FROM item_texts)"
+#: The query items: every twentieth id, against all items.
+_QUERY_ITEMS = "asked AS (SELECT * FROM docs WHERE item_id % 20 = 0)"
 _EVAL = f"WITH {_CAND}, {_POPULAR.format(cand='cand')}"
 _RUNS = f"""{_CAND}, {_POPULAR.format(cand="cand")},
 random_ AS (SELECT user_id, item_id, CAST({v.key_int(3, "user_id", "item_id")} % 1000 AS DOUBLE) AS score FROM cand),
@@ -350,16 +357,20 @@ def _moments(kind: str, key: str) -> str:
 ORACLES = {
     "neg_uniform": f"WITH {_uniform_sql()} SELECT * FROM neg",
     "neg_uniform_checks": "SELECT * FROM (VALUES ('used', 0::BIGINT), ('positives_only', 0::BIGINT), ('negatives_only', 0::BIGINT)) AS t(\"check\", bad)",
-    "neg_shortfall": f"WITH {_uniform_sql('SELECT DISTINCT item_id FROM split WHERE item_id % 40 = 0')} SELECT user_id, need, coalesce(got, 0) AS got FROM (SELECT user_id, need FROM need) LEFT JOIN (SELECT user_id, count(*) AS got FROM neg GROUP BY user_id) USING (user_id) WHERE coalesce(got, 0) < need",
-    "neg_all": f"WITH {_POS}, {_SOME(50)} SELECT user_id, item_id FROM (SELECT user_id, item_id FROM some_users, (SELECT DISTINCT item_id FROM split)) ANTI JOIN train USING (user_id, item_id)",
-    "neg_genre": f"WITH {_POS}, {_SOME(200)}, {_GENRES}, {_GENRE_NEG} SELECT * FROM genre_neg",
+    "neg_shortfall": f"WITH {_uniform_sql("SELECT DISTINCT item_id FROM split JOIN part ON p_partkey = item_id WHERE p_brand = 'Brand#11'", 3 * K_NEG)} SELECT user_id, need, coalesce(got, 0) AS got FROM (SELECT user_id, need FROM need) LEFT JOIN (SELECT user_id, count(*) AS got FROM neg GROUP BY user_id) USING (user_id) WHERE coalesce(got, 0) < need",
+    "neg_all": f"WITH {_POS} SELECT user_id, item_id FROM (SELECT user_id, item_id FROM (SELECT DISTINCT user_id FROM split WHERE user_id % 20 = 0), (SELECT DISTINCT item_id FROM split)) ANTI JOIN train USING (user_id, item_id)",
+    "neg_genre": f"WITH {_POS}, {_GENRES}, {_GENRE_NEG} SELECT * FROM genre_neg",
     "neg_genre_quota": f"WITH {_POS}, {_GENRES}, {_QUOTA} SELECT * FROM quota",
-    "neg_search": f"""WITH {_POS}, {_SOME(20)}, {_TEXT_TOKENS}, asked AS (SELECT * FROM docs WHERE item_id IN (SELECT item_id FROM some_pos)), {bm25_sql("asked", "docs", 100)},
-near AS (SELECT DISTINCT user_id, item_id AS ref_item, doc_item AS item_id, rank FROM some_pos JOIN ranking ON query_item = item_id AND doc_item <> item_id)
+    "neg_genre_proportional": f"""WITH {_POS}, {_GENRES}, {_QUOTA}, {_drawn_sql("p1", "quota", "used")}, got AS (SELECT user_id, genre, count(*) AS got FROM p1 GROUP BY ALL),
+missing AS (SELECT user_id, genre, quota - coalesce(got, 0) AS quota FROM quota LEFT JOIN got USING (user_id, genre) WHERE quota > coalesce(got, 0)),
+banned AS (SELECT user_id, item_id FROM used UNION SELECT user_id, item_id FROM p1), {_drawn_sql("p2", "missing", "banned")}
+SELECT user_id, item_id FROM p1 UNION ALL SELECT user_id, item_id FROM p2""",
+    "neg_search": f"""WITH {_POS}, {_ITEM_DOCS}, {_QUERY_ITEMS}, {bm25_sql("asked", "docs", 100)},
+near AS (SELECT DISTINCT user_id, item_id AS ref_item, doc_item AS item_id, rank FROM pos JOIN ranking ON query_item = item_id AND doc_item <> item_id)
 SELECT user_id, item_id, 0 AS label, ref_item FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ref_item ORDER BY rank, item_id) AS rn FROM near ANTI JOIN used USING (user_id, item_id)) WHERE rn <= 10""",
-    "neg_cf_weighted": f"""WITH {_uniform_sql()}, {_SOME(100, "neg")}, {v.ITEM_VECTORS},
+    "neg_cf_weighted": f"""WITH {_uniform_sql()}, {v.ITEM_VECTORS},
 scored AS (SELECT n.user_id, n.item_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_dot_product(a.vec, b.vec) + 0.5::DOUBLE)) AS s
-  FROM some_pos AS n JOIN train AS t ON t.user_id = n.user_id JOIN item_vecs AS a ON a.item_id = n.item_id JOIN item_vecs AS b ON b.item_id = t.item_id)
+  FROM neg AS n JOIN train AS t ON t.user_id = n.user_id JOIN item_vecs AS a ON a.item_id = n.item_id JOIN item_vecs AS b ON b.item_id = t.item_id)
 SELECT user_id, item_id, {v.half_up("avg(s)", 6)} AS label FROM scored GROUP BY user_id, item_id""",
     "eval_user": f"{_EVAL}, {_groups_sql(5, 25)}, {_detail_sql()} {_summary_sql('groups')}",
     "eval_groups_threshold": f"WITH {SPLIT}, {_groups_sql(10, 25)} SELECT \"group\", count(*) AS n_users FROM groups GROUP BY 1",
@@ -369,8 +380,8 @@ groups AS (SELECT user_id, CASE WHEN rn <= floor(total * 50 / 100) THEN 'sporadi
     "eval_trec": f"{_EVAL}, {_detail_sql(ties='trec')} {_summary_sql(None)}",
     "eval_tiebreak": f"{_EVAL}, {_groups_sql(5, 25)}, {_detail_sql(ties='epsilon')} {_summary_sql('groups')}",
     "eval_graded": f"WITH {SPLIT}, cand AS (SELECT user_id, item_id, rating AS label FROM split WHERE split = 'test'), {_POPULAR.format(cand='cand')}, {_detail_sql(level=4)} {_summary_sql(None)}",
-    "eval_query_micro_macro": f"""WITH {_POS}, {_SOME(200)}, {_GENRES}, {_GENRE_NEG},
-cand AS (SELECT user_id, item_id, 1 AS label, item_id AS ref_item FROM some_pos UNION ALL SELECT user_id, item_id, 0, ref_item FROM genre_neg),
+    "eval_query_micro_macro": f"""WITH {_POS}, {_GENRES}, {_GENRE_NEG},
+cand AS (SELECT user_id, item_id, 1 AS label, item_id AS ref_item FROM pos UNION ALL SELECT user_id, item_id, 0, ref_item FROM genre_neg),
 {_POPULAR.format(cand="(SELECT DISTINCT user_id, item_id FROM cand)").replace("popular AS", "scores AS")},
 popular AS (SELECT c.user_id, c.ref_item, c.item_id, score FROM cand AS c JOIN scores AS s ON s.user_id = c.user_id AND s.item_id = c.item_id), {_groups_sql(5, 25)}, {_detail_sql(keys="user_id, ref_item", ks=(5,))},
 parts AS (SELECT 'ALL' AS "group", * FROM detail UNION ALL SELECT "group", detail.* FROM detail JOIN groups USING (user_id)),

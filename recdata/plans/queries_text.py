@@ -14,7 +14,7 @@ from recdata.sources import tables
 from recdata.sources.scratch import materialize
 
 from . import views as v
-from .queries_eval import _GENRES, _POS, _rounded, _SOME, _splits, SPLIT, bm25_sql, tokens_sql
+from .queries_eval import _GENRES, _ITEM_DOCS, _POS, _QUERY_ITEMS, _rounded, _splits, SPLIT, bm25_sql, tokens_sql
 
 
 def strip_markup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +76,8 @@ def ngram_df_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries(docs: DataFrame) -> DataFrame:
-    """A query set: 40 items chosen by hash."""
-    return docs.join(sample.sample_users(docs, 40, key="item_id"), "item_id", "left_semi")
+    """The query set: every twentieth id, against all items."""
+    return docs.where("item_id % 20 = 0")
 
 
 def bm25_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,25 +169,24 @@ def item_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(similarity.item_jaccard(v.interactions(spark, sf_dir).where("rating >= 4")))
 
 
-def _small(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(candidates: the test items of some users, their training items)."""
+def _tested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(candidates: the test items of all users, their training items)."""
     splits = _splits(spark, sf_dir)
-    pos = sample.keep_users(splits.where("split = 'test' AND rating >= 4"), sample.sample_users(splits, 100))
-    return pos.select("user_id", "item_id"), splits.where("split = 'train'")
+    return splits.where("split = 'test' AND rating >= 4").select("user_id", "item_id"), splits.where("split = 'train'")
 
 
 def user_item_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cand, train = _small(spark, sf_dir)
+    cand, train = _tested(spark, sf_dir)
     return _rounded(similarity.user_item_jaccard(cand, train, similarity.item_jaccard(train)))
 
 
 def item_cf_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cand, train = _small(spark, sf_dir)
+    cand, train = _tested(spark, sf_dir)
     return _rounded(similarity.vector_sim(similarity.candidate_pairs(cand, train), v.item_vectors(spark, sf_dir), "cosine"))
 
 
 def user_item_cf_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cand, train = _small(spark, sf_dir)
+    cand, train = _tested(spark, sf_dir)
     return _rounded(similarity.user_item_sim(cand, train, v.item_vectors(spark, sf_dir), -0.5, 0.5))
 
 
@@ -204,7 +203,9 @@ def topn_all_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topn_cover_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cand, train = _small(spark, sf_dir)
+    """For the query users: every twentieth id."""
+    cand, train = _tested(spark, sf_dir)
+    cand = cand.where("user_id % 20 = 0")
     users = sample.keep_users(v.user_vectors(spark, sf_dir), cand)
     return _rounded(models.top_n(users, v.item_vectors(spark, sf_dir), train.select("user_id", "item_id"), 20, cover=cand))
 
@@ -295,9 +296,6 @@ def _normal_sql(text: str) -> str:
     return f"replace(lower(replace(coalesce({text}, ''), '<end of review>', '')), 'n''t', ' not')"
 
 
-_QUERY_ITEMS = f"asked AS (SELECT * FROM docs WHERE item_id IN (SELECT item_id FROM docs ORDER BY {v.key(42, 'item_id')}, item_id LIMIT 40))"
-_ITEM_DOCS = f"{v.ITEM_TEXTS}, docs AS (SELECT item_id, {tokens_sql('text')} AS tokens FROM item_texts)"
-_SMALL = f"{_POS}, {_SOME(100)}"
 _COSINE = "CASE WHEN list_dot_product(a.vec, a.vec) > 0 AND list_dot_product(b.vec, b.vec) > 0 THEN list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) ELSE 0 END"
 _JACCARD = """jac AS (SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) / (any_value(na.n) + any_value(nb.n) - count(*))::DOUBLE AS sim
   FROM {t} AS a JOIN {t} AS b ON a.user_id = b.user_id AND a.item_id < b.item_id JOIN (SELECT item_id, count(*) AS n FROM {t} GROUP BY 1) AS na ON na.item_id = a.item_id
@@ -343,21 +341,31 @@ SELECT user_id, CAST(coalesce(k, 0) AS INTEGER) AS chunk_no, coalesce(array_to_s
     "profile_tfidf_ngram": _ngram_sql((1,), "tf", None),
     "profile_idf_ngram": _ngram_sql((1, 2), "1", 50),
     "profile_random_sentence": f"""WITH {_SENTENCES}, made AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY {v.key(42, "doc_id", "pos - 1")}, pos) AS text FROM sents GROUP BY doc_id) SELECT doc_id, length(text) AS n_chars, md5(text) AS text_md5 FROM made""",
+    "profile_item_matched": f"""WITH {_IDF}, {v.INTERACTIONS}, {v.REVIEWS}, {_ITEM_DOCS},
+rows AS (SELECT user_id, item_id, rating, pos, ss[pos] AS sentence FROM (SELECT *, {_sentences_sql("review")} AS ss FROM reviews WHERE rating >= 4), unnest(range(1, len(ss) + 1)) AS u(pos)),
+sw AS (SELECT user_id, item_id, pos, term, count(*) * any_value(idf) AS w FROM (SELECT user_id, item_id, pos, unnest({tokens_sql("sentence")}) AS term FROM rows) JOIN idf_all USING (term) GROUP BY user_id, item_id, pos, term),
+iw AS (SELECT item_id, term, count(*) * any_value(idf) AS w FROM (SELECT item_id, unnest(tokens) AS term FROM docs) JOIN idf_all USING (term) GROUP BY item_id, term),
+near AS (SELECT user_id, item_id, pos, sum(sw.w * iw.w) AS d, sqrt(sum(sw.w * sw.w)) AS sn FROM sw LEFT JOIN iw USING (item_id, term) GROUP BY user_id, item_id, pos),
+norms AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM iw GROUP BY item_id),
+ranked AS (SELECT r.user_id, r.item_id, rating, sentence, row_number() OVER (PARTITION BY r.user_id, r.item_id ORDER BY round(CASE WHEN sn > 0 AND n > 0 THEN coalesce(d, 0) / (sn * n) ELSE 0 END, 9) DESC, r.pos) AS turn
+  FROM rows AS r LEFT JOIN near ON near.user_id = r.user_id AND near.item_id = r.item_id AND near.pos = r.pos LEFT JOIN norms ON norms.item_id = r.item_id),
+made AS (SELECT user_id, string_agg(sentence, ' ' ORDER BY turn, rating DESC, item_id) AS text FROM ranked GROUP BY user_id)
+SELECT user_id, length(text) AS n_chars, md5(text) AS text_md5 FROM made""",
     "favourite_genres": f"WITH {v.INTERACTIONS}, {_GENRES}, c AS (SELECT user_id, genre, count(*) AS n FROM inter JOIN genre_items USING (item_id) GROUP BY user_id, genre), g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, genre) AS rn FROM c) SELECT user_id, string_agg(genre, ', ' ORDER BY rn) AS genres FROM g WHERE rn <= 5 GROUP BY user_id",
     "item_jaccard": f"WITH {v.INTERACTIONS}, liked AS (SELECT * FROM inter WHERE rating >= 4), {_JACCARD.format(t='liked')} SELECT item_a, item_b, {v.half_up('sim', 6)} AS sim FROM jac",
-    "user_item_jaccard": f"""WITH {_SMALL}, {_JACCARD.format(t="train")}
-SELECT p.user_id, p.item_id, {v.half_up("avg(coalesce(sim, 0))", 6)} AS sim FROM some_pos AS p JOIN train AS t ON t.user_id = p.user_id AND t.item_id <> p.item_id
+    "user_item_jaccard": f"""WITH {_POS}, {_JACCARD.format(t="train")}
+SELECT p.user_id, p.item_id, {v.half_up("avg(coalesce(sim, 0))", 6)} AS sim FROM pos AS p JOIN train AS t ON t.user_id = p.user_id AND t.item_id <> p.item_id
 LEFT JOIN jac ON item_a = least(p.item_id, t.item_id) AND item_b = greatest(p.item_id, t.item_id) GROUP BY 1, 2""",
-    "item_cf_sim": f"""WITH {_SMALL}, {v.ITEM_VECTORS}, pairs AS (SELECT DISTINCT least(p.item_id, t.item_id) AS item_a, greatest(p.item_id, t.item_id) AS item_b FROM some_pos AS p JOIN train AS t ON t.user_id = p.user_id AND t.item_id <> p.item_id)
+    "item_cf_sim": f"""WITH {_POS}, {v.ITEM_VECTORS}, pairs AS (SELECT DISTINCT least(p.item_id, t.item_id) AS item_a, greatest(p.item_id, t.item_id) AS item_b FROM pos AS p JOIN train AS t ON t.user_id = p.user_id AND t.item_id <> p.item_id)
 SELECT item_a, item_b, {v.half_up(_COSINE, 6)} AS sim FROM pairs JOIN item_vecs AS a ON a.item_id = item_a JOIN item_vecs AS b ON b.item_id = item_b""",
-    "user_item_cf_sim": f"""WITH {_SMALL}, {v.ITEM_VECTORS}
-SELECT p.user_id, p.item_id, {v.half_up("avg(greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_dot_product(a.vec, b.vec) + 0.5::DOUBLE)))", 6)} AS sim FROM some_pos AS p JOIN train AS t ON t.user_id = p.user_id AND t.item_id <> p.item_id
+    "user_item_cf_sim": f"""WITH {_POS}, {v.ITEM_VECTORS}
+SELECT p.user_id, p.item_id, {v.half_up("avg(greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_dot_product(a.vec, b.vec) + 0.5::DOUBLE)))", 6)} AS sim FROM pos AS p JOIN train AS t ON t.user_id = p.user_id AND t.item_id <> p.item_id
 JOIN item_vecs AS a ON a.item_id = p.item_id JOIN item_vecs AS b ON b.item_id = t.item_id GROUP BY 1, 2""",
     "score_pairs": f"""WITH {v.INTERACTIONS}, {v.ITEM_VECTORS}, {v.USER_VECTORS}, b AS (SELECT item_id, avg(rating) / 10 AS bias FROM inter GROUP BY 1),
 s AS (SELECT user_id, item_id, list_dot_product(u.vec, i.vec) + 0.25::DOUBLE + bias AS score FROM inter JOIN user_vecs AS u USING (user_id) JOIN item_vecs AS i USING (item_id) JOIN b USING (item_id))
 SELECT user_id, item_id, {v.half_up("score", 6)} AS score, {v.half_up("1 / (1 + exp(-score))", 6)} AS chance FROM s""",
     "topn_all_items": f"WITH {SPLIT}, {_SCORED_ALL.format(users='user_vecs')} SELECT user_id, item_id, {v.half_up('score', 6)} AS score, rank FROM ranked WHERE rank <= 20",
-    "topn_cover_test": f"""WITH {_SMALL}, {_SCORED_ALL.format(users="(SELECT * FROM user_vecs WHERE user_id IN (SELECT user_id FROM some_pos))")}, last AS (SELECT user_id, max(rank) AS last FROM ranked JOIN some_pos USING (user_id, item_id) GROUP BY 1)
+    "topn_cover_test": f"""WITH {_POS}, {_SCORED_ALL.format(users="(SELECT * FROM user_vecs WHERE user_id % 20 = 0 AND user_id IN (SELECT user_id FROM pos))")}, last AS (SELECT user_id, max(rank) AS last FROM ranked JOIN pos USING (user_id, item_id) GROUP BY 1)
 SELECT user_id, item_id, {v.half_up("score", 6)} AS score, rank FROM ranked LEFT JOIN last USING (user_id) WHERE rank <= greatest(20, coalesce(last, 0))""",
     "vector_pool": f"""WITH x AS (SELECT vec_id, vec_id % 20 AS key, CAST(p - 1 AS INTEGER) AS pos, CAST(embedding[p] AS DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(p))
 SELECT key, 'max' AS how, pos, {v.half_up("max(x)", 6)} AS x FROM x GROUP BY key, pos UNION ALL SELECT key, 'avg', pos, {v.half_up("avg(x)", 6)} FROM x GROUP BY key, pos UNION ALL SELECT key, 'masked', pos, {v.half_up("avg(x)", 6)} FROM x WHERE vec_id % 3 = 0 GROUP BY key, pos""",
