@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import lgamma
 
 import numpy as np
 import pandas as pd
@@ -44,28 +45,41 @@ def byte_grams(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[keep], counts
 
 
-def gram_counts(df: DataFrame, depth: int, text_col: str = "text") -> DataFrame:
-    """(gram long, n long): how often each byte with its `depth` predecessors occurs in all texts."""
+def gram_counts(df: DataFrame, depth: int, text_col: str = "text", learn_col: str | None = None) -> DataFrame:
+    """(gram long, n long, seen long): how often each byte with its `depth` predecessors occurs in the texts to learn from, and in all.
+
+    Without `learn_col` all texts are learned from. Grams of other texts alone have n = 0.
+    """
+
+    def totals(held: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(held).groupby(level=0, sort=False).sum()
+
+    def columns(total: pd.DataFrame) -> dict:
+        return {"gram": total.index.to_numpy().view(np.int64), "n": total["n"].to_numpy(), "seen": total["seen"].to_numpy()}
 
     def rows(batches: Iterator[tuple]) -> Iterator[dict]:
         held, size = [], 0
-        for (texts,) in batches:
+        for texts, *learn in batches:
             texts = [t or "" for t in texts]
+            weights = np.array(learn[0], bool) if learn else np.ones(len(texts), bool)
             for part in slices(texts, 1 << 21):
-                codes, names = pd.factorize(byte_grams(texts[part], depth)[0])
-                held.append(pd.Series(np.bincount(codes, minlength=len(names)), index=names))
+                grams, n_bytes = byte_grams(texts[part], depth)
+                codes, names = pd.factorize(grams)
+                seen = np.bincount(codes, minlength=len(names))
+                n = np.bincount(codes[np.repeat(weights[part], n_bytes)], minlength=len(names))
+                held.append(pd.DataFrame({"n": n, "seen": seen}, index=names))
                 size += len(names)
                 if size > 1 << 21:
-                    held = [pd.concat(held).groupby(level=0, sort=False).sum()]
+                    held = [totals(held)]
                     if len(held[0]) > 1 << 20:
-                        yield {"gram": held[0].index.to_numpy().view(np.int64), "n": held[0].to_numpy()}
+                        yield columns(held[0])
                         held = []
                     size = sum(map(len, held))
         if held:
-            total = pd.concat(held).groupby(level=0, sort=False).sum()
-            yield {"gram": total.index.to_numpy().view(np.int64), "n": total.to_numpy()}
+            yield columns(totals(held))
 
-    return map_rows(df, [text_col], rows, {"gram": "long", "n": "long"}).groupBy("gram").agg(F.sum("n").alias("n"))
+    found = map_rows(df, [text_col, learn_col] if learn_col else [text_col], rows, {"gram": "long", "n": "long", "seen": "long"})
+    return found.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 @dataclass
@@ -119,12 +133,164 @@ class Tree:
         return out
 
 
+_SMALL = 1 << 12
+_LOG_GAMMA = {half: np.array([lgamma(k + half) for k in range(_SMALL)]) for half in (0.5, 1.0)}
+
+
+def _log_gamma(counts: np.ndarray, half: float) -> np.ndarray:
+    """log gamma of counts + half; from a table where the counts are small."""
+    small = counts < _SMALL
+    out = np.empty(len(counts))
+    out[small] = _LOG_GAMMA[half][counts[small].astype(np.int64)]
+    out[~small] = [lgamma(c + half) for c in counts[~small].tolist()]
+    return out
+
+
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Natural logarithm of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    from math import lgamma
+    return _log_gamma(zeros, 0.5) + _log_gamma(ones, 0.5) - _log_gamma(zeros + ones, 1.0) - 2 * lgamma(0.5)
+
+
+def _nodes(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of one depth, sorted: key (context bytes, decisions so far) and how often 0 and 1 were decided there."""
+    order = np.argsort(grams)
+    grams, counts = grams[order], counts[order]
+    symbol, context = grams & np.uint64(0xFF), grams >> np.uint64(8)
+    found = []
+    for bit in range(8):  # in the order of grams, equal keys of one bit are neighbours
+        key = (context << np.uint64(8)) | (np.uint64(1) << np.uint64(bit)) | (symbol >> np.uint64(8 - bit))
+        one = np.where(symbol >> np.uint64(7 - bit) & np.uint64(1), counts, 0)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        sums = [np.add.reduceat(x, first) if len(first) else x for x in (one, counts)]
+        found.append((key[first], *sums))
+    key, one, total = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(key)
+    return key[order], (total - one)[order].astype(np.float64), one[order].astype(np.float64)
+
+
+#: Depths up to this one are weighed on the driver: 2^24 nodes at most, however much text there is.
+TOP = 2
+
+
+def _shorter(keys: np.ndarray, d: int) -> np.ndarray:
+    """The keys of the nodes at depth d under which these stand."""
+    context, before = keys >> np.uint64(8), keys & np.uint64(0xFF)
+    return ((context & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | before
+
+
+@dataclass
+class Level:
+    """The nodes of one depth: counts, own estimate and weighted probability (natural logarithms)."""
+
+    keys: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    own: np.ndarray
+    weighted: np.ndarray
 
-    log_gamma = np.vectorize(lgamma, otypes=[float])
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - 2 * lgamma(0.5)
+    @classmethod
+    def of(cls, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> Level:
+        """`below`: the product of the children's weighted probabilities; None at full depth."""
+        own = _log_kt(zeros, ones)
+        return cls(keys, zeros, ones, own, own if below is None else np.logaddexp(own, below) + np.log(0.5))
+
+    def above(self, d: int) -> tuple[np.ndarray, ...]:
+        """Keys at depth d, and what the nodes here give to each: zeros, ones, product of the weighted probabilities."""
+        parents, at = np.unique(_shorter(self.keys, d), return_inverse=True)
+        return parents, *(np.bincount(at, x, len(parents)) for x in (self.zeros, self.ones, self.weighted))
+
+
+@dataclass
+class State:
+    """What a longer context has to know of the nodes of one depth: the mixture so far, the weight left, the probability of 1 if no longer context was seen."""
+
+    keys: np.ndarray
+    chance: np.ndarray
+    left: np.ndarray
+    ends: np.ndarray
+
+
+def _descend(level: Level, d: int, last: bool, above: State | None) -> State:
+    """The state of the nodes at depth d, from that of the depth before."""
+    n = len(level.keys)
+    if above is None:
+        chance, left, ends = np.zeros(n), np.ones(n), np.full(n, 0.5)
+    else:
+        at = np.searchsorted(above.keys, _shorter(level.keys, d - 1))
+        chance, left, ends = above.chance[at], above.left[at], above.ends[at]
+    stop = np.ones(n) if last else np.minimum(1.0, 0.5 * np.exp(level.own - level.weighted))
+    total = level.zeros + level.ones
+    p = (level.ones + 0.5) / (total + 1)
+    chance = chance + left * stop * p
+    left = left * (1 - stop)
+    # a context that training has not seen predicts as the deepest one seen
+    return State(level.keys, chance, left, np.where(total > 0, chance + left * p, ends))
+
+
+def _subtree(grams: np.ndarray, counts: np.ndarray, depth: int, top: int) -> list[Level]:
+    """The levels from `depth` up to top + 1, deepest first; all grams of a context of top + 1 bytes are here or none is."""
+    levels: list[Level] = []
+    for d in range(depth, top, -1):
+        if levels:
+            levels.append(Level.of(*levels[-1].above(d)))
+        else:
+            levels.append(Level.of(*_nodes(grams, counts), None))
+    return levels
+
+
+def gram_bits(grams: DataFrame, depth: int, size: int = 1 << 17) -> DataFrame:
+    """(gram, seen, bits): the code length of each gram of `gram_counts` under the tree of all of them.
+
+    Nothing is left out. All grams that share a context of TOP + 1 bytes, which
+    number 65,536 at most for depth 4, go to one task; of about `size` grams it
+    takes the depths beyond TOP together, once from the longest context up and
+    once down again. In between the driver weighs the depths up to TOP. Grams
+    with n = 0 have nodes that weigh nothing and predict as the one above.
+    """
+    top = min(TOP, depth)
+    context = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << (8 * (top + 1))) - 1).cast("long"))
+    dealt = grams.repartition(max(1, -(-grams.count() // size)), context)
+
+    def gather(batches: Iterator[tuple]) -> list[np.ndarray]:
+        parts = [tuple(np.array(column, np.int64) for column in batch) for batch in batches]
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+    def up(batches: Iterator[tuple]) -> Iterator[dict]:
+        if found := gather(batches):
+            given, n = found[0].view(np.uint64), found[1]
+            if levels := _subtree(given, n, depth, top):
+                keys, zeros, ones, below = levels[-1].above(top)
+            else:
+                keys, zeros, ones = _nodes(given, n)
+                below = np.zeros(len(keys))
+            yield {"key": keys.view(np.int64), "zeros": zeros, "ones": ones, "below": below}
+
+    sums = map_rows(dealt, ["gram", "n"], up, {"key": "long", "zeros": "double", "ones": "double", "below": "double"})
+    sums = sums.groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).orderBy("key").toArrow()
+    keys, zeros, ones, below = (sums[c].to_numpy() for c in ("key", "zeros", "ones", "below"))
+    levels = [Level.of(keys.view(np.uint64), zeros, ones, below if top < depth else None)]
+    for d in range(top - 1, -1, -1):
+        levels.append(Level.of(*levels[-1].above(d)))
+    state = None
+    for d, level in enumerate(reversed(levels)):
+        state = _descend(level, d, d == depth, state)
+    sent = grams.sparkSession.sparkContext.broadcast(state)
+
+    def down(batches: Iterator[tuple]) -> Iterator[dict]:
+        if found := gather(batches):
+            given, n, seen = found[0].view(np.uint64), found[1], found[2]
+            state = sent.value
+            for d, level in enumerate(reversed(_subtree(given, n, depth, top)), top + 1):
+                state = _descend(level, d, d == depth, state)
+            bits = np.zeros(len(given))
+            symbol, contexts = given & np.uint64(0xFF), given >> np.uint64(8)
+            for bit in range(8):
+                key = (contexts << np.uint64(8)) | (np.uint64(1) << np.uint64(bit)) | (symbol >> np.uint64(8 - bit))
+                p = state.ends[np.searchsorted(state.keys, key)]
+                bits -= np.log2(np.where(symbol >> np.uint64(7 - bit) & np.uint64(1), p, 1 - p))
+            yield {"gram": found[0], "seen": seen, "bits": bits}
+
+    return map_rows(dealt, ["gram", "n", "seen"], down, {"gram": "long", "seen": "long", "bits": "double"})
 
 
 def weigh(tables: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
@@ -135,21 +301,10 @@ def weigh(tables: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
     """
     keys, zeros_of, ones_of = [], [], []
     for grams, counts in tables:
-        order = np.argsort(grams)
-        grams, counts = grams[order], counts[order]
-        symbol, context = grams & np.uint64(0xFF), grams >> np.uint64(8)
-        found = []
-        for bit in range(8):  # in the order of grams, equal keys of one bit are neighbours
-            key = (context << np.uint64(8)) | (np.uint64(1) << np.uint64(bit)) | (symbol >> np.uint64(8 - bit))
-            one = np.where(symbol >> np.uint64(7 - bit) & np.uint64(1), counts, 0)
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            sums = [np.add.reduceat(x, first) if len(first) else x for x in (one, counts)]
-            found.append((key[first], *sums))
-        key, one, total = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(key)
-        keys.append(key[order])
-        ones_of.append(one[order].astype(np.float64))
-        zeros_of.append((total - one)[order].astype(np.float64))
+        key, zero, one = _nodes(grams, counts)
+        keys.append(key)
+        zeros_of.append(zero)
+        ones_of.append(one)
     depth = len(tables) - 1
     stops: list[np.ndarray] = [np.ones(len(keys[-1]))] * (depth + 1)
     weighted = _log_kt(zeros_of[-1], ones_of[-1])
@@ -172,7 +327,7 @@ def weigh(tables: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
 
 
 def train(df: DataFrame, depth: int = 4, most: int = 1 << 20, text_col: str = "text") -> Tree:
-    """A tree from all texts of `df`.
+    """A tree from all texts of `df`, small enough for one machine; `gram_bits` weighs all grams instead.
 
     Counts cover every byte. The tree has a size: at each depth the contexts
     with the most frequent grams are kept, those with at least the smallest

@@ -9,12 +9,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, kind_of, map_rows, materialize, most_frequent, slices
-from .ctw import Tree, byte_grams, train
+from .ctw import byte_grams, gram_bits, gram_counts
 
 _LOWER_TEXT = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 #: Words whose counts are sent to every task; the counts of all others are joined.
@@ -43,19 +44,36 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return map_rows(df, [text_col], rows, {"word": "string", "n": "long"}).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _first_scores(df: DataFrame, head: dict[str, int], tree: Tree, id_col: str, text_col: str) -> DataFrame:
-    """What a task can say of each text alone: code length, known words of the head, and the words it must look up."""
-    sent = df.sparkSession.sparkContext.broadcast((head, tree))
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values))
+
+
+def _first_scores(df: DataFrame, head: dict[str, int], grams: np.ndarray, lengths: np.ndarray, depth: int, id_col: str, text_col: str) -> DataFrame:
+    """What a task can say of each text alone: code length and known words by the heads, and the grams and words it must look up."""
+    sent = df.sparkSession.sparkContext.broadcast((head, grams, lengths))
 
     def rows(batches: Iterator[tuple]) -> Iterator[dict]:
-        head, tree = sent.value
+        head, frequent, lengths = sent.value
         part, row = TaskContext.get().partitionId(), 0
         for keys, texts in batches:
             texts = [t or "" for t in texts]
             for some in slices(texts, 1 << 20):
-                grams, n_bytes = byte_grams(texts[some], tree.depth)
+                grams, n_bytes = byte_grams(texts[some], depth)
                 codes, names = pd.factorize(grams)
-                bits = np.add.reduceat(tree.code_lengths(names)[codes], np.cumsum(n_bytes) - n_bytes)
+                at = np.minimum(np.searchsorted(frequent, names), max(0, len(frequent) - 1))
+                told = frequent[at] == names if len(frequent) else np.zeros(len(names), bool)
+                each = np.zeros(len(names))
+                each[told] = lengths[at[told]]
+                bits = np.add.reduceat(each[codes], np.cumsum(n_bytes) - n_bytes)
+                open_at = np.flatnonzero(~told[codes])
+                text_of, open_grams = np.repeat(np.arange(len(n_bytes)), n_bytes)[open_at], grams[open_at]
+                order = np.lexsort((open_grams, text_of))
+                text_of, open_grams = text_of[order], open_grams[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (text_of[1:] != text_of[:-1]) | (open_grams[1:] != open_grams[:-1])
+                first = np.flatnonzero(new)
+                sizes = np.bincount(text_of[first], minlength=len(n_bytes))
+                looked_up = {"grams": _lists(open_grams[first].view(np.int64), sizes), "gram_times": _lists(np.diff(np.append(first, len(order))).astype(np.int32), sizes)}
                 out = []
                 for text in texts[some]:
                     counts = Counter(tokens(text))
@@ -63,14 +81,14 @@ def _first_scores(df: DataFrame, head: dict[str, int], tree: Tree, id_col: str,
                     found = [(n, head[w]) for w, n in counts.items() if w in head]
                     out.append((part, row, counts.total(), sum(n for n, _ in found), sum(n * math.log10(c + 1) for n, c in found), list(rare), list(rare.values())))
                     row += 1
-                columns = dict(zip(list(fields)[3:], zip(*out, strict=True), strict=True))
-                yield {id_col: keys[some], "n_bytes": n_bytes, "bits": bits} | columns
+                columns = dict(zip(list(fields)[5:], zip(*out, strict=True), strict=True))
+                yield {id_col: keys[some], "n_bytes": n_bytes, "bits": bits} | looked_up | columns
 
-    fields = {id_col: kind_of(df, id_col), "n_bytes": "long", "bits": "double", "part": "int", "row": "long", "n_tokens": "long", "known": "long", "logs": "double", "rare": "array<string>", "times": "array<int>"}
+    fields = {id_col: kind_of(df, id_col), "n_bytes": "long", "bits": "double", "grams": "array<bigint>", "gram_times": "array<int>", "part": "int", "row": "long", "n_tokens": "long", "known": "long", "logs": "double", "rare": "array<string>", "times": "array<int>"}
     return map_rows(df, [id_col, text_col], rows, fields)
 
 
-def score_documents(df: DataFrame, training: Column, depth: int = 4, nodes: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
+def score_documents(df: DataFrame, training: Column, depth: int = 4, nodes: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """Scores every whole text by a context tree and by Laplace-smoothed unigrams, both learned where `training` is true.
 
     Returns (id, n_tokens, n_known, train_tokens, base_score, score, n_bytes).
@@ -81,21 +99,28 @@ def score_documents(df: DataFrame, training: Column, depth: int = 4, nodes: int
     Without training rows every token is unknown and every bit has probability
     1/2. An empty table gives an empty result; other columns are not read.
 
-    The counts of the `head` most frequent words and the tree (see
-    `ctw.train`) have a bounded size and are sent to every task; every other
-    word is looked up by a join in which it counts once for each document.
+    The tree holds every gram of the training texts (see `ctw.gram_bits`). The
+    counts of the `head` most frequent words and the code lengths of the
+    `nodes` most frequent grams are sent to every task; every other word or
+    gram is looked up by a join in which it counts once for each document, so
+    the two sizes do not change a result.
     """
     docs = df.select(F.col(id_col), F.col(text_col), F.coalesce(training, F.lit(False)).alias("__learn"))
     learned = docs.where("__learn")
-    tree = train(learned, depth, nodes, text_col)
+    lengths = materialize(gram_bits(materialize(gram_counts(docs, depth, text_col, "__learn"), "grams"), depth), "lengths")
+    cached = most_frequent(lengths, nodes, "seen").select("gram", "bits").toArrow()
+    cached_grams, cached_bits = cached["gram"].to_numpy().view(np.uint64), cached["bits"].to_numpy()
+    order = np.argsort(cached_grams)
     vocabulary = materialize(word_counts(learned, text_col), "words")
     totals = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
     frequent = most_frequent(vocabulary, head).toPandas()
-    first = materialize(_first_scores(docs, dict(zip(frequent["word"], frequent["n"].tolist(), strict=True)), tree, id_col, text_col), "scores")
+    first = materialize(_first_scores(docs, dict(zip(frequent["word"], frequent["n"].tolist(), strict=True)), cached_grams[order], cached_bits[order], depth, id_col, text_col), "scores")
     rare = first.select("part", "row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("part", "row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     found = rare.join(vocabulary, "word").groupBy("part", "row").agg(F.sum("times").alias("known_rare"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("logs_rare"))
-    joined = first.drop("rare", "times").join(found, ["part", "row"], "left")
+    open_grams = first.select("part", "row", F.explode(F.arrays_zip("grams", "gram_times")).alias("g")).select("part", "row", F.col("g.grams").alias("gram"), F.col("g.gram_times").alias("times"))
+    told = open_grams.join(lengths, "gram").groupBy("part", "row").agg(F.sum(F.col("times") * F.col("bits")).alias("bits_rare"))
+    joined = first.drop("rare", "times", "grams", "gram_times").join(found, ["part", "row"], "left").join(told, ["part", "row"], "left")
     base = F.col("logs") + F.coalesce("logs_rare", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
     known = F.col("known") + F.coalesce("known_rare", F.lit(0))
-    return joined.select(id_col, "n_tokens", known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("bits") * -math.log10(2)).alias("score"), "n_bytes")
+    return joined.select(id_col, "n_tokens", known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), ((F.col("bits") + F.coalesce("bits_rare", F.lit(0.0))) * -math.log10(2)).alias("score"), "n_bytes")

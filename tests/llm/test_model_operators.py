@@ -141,6 +141,20 @@ def test_scores(spark, head):
     assert nothing["score"] == pytest.approx(-8 * math.log10(2)) and nothing["n_known"] == 0
 
 
+@pytest.mark.parametrize("depth", [2, 4])
+def test_score_uses_every_gram(spark, depth):
+    """The score is that of the tree of all training grams, however few are sent to the tasks."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcdefg h") for _ in range(rng.randint(0, 80)))) for i in range(40)] + [(99, "\u00e9 unseen Z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tree = ctw.train(df.where("doc_id % 3 <> 0"), depth)
+    for nodes in (0, 16, 1 << 19):
+        for r in lm.score_documents(df, F.col("doc_id") % 3 != 0, depth=depth, nodes=nodes).collect():
+            grams, _ = ctw.byte_grams([dict(rows)[r["doc_id"]]], depth)
+            distinct, times = np.unique(grams, return_counts=True)
+            assert r["score"] == pytest.approx(-math.log10(2) * float(tree.code_lengths(distinct) @ times), rel=1e-9)
+
+
 def test_scored_text_fits_training(spark):
     got = queries.QUERIES["op10_lm_scoring"](spark, SF).toPandas()
     sums = got.groupby("held_out")[["score", "n_bytes"]].sum()
