@@ -1,19 +1,20 @@
 """Language identification with word-first backoff.
 
-A word that training has seen often enough scores each language by its log
-frequency there. Any other word is covered from its start by the longest
-character n-grams that the model has, falling back to shorter ones, down to
-single characters; a character that is not known says nothing.
+A word that training has seen scores each language by its log frequency there.
+Any other word is covered from its start by the longest character n-grams that
+training has seen, falling back to shorter ones, down to single characters; a
+character that is not known says nothing.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,55 +79,91 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return map_rows(words, ["lang", "feature", "n"], rows, fields).groupBy("lang", "feature").agg(F.sum("n").alias("n"))
 
 
+class Head:
+    """The most frequent features and their log frequencies by language; `whole` if the table has no others."""
+
+    def __init__(self, table: DataFrame, most: int, n_langs: int) -> None:
+        found = most_frequent(table, most).select("feature", "scores").toArrow()
+        self.at = {name: k for k, name in enumerate(found["feature"].to_pylist())}
+        self.matrix = np.array(found["scores"].to_pylist(), float).reshape(len(self.at), n_langs)
+        self.whole = len(self.at) == table.count()
+
+
+@dataclass
 class Model:
-    """Log frequencies of words and n-grams by language: rows of a matrix, and where each feature has its row."""
-
-    def __init__(self, langs: list[str], prior: np.ndarray, words: dict[str, int], grams: dict[str, int], matrix: np.ndarray) -> None:
-        self.langs, self.prior, self.words, self.grams, self.matrix = langs, prior, words, grams, matrix
-
-    def rows(self, word: str) -> list[int]:
-        """The rows that add up to the score of a word: its own, or those of the n-grams that cover it."""
-        if (row := self.words.get(word)) is not None:
-            return [row]
-        marked, i, out, grams = f"{EDGE}{word}{EDGE}", 0, [], self.grams
-        while i < len(marked):
-            for n in range(min(LONGEST, len(marked) - i), 0, -1):
-                if (row := grams.get(marked[i : i + n])) is not None:
-                    out.append(row)
-                    i += n
-                    break
-            else:
-                i += 1
-        return out
-
-
-def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", most_words: int = 1 << 16, most_grams: int = 1 << 16) -> Model:
+    """Log frequencies of all words and n-grams by language, as tables (feature, n, scores), and the heads of both."""
+
+    langs: list[str]
+    prior: np.ndarray
+    words: DataFrame
+    grams: DataFrame
+    word_head: Head
+    gram_head: Head
+
+
+def cover(word: str, scores: Callable[[str], np.ndarray | None], n_langs: int) -> np.ndarray:
+    """The scores of a word by the longest known n-grams that cover it from its start."""
+    marked, i, out = f"{EDGE}{word}{EDGE}", 0, np.zeros(n_langs)
+    while i < len(marked):
+        for n in range(min(LONGEST, len(marked) - i), 0, -1):
+            if (found := scores(marked[i : i + n])) is not None:
+                out = out + found
+                i += n
+                break
+        else:
+            i += 1
+    return out
+
+
+def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", most_words: int = 1 << 17, most_grams: int = 1 << 17) -> Model:
     """A model of all rows of `df` with a language.
 
-    Counts cover every text. The model has a size: of words, and of n-grams,
-    the most frequent over all languages are kept, as many as the two limits,
-    so what reaches the driver and the tasks is bounded.
+    Every word and n-gram of every text stays in the model's tables. The most
+    frequent ones, as many as the two limits, are sent to the tasks, so that
+    only others have to be joined; the limits do not change a result.
     """
     rows = df.where(F.col(lang_col).isNotNull())
     words = materialize(word_counts(rows, lang_col, text_col), "words")
     grams = materialize(gram_counts(words), "grams")
     priors = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     langs = sorted(priors)
-    at = {lang: k for k, lang in enumerate(langs)}
-    places, parts, start = [], [], 0
-    for counts, most in ((words, most_words), (grams, most_grams)):
-        kept = most_frequent(counts.groupBy("feature").agg(F.sum("n").alias("n")), most).select("feature")
-        frame = counts.join(kept, "feature").select("feature", "lang", "n").toPandas()
-        codes, names = pd.factorize(frame["feature"])
-        table = np.zeros((len(names), len(langs)))
-        table[codes, frame["lang"].map(at).to_numpy(int)] = frame["n"].to_numpy(float)
+    tables = []
+    for counts in (words, grams):
         totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        size = np.array([totals.get(lang, 0) for lang in langs], float)
-        parts.append(np.log((table + 0.1) / (size + 1.0)))
-        places.append({name: start + k for k, name in enumerate(names)})
-        start += len(names)
+        by_lang = [F.log((F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) + 0.1) / (totals.get(lang, 0) + 1.0)) for lang in langs]
+        tables.append(materialize(counts.groupBy("feature").agg(F.sum("n").alias("n"), F.array(*by_lang).cast("array<double>").alias("scores")), "scores"))
     n_docs = np.array([priors[lang] for lang in langs], float)
-    return Model(langs, np.log(n_docs / n_docs.sum()) if langs else n_docs, *places, np.concatenate(parts))
+    heads = [Head(table, most, len(langs)) for table, most in zip(tables, (most_words, most_grams), strict=True)]
+    return Model(langs, np.log(n_docs / n_docs.sum()) if langs else n_docs, *tables, *heads)
+
+
+def _by_grams(unknown: DataFrame, model: Model) -> DataFrame:
+    """(feature, scores) of words that training has not seen: each once, covered by n-grams of the head or, by a join, of the whole table."""
+    n_langs = len(model.langs)
+    sent = unknown.sparkSession.sparkContext.broadcast((model.gram_head.at, model.gram_head.matrix))
+
+    def missing(batches: Iterator[tuple]) -> Iterator[dict]:
+        head = sent.value[0]
+        for (words,) in batches:
+            pairs = [(word, gram) for word in words for gram in set(features(word)) if gram not in head]
+            yield {"feature": [word for word, _ in pairs], "gram": [gram for _, gram in pairs]}
+
+    def covered(batches: Iterator[tuple]) -> Iterator[dict]:
+        head, matrix = sent.value
+        for words, names, rows in batches:
+            out = []
+            for word, some, scores in zip(words, names, rows, strict=True):
+                more = {name: np.array(scores[k * n_langs : (k + 1) * n_langs]) for k, name in enumerate(some or [])}
+                out.append(cover(word, lambda gram: matrix[at] if (at := head.get(gram)) is not None else more.get(gram), n_langs).tolist())
+            yield {"feature": words, "scores": out}
+
+    if model.gram_head.whole:
+        given = unknown.select("feature", F.lit(None).cast("array<string>").alias("names"), F.lit(None).cast("array<double>").alias("rows"))
+    else:
+        pairs = map_rows(unknown, ["feature"], missing, {"feature": "string", "gram": "string"})
+        found = pairs.join(model.grams.select(F.col("feature").alias("gram"), "scores"), "gram").groupBy("feature").agg(F.collect_list(F.struct("gram", "scores")).alias("found"))
+        given = unknown.join(found, "feature", "left").select("feature", F.col("found.gram").alias("names"), F.flatten("found.scores").alias("rows"))
+    return map_rows(given, ["feature", "names", "rows"], covered, {"feature": "string", "scores": "array<double>"})
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,33 +173,45 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     has no letter gets `und` and 0, and so does every text if the model knows
     no language. Ties go to the language that comes first by name. Repeated
     rows come back as often as they came; an empty table gives an empty result;
-    other columns are not read. Nothing is shuffled.
+    other columns are not read. Words outside the model's head are scored once
+    each and joined, in one row for each text and word.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    if not model.langs:
+        return df.select(id_col, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    sent = df.sparkSession.sparkContext.broadcast((model.prior, model.word_head.at, model.word_head.matrix))
 
     def rows(batches: Iterator[tuple]) -> Iterator[dict]:
-        model, known = sent.value, {}
+        prior, head, matrix = sent.value
+        part, row = TaskContext.get().partitionId(), 0
         for keys, texts in batches:
-            langs, scores = [], []
-            for text in texts:
+            out: dict[str, list] = {name: [] for name in fields}
+            for key, text in zip(keys, texts, strict=True):
                 counts = Counter(_LETTERS.findall((text or "").lower()))
-                if not model.langs or not any(c.isalpha() for word in counts for c in word):  # superscripts pass the pattern
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                if len(known) > 1 << 17:
-                    known.clear()
                 at: list[int] = []
                 times: list[int] = []
+                rare: dict[str, int] = {}
                 for word, n in counts.items():
-                    if (found := known.get(word)) is None:
-                        found = known[word] = model.rows(word)
-                    at += found
-                    times += [n] * len(found)
-                total = model.prior + np.array(times, float) @ model.matrix[at]
-                best = int(np.argmax(total))
-                langs.append(model.langs[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
-            yield {id_col: keys, "lang_pred": langs, "score": scores}
-
-    return map_rows(df, [id_col, text_col], rows, {id_col: kind_of(df, id_col), "lang_pred": "string", "score": "double"})
+                    if (found := head.get(word)) is None:
+                        rare[word] = n
+                    else:
+                        at.append(found)
+                        times.append(n)
+                letters = any(c.isalpha() for word in counts for c in word)  # superscripts pass the pattern
+                total = prior + np.array(times, float) @ matrix[at] if at else prior
+                for name, value in zip(fields, (key, part, row, letters, total.tolist(), list(rare), list(rare.values())), strict=True):
+                    out[name].append(value)
+                row += 1
+            yield out
+
+    fields = {id_col: kind_of(df, id_col), "__part": "int", "__row": "long", "__letters": "boolean", "__total": "array<double>", "__rare": "array<string>", "__times": "array<int>"}
+    first = materialize(map_rows(df, [id_col, text_col], rows, fields), "first")
+    rare = first.select("__part", "__row", F.explode(F.arrays_zip("__rare", "__times")).alias("w")).select("__part", "__row", F.col("w.__rare").alias("feature"), F.col("w.__times").alias("times"))
+    wanted = materialize(rare.select("feature").distinct().join(model.words.select("feature", "scores"), "feature", "left"), "wanted")
+    scored = wanted.where("scores IS NOT NULL").unionByName(_by_grams(wanted.where("scores IS NULL").select("feature"), model))
+    sums = [F.sum(F.col("times") * F.get("scores", F.lit(k))) for k in range(len(model.langs))]
+    found = rare.join(scored, "feature").groupBy("__part", "__row").agg(F.array(*sums).alias("__more"))
+    total = F.when(F.col("__more").isNull(), F.col("__total")).otherwise(F.zip_with("__total", "__more", lambda a, b: a + b))
+    joined = first.drop("__rare", "__times").join(found, ["__part", "__row"], "left").withColumn("__total", total).withColumn("__best", F.array_max("__total"))
+    name = F.get(F.array(*map(F.lit, model.langs)), (F.array_position("__total", F.col("__best")) - 1).cast("int"))
+    chance = 1 / F.aggregate("__total", F.lit(0.0), lambda acc, t: acc + F.exp(t - F.col("__best")))
+    return joined.select(id_col, F.when(F.col("__letters"), name).otherwise("und").alias("lang_pred"), F.when(F.col("__letters"), chance).otherwise(0.0).alias("score"))

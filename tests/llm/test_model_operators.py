@@ -63,6 +63,46 @@ def test_language_edge_cases(spark):
     assert {r["lang_pred"] for r in langid.identify(df, langid.train(train.limit(0))).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("heads", [(1 << 16, 1 << 16), (16, 1 << 16), (16, 24), (0, 0)])
+def test_language_uses_every_word_and_gram(spark, heads):
+    """Against the whole counts, however few features are sent to the tasks."""
+    rng = random.Random(4)
+    letters = {"aa": "abcde", "bb": "cdefg", "cc": "efgha"}
+    make = lambda lang: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 12)))
+    rows = [(i, make(lang), lang) for i in range(90) for lang in [rng.choices(["aa", "bb", "cc"], [8, 2, 1])[0]]]
+    train, words, grams = rows[:60], {lang: Counter() for lang in letters}, {lang: Counter() for lang in letters}
+    for _, text, lang in train:
+        words[lang].update(text.split())
+    for lang, counts in words.items():
+        for word, n in counts.items():
+            for gram in langid.features(word):
+                grams[lang][gram] += n
+
+    def score(table, lang, feature):
+        return math.log((table[lang][feature] + 0.1) / (sum(table[lang].values()) + 1))
+
+    def known(table, feature):
+        return any(feature in counts for counts in table.values())
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(df.where("doc_id < 60"), most_words=heads[0], most_grams=heads[1])
+    got = {r["doc_id"]: r for r in langid.identify(df, model).collect()}
+    assert len(got) == len(rows)
+    for i, text, _ in rows:
+        total = {lang: math.log(sum(x == lang for *_, x in train) / len(train)) for lang in letters}
+        for word in text.split():
+            marked, at, parts = f"\0{word}\0", 0, []
+            while at < len(marked):
+                part = next((p for n in range(5, 0, -1) if len(p := marked[at : at + n]) == n and known(grams, p)), None)
+                parts += [part] if part else []
+                at += len(part) if part else 1
+            for lang in letters:
+                total[lang] += score(words, lang, word) if known(words, word) else sum(score(grams, lang, p) for p in parts)
+        best = max(sorted(total), key=total.get)
+        assert got[i]["lang_pred"] == best
+        assert got[i]["score"] == pytest.approx(1 / sum(math.exp(t - total[best]) for t in total.values()))
+
+
 def naive_ctw(tree_counts, depth, context, bit_node):
     """Weighted probability and prediction of a node by recursion over all counts."""
 
