@@ -124,13 +124,13 @@ def _cut(wanted: DataFrame, size: int) -> DataFrame:
                         if s["hot"]:
                             at = np.arange(s["start"], s["start"] + s["n"])
                             for k, key in enumerate(hashed.of(at, at + size).view(np.int64).tolist()):
-                                out.append((key, s["anchor"], s["seg"], k, s["least"], " ".join(words[s["start"] + k : s["start"] + k + size])))
+                                out.append((key, s["anchor"], s["seg"], k, s["least"], " ".join(words[s["start"] + k : s["start"] + k + size]), True))
                         else:
-                            out.append((s["anchor"], s["anchor"], s["seg"], 0, s["least"], " ".join(words[s["start"] : s["start"] + s["n"] + size - 1])))
+                            out.append((s["anchor"], s["anchor"], s["seg"], 0, s["least"], " ".join(words[s["start"] : s["start"] + s["n"] + size - 1]), False))
                 if out:
                     yield dict(zip(fields, zip(*out, strict=True), strict=True))
 
-    fields = {"shard": "long", "anchor": "long", "seg": "long", "at": "int", "least": "long", "words": "string"}
+    fields = {"shard": "long", "anchor": "long", "seg": "long", "at": "int", "least": "long", "words": "string", "hot": "boolean"}
     return map_rows(wanted, ["text", "segs"], rows, fields)
 
 
@@ -165,6 +165,18 @@ def _search(cut: DataFrame, size: int, n_shards: int) -> DataFrame:
     return map_rows(cut.repartition(n_shards, "shard"), ["anchor", "seg", "at", "least", "words"], rows, fields)
 
 
+def _found(cut: DataFrame, size: int, n_shards: int) -> DataFrame:
+    """`_search` over all that was cut. Of each window of a hot anchor one copy is searched, with the smallest id; its result goes back to all segments that have it."""
+    columns = ["shard", "anchor", "seg", "at", "least", "words"]
+    hot = cut.where("hot").withColumn("window", F.xxhash64("words"))
+    once = hot.groupBy("shard", "window").agg(F.min("least").alias("least"), F.first("words").alias("words"))
+    once = once.select("shard", F.col("shard").alias("anchor"), F.col("window").alias("seg"), F.lit(-1).alias("at"), "least", "words")
+    found = materialize(_search(cut.where("NOT hot").select(*columns).unionByName(once), size, n_shards), "found")
+    told = found.where("at < 0").select(F.col("anchor").alias("shard"), F.col("seg").alias("window"), "least_ids")
+    back = hot.select("shard", "window", "anchor", "seg", "at").join(told, ["shard", "window"]).select("anchor", "seg", "at", "least_ids")
+    return found.where("at >= 0").unionByName(back)
+
+
 def _keyed(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
 
@@ -185,7 +197,7 @@ def duplicate_windows(df: DataFrame, size: int = 50) -> DataFrame:
     total = once.agg(F.sum(F.when(F.col("hot"), F.col("n") * size).otherwise(F.col("n") + size - 1))).first()[0] or 0
     lists = once.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n", "anchor", "seg", F.col("doc_id").alias("least"), "hot")).alias("segs"))
     wanted = possible(docs, "doc_id", once.select("doc_id"))[0].join(lists, ["doc_id", "text_key"])
-    found = _search(_cut(wanted, size), size, max(1, -(-int(total) // SHARD)))
+    found = _found(materialize(_cut(wanted, size), "cut"), size, max(1, -(-int(total) // SHARD)))
     parts = F.array_sort(F.collect_set(F.struct("at", "least_ids")))  # of a hot anchor one for each window; a repeated row makes equal ones
     found = found.groupBy("anchor", "seg").agg(F.flatten(F.transform(parts, lambda p: p["least_ids"])).alias("least_ids"))
     one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)

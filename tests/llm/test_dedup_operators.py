@@ -160,3 +160,22 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
         assert sorted(found) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert [tuple(r) for r in topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect()] == [(0, 1, 1, 131072)]
+
+
+def test_hot_window_is_searched_once(spark, monkeypatch):
+    """A passage in many documents, each time in other surroundings: one copy of each of its windows reaches a shard, and results stay."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join([*(f"a{i}x{j}" for j in range(20)), passage, *(f"b{i}x{j}" for j in range(20))])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(df, size=50).collect()}
+    assert want[0] == rows[0][1] and all("p0" not in want[i].split() for i in range(1, 30))
+    search, most = substrings._search, []
+
+    def watched(cut, size, n_shards):
+        most.append(cut.groupBy("shard", "words").count().agg({"count": "max"}).first()[0])
+        return search(cut, size, n_shards)
+
+    monkeypatch.setattr(substrings, "_search", watched)
+    monkeypatch.setattr(substrings, "HOT", 5)
+    assert {r["doc_id"]: r["text"] for r in substrings.remove_repeats(df, size=50).collect()} == want
+    assert most == [1]
