@@ -16,10 +16,13 @@ from .common import kind_of, map_rows
 
 #: Texts longer than this many characters are cut before encoding.
 LONG = 1 << 16
-#: Where every match of a GPT-2 style pattern ends: a single space between two
-#: characters that are not white space starts a new match, as no alternative
-#: holds a space anywhere but at its start or within white space.
-_SAFE = regex.compile(r"(?<=\S) (?=\S)")
+#: Runs of white space of this many characters or more are encoded without the pattern.
+RUN = 1 << 12
+#: Where a match of a GPT-2 style pattern begins: at a single space between two
+#: characters that are not white space, as no alternative holds a space
+#: anywhere but at its start or within white space.
+_SAFE = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})")
+_BLANKS = regex.compile(r"\p{White_Space}{%d,}+" % RUN)
 
 
 @functools.lru_cache(maxsize=4)
@@ -45,11 +48,33 @@ def safe_pieces(text: str, most: int = LONG) -> Iterator[str]:
     yield text[start:]
 
 
+def matches(text: str, most: int = LONG) -> Iterator[tuple[str, bool]]:
+    """`text` in pieces that begin where a match begins, with whether a piece is one match as it stands.
+
+    A run of white space begins a match. At the end of a text it is one match;
+    before anything else it is one but for its last character, which begins the
+    next match. So long runs, which the library's regular expressions have no
+    stack for, need no pattern.
+    """
+    start = 0
+    for run in _BLANKS.finditer(text):
+        if run.start() > start:
+            for piece in safe_pieces(text[start : run.start()], most):
+                yield piece, False
+        start = run.end() if run.end() == len(text) else run.end() - 1
+        yield text[run.start() : start], True
+    if start < len(text):
+        for piece in safe_pieces(text[start:], most):
+            yield piece, False
+
+
 def encode_text(codec: tiktoken.Encoding, text: str) -> np.ndarray:
     """The ids of a whole text; strings of special tokens are ordinary text."""
-    if len(text) <= LONG:
+    if len(text) <= RUN:
         return codec.encode_to_numpy(text, disallowed_special=())
-    return np.concatenate([codec.encode_to_numpy(piece, disallowed_special=()) for piece in safe_pieces(text)])
+    single = lambda piece: np.array(codec._encode_single_piece(piece.encode()), np.uint32)
+    ids = [single(piece) if whole else codec.encode_to_numpy(piece, disallowed_special=()) for piece, whole in matches(text)]
+    return np.concatenate(ids) if len(ids) > 1 else ids[0]
 
 
 def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:

@@ -11,11 +11,13 @@ length.
 from __future__ import annotations
 
 import heapq
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,9 +76,19 @@ def slots(patterns: list[Pattern]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def token_pieces(df: DataFrame, rank_file: str, pattern: str, size: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_ids(codec: tiktoken.Encoding, text: str, specials: dict[str, int]) -> np.ndarray:
+    """The ids of a text in which each string of `specials` stands for its id, as for the tokenizers library."""
+    if not any(name in text for name in specials):
+        return encode_text(codec, text)
+    parts = re.split("(" + "|".join(map(re.escape, specials)) + ")", text)
+    return np.concatenate([np.array([specials[part]], np.uint32) if k % 2 else encode_text(codec, part) for k, part in enumerate(parts)])
+
+
+def token_pieces(df: DataFrame, rank_file: str, pattern: str, size: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", specials: dict[str, int] | None = None) -> DataFrame:
     """The ids of each text with `end_id` after them, cut into pieces of at most `size`.
 
+    `specials`: strings that stand for one id each; without them such strings are ordinary text.
+
     Returns (id, start, length, ids binary: little-endian unsigned 32-bit,
     doc_tokens, part, place): `place` counts the earlier pieces of that
     length in the input partition `part`. A null text counts as empty and gives
@@ -91,7 +103,7 @@ def token_pieces(df: DataFrame, rank_file: str, pattern: str, size: int, end_id:
             for first in range(0, len(keys), 512):
                 out: list[tuple] = []
                 for key, text in zip(keys[first : first + 512], texts[first : first + 512], strict=True):
-                    ids = np.concatenate([encode_text(codec, text or "").astype("<u4"), end])
+                    ids = np.concatenate([token_ids(codec, text or "", specials or {}).astype("<u4"), end])
                     for start in range(0, len(ids), size):
                         piece = ids[start : start + size]
                         out.append((key, start, len(piece), piece.tobytes(), len(ids), part, seen[len(piece)]))
@@ -130,7 +142,7 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     return ranked.withColumn("at", place("length", "rank")).select("*", "at.sequence_id", "at.offset").drop("part", "place", "before", "rank", "at")
 
 
-def pack_documents(df: DataFrame, rank_file: str, pattern: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", instead: dict[str, Column] | None = None) -> DataFrame:
+def pack_documents(df: DataFrame, rank_file: str, pattern: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", instead: dict[str, Column] | None = None, specials: dict[str, int] | None = None) -> DataFrame:
     """Tokenises, cuts and packs every whole text; see `token_pieces` and `pack`.
 
     `instead`: columns made from `ids` that stand in its place, where the ids
@@ -141,7 +153,7 @@ def pack_documents(df: DataFrame, rank_file: str, pattern: str, size: int = 1024
     come; an empty table gives no rows; other columns are not read, so their
     names cannot clash.
     """
-    pieces = token_pieces(df, rank_file, pattern, size, end_id, id_col, text_col)
+    pieces = token_pieces(df, rank_file, pattern, size, end_id, id_col, text_col, specials)
     if instead is not None:
         pieces = pieces.withColumns(instead).drop("ids")
     return pack(materialize(pieces, "pieces"), size)

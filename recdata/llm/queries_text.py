@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from . import bpe, chat, packing, rules
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Fixed value: the one string that the tokenizers library reads as a special token of this vocabulary.
+SPECIALS = {"<|endoftext|>": 50256}
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    packed = packing.pack_documents(docs, RANKS, public_tokenizers.PATTERN, size=1024, end_id=0, instead={"ids_crc32": F.crc32("ids")})
+    packed = packing.pack_documents(docs, RANKS, public_tokenizers.PATTERN, size=1024, end_id=0, instead={"ids_crc32": F.crc32("ids")}, specials=SPECIALS)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from recdata.llm import bpe, chat, packing, rules
@@ -42,6 +43,26 @@ def test_safe_pieces_never_change_ids():
         assert [i for p in pieces for i in codec.encode_ordinary(p)] == codec.encode_ordinary(text)
 
 
+def test_matches_never_change_ids(monkeypatch):
+    codec, rng = bpe.encoding(RANKS, public_tokenizers.PATTERN), random.Random(0)
+    monkeypatch.setattr(bpe, "_BLANKS", regex.compile(r"\p{White_Space}{3,}+"))
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "B", " ", "  ", "\n", "\t", "'s", "\u00e9", "7", "!", "\x1c", "\x85", "\u200b", "\u3000", "    "]) for _ in range(rng.randint(0, 40)))
+        pieces = list(bpe.matches(text, 8))
+        assert "".join(p for p, _ in pieces) == text
+        assert [i for p, whole in pieces for i in (codec._encode_single_piece(p.encode()) if whole else codec.encode_ordinary(p))] == codec.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 5_000_000 + "b", "\n" * 5_000_000, "a\t" + "\t" * 5_000_000 + "\u00e9", "x" * 5_000_000, " \u3000" * 2_500_000 + "7"], ids=["blanks", "newlines", "tabs", "letters", "wide"])
+def test_five_million_characters(text):
+    """The library alone overflows its stack on the runs of white space; decoding gives the text back, and runs split as the pattern has it."""
+    codec = bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    ids = bpe.encode_text(codec, text).tolist()
+    assert codec.decode_bytes(ids) == text.encode()
+    short = regex.sub(r"(.)\1{999,}", lambda m: m[1] * 1000, text[:1] + text[1:-1][:4000] + text[-1:])
+    assert bpe.encode_text(codec, short).tolist() == codec.encode_ordinary(short)
+
+
 def test_patterns_hold_each_length_as_often():
     rng = random.Random(1)
     for _ in range(30):
@@ -60,8 +81,7 @@ def test_packing_places_every_id_once(docs):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
-    rows = packing.pack_documents(docs, RANKS, public_tokenizers.PATTERN, size=64).collect()
+    rows = packing.pack_documents(docs, RANKS, public_tokenizers.PATTERN, size=64, specials={"<|endoftext|>": 50256}).collect()
     by_seq, by_doc = {}, {}
     for r in rows:
         by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
