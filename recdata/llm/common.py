@@ -78,6 +78,14 @@ def most_frequent(table: DataFrame, most: int, count: str = "n") -> DataFrame:
     return table.where(level >= cut) if cut is not None else table.where(F.lit(False))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from `names` that `df` does not have, in any case."""
+    taken, mark = {c.lower() for c in df.columns}, "_"
+    while any((mark + name).lower() in taken for name in names):
+        mark += "_"
+    return [mark + name for name in names]
+
+
 #: Bits of the table of `possible`; its rows take 16 MB at most.
 FILTER_BITS = 1 << 26
 
@@ -89,12 +97,14 @@ def possible(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, Da
     the two, and those with a partner are in the first.
     """
 
+    slot, bit, bits = fresh(df, "slot", "bit", "bits")
+
     def place(frame: DataFrame) -> DataFrame:
         at = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-        return frame.withColumns({"__slot": F.shiftright(at, 6), "__bit": at.bitwiseAND(F.lit(63).cast("long")).cast("int")})
+        return frame.withColumns({slot: F.shiftright(at, 6), bit: at.bitwiseAND(F.lit(63).cast("long")).cast("int")})
 
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bit"))
-    table = place(keys.select(column)).groupBy("__slot").agg(F.bit_or(one).alias("__bits"))
-    marked = place(df).join(F.broadcast(table), "__slot", "left")
-    found = F.coalesce(F.getbit("__bits", "__bit") == 1, F.lit(False))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bit))
+    table = place(keys.select(column)).groupBy(slot).agg(F.bit_or(one).alias(bits))
+    marked = place(df).join(F.broadcast(table), slot, "left")
+    found = F.coalesce(F.getbit(bits, bit) == 1, F.lit(False))
     return marked.where(found).select(*df.columns), marked.where(~found).select(*df.columns)

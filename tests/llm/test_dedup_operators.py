@@ -1,5 +1,6 @@
 """SimHash, substrings and top-k against brute force."""
 
+import itertools
 import random
 import re
 
@@ -82,13 +83,17 @@ def brute_removal(rows, size):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [500, 2])
-def test_removal_equals_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "shard", "bits"), [(64, 400_000, 64), (2, 500, 64), (2, 500, 3)])
+def test_removal_equals_brute_force(spark, monkeypatch, hot, shard, bits):
+    """Also with a copy of the index for every two segments, many shards, and hashes that say next to nothing: they route, they do not decide."""
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "SHARD", shard)
+    monkeypatch.setattr(substrings, "PIECE", 20 if hot == 2 else 256)
+    monkeypatch.setattr(substrings, "HASH_BITS", bits)
     rng = random.Random(hot)
     vocab = [f"w{i}" for i in range(30)]
     passage, rows = [rng.choice(vocab) for _ in range(70)], []
-    for i in range(90):
+    for i in range(12 if bits == 3 else 90):
         words = [rng.choice(vocab) for _ in range(rng.randint(0, 90))]
         if i % 3 == 0:
             at = rng.randint(0, len(words))
@@ -97,11 +102,11 @@ def test_removal_equals_brute_force(spark, monkeypatch, hot):
             words = rows[rng.randrange(len(rows))][1].split() + words[:5]
         rows.append((i, rng.choice([" ", "  ", "\n", "\t "]).join(words)))
     rows += [(200, "a " * 300), (201, "a " * 120 + "b " + "a " * 70), (202, "x y " * 100), (203, "x y " * 60), (204, None), (205, ""), (-7, "y x " * 40)]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, spans string").repartition(3)
+    df = spark.createDataFrame([(*r, "clash", "kept", "kept") for r in rows], "doc_id long, text string, spans string, __cut string, _key string").repartition(3)
     got = substrings.remove_repeats(df).collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], " ".join(WORD.findall(r["text"] or ""))) for r in got) == brute_removal(rows, 50)
     for r in got:
-        assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"]
+        assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] and r["__cut"] == r["_key"] == "kept"
 
 
 def test_removal_edge_rows(spark):
@@ -112,25 +117,22 @@ def test_removal_edge_rows(spark):
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_fm_index_counts():
+def test_fm_index_finds_every_window():
+    """Least labels of windows of documents that are not in the index, against brute force."""
     rng = np.random.default_rng(5)
-    sequence = np.append(rng.integers(1, 5, 400), 0)
-    index = fmindex.FMIndex(sequence, 5, 6)
-    ranks = index.wavelet.rank(np.full(402, 3), np.arange(402))
-    bwt = sequence[index.suffixes - 1]
-    assert ranks.tolist() == [int((bwt[:i] == 3).sum()) for i in range(402)]
-    other = rng.integers(1, 5, 200)
-    joined = np.concatenate([other])
-    groups = fmindex.matching_groups(index, joined, np.array([0, 150]), np.array([150, 200]), 6)
-    windows = {tuple(sequence[i : i + 6]) for i in range(395)}
-    for start, end, found in ((0, 150, groups[0]), (150, 200, groups[1])):
-        for k, g in enumerate(found.tolist()):
-            window = tuple(other[start + k : start + k + 6])
-            assert (g >= 0) == (window in windows)
-            if g >= 0:
-                place = index.suffixes[index.first[g]]
-                assert tuple(sequence[place : place + 6]) == window
-        assert len(found) == end - start - 5
+    for n, symbols, depth in itertools.product([1, 2, 40, 400], [2, 5], [2, 5, 9]):
+        sequence, labels = np.append(rng.integers(1, symbols, n - 1), 0), rng.integers(0, 50, n)
+        index = fmindex.FMIndex(sequence, symbols, depth, labels)
+        bwt = np.concatenate([index.wavelet.rank(np.full(n + 1, c), np.arange(n + 1))[None] for c in range(symbols)])
+        assert (np.diff(bwt, axis=1).sum(axis=0) == 1).all() and bwt[:, -1].tolist() == np.bincount(sequence, minlength=symbols).tolist()
+        other = rng.choice([-1, *range(1, symbols)], 200)  # -1: a word that the index does not have
+        starts, ends = np.array([0, 3, 150, 150]), np.array([3, 150, 150, 200])
+        least = {}
+        for i in range(n - depth + 1):
+            window = tuple(sequence[i : i + depth])
+            least[window] = min(least.get(window, 99), labels[i])
+        want = [least.get(tuple(other[k : k + depth]), -1) for a, b in zip(starts, ends, strict=True) for k in range(a, b - depth + 1)]
+        assert fmindex.least_labels(index, other.astype(np.int32), starts, ends).tolist() == want
 
 
 def test_possible_keeps_every_partner(spark):
@@ -162,20 +164,25 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert [tuple(r) for r in topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect()] == [(0, 1, 1, 131072)]
 
 
-def test_hot_window_is_searched_once(spark, monkeypatch):
-    """A passage in many documents, each time in other surroundings: one copy of each of its windows reaches a shard, and results stay."""
+def test_search_decides(spark, monkeypatch):
+    """Documents are streamed through an index of others; without the backward search nothing is found."""
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, " ".join([*(f"a{i}x{j}" for j in range(20)), passage, *(f"b{i}x{j}" for j in range(20))])) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    want = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(df, size=50).collect()}
-    assert want[0] == rows[0][1] and all("p0" not in want[i].split() for i in range(1, 30))
-    search, most = substrings._search, []
-
-    def watched(cut, size, n_shards):
-        most.append(cut.groupBy("shard", "words").count().agg({"count": "max"}).first()[0])
-        return search(cut, size, n_shards)
-
-    monkeypatch.setattr(substrings, "_search", watched)
-    monkeypatch.setattr(substrings, "HOT", 5)
-    assert {r["doc_id"]: r["text"] for r in substrings.remove_repeats(df, size=50).collect()} == want
-    assert most == [1]
+    got = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(df, size=50).collect()}
+    assert got[0] == rows[0][1] and all("p0" not in got[i].split() and f"a{i}x19" in got[i] for i in range(1, 30))
+    segments = substrings._segments(substrings._keyed(df), 50)
+    lists = substrings._lists(substrings._shared(segments))
+    cut = substrings._cut(substrings._keyed(df).join(lists, ["doc_id", "text_key"]), 50).collect()
+    assert all(r["doc_id"] == r["holder"] if r["copy"] < 0 else r["doc_id"] > r["holder"] for r in cut)
+    assert {r["doc_id"] for r in cut if r["copy"] >= 0 and r["holder"] == 0} == set(range(1, 30))
+    found = substrings._search(spark.createDataFrame(cut), 50, 2)
+    assert found.where("gone").agg(F.sum("n")).first()[0] == 29 * 11
+    other = [r.asDict() | {"words": " ".join(["none"] * len(r["words"].split()))} if r["copy"] < 0 else r.asDict() for r in cut]
+    assert substrings._search(spark.createDataFrame(other, "holder long, copies int, more boolean, copy int, doc_id long, text_key long, start int, n int, words string"), 50, 2).where("gone").count() == 0
+
+
+def test_very_long_text(spark):
+    words = [f"w{i * i % 7919}" for i in range(300_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[1000:290_000])), (3, " ".join(words[299_990:]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(df).collect()} == {1: 0, 2: 289_000, 3: 0}
