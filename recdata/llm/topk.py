@@ -1,19 +1,18 @@
 """Exact top-k by inner product with a dual-tree search over cover trees.
 
-A cover tree of two levels over the data and one over the queries: the upper
-level has the same centres for both, chosen farthest-first from a bounded
-sample; the lower level is built, farthest-first too, inside each block of a
-node. A node knows its centre and its covering radius, so no inner product
-between a query node Q and a data node D exceeds
-
-    <cQ, cD> + rQ |cD| + rD |cQ| + rQ rD,
-
-and the pair is dropped, with all its vectors, if that is below the worst k-th
-score of the queries in Q.
+Queries and data are indexed alike: the nodes of an upper level, chosen
+farthest first from a bounded sample, are dealt out over blocks, and every
+block has a cover tree. A pair of nodes is dropped, with all its vectors, if no
+inner product between them can reach the worst k-th score of the queries below
+the query node: first pairs of upper nodes, then, descending both trees of two
+blocks together, pairs of ever smaller nodes. A task takes a query block and a
+few data blocks, best bound first, and carries the k-th scores of its queries
+from one data block to the next.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,20 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize
+from .covertree import Search, bounds, cover_tree, farthest_first
 
-SAMPLE = 2048
-BLOCK = 16_384
-NODE = 256
-
-
-def cover(x: np.ndarray, n: int) -> np.ndarray:
-    """Rows of `n` centres or fewer, farthest first: each is the farthest from those before; none repeats another."""
-    chosen = [int(np.argmax((x * x).sum(1)))] if len(x) else []
-    distance = ((x - x[chosen[0]]) ** 2).sum(1) if chosen else np.zeros(0)
-    while chosen and len(chosen) < n and distance.max() > 0:
-        chosen.append(int(distance.argmax()))
-        np.minimum(distance, ((x - x[chosen[-1]]) ** 2).sum(1), out=distance)
-    return np.array(chosen, int)
+#: Vectors of the sample; upper nodes at most; vectors of a data block and of a query block, about; data blocks of a task.
+SAMPLE, UPPER, BLOCK, ASKED, CHUNK = 2048, 256, 4096, 1024, 4
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -44,19 +33,6 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, int), *(np.argmin(norms - 2 * (x[i : i + 4096] @ centres.T), axis=1) for i in range(0, len(x), 4096))])
 
 
-def radii(x: np.ndarray, centres: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(centres))
-    np.maximum.at(out, at, np.sqrt(((x - centres[at]) ** 2).sum(1)))
-    return out * (1 + 1e-9) + 1e-9
-
-
-def bounds(cq: np.ndarray, rq: np.ndarray, cd: np.ndarray, rd: np.ndarray) -> np.ndarray:
-    """What no inner product between the query nodes and the data nodes exceeds."""
-    nq, nd = np.sqrt((cq * cq).sum(1)), np.sqrt((cd * cd).sum(1))
-    most = cq @ cd.T + np.outer(rq, nd) + np.outer(nq, rd) + np.outer(rq, rd)
-    return most + 1e-9 * (1 + np.outer(nq + rq, nd + rd))
-
-
 def scaled(df: DataFrame, is_query: Column, scale: float, id_col: str, vector_col: str) -> DataFrame:
     """(id long, asks, v array<double>: floor(scale * x)) of the vectors that take part."""
     v = F.col(vector_col)
@@ -92,58 +68,34 @@ def _assigned(vectors: DataFrame, centres: np.ndarray, sample_ids: np.ndarray, s
     return map_rows(vectors, ["id", "v", "asks"], rows, fields)
 
 
+class Upper:
+    """What is known of the upper nodes of one side: which have vectors, how many blocks, radius, smallest lower bound."""
+
+    def __init__(self, placed: DataFrame, block: int) -> None:
+        found = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.min("least").alias("least")).orderBy("leaf").collect()
+        self.leaves = np.array([r["leaf"] for r in found], int)
+        self.blocks = np.array([-(-r["n"] // block) for r in found], int)
+        self.radii = np.array([r["far"] for r in found], float) * (1 + 1e-9) + 1e-9
+        self.least = np.array([r["least"] for r in found], float)
+
+
+def _frame(df: DataFrame, frame: pd.DataFrame, schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame(list(frame.itertuples(index=False, name=None)), schema)
+
+
 def _blocks(rows: DataFrame, upper: Upper, width: int, name: str) -> DataFrame:
-    """One row for each block of at most about BLOCK vectors of a node: its lower tree, packed."""
-    salts = spark_frame(rows, pd.DataFrame({"leaf": upper.leaves, "salts": upper.blocks}), "leaf int, salts int")
+    """One row for each block of an upper node: its cover tree, and the lower bounds of its rows."""
+    salts = _frame(rows, pd.DataFrame({"leaf": upper.leaves, "salts": upper.blocks}), "leaf int, salts int")
     salted = rows.join(F.broadcast(salts), "leaf").withColumn("salt", F.pmod(F.xxhash64("id", "v"), F.col("salts").cast("long")).cast("int"))
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["id", "v"])
         x = np.frombuffer(b"".join(frame["v"]), "<f8").reshape(-1, width)
-        centres = x[cover(x, -(-len(x) // NODE))]
-        at = nearest(x, centres)
-        order = np.argsort(at, kind="stable")
-        out = {
-            "ids": frame["id"].to_numpy(np.int64)[order].tobytes(),
-            "x": x[order].tobytes(),
-            "least": frame["least"].to_numpy(float)[order].tobytes(),
-            "nodes": np.bincount(at, minlength=len(centres)).astype(np.int64).tobytes(),
-            "centres": centres.tobytes(),
-            "radii": radii(x, centres, at).tobytes(),
-        }
-        return pd.DataFrame([{"leaf": int(frame["leaf"].iloc[0]), "salt": int(frame["salt"].iloc[0]), **out}])
-
-    packed = salted.groupBy("leaf", "salt").applyInPandas(pack, "leaf int, salt int, ids binary, x binary, least binary, nodes binary, centres binary, radii binary")
-    return materialize(packed, name)
-
-
-def search_pair(q: dict, d: dict, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of a data block for each query of a query block: query ids, vector ids, scores."""
-    matrix = lambda b, name: np.frombuffer(b[name], "<f8").reshape(-1, width)
-    q_ids, d_ids = np.frombuffer(q["ids"], np.int64), np.frombuffer(d["ids"], np.int64)
-    q_x, d_x = matrix(q, "x"), matrix(d, "x")
-    q_ends, d_ends = (np.cumsum(np.frombuffer(b["nodes"], np.int64)) for b in (q, d))
-    most = bounds(matrix(q, "centres"), np.frombuffer(q["radii"], "<f8"), matrix(d, "centres"), np.frombuffer(d["radii"], "<f8"))
-    floor = np.frombuffer(q["least"], "<f8")
-    found: list[tuple] = []
-    for a, q_end in enumerate(q_ends):
-        rows = slice(int(q_ends[a - 1]) if a else 0, int(q_end))
-        n = rows.stop - rows.start
-        best, names = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-        for b in np.argsort(-most[a]):
-            worst = np.maximum(best.min(axis=1), floor[rows]).min()  # of the query group
-            if most[a, b] < worst:
-                break
-            columns = slice(int(d_ends[b - 1]) if b else 0, int(d_ends[b]))
-            scores = q_x[rows] @ d_x[columns].T
-            scores[q_ids[rows][:, None] == d_ids[columns][None, :]] = -np.inf
-            scores = np.concatenate([best, scores], axis=1)
-            ids = np.concatenate([names, np.broadcast_to(d_ids[columns], (n, columns.stop - columns.start))], axis=1)
-            order = np.lexsort((ids, -scores), axis=1)[:, :k]
-            best, names = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-        keep = np.isfinite(best) & (best >= floor[rows][:, None])
-        found.append((np.broadcast_to(q_ids[rows][:, None], best.shape)[keep], names[keep], np.rint(best[keep]).astype(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        tree = cover_tree(frame["id"].to_numpy(np.int64), x)
+        packed = pickle.dumps((tree, frame["least"].to_numpy(float)[tree.order]))
+        return pd.DataFrame([{"leaf": int(frame["leaf"].iloc[0]), "salt": int(frame["salt"].iloc[0]), "tree": packed}])
+
+    return materialize(salted.groupBy("leaf", "salt").applyInPandas(build, "leaf int, salt int, tree binary"), name)
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -157,55 +109,43 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_
     vectors with one id the larger score counts. An empty table gives an empty
     result; other columns are not read.
 
-    At most SAMPLE vectors and the sizes of as many nodes reach the driver.
-    Nodes with many vectors, copies among them, are dealt out over blocks of
-    bounded size, and a task holds one block of either side. Work on pairs of
-    blocks grows with their number, as exact search must where nothing can be
-    pruned.
+    At most SAMPLE vectors and the sizes of UPPER nodes reach the driver, and at
+    most UPPER squared pairs of nodes are sent to all tasks. Nodes with many
+    vectors, copies among them, are dealt out over blocks of bounded size, and a
+    task holds one query block and CHUNK data blocks. Work on pairs of blocks
+    grows with their number, as exact search must where nothing can be pruned.
     """
     vectors = scaled(df, is_query, scale, id_col, vector_col)
     total = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     n, width = total["n"], max(1, total["width"] or 1)
     some = vectors.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).select("id", "v").toPandas().drop_duplicates("id")
     sample, sample_ids = _matrix(some["v"].tolist(), width), some["id"].to_numpy(np.int64)
-    centres = sample[cover(sample, min(SAMPLE // 2, -(-n // BLOCK)))] if n else np.zeros((1, width))
+    centres = sample[farthest_first(sample, min(UPPER, -(-n // BLOCK)))] if n else np.zeros((1, width))
     placed = materialize(_assigned(vectors, centres, sample_ids, sample, k), "vectors")
-    data = Upper(placed, centres)
-    asked = Upper(placed.where("asks"), centres)
+    data, asked = Upper(placed, BLOCK), Upper(placed.where("asks"), ASKED)
     most = bounds(centres[asked.leaves], asked.radii, centres[data.leaves], data.radii)
-    q, d = np.nonzero(most >= asked.least[:, None])
-    met = pd.DataFrame({"q_leaf": asked.leaves[q], "leaf": data.leaves[d], "salts": data.blocks[d]}).astype("int32")
-    pairs = spark_frame(df, met, "q_leaf int, leaf int, salts int")
-    left = _blocks(placed.where("asks"), asked, width, "queries")
+    met = []
+    for q, leaf in enumerate(asked.leaves.tolist()):
+        first = 0
+        for d in np.argsort(-most[q], kind="stable").tolist():
+            if most[q, d] >= asked.least[q]:
+                met.append((leaf, int(data.leaves[d]), int(data.blocks[d]), first))
+                first += int(data.blocks[d])
+    pairs = df.sparkSession.createDataFrame(met, "q_leaf int, leaf int, salts int, first int")
+    left = _blocks(placed.where("asks"), asked, width, "queries").select(F.col("leaf").alias("q_leaf"), F.col("salt").alias("q_salt"), F.col("tree").alias("q_tree"))
     right = _blocks(placed, data, width, "data")
-    left = left.select(*(F.col(c).alias(f"q_{c}") for c in left.columns))
     joined = left.join(F.broadcast(pairs), "q_leaf").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(right, ["leaf", "salt"])
+    turns = joined.withColumn("turn", F.col("first") + F.col("salt")).withColumn("chunk", F.floor(F.col("turn") / CHUNK))
 
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.to_dict("records"):
-                ids, found, scores = search_pair({c: row[f"q_{c}"] for c in PACKED}, row, width, k)
-                yield pd.DataFrame({"query_id": ids, "vec_id": found, "score": scores})
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        queries, least = pickle.loads(frame["q_tree"].iloc[0])  # noqa: S301  written by _blocks
+        found = Search(queries, k, least)
+        for tree in frame.sort_values("turn")["tree"]:
+            found.run(pickle.loads(tree)[0])  # noqa: S301
+        ids, vec_ids, scores = found.found()
+        return pd.DataFrame({"query_id": ids, "vec_id": vec_ids, "score": scores})
 
-    best = joined.select(*PACKED, *(f"q_{c}" for c in PACKED)).mapInPandas(search, "query_id long, vec_id long, score long")
+    best = turns.select("q_leaf", "q_salt", "chunk", "turn", "q_tree", "tree").groupBy("q_leaf", "q_salt", "chunk").applyInPandas(search, "query_id long, vec_id long, score long")
     best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-PACKED = ["ids", "x", "least", "nodes", "centres", "radii"]
-
-
-class Upper:
-    """What is known of the upper nodes of one side: which have vectors, how many blocks, radius, smallest lower bound."""
-
-    def __init__(self, placed: DataFrame, centres: np.ndarray) -> None:
-        found = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.min("least").alias("least")).orderBy("leaf").collect()
-        self.leaves = np.array([r["leaf"] for r in found], int)
-        self.blocks = np.array([-(-r["n"] // BLOCK) for r in found], int)
-        self.radii = np.array([r["far"] for r in found], float) * (1 + 1e-9) + 1e-9
-        self.least = np.array([r["least"] for r in found], float)
-
-
-def spark_frame(df: DataFrame, frame: pd.DataFrame, schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame(list(frame.itertuples(index=False, name=None)), schema)

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from recdata.llm import fmindex, simhash, substrings, topk
+from recdata.llm import covertree, fmindex, simhash, substrings, topk
 from recdata.llm.common import possible
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -142,15 +142,14 @@ def test_possible_keeps_every_partner(spark):
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 40)
-    monkeypatch.setattr(topk, "NODE", 8)
-    monkeypatch.setattr(topk, "SAMPLE", 64)
+    for name, value in (("BLOCK", 40), ("ASKED", 3), ("CHUNK", 2), ("SAMPLE", 64)):
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(1)
     vectors = {i: rng.normal(size=6).round(2).tolist() for i in range(300)}
     for i in range(100, 160):
         vectors[i] = vectors[7]
     odd = [(1000, None), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 6), (1150, [float("inf")] * 6), (None, [1.0] * 6)]
-    rows = [*vectors.items(), *odd, (50, vectors[50])]
+    rows = [*vectors.items(), *odd, (50, vectors[50]), (77, vectors[7])]  # 77 twice, with two vectors
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).repartition(4)
     got = {}
     for r in topk.top_k(df, F.col("vec_id") % 50 == 0, k=5).collect():
@@ -158,12 +157,57 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     whole = {i: np.floor(256 * np.array(x, np.float32).astype(float)).astype(int) for i, x in vectors.items()}
     assert set(got) == {q for q in whole if q % 50 == 0}
     for q, found in got.items():
-        best = sorted((-int(whole[q] @ x), i) for i, x in whole.items() if i != q)[:5]
+        best = sorted((-max(int(whole[q] @ x), int(whole[q] @ whole[7]) if i == 77 else -(10**9)), i) for i, x in whole.items() if i != q)[:5]
         assert sorted(found) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert [tuple(r) for r in topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect()] == [(0, 1, 1, 131072)]
 
 
+def test_cover_tree_invariants():
+    """Nested levels, separated nodes, one parent within reach, radii and lengths that hold."""
+    rng = np.random.default_rng(0)
+    for trial in range(40):
+        n = int(rng.integers(1, 200))
+        x = rng.normal(size=(n, 3))
+        x[n // 2 :] = x[0] if trial % 3 == 0 else x[n // 2 :]
+        tree = covertree.cover_tree(np.arange(n), x, int(rng.integers(1, 9)))
+        assert (tree.x == x[tree.order]).all() and tree.ids.tolist() == tree.order.tolist()
+        apart = lambda a, b, t=tree: np.sqrt(((t.x[a][:, None] - t.x[b][None]) ** 2).sum(-1))
+        for level, nodes in enumerate(tree.rows):
+            between = apart(nodes, nodes)[~np.eye(len(nodes), dtype=bool)]
+            assert len(nodes) == 1 or between.min() > tree.reach[level]
+            below = np.repeat(np.arange(len(nodes)), np.diff(tree.starts[level]))
+            assert len(below) == n and (np.sqrt(((tree.x - tree.x[nodes[below]]) ** 2).sum(1)) <= tree.radii[level][below]).all()
+            assert (np.sqrt((tree.x**2).sum(1)) <= tree.norms[level][below] + 1e-9).all()
+            if level + 1 < len(tree.rows):
+                assert set(nodes.tolist()) <= set(tree.rows[level + 1].tolist())
+                children = [tree.children(level, k) for k in range(len(nodes))]
+                assert np.concatenate(children).tolist() == list(range(len(tree.rows[level + 1])))
+                assert all(apart(nodes[[k]], tree.rows[level + 1][c]).max() <= tree.reach[level] + 1e-9 for k, c in enumerate(children))
+
+
+def test_dual_tree_prunes_clusters():
+    """Over clustered vectors most pairs are never scored, and k-th scores carried from block to block save more; results are those of brute force."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 8))
+    x = np.floor(256 * (4 * centres[rng.integers(0, 30, 3000)] + 0.05 * rng.normal(size=(3000, 8))))
+    ids, asks = np.arange(3000), np.arange(3000) % 20 == 0
+    tree, scored = covertree.cover_tree(ids[asks], x[asks]), []
+    for carried in (True, False):
+        search, total, found = None, 0, {}
+        for block in np.array_split(ids, 3):
+            if search is None or not carried:
+                search = covertree.Search(tree, 5, np.full(len(tree.x), -np.inf))
+            search.run(covertree.cover_tree(block, x[block]))
+            total += 0 if carried else search.scored
+        scored.append(search.scored if carried else total)
+        if carried:
+            for q, i, s in zip(*(a.tolist() for a in search.found()), strict=True):
+                found.setdefault(q, []).append((-s, i))
+            assert search.pruned and all(sorted(found[q]) == sorted((-int(s), i) for i, s in enumerate((x @ x[q]).tolist()) if i != q)[:5] for q in ids[asks].tolist())
+    assert scored[0] < scored[1] < 3000 * 150 / 2
+
+
 def test_search_decides(spark, monkeypatch):
     """Documents are streamed through an index of others; without the backward search nothing is found."""
     passage = " ".join(f"p{i}" for i in range(60))
