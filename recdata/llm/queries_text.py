@@ -67,6 +67,13 @@ FROM (SELECT *, '<turn>' || {_ESCAPED.format("role")} || '<content>' || {_ESCAPE
 GROUP BY conv_id
 """
 
+_N_WORDS, _DEBRIS, _SEPARATORS = (f"len(regexp_extract_all(l, '{pattern}'))" for pattern in (rules.WORD, rules.DEBRIS, rules.SEPARATOR))
+_FAILS = (
+    f"({_N_WORDS} > 0 AND (({_DEBRIS} >= 2 AND 2 * {_DEBRIS} >= {_N_WORDS})"
+    f" OR ({_SEPARATORS} >= 3 AND {rules.NAVIGATION_WORDS} * {_SEPARATORS} >= {_N_WORDS} AND NOT contains(l, '{rules.QUOTE}'))"
+    f" OR ({_N_WORDS} <= {rules.BOILERPLATE_WORDS} AND regexp_matches(l, '{rules.BOILERPLATE.replace(chr(39), chr(39) * 2)}'))))"
+)
+
 OP6_SQL = f"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{rules.WORD}') AS w,
@@ -75,12 +82,8 @@ grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM
 twice AS (SELECT doc_id, g FROM grams GROUP BY doc_id, g HAVING count(*) > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM grams JOIN twice USING (doc_id, g), (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
 left_over AS (
-  SELECT doc_id, array_to_string(list_filter(lines, lambda l:
-    NOT ((len(regexp_extract_all(l, '{rules.DEBRIS}')) >= 2 AND 2 * len(regexp_extract_all(l, '{rules.DEBRIS}')) >= len(regexp_extract_all(l, '{rules.WORD}')))
-      OR regexp_matches(l, '{rules.NAVIGATION}') OR regexp_matches(l, '{rules.BOILERPLATE}'))), chr(10)) AS cleaned,
-    len(list_filter(lines, lambda l:
-      (len(regexp_extract_all(l, '{rules.DEBRIS}')) >= 2 AND 2 * len(regexp_extract_all(l, '{rules.DEBRIS}')) >= len(regexp_extract_all(l, '{rules.WORD}')))
-      OR regexp_matches(l, '{rules.NAVIGATION}') OR regexp_matches(l, '{rules.BOILERPLATE}'))) AS n_lines_failed
+  SELECT doc_id, array_to_string(list_filter(lines, lambda l: NOT {_FAILS}), chr(10)) AS cleaned,
+    len(list_filter(lines, lambda l: {_FAILS})) AS n_lines_failed
   FROM base),
 counts AS (
   SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,

@@ -11,10 +11,19 @@ from .common import WORD, let, words
 SYMBOL = r"[#*$%&|<>]"
 BOILERPLATE = (
     r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies"
-    r"|subscribe to our newsletter|sign up for our newsletter|click here|javascript (is|must be) (enabled|disabled)|skip to (main )?content)"
+    r"|subscribe to our newsletter|sign up for our newsletter|click here|javascript (is|must be) (enabled|disabled)|skip to (main )?content"
+    r"|alle rechte vorbehalten|datenschutzerkl\x{e4}rung|nutzungsbedingungen|cookies akzeptieren|hier klicken"
+    r"|tous droits r\x{e9}serv\x{e9}s|politique de confidentialit\x{e9}|conditions d'utilisation|accepter (tous )?les cookies|cliquez ici"
+    r"|todos los derechos reservados|pol\x{ed}tica de privacidad|t\x{e9}rminos de uso|aceptar (todas )?las cookies|haga clic aqu\x{ed})"
 )
-#: A line of navigation: a separator between words, three times or more.
-NAVIGATION = r"([|»›•·][^|»›•·]*){3}"
+#: A phrase of boilerplate fails a line of this many words at most; within a longer one it is prose.
+BOILERPLATE_WORDS = 15
+#: A separator that stands alone between two words.
+SEPARATOR = r"[\x20\x09][|\x{203a}\x{2022}\x{b7}\x{bb}][\x20\x09]"
+#: The opening quotation mark: a line that has it uses the closing one to quote.
+QUOTE = "\u00ab"
+#: A line of navigation has three separators or more, and so many of its words, separators included, for each.
+NAVIGATION_WORDS = 5
 #: A word followed by the same kind of symbol twice or more, as shouting and mark-up debris have it.
 DEBRIS = r"[^\x20\x09-\x0D](!!+|\?\?+|[#*$%&<>~^=+]{2,})"
 
@@ -52,12 +61,43 @@ def repeated_words(tokens: Column) -> Column:
     return let(tokens, of)
 
 
-def failing_line(line: Column) -> Column:
-    """Whether a line goes: by punctuation, as navigation or as boilerplate. Lines without a word stay."""
-    debris = F.regexp_count(line, F.lit(DEBRIS))
-    total = F.regexp_count(line, F.lit(WORD))
-    punctuation = (debris >= 2) & (2 * debris >= total)
-    return punctuation | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
+def failing_line(line: Column, n_words: Column) -> Column:
+    """Whether a line of so many words goes: by punctuation, as navigation or as boilerplate. Lines without a word stay."""
+    punctuation = let(F.regexp_count(line, F.lit(DEBRIS)), lambda debris: (debris >= 2) & (2 * debris >= n_words))
+    navigation = let(F.regexp_count(line, F.lit(SEPARATOR)), lambda n: (n >= 3) & (NAVIGATION_WORDS * n >= n_words)) & ~F.contains(line, F.lit(QUOTE))
+    return (n_words > 0) & (punctuation | navigation | ((n_words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)))
+
+
+def _judged(text: Column, most_lost: int) -> Column:
+    """All that `clean_lines` tells of a text, as one structure; every line is taken apart once."""
+    lines = F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), words(line).alias("words")))
+    marked = lambda ls: F.transform(ls, lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), failing_line(x["line"], F.size(x["words"])).alias("fails")))
+    joined = lambda ls, fails: F.array_join(F.transform(F.filter(ls, lambda x: x["fails"] == fails), lambda x: x["line"]), "\n")
+    filled = lambda ls: F.transform(F.filter(ls, lambda x: F.size(x["words"]) > 0), lambda x: x["line"])
+
+    def counts(ls: Column) -> Column:
+        tokens = F.flatten(F.transform(ls, lambda x: x["words"]))
+        return F.struct(
+            joined(ls, False).alias("cleaned"),
+            F.size(tokens).cast("long").alias("n_words"),
+            word_chars(text).cast("long").alias("word_chars"),
+            repeated_words(tokens).cast("long").alias("n_repeat_words"),
+            F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
+            let(filled(ls), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            F.size(ls).cast("long").alias("n_lines"),
+            F.size(F.filter(ls, lambda x: x["fails"])).cast("long").alias("n_lines_failed"),
+            word_chars(joined(ls, True)).cast("long").alias("lost_chars"),
+        )
+
+    def verdict(c: Column) -> Column:
+        failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
+        kept = ~failed & (100 * c["lost_chars"] <= most_lost * c["word_chars"])
+        return F.struct(*(c[name].alias(name) for name in COUNTS), failed.alias("base_failed"), kept.alias("kept"))
+
+    return let(let(let(lines, marked), counts), verdict)
+
+
+COUNTS = ("cleaned", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_lines_failed", "lost_chars")
 
 
 def clean_lines(df: DataFrame, text_col: str = "text", most_lost: int = MOST_LOST) -> DataFrame:
@@ -68,24 +108,11 @@ def clean_lines(df: DataFrame, text_col: str = "text", most_lost: int = MOST_LOS
     (word characters in the lines removed), base_failed and kept. A null text
     counts as empty; texts without 50 words fail. Every row is judged by itself:
     repeated rows all get the same verdict, an empty table gives an empty one,
-    and existing columns of those names are replaced. Nothing is shuffled.
+    existing columns of those names are replaced and all others stay. Nothing
+    is shuffled. A very long text is one row, and its time and memory grow with
+    its length.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = df.withColumn("__text", text).withColumn("__lines", F.split("__text", "\n")).withColumn("__words", words(F.col("__text")))
-    with_word = F.filter("__lines", lambda line: line.rlike(WORD))
-    out = out.withColumns(
-        {
-            "n_words": F.size("__words").cast("long"),
-            "word_chars": word_chars(F.col("__text")).cast("long"),
-            "n_symbols": F.regexp_count("__text", F.lit(SYMBOL)).cast("long"),
-            "n_dup_lines": let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("__words")).cast("long"),
-            "n_lines": F.size("__lines").cast("long"),
-            "__left": F.filter("__lines", lambda line: ~failing_line(line)),
-        }
-    )
-    out = out.withColumns({"cleaned": F.array_join("__left", "\n"), "n_lines_failed": F.col("n_lines") - F.size("__left")})
-    out = out.withColumn("lost_chars", F.col("word_chars") - word_chars(F.col("cleaned")))
-    out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    out = out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= most_lost * F.col("word_chars")))
-    return out.drop("__text", "__lines", "__words", "__left")
+    told = (*COUNTS, "base_failed", "kept")
+    others = [F.col(f"`{c}`") for c in df.columns if c not in told]
+    # a generator, so that a filter on its columns does not compute them again
+    return df.select(*others, F.inline(F.array(_judged(F.coalesce(F.col(text_col), F.lit("")), most_lost))))

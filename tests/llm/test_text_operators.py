@@ -154,6 +154,27 @@ def test_lines_go_before_documents(spark):
     assert got[2]["cleaned"] == got[4]["cleaned"] == got[1]["cleaned"] == good
 
 
+def test_prose_is_not_taken_for_boilerplate(spark):
+    """Quotation marks, dots inside words, single bars and phrases within long lines leave a line alone; columns of any name stay."""
+    words = [f"word{i}" for i in range(60)]
+    quotes = " ".join(["Elle a dit \u00ab oui \u00bb puis \u00ab non \u00bb et \u00ab rien \u00bb encore"] + words)
+    rows = [quotes, "col\u00b7legi l\u00b7l l\u00b7l " + " ".join(words), "Please click here to read our privacy policy " + " ".join(words), "a | b and c | d or e | f " + " ".join(words)]
+    short = "\n".join([" ".join(words), "Home \u203a Shop \u203a Shoes \u203a Red", "Tous droits r\u00e9serv\u00e9s.", "\u00ab a \u00bb b \u00bb c \u00bb d"])
+    schema = "doc_id long, text string, __text string, __words string, cleaned string"
+    df = spark.createDataFrame([(i, t, "kept", "kept", "clash") for i, t in enumerate([*rows, short])], schema)
+    got = {r["doc_id"]: r for r in rules.clean_lines(df).collect()}
+    for i, text in enumerate(rows):
+        assert got[i]["kept"] and got[i]["cleaned"] == text and got[i]["__text"] == got[i]["__words"] == "kept"
+    assert got[4]["cleaned"].split("\n") == [" ".join(words), "\u00ab a \u00bb b \u00bb c \u00bb d"] and got[4]["n_lines_failed"] == 2
+
+
+def test_rules_on_very_long_texts(spark):
+    text = "\n".join(f"line {i % 700} of {i} things that happened, one after the other." for i in range(20_000)) + " x" * 100_000
+    r = rules.clean_lines(spark.createDataFrame([(1, text), (2, "y" * 3_000_000)], "doc_id long, text string")).where("doc_id = 1").first()
+    words = WORD.findall(text)
+    assert (r["n_words"], r["word_chars"], r["n_lines"], r["cleaned"] == text) == (len(words), sum(map(len, words)), 20_000, True)
+
+
 def test_query_digests(spark):
     """The registered queries on the smallest tables, against the libraries."""
     import pandas as pd
