@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recdata.functions.text import all_letters, ngrams, tokenize
+from recdata.sources.scratch import materialize
 
 
 def ngram_idf(counts: DataFrame, total: int, from_year: int | None = None, alpha: bool = True, fold: str = "max") -> DataFrame:
@@ -41,31 +50,163 @@ def query_text(fields: list[Column]) -> Column:
     return join_fields(fields, " ")
 
 
+#: Documents of a block, queries of a block, and document blocks of a task, about.
+BLOCK, QUERIES, CHUNK = 2048, 512, 2
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """(item_id, length, terms, times): the tokens of each text, each once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Counter(tokens) for tokens in batch.column("tokens").to_pylist()]
+            columns = [batch.column("item_id"), pa.array([c.total() for c in found], pa.int64()), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["item_id", "length", "terms", "times"])
+
+    return texts.select(F.col("item_id").cast("long"), tokenize(F.col("text")).alias("tokens")).mapInArrow(count, "item_id long, length long, terms array<string>, times array<int>")
+
+
+@dataclass
+class Postings:
+    """An inverted block: for each key, from starts[key] on, the numbers of the rows that have it, with a value each, and the largest value."""
+
+    keys: pd.Index
+    starts: np.ndarray
+    rows: np.ndarray
+    values: np.ndarray
+    most: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray, keys: np.ndarray, values: np.ndarray) -> Postings:
+        codes, names = pd.factorize(keys)
+        order = np.argsort(codes, kind="stable")
+        starts = np.append(0, np.cumsum(np.bincount(codes, minlength=len(names)))).astype(np.int64)
+        values = values[order]
+        most = np.maximum.reduceat(values, starts[:-1]) if len(names) else np.zeros(0)
+        return cls(pd.Index(names, dtype=object), starts, rows[order].astype(np.int32), values.astype(float), most)
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Where the postings of some keys stand, one key after the other."""
+        sizes = self.starts[codes + 1] - self.starts[codes]
+        return np.repeat(self.starts[codes] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _flat(lists: pd.Series, kind: type = object) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays of a column one after the other, and the row of each entry."""
+    sizes = lists.map(len).to_numpy(int)
+    flat = np.concatenate(lists.tolist()) if sizes.sum() else np.zeros(0)
+    return np.repeat(np.arange(len(lists)), sizes), flat.astype(kind)
+
+
+def best_of_block(weights: tuple[np.ndarray, np.ndarray], docs: Postings, n_docs: int, topn: int, least: float, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, scores) of a block's documents that may be among the `topn` best of a query; `least` is a score that the last of these has at least.
+
+    Terms with the largest bounds come first. Once the bounds of the terms left
+    add up to less than `least`, they alone lift no document over it, and if
+    none of those seen so far can reach it either, the block is done with.
+    """
+    codes, weight = weights
+    bound = weight * docs.most[codes]
+    order = np.argsort(-bound)
+    codes, weight = codes[order], weight[order]
+    left = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)
+    slack = 1e-7 * (1 + abs(left[0]))
+    must = int(np.searchsorted(-left, -(least - slack), side="right")) if np.isfinite(least) else len(codes)
+    if not must:
+        return np.zeros(0, int), np.zeros(0)
+    total = np.zeros(n_docs)
+    touched = np.zeros(n_docs, bool)
+    for some in (slice(0, must), slice(must, None)):
+        at = docs.places(codes[some])
+        rows = docs.rows[at]
+        total += np.bincount(rows, np.repeat(weight[some], docs.starts[codes[some] + 1] - docs.starts[codes[some]]) * docs.values[at], n_docs)
+        touched[rows] = True
+        if some.start == 0 and not (total + left[must] >= least - slack).any():
+            return np.zeros(0, int), np.zeros(0)
+    found = np.flatnonzero(touched if allowed is None else touched & allowed)
+    scores = total[found]
+    if len(found) > topn:
+        least = max(least, np.partition(scores, len(found) - topn)[len(found) - topn])
+    keep = scores >= least - slack
+    return found[keep], scores[keep]
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, topn: int = 1000, tags: DataFrame | None = None, ignore_tag: str = "Books") -> DataFrame:
     """(query_item, doc_item, score, rank): Okapi BM25 of each query over the documents.
 
-    `queries` and `docs` have item_id and text. A negative idf is replaced by
-    `eps` times the mean idf. With `tags` (item_id, tag) only items that share
-    a tag with the query's item, other than `ignore_tag`, are ranked. Postings
-    are joined to the terms of queries, so documents without a common term are
-    never formed; scores of a term are added up before the ranking. Ties go to
-    the smaller id.
+    `queries` and `docs` have item_id (an integer, each once) and text. A
+    negative idf is replaced by `eps` times the mean idf. With `tags` (item_id,
+    tag) only items that share a tag with the query's item, other than
+    `ignore_tag`, are ranked. Documents without a common term are not ranked.
+    Ties go to the smaller id.
+
+    Documents are packed into inverted blocks and queries into blocks of their
+    own. A task takes one block of queries and a few blocks of documents, adds up
+    postings in memory and carries the `topn`-th score of each query from block
+    to block, so that terms, documents and whole blocks that cannot reach it
+    are left out (see `best_of_block`). What is shuffled is blocks, and `topn`
+    rows for each query and task, never a row for each query, term and
+    document. Only the number of documents and their mean length reach the
+    driver. Tags are matched within a block, never with each other.
     """
-    tf = docs.select("item_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("tf"))
-    lengths = docs.select("item_id", F.size(tokenize(F.col("text"))).alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus))
-    idf = idf.withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    idf = idf.join(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, F.lit(eps) * F.col("mean_idf")).otherwise(F.col("idf")))
-    query = queries.select(F.col("item_id").alias("query_item"), F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_item", "term").agg(F.count("*").alias("qtf"))
-    weighted = query.join(idf.select("term", "idf", "avgdl"), "term")
-    postings = weighted.join(tf, "term").join(lengths, "item_id")
+    counted = materialize(_counted(docs), "counted")
+    asked = materialize(_counted(queries), "asked")
+    corpus = counted.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avgdl")).first()
+    n_docs, avgdl = corpus["n_docs"], corpus["avgdl"] or 1.0
+    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = materialize(df.select("term", (F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")), "idf")
+    mean = idf.agg(F.avg("idf")).first()[0] or 0.0
+    idf = idf.withColumn("idf", F.when(F.col("idf") < 0, F.lit(eps * mean)).otherwise(F.col("idf")))
+    terms = asked.select("item_id", F.explode(F.arrays_zip("terms", "times")).alias("t")).select("item_id", F.col("t.terms").alias("term"), F.col("t.times").alias("qtf"))
+    weighted = terms.join(idf, "term").groupBy("item_id").agg(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("weight"))).alias("w"))
+    weighted = weighted.select("item_id", F.col("w.term").alias("terms"), F.col("w.weight").alias("weights"))
+    rows = counted.select("item_id", "length", "terms", "times")
     if tags is not None:
-        own = tags.where(F.col("tag") != ignore_tag).distinct()
-        allowed = own.select(F.col("item_id").alias("query_item"), "tag").join(queries.select(F.col("item_id").alias("query_item")), "query_item", "left_semi").join(own, "tag").select("query_item", "item_id").distinct()
-        postings = postings.join(allowed, ["query_item", "item_id"])
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = postings.groupBy("query_item", F.col("item_id").alias("doc_item")).agg(F.sum(part).alias("score"))
+        own = tags.where(F.col("tag") != ignore_tag).groupBy("item_id").agg(F.collect_set("tag").alias("tags"))
+        none = F.array().cast("array<string>")
+        rows, weighted = (x.join(own, "item_id", "left").withColumn("tags", F.coalesce("tags", none)) for x in (rows, weighted))
+    n_blocks, n_groups = max(1, -(-n_docs // BLOCK)), max(1, -(-asked.count() // QUERIES))
+
+    def invert(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("item_id")
+        at, keys = _flat(frame["terms"])
+        tf, length = _flat(frame["times"], float)[1], frame["length"].to_numpy(float)
+        values = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[at] / avgdl))
+        tagged = Postings.of(*(x := _flat(frame["tags"])), np.ones(len(x[0]))) if "tags" in frame else None
+        return pd.DataFrame([{"block": int(frame["block"].iloc[0]), "docs": pickle.dumps((frame["item_id"].to_numpy(), Postings.of(at, keys, values), tagged))}])
+
+    def gather(frame: pd.DataFrame) -> pd.DataFrame:
+        lists = {name: frame[name].tolist() for name in ("item_id", "terms", "weights", "tags") if name in frame}
+        return pd.DataFrame([{"group": int(frame["group"].iloc[0]), "asked": pickle.dumps(lists)}])
+
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        asked = pickle.loads(frame["asked"].iloc[0])  # noqa: S301  written by gather
+        sizes = np.array([len(t) for t in asked["terms"]])
+        terms, ends = np.concatenate([np.zeros(0, object), *asked["terms"]]), np.cumsum(sizes)
+        weights = np.concatenate([np.zeros(0), *asked["weights"]])
+        best: list[np.ndarray] = [np.full(topn, -np.inf)] * len(sizes)
+        out = []
+        for block in frame.sort_values("block")["docs"]:
+            ids, postings, tagged = pickle.loads(block)  # noqa: S301  written by invert
+            codes = postings.keys.get_indexer(terms)
+            for q, (size, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
+                some = slice(end - size, end)
+                known = codes[some] >= 0
+                allowed = None
+                if tagged is not None:
+                    allowed = np.zeros(len(ids), bool)
+                    mine = tagged.keys.get_indexer(np.array(asked["tags"][q], object))
+                    allowed[tagged.rows[tagged.places(mine[mine >= 0])]] = True
+                found, scores = best_of_block((codes[some][known], weights[some][known]), postings, len(ids), topn, best[q][0], allowed)
+                if len(found):
+                    both = np.concatenate([best[q], scores])
+                    best[q] = np.sort(np.partition(both, len(both) - topn)[len(both) - topn :])
+                    out.append(pd.DataFrame({"query_item": asked["item_id"][q], "doc_item": ids[found], "score": scores}))
+        return pd.concat(out) if out else pd.DataFrame({"query_item": [], "doc_item": [], "score": []})
+
+    blocks = materialize(rows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInPandas(invert, "block int, docs binary"), "blocks")
+    groups = materialize(weighted.withColumn("group", F.pmod(F.xxhash64("item_id"), F.lit(n_groups)).cast("int")).groupBy("group").applyInPandas(gather, "group int, asked binary"), "groups")
+    met = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
+    found = met.withColumn("chunk", F.floor(F.col("block") / CHUNK)).groupBy("group", "chunk").applyInPandas(search, "query_item long, doc_item long, score double")
     order = Window.partitionBy("query_item").orderBy(F.desc(F.round("score", 9)), "doc_item")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= topn)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= topn)
