@@ -15,23 +15,27 @@ from dataclasses import dataclass
 from math import lgamma
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, most_frequent, slices
+from .common import map_rows, slices
 
 #: Stands before and after a text; no UTF-8 text holds this byte.
 MARK = 0xFF
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def lower_bytes(text: str) -> bytes:
+    """The UTF-8 of a text with A-Z in lower case."""
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER)
+
+
 def byte_grams(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each text and its end mark: the byte after its `depth` predecessors, as one number.
+    """For each byte of each text and its end mark: the byte after its `depth` predecessors, 4 at most, as one number.
 
     Returns the numbers, the latest byte lowest, and how many each text has.
     """
-    raw = [t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
+    raw = [lower_bytes(t) for t in texts]
     pad = bytes([MARK]) * depth
     joined = np.frombuffer(b"".join(pad + r + b"\xff" for r in raw), np.uint8)
     counts = np.array([len(r) + 1 for r in raw], np.int64)
@@ -51,11 +55,16 @@ def gram_counts(df: DataFrame, depth: int, text_col: str = "text", learn_col: st
     Without `learn_col` all texts are learned from. Grams of other texts alone have n = 0.
     """
 
-    def totals(held: list[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(held).groupby(level=0, sort=False).sum()
+    def totals(held: list[tuple]) -> tuple:
+        """Sorted grams, each once, with the sums of their counts."""
+        grams, n, seen = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(grams, kind="stable")
+        grams = grams[order]
+        first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+        return grams[first], np.add.reduceat(n[order], first), np.add.reduceat(seen[order], first)
 
-    def columns(total: pd.DataFrame) -> dict:
-        return {"gram": total.index.to_numpy().view(np.int64), "n": total["n"].to_numpy(), "seen": total["seen"].to_numpy()}
+    def columns(total: tuple) -> dict:
+        return {"gram": total[0].view(np.int64), "n": total[1], "seen": total[2]}
 
     def rows(batches: Iterator[tuple]) -> Iterator[dict]:
         held, size = [], 0
@@ -64,17 +73,17 @@ def gram_counts(df: DataFrame, depth: int, text_col: str = "text", learn_col: st
             weights = np.array(learn[0], bool) if learn else np.ones(len(texts), bool)
             for part in slices(texts, 1 << 21):
                 grams, n_bytes = byte_grams(texts[part], depth)
-                codes, names = pd.factorize(grams)
-                seen = np.bincount(codes, minlength=len(names))
-                n = np.bincount(codes[np.repeat(weights[part], n_bytes)], minlength=len(names))
-                held.append(pd.DataFrame({"n": n, "seen": seen}, index=names))
-                size += len(names)
+                marked = np.sort((grams << np.uint64(1)) | np.repeat(weights[part], n_bytes))
+                first = np.flatnonzero(np.append(True, marked[1:] != marked[:-1]))
+                seen = np.diff(np.append(first, len(marked)))
+                held.append((marked[first] >> np.uint64(1), np.where(marked[first] & np.uint64(1), seen, 0), seen))
+                size += len(seen)
                 if size > 1 << 21:
                     held = [totals(held)]
-                    if len(held[0]) > 1 << 20:
+                    if len(held[0][0]) > 1 << 20:
                         yield columns(held[0])
                         held = []
-                    size = sum(map(len, held))
+                    size = sum(len(x[0]) for x in held)
         if held:
             yield columns(totals(held))
 
@@ -82,57 +91,6 @@ def gram_counts(df: DataFrame, depth: int, text_col: str = "text", learn_col: st
     return found.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
-@dataclass
-class Tree:
-    """The nodes of all trees by depth: key (context bytes, decisions so far), probability of 1, weight of ending here.
-
-    known: the grams of full depth, sorted, with their code lengths, so that only others are looked up in the trees.
-    """
-
-    depth: int
-    keys: list[np.ndarray]
-    ones: list[np.ndarray]
-    stops: list[np.ndarray]
-    known: np.ndarray
-    known_bits: np.ndarray
-
-    def code_lengths(self, grams: np.ndarray) -> np.ndarray:
-        """-log2 of the probability of each byte after its context; `grams` holds each once."""
-        order = np.argsort(grams)
-        grams = grams[order]
-        bits = np.empty(len(grams))
-        new = np.ones(len(grams), bool)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-            new = self.known[at] != grams
-            bits[order] = self.known_bits[at]
-        bits[order[new]] = self.descend(grams[new])
-        return bits
-
-    def descend(self, grams: np.ndarray) -> np.ndarray:
-        """The code lengths from the trees themselves."""
-        out = np.zeros(len(grams))
-        symbol = grams & np.uint64(0xFF)
-        for bit in range(8):
-            before = (np.uint64(1) << np.uint64(bit)) | (symbol >> np.uint64(8 - bit))
-            value = (symbol >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
-            chance, left, last, alive = np.zeros(len(grams)), np.ones(len(grams)), np.full(len(grams), 0.5), np.ones(len(grams), bool)
-            for d, (keys, ones, stops) in enumerate(zip(self.keys, self.ones, self.stops, strict=True)):
-                context = (grams >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)
-                key = (context << np.uint64(8)) | before
-                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-                alive &= (keys[at] == key) if len(keys) else False
-                p = ones[at[alive]] if len(keys) else ones
-                p = np.where(value[alive], p, 1 - p)
-                stop = stops[at[alive]] if len(keys) else stops
-                chance[alive] += left[alive] * stop * p
-                left[alive] *= 1 - stop
-                last[alive] = p
-            # a context that training has not seen predicts as the deepest one seen
-            out -= np.log2(chance + left * last)
-        return out
-
-
 _SMALL = 1 << 12
 _LOG_GAMMA = {half: np.array([lgamma(k + half) for k in range(_SMALL)]) for half in (0.5, 1.0)}
 
@@ -291,66 +249,3 @@ def gram_bits(grams: DataFrame, depth: int, size: int = 1 << 17) -> DataFrame:
             yield {"gram": found[0], "seen": seen, "bits": bits}
 
     return map_rows(dealt, ["gram", "n", "seen"], down, {"gram": "long", "seen": "long", "bits": "double"})
-
-
-def weigh(tables: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-    """The weighted tree of gram counts by depth: at d, bytes after d predecessors, as far as kept.
-
-    A context whose continuations were not all kept treats the rest as one more
-    child, so no count is lost.
-    """
-    keys, zeros_of, ones_of = [], [], []
-    for grams, counts in tables:
-        key, zero, one = _nodes(grams, counts)
-        keys.append(key)
-        zeros_of.append(zero)
-        ones_of.append(one)
-    depth = len(tables) - 1
-    stops: list[np.ndarray] = [np.ones(len(keys[-1]))] * (depth + 1)
-    weighted = _log_kt(zeros_of[-1], ones_of[-1])
-    for d in range(depth - 1, -1, -1):
-        own = _log_kt(zeros_of[d], ones_of[d])
-        child = keys[d + 1]
-        context, before = child >> np.uint64(8), child & np.uint64(0xFF)
-        parent = ((context & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | before
-        at = np.searchsorted(keys[d], parent)
-        children, n0, n1 = (np.bincount(at, w, len(own)) for w in (weighted, zeros_of[d + 1], ones_of[d + 1]))
-        rest0, rest1 = np.maximum(zeros_of[d] - n0, 0), np.maximum(ones_of[d] - n1, 0)
-        below = children + _log_kt(rest0, rest1)
-        both = np.logaddexp(own, below)
-        stops[d] = np.exp(own - both)
-        weighted = both + np.log(0.5)
-    ones = [(o + 0.5) / (z + o + 1) for z, o in zip(zeros_of, ones_of, strict=True)]
-    tree = Tree(depth, keys, ones, stops, np.sort(tables[-1][0]), np.zeros(0))
-    tree.known_bits = np.concatenate([np.zeros(0), *(tree.descend(tree.known[i : i + (1 << 16)]) for i in range(0, len(tree.known), 1 << 16))])
-    return tree
-
-
-def train(df: DataFrame, depth: int = 4, most: int = 1 << 20, text_col: str = "text") -> Tree:
-    """A tree from all texts of `df`, small enough for one machine; `gram_bits` weighs all grams instead.
-
-    Counts cover every byte. The tree has a size: at each depth the contexts
-    with the most frequent grams are kept, those with at least the smallest
-    count of which `most` or fewer grams remain, so at most `most` rows a depth
-    reach the driver, and the tree that is sent to the tasks is bounded too.
-    """
-    table = materialize(gram_counts(df, depth, text_col), "grams")
-    tables = []
-    for d in range(depth, -1, -1):
-        if d < depth:
-            below = F.col("gram").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1).cast("long"))
-            table = materialize(table.groupBy(below.alias("gram")).agg(F.sum("n").alias("n")), "grams")
-        frame = most_frequent(table, most).toPandas()
-        tables.append((frame["gram"].to_numpy(np.int64).view(np.uint64), frame["n"].to_numpy(np.int64)))
-    tables.reverse()
-    return weigh(_closed(tables))
-
-
-def _closed(tables: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Without grams whose shorter form was not kept; none is lost unless a depth was cut harder than the one below."""
-    out = [tables[0]]
-    for d in range(1, len(tables)):
-        grams, counts = tables[d]
-        keep = np.isin(grams & np.uint64((1 << (8 * d)) - 1), out[-1][0])
-        out.append((grams[keep], counts[keep]))
-    return out

@@ -3,35 +3,34 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, kind_of, map_rows, materialize, most_frequent, slices
-from .ctw import byte_grams, gram_bits, gram_counts
+from .common import kind_of, map_rows, materialize, most_frequent, slices
+from .ctw import byte_grams, gram_bits, gram_counts, lower_bytes
 
-_LOWER_TEXT = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+#: Bits for the number of a text within a slice, below those of a gram.
+_ROW = np.uint64(20)
 #: Words whose counts are sent to every task; the counts of all others are joined.
 HEAD = 1 << 17
 
 
-def tokens(text: str) -> list[str]:
-    """Words in lower case (A-Z), then the end, which is the empty string."""
-    return [*re.findall(WORD, text.translate(_LOWER_TEXT)), ""]
+def tokens(text: str) -> list[bytes]:
+    """Words in lower case (A-Z) as UTF-8, then the end, which is empty. Bytes are split at the six ASCII white-space characters."""
+    return [*lower_bytes(text).split(), b""]
 
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all texts; counted in each task before anything is shuffled."""
 
     def rows(batches: Iterator[tuple]) -> Iterator[dict]:
-        seen: Counter[str] = Counter()
+        seen: Counter[bytes] = Counter()
         for (texts,) in batches:
             for text in texts:
                 seen.update(tokens(text or ""))
@@ -41,14 +40,14 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
         if seen:
             yield {"word": list(seen), "n": list(seen.values())}
 
-    return map_rows(df, [text_col], rows, {"word": "string", "n": "long"}).groupBy("word").agg(F.sum("n").alias("n"))
+    return map_rows(df, [text_col], rows, {"word": "binary", "n": "long"}).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values))
 
 
-def _first_scores(df: DataFrame, head: dict[str, int], grams: np.ndarray, lengths: np.ndarray, depth: int, id_col: str, text_col: str) -> DataFrame:
+def _first_scores(df: DataFrame, head: dict[bytes, int], grams: np.ndarray, lengths: np.ndarray, depth: int, id_col: str, text_col: str) -> DataFrame:
     """What a task can say of each text alone: code length and known words by the heads, and the grams and words it must look up."""
     sent = df.sparkSession.sparkContext.broadcast((head, grams, lengths))
 
@@ -59,32 +58,31 @@ def _first_scores(df: DataFrame, head: dict[str, int], grams: np.ndarray, length
             texts = [t or "" for t in texts]
             for some in slices(texts, 1 << 20):
                 grams, n_bytes = byte_grams(texts[some], depth)
-                codes, names = pd.factorize(grams)
+                text_of = np.repeat(np.arange(len(n_bytes), dtype=np.uint64), n_bytes)
+                marked = np.sort((grams << _ROW) | text_of)
+                first = np.flatnonzero(np.append(True, marked[1:] != marked[:-1]))
+                times = np.diff(np.append(first, len(marked)))
+                names, owner = marked[first] >> _ROW, (marked[first] & ((np.uint64(1) << _ROW) - np.uint64(1))).astype(np.int64)
                 at = np.minimum(np.searchsorted(frequent, names), max(0, len(frequent) - 1))
                 told = frequent[at] == names if len(frequent) else np.zeros(len(names), bool)
-                each = np.zeros(len(names))
-                each[told] = lengths[at[told]]
-                bits = np.add.reduceat(each[codes], np.cumsum(n_bytes) - n_bytes)
-                open_at = np.flatnonzero(~told[codes])
-                text_of, open_grams = np.repeat(np.arange(len(n_bytes)), n_bytes)[open_at], grams[open_at]
-                order = np.lexsort((open_grams, text_of))
-                text_of, open_grams = text_of[order], open_grams[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (text_of[1:] != text_of[:-1]) | (open_grams[1:] != open_grams[:-1])
-                first = np.flatnonzero(new)
-                sizes = np.bincount(text_of[first], minlength=len(n_bytes))
-                looked_up = {"grams": _lists(open_grams[first].view(np.int64), sizes), "gram_times": _lists(np.diff(np.append(first, len(order))).astype(np.int32), sizes)}
+                bits = np.bincount(owner[told], times[told] * lengths[at[told]], len(n_bytes)) if len(frequent) else np.zeros(len(n_bytes))
+                order = np.argsort(owner[~told], kind="stable")
+                sizes = np.bincount(owner[~told], minlength=len(n_bytes))
+                looked_up = {"grams": _lists(names[~told][order].view(np.int64), sizes), "gram_times": _lists(times[~told][order].astype(np.int32), sizes)}
                 out = []
                 for text in texts[some]:
                     counts = Counter(tokens(text))
-                    rare = {w: n for w, n in counts.items() if w not in head}
-                    found = [(n, head[w]) for w, n in counts.items() if w in head]
-                    out.append((part, row, counts.total(), sum(n for n, _ in found), sum(n * math.log10(c + 1) for n, c in found), list(rare), list(rare.values())))
+                    seen = [head.get(w, 0) for w in counts]
+                    times = list(counts.values())
+                    rare = [(w, n) for w, n, c in zip(counts, times, seen, strict=True) if not c]
+                    n_times = np.array(times)
+                    log_counts = np.log10(np.array(seen) + 1.0)  # of words outside the head nothing
+                    out.append((part, row, counts.total(), counts.total() - sum(n for _, n in rare), float(n_times @ log_counts), [w for w, _ in rare], [n for _, n in rare]))
                     row += 1
                 columns = dict(zip(list(fields)[5:], zip(*out, strict=True), strict=True))
                 yield {id_col: keys[some], "n_bytes": n_bytes, "bits": bits} | looked_up | columns
 
-    fields = {id_col: kind_of(df, id_col), "n_bytes": "long", "bits": "double", "grams": "array<bigint>", "gram_times": "array<int>", "part": "int", "row": "long", "n_tokens": "long", "known": "long", "logs": "double", "rare": "array<string>", "times": "array<int>"}
+    fields = {id_col: kind_of(df, id_col), "n_bytes": "long", "bits": "double", "grams": "array<bigint>", "gram_times": "array<int>", "part": "int", "row": "long", "n_tokens": "long", "known": "long", "logs": "double", "rare": "array<binary>", "times": "array<int>"}
     return map_rows(df, [id_col, text_col], rows, fields)
 
 
@@ -114,8 +112,8 @@ def score_documents(df: DataFrame, training: Column, depth: int = 4, nodes: int
     vocabulary = materialize(word_counts(learned, text_col), "words")
     totals = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
-    frequent = most_frequent(vocabulary, head).toPandas()
-    first = materialize(_first_scores(docs, dict(zip(frequent["word"], frequent["n"].tolist(), strict=True)), cached_grams[order], cached_bits[order], depth, id_col, text_col), "scores")
+    frequent = most_frequent(vocabulary, head).select("word", "n").toArrow().to_pydict()
+    first = materialize(_first_scores(docs, dict(zip(frequent["word"], frequent["n"], strict=True)), cached_grams[order], cached_bits[order], depth, id_col, text_col), "scores")
     rare = first.select("part", "row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("part", "row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     found = rare.join(vocabulary, "word").groupBy("part", "row").agg(F.sum("times").alias("known_rare"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("logs_rare"))
     open_grams = first.select("part", "row", F.explode(F.arrays_zip("grams", "gram_times")).alias("g")).select("part", "row", F.col("g.grams").alias("gram"), F.col("g.gram_times").alias("times"))

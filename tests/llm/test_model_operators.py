@@ -1,6 +1,5 @@
 """Models: held-out accuracy, exact base scores, normalised probabilities; and the pipeline against brute force."""
 
-import itertools
 import math
 import random
 import zlib
@@ -103,57 +102,63 @@ def test_language_uses_every_word_and_gram(spark, heads):
         assert got[i]["score"] == pytest.approx(1 / sum(math.exp(t - total[best]) for t in total.values()))
 
 
-def naive_ctw(tree_counts, depth, context, bit_node):
-    """Weighted probability and prediction of a node by recursion over all counts."""
-
-    def counts(c):
-        return [sum(n for (ctx, node, bit), n in tree_counts.items() if node == bit_node and bit == b and (not c or ctx[-len(c) :] == c)) for b in (0, 1)]
-
-    def kt(a, b):
-        return math.exp(math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - 2 * math.lgamma(0.5))
-
-    def weighted(c):
-        own = kt(*counts(c))
-        if len(c) == depth:
-            return own
-        kids = {ctx[-len(c) - 1 :] for (ctx, node, _) in tree_counts if node == bit_node and (not c or ctx[-len(c) :] == c)}
-        return 0.5 * own + 0.5 * math.prod(weighted(k) for k in kids)
-
-    def predict(c):
-        a, b = counts(c)
-        here = (b + 0.5) / (a + b + 1)
-        if len(c) == depth:
-            return here
-        stop = 0.5 * kt(a, b) / weighted(c)
-        longer = context[-len(c) - 1 :]
-        return stop * here + (1 - stop) * (predict(longer) if sum(counts(longer)) else here)
-
-    return predict(b"")
-
-
-def test_tree_equals_naive_recursion(spark):
-    texts, depth = ["abab", "abba", "b"], 2
-    tree = ctw.train(spark.createDataFrame([(t,) for t in texts], "text string"), depth)
-    seen = Counter()
-    for t in texts:
-        raw = b"\xff" * depth + t.encode() + b"\xff"
-        for i in range(depth, len(raw)):
+class PlainTree:
+    """Context-tree weighting by recursion over dictionaries of counts."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.counts, self.longer, self.known = depth, {}, {}, {}
+        for text in texts:
+            raw = b"\xff" * depth + text.encode().lower() + b"\xff"
+            for i in range(depth, len(raw)):
+                for k in range(8):
+                    node, bit = (1 << k) | (raw[i] >> (8 - k)), raw[i] >> (7 - k) & 1
+                    for d in range(depth + 1):
+                        context = raw[i - d : i]
+                        self.counts.setdefault((context, node), [0, 0])[bit] += 1
+                        if d:
+                            self.longer.setdefault((context[1:], node), set()).add(context)
+
+    def kt(self, context, node):
+        a, b = self.counts[context, node]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - 2 * math.lgamma(0.5)
+
+    def weighted(self, context, node):
+        if (context, node) not in self.known:
+            own = self.kt(context, node)
+            below = own if len(context) == self.depth else sum(self.weighted(c, node) for c in self.longer[context, node])
+            self.known[context, node] = own if len(context) == self.depth else np.logaddexp(own, below) + math.log(0.5)
+        return self.known[context, node]
+
+    def chance(self, context, node, d=0):
+        """The probability of 1 after `context`; where training has not seen it, that of the longest suffix seen."""
+        here = context[len(context) - d :]
+        a, b = self.counts.get((here, node), (0, 0))
+        p = (b + 0.5) / (a + b + 1)
+        if d == self.depth or not a + b:
+            return p
+        stop = 0.5 * math.exp(self.kt(here, node) - self.weighted(here, node))
+        longer = context[len(context) - d - 1 :]
+        return stop * p + (1 - stop) * (self.chance(context, node, d + 1) if (longer, node) in self.counts else p)
+
+    def bits(self, text):
+        raw, out = b"\xff" * self.depth + text.encode().lower() + b"\xff", 0.0
+        for i in range(self.depth, len(raw)):
             for k in range(8):
-                seen[raw[i - depth : i], (1 << k) | (raw[i] >> (8 - k)), raw[i] >> (7 - k) & 1] += 1
-    for context, symbol in itertools.product([b"\xff\xff", b"ab", b"ba", b"zz", b"\xffa"], b"ab\xffq"):
-        want = 0.0
-        for k in range(8):
-            p = naive_ctw(seen, depth, context, (1 << k) | (symbol >> (8 - k)))
-            want -= math.log2(p if symbol >> (7 - k) & 1 else 1 - p)
-        got = tree.code_lengths(np.array([int.from_bytes(context + bytes([symbol]), "big")], np.uint64))
-        assert got[0] == pytest.approx(want, rel=1e-9)
+                p = self.chance(raw[i - self.depth : i], (1 << k) | (raw[i] >> (8 - k)))
+                out -= math.log2(p if raw[i] >> (7 - k) & 1 else 1 - p)
+        return out
 
 
 def test_tree_probabilities_sum_to_one(spark):
-    tree = ctw.train(spark.createDataFrame([("the cat sat",), ("on the mat",)], "text string"), 3, most=8)
+    seen = Counter()
+    for text in ("the cat sat", "on the mat"):
+        seen.update(ctw.byte_grams([text], 3)[0].tolist())
+    rows = [(g, n, n) for g, n in seen.items()]
     for context in (b"the", b"xyz", b"\xff\xff\xff"):
-        grams = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
-        assert (2.0 ** -tree.code_lengths(grams)).sum() == pytest.approx(1.0)
+        every = [int.from_bytes(context + bytes([s]), "big") for s in range(256)]
+        grams = spark.createDataFrame(rows + [(g, 0, 1) for g in every if g not in seen], "gram long, n long, seen long")
+        bits = {r["gram"]: r["bits"] for r in ctw.gram_bits(grams, 3, size=16).collect()}
+        assert sum(2.0 ** -bits[g] for g in every) == pytest.approx(1.0)
 
 
 @pytest.mark.parametrize("head", [1 << 17, 4])
@@ -183,16 +188,15 @@ def test_scores(spark, head):
 
 @pytest.mark.parametrize("depth", [2, 4])
 def test_score_uses_every_gram(spark, depth):
-    """The score is that of the tree of all training grams, however few are sent to the tasks."""
+    """The score is that of a plain tree of all training grams, however few are sent to the tasks."""
     rng = random.Random(5)
-    rows = [(i, "".join(rng.choice("abcdefg h") for _ in range(rng.randint(0, 80)))) for i in range(40)] + [(99, "\u00e9 unseen Z")]
+    rows = [(i, "".join(rng.choice("abcdefg h") for _ in range(rng.randint(0, 80)))) for i in range(40)] + [(99, "\u00e9 unseen Z"), (100, "abab" * 300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    tree = ctw.train(df.where("doc_id % 3 <> 0"), depth)
+    tree = PlainTree([t for i, t in rows if i % 3], depth)
+    want = {i: -math.log10(2) * tree.bits(t) for i, t in rows}
     for nodes in (0, 16, 1 << 19):
-        for r in lm.score_documents(df, F.col("doc_id") % 3 != 0, depth=depth, nodes=nodes).collect():
-            grams, _ = ctw.byte_grams([dict(rows)[r["doc_id"]]], depth)
-            distinct, times = np.unique(grams, return_counts=True)
-            assert r["score"] == pytest.approx(-math.log10(2) * float(tree.code_lengths(distinct) @ times), rel=1e-9)
+        got = {r["doc_id"]: r["score"] for r in lm.score_documents(df, F.col("doc_id") % 3 != 0, depth=depth, nodes=nodes).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
 
 
 def test_scored_text_fits_training(spark):
