@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from recdata.functions.scalar import group_label
 
-METRICS = ("ndcg", "precision", "rr", "auc")
-
+from .sample import dense_index
 
 def break_ties(scored: DataFrame, key: tuple[str, ...] = ("user_id",), epsilon: float = 1e-7) -> DataFrame:
     """Scores made distinct: epsilon is added for each item of equal score before it, in descending order of ids."""
@@ -63,10 +62,7 @@ def user_groups(train: DataFrame, thresholds: tuple[int, ...] | None = (5, 50),
     if sum(ratios) != 100:
         raise ValueError("ratios must sum to 100")
     total = counts.agg(F.count("*").alias("total"))
-    sizes = counts.groupBy("n").agg(F.count("*").alias("users"))  # a row for each distinct count
-    before = sizes.select("n", F.coalesce(F.sum("users").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("n").orderBy("user_id"))
-    ranked = counts.withColumn("within", within).join(before, "n").withColumn("rn", F.col("within") + F.col("before")).join(F.broadcast(total))
+    ranked = dense_index(counts, ["n", "user_id"], "at").withColumn("rn", F.col("at") + 1).join(F.broadcast(total))
     group, reached = F.lit(names[len(ratios) - 1]), 100
     for name, ratio in reversed(list(zip(names, ratios, strict=False))[:-1]):
         reached -= ratios[names.index(name) + 1]

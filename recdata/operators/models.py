@@ -67,7 +67,7 @@ def top_n(user_vectors: DataFrame, item_vectors: DataFrame, used: DataFrame, n:
         users = users.withColumn("floor", F.lit(None).cast("double"))
     groups = max(1, -(-users.count() // USERS))
     packed = users.withColumn("group", F.pmod(F.xxhash64("user_id"), F.lit(groups))).groupBy("group").agg(F.collect_list(F.struct("user_id", "vec", "n_used", F.coalesce("floor", F.lit(float("inf"))).alias("floor"))).alias("u"))
-    packed = packed.select(_column("u", "user_id", "users"), _column("u", "n_used", "n_used"), _column("u", "floor", "floors"), F.flatten(F.transform("u", lambda x: x["vec"])).alias("vectors"))
+    packed = packed.select("group", _column("u", "user_id", "users"), _column("u", "n_used", "n_used"), _column("u", "floor", "floors"), F.flatten(F.transform("u", lambda x: x["vec"])).alias("vectors"))
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -80,7 +80,10 @@ def top_n(user_vectors: DataFrame, item_vectors: DataFrame, used: DataFrame, n:
                 u, i = np.nonzero(scores >= least[:, None])
                 yield pd.DataFrame({"user_id": people[u], "item_id": ids[i], "score": scores[u, i]})
 
-    pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-index.count() // BLOCK) - 1))))).join(blocks, "block")
+    n_blocks = max(1, -(-index.count() // BLOCK))
+    salts = max(1, min(groups, 64 // n_blocks))  # so that few blocks do not mean few tasks
+    dealt = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("salt", (F.col("group") % salts).cast("int")).join(dealt, ["block", "salt"])
     found = pairs.select("users", "n_used", "floors", "vectors", "ids", "matrix").mapInPandas(best, "user_id long, item_id long, score double")
     left = found.join(used.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").withColumn("score", F.round("score", 9))
     ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recdata.functions.scalar import dot, hash_int, hash_key, scale_clamp
+from recdata.sources.scratch import materialize
 
 from .sample import dense_index
 
@@ -31,8 +32,9 @@ def neg_uniform(pos: DataFrame, used: DataFrame, items: DataFrame, k: int, seed:
 
     Draws draws * need + slack items for each user by number, so the work grows
     with what is asked for and not with users times items; repeats and used
-    items go. Users who then have too few draw again from all items they have
-    left; they alone meet the whole catalogue.
+    items go. The draws are stored once. Users who then have too few, as they
+    ask for a large part of what they have not used, choose among all items they
+    have left; they alone meet the whole catalogue.
     """
     need = _needs(pos, k)
     index = dense_index(items, "item_id")
@@ -43,8 +45,7 @@ def neg_uniform(pos: DataFrame, used: DataFrame, items: DataFrame, k: int, seed:
     tries = tries.withColumn("idx", hash_int(hash_key(seed, "user_id", "draw")) % n_items)
     drawn = tries.groupBy("user_id", "idx", "need").agg(F.min("draw").alias("draw")).join(index, "idx")
     fresh = drawn.join(used.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    ranked = _cut(fresh, [F.col("draw")])
-    counted = ranked.withColumn("__got", F.count("*").over(Window.partitionBy("user_id")))
+    counted = materialize(_cut(fresh, [F.col("draw")]).withColumn("__got", F.count("*").over(Window.partitionBy("user_id"))), "drawn")
     enough = counted.where(F.col("__got") >= F.col("need")).select("user_id", "item_id")
     short = need.join(enough.select("user_id").distinct(), "user_id", "left_anti")
     rest = short.crossJoin(index.select("item_id")).join(used.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
@@ -93,41 +94,81 @@ def neg_genre_quota(pos: DataFrame, train: DataFrame, items: DataFrame, k: int)
     return rows.select("user_id", "genre", (F.col("q") - cut + extra).cast("long").alias("quota"))
 
 
-def neg_genre_proportional(pos: DataFrame, train: DataFrame, items: DataFrame, used: DataFrame, k: int, seed: int = 42, passes: int = 2) -> DataFrame:
+class _Genres:
+    """The items of each genre, numbered from 0 within it, and how many there are."""
+
+    def __init__(self, items: DataFrame) -> None:
+        index = dense_index(genre_items(items), ["genre", "item_id"], "at")
+        self.sizes = materialize(index.groupBy("genre").agg(F.min("at").alias("first"), F.count("*").alias("size")), "genres")
+        self.index = index
+
+    def draw(self, wanted: DataFrame, key: list[str], seed: Column | int, draws: int = 2, slack: int = 8) -> DataFrame:
+        """(key, genre, wanted, item_id, draw): items drawn by number for each row of `wanted`, each once; some more than asked for."""
+        tries = wanted.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wanted") * draws + slack - 1))).join(self.sizes, "genre")
+        at = F.col("first") + hash_int(hash_key(seed, *key, "genre", "draw")) % F.col("size")
+        once = tries.withColumn("at", at).groupBy(*key, "genre", "wanted", "at").agg(F.min("draw").alias("draw"))
+        return once.join(self.index.select("at", "item_id"), "at").select(*key, "genre", "wanted", "item_id", "draw")
+
+
+def neg_genre_proportional(pos: DataFrame, train: DataFrame, items: DataFrame, used: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """(user_id, item_id, label 0) by the quotas of `neg_genre_quota`.
 
-    In each pass items of a genre are drawn by hash up to the quota; an item
-    drawn for two genres counts for the first by name, and the next pass fills
-    what is missing. What is still missing is in `shortfall`.
+    Items of a genre are drawn by number up to the quota; an item drawn for two
+    genres counts for the first by name. What is missing then is chosen by hash
+    from all unused items of the genre, and what the genre does not have is
+    dealt over the user's other genres, the most frequent in train first. Only
+    users who are short meet all items of their genres. `shortfall` tells who
+    has no unused item left in any of them.
     """
-    quota, taken = neg_genre_quota(pos, train, items, k), None
-    by_genre = genre_items(items)
-    banned = used.select("user_id", "item_id")
-    for _ in range(passes):
-        candidates = quota.join(by_genre, "genre").join(banned, ["user_id", "item_id"], "left_anti")
-        window = Window.partitionBy("user_id", "genre").orderBy(hash_key(seed, "user_id", "item_id"), "item_id")
-        drawn = candidates.withColumn("__rn", F.row_number().over(window)).where(F.col("__rn") <= F.col("quota"))
-        once = drawn.groupBy("user_id", "item_id").agg(F.min("genre").alias("genre"))
-        taken = once if taken is None else taken.unionByName(once)
+    banned = used.select("user_id", "item_id").distinct()
+    quota = materialize(neg_genre_quota(pos, train, items, k), "quota")
+    genres = _Genres(items)
+    by_genre = genres.index.select("genre", "item_id")
+
+    def kept(candidates: DataFrame, order: list[Column]) -> DataFrame:
+        """The first `wanted` of each genre, an item of several genres in the first by name."""
+        once = candidates.groupBy("user_id", "item_id").agg(F.min(F.struct("genre", "wanted", *order)).alias("c")).select("user_id", "item_id", "c.*")
+        window = Window.partitionBy("user_id", "genre").orderBy(*order, "item_id")
+        return once.withColumn("__rn", F.row_number().over(window)).where("__rn <= wanted").select("user_id", "item_id", "genre")
+
+    def missing(taken: DataFrame) -> DataFrame:
         got = taken.groupBy("user_id", "genre").agg(F.count("*").alias("got"))
-        quota = neg_genre_quota(pos, train, items, k).join(got, ["user_id", "genre"], "left").select("user_id", "genre", (F.col("quota") - F.coalesce("got", F.lit(0))).alias("quota")).where("quota > 0")
-        banned = used.select("user_id", "item_id").unionByName(taken.select("user_id", "item_id"))
-    return taken.select("user_id", "item_id").withColumn("label", F.lit(0))
+        return quota.join(got, ["user_id", "genre"], "left").select("user_id", "genre", (F.col("quota") - F.coalesce("got", F.lit(0))).alias("wanted")).where("wanted > 0")
+
+    drawn = genres.draw(quota.withColumnRenamed("quota", "wanted"), ["user_id"], seed).join(banned, ["user_id", "item_id"], "left_anti")
+    first = materialize(kept(drawn, [F.col("draw")]), "first")
+    left = missing(first).join(by_genre, "genre").join(banned.unionByName(first.select("user_id", "item_id")), ["user_id", "item_id"], "left_anti")
+    second = materialize(kept(left.withColumn("turn", hash_key(seed, "user_id", "genre", "item_id")), [F.col("turn")]), "second")
+    taken = first.unionByName(second)
+    short = missing(taken).groupBy("user_id").agg(F.sum("wanted").alias("need"))
+    counts = train.join(by_genre, "item_id").groupBy("user_id", "genre").agg(F.count("*").alias("cnt")).join(short, "user_id")
+    rest = counts.join(by_genre, "genre").join(banned.unionByName(taken.select("user_id", "item_id")), ["user_id", "item_id"], "left_anti")
+    best = rest.groupBy("user_id", "item_id", "need").agg(F.min(F.struct((-F.col("cnt")).alias("c"), "genre")).alias("g"))
+    third = _cut(best, [F.col("g.c"), F.col("g.genre"), hash_key(seed, "user_id", "item_id"), F.col("item_id")])
+    return taken.select("user_id", "item_id").unionByName(third.select("user_id", "item_id")).withColumn("label", F.lit(0))
 
 
 def neg_genre(pos: DataFrame, items: DataFrame, used: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """(user_id, ref_item, item_id, label 0): for each positive, `k` of its genres in the order of a hash, an unused item of each.
 
-    With fewer than `k` genres they are gone through again, for the next item of the genre's draw.
+    With fewer than `k` genres they are gone through again, for the next item of
+    the genre's draw. Items are drawn by number within the genre; a positive
+    whose draws do not suffice chooses among all unused items of that genre.
     """
-    genres = genre_items(items)
-    mine = pos.select("user_id", F.col("item_id").alias("ref_item")).distinct().join(genres.withColumnRenamed("item_id", "ref_item"), "ref_item")
+    genres = _Genres(items)
+    mine = pos.select("user_id", F.col("item_id").alias("ref_item")).distinct().join(genres.index.select("genre", F.col("item_id").alias("ref_item")), "ref_item")
     group = Window.partitionBy("user_id", "ref_item")
     mine = mine.withColumns({"__n": F.count("*").over(group), "__g": F.row_number().over(group.orderBy(hash_key(seed, "user_id", "ref_item", "genre"), "genre")) - 1})
-    turns = mine.withColumn("__times", F.floor((F.lit(k - 1) - F.col("__g")) / F.col("__n")) + 1).where("__times > 0")
-    found = turns.join(genres, "genre").join(used.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    draw = Window.partitionBy("user_id", "ref_item", "genre").orderBy(hash_key(seed, "user_id", "ref_item", "item_id"), "item_id")
-    return found.withColumn("__rn", F.row_number().over(draw)).where(F.col("__rn") <= F.col("__times")).select("user_id", "ref_item", "item_id").distinct().withColumn("label", F.lit(0))
+    turns = materialize(mine.withColumn("wanted", F.floor((F.lit(k - 1) - F.col("__g")) / F.col("__n")) + 1).where("wanted > 0").select("user_id", "ref_item", "genre", "wanted"), "turns")
+    key, banned = ["user_id", "ref_item", "genre"], used.select("user_id", "item_id").distinct()
+    fresh = genres.draw(turns, ["user_id", "ref_item"], seed).join(banned, ["user_id", "item_id"], "left_anti")
+    window = Window.partitionBy(*key)
+    cut = fresh.withColumn("__rn", F.row_number().over(window.orderBy("draw"))).where("__rn <= wanted").withColumn("__got", F.count("*").over(window))
+    enough = materialize(cut.where("__got >= wanted").select(*key, "item_id"), "enough")
+    short = turns.join(enough, key, "left_anti")
+    rest = short.join(genres.index.select("genre", "item_id"), "genre").join(banned, ["user_id", "item_id"], "left_anti")
+    again = rest.withColumn("__rn", F.row_number().over(window.orderBy(hash_key(seed, "user_id", "ref_item", "item_id"), "item_id"))).where("__rn <= wanted")
+    return enough.unionByName(again.select(*key, "item_id")).select("user_id", "ref_item", "item_id").distinct().withColumn("label", F.lit(0))
 
 
 def neg_search(pos: DataFrame, ranking: DataFrame, used: DataFrame, n: int, depth: int = 1000) -> DataFrame:

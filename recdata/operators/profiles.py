@@ -8,26 +8,37 @@ from pyspark.sql import functions as F
 from recdata.functions.scalar import hash_key
 from recdata.functions.text import END_OF_ITEM, chunk_items, chunk_tokens, join_fields, ngrams, normalise_text, sentences, tokenize
 
+from .sample import most_frequent
 
+#: Terms of an idf table that are sent to every task, at most.
+HEAD = 100_000
 
-def _ordered(key: str, order: list[Column], text: str, separator: str) -> Column:
+
+def _ordered(order: list[Column], text: str, separator: str) -> Column:
     """Texts of a group joined in the given order."""
     rows = F.array_sort(F.collect_list(F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)), F.col(text).alias("text"))))
     return F.array_join(F.transform(rows, lambda r: r["text"]), separator)
 
 
-def user_profile(inter: DataFrame, items: DataFrame, users: DataFrame, item_fields: list[str], review_fields: list[str] = (), user_fields: list[str] = (), least: int | None = None, per_item: bool = False, lower: bool = True) -> DataFrame:
+def user_profile(
+    inter: DataFrame, items: DataFrame, users: DataFrame, item_fields: list[str], review_fields: list[str] = (), user_fields: list[str] = (), least: int | None = None, per_item: bool = False, lower: bool = True, earlier: DataFrame | None = None
+) -> DataFrame:
     """(user_id, text): fields of the user, then of their items with their reviews, best rated first, then smaller item ids.
 
     `least` keeps ratings of at least that value only; `per_item` ends each
-    item with a mark. Users without any text have an empty one.
+    item with a mark. Users without any text have an empty one. `earlier`
+    (user_id, text) is a profile made before, which comes after the user's own
+    fields; users without one are dropped, as an inner join has it.
     """
+    if earlier is not None:
+        users = users.join(earlier.select("user_id", F.col("text").alias("__earlier")), "user_id")
+        user_fields = [*user_fields, "__earlier"]
     rows = inter if least is None else inter.where(F.col("rating") >= least)
     rows = rows.join(items.select("item_id", *item_fields), "item_id")
     text = join_fields([F.col(c) for c in (*item_fields, *review_fields)])
     text = F.concat(text, F.lit(END_OF_ITEM)) if per_item else text
     rows = rows.select("user_id", "item_id", F.coalesce("rating", F.lit(-1)).alias("rating"), text.alias("text"))
-    joined = rows.groupBy("user_id").agg(_ordered("user_id", [-F.col("rating"), F.col("item_id")], "text", "" if per_item else ". ").alias("collected"))
+    joined = rows.groupBy("user_id").agg(_ordered([-F.col("rating"), F.col("item_id")], "text", "" if per_item else ". ").alias("collected"))
     whole = users.select("user_id", *user_fields).join(joined, "user_id", "left")
     final = join_fields([*(F.col(c) for c in user_fields), F.col("collected")]) if user_fields or not per_item else F.coalesce("collected", F.lit(""))
     return whole.select("user_id", normalise_text(final, lower=lower, negation=lower).alias("text"))
@@ -37,11 +48,17 @@ def item_profile(items: DataFrame, inter: DataFrame, users: DataFrame, item_fiel
     """(item_id, text): fields of the item, then of the users who rated it with their reviews, best ratings first, then smaller user ids."""
     rows = inter.join(users.select("user_id", *user_fields), "user_id")
     rows = rows.select("item_id", "user_id", F.coalesce("rating", F.lit(-1)).alias("rating"), join_fields([F.col(c) for c in (*user_fields, *review_fields)]).alias("text"))
-    joined = rows.groupBy("item_id").agg(_ordered("item_id", [-F.col("rating"), F.col("user_id")], "text", ". ").alias("collected"))
+    joined = rows.groupBy("item_id").agg(_ordered([-F.col("rating"), F.col("user_id")], "text", ". ").alias("collected"))
     whole = items.select("item_id", *item_fields).join(joined, "item_id", "left")
     return whole.select("item_id", normalise_text(join_fields([*(F.col(c) for c in item_fields), F.col("collected")])).alias("text"))
 
 
+def item_profile_from_items(items: DataFrame, fields: list[str], lists: list[str] = (), lower: bool = True, negation: bool = True) -> DataFrame:
+    """(item_id, text): the fields of an item table alone, joined by ". ". Fields in `lists` are arrays, written with commas; null counts as empty."""
+    written = [F.array_join(F.coalesce(f, F.array().cast("array<string>")), ", ") if f in lists else F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    return items.select("item_id", normalise_text(F.concat_ws(". ", *written), lower=lower, negation=negation).alias("text"))
+
+
 def _sentence_rows(profile: DataFrame, key: str) -> DataFrame:
     return profile.select(key, F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
 
@@ -51,17 +68,23 @@ def rank_sentences(profile: DataFrame, idf: DataFrame, oov: str = "skip", vocab:
 
     oov: unknown tokens are skipped, or count as zero. With `vocab` (term) the
     tokens outside it count as zero. A sentence without a known token scores
-    `empty_score`. Profiles without sentences have an empty text.
+    `empty_score`. Profiles without sentences have an empty text. `idf` has term,
+    df and idf; its HEAD most frequent terms are sent to every task, so that
+    only rare tokens are shuffled by term.
     """
     rows = _sentence_rows(profile, key)
     table = idf if vocab is None else idf.join(vocab.select("term"), "term", "left_semi")
     tokens = rows.select(key, "pos", F.explode(tokenize(F.col("sentence"))).alias("term"))
-    known = tokens.join(table.select("term", "idf"), "term", "left")
-    value = F.coalesce("idf", F.lit(0.0)) if oov == "zero" or vocab is not None else F.col("idf")
-    scores = known.groupBy(key, "pos").agg(F.avg(value).alias("mean"), F.count("idf").alias("n_known"))
-    score = F.when(F.coalesce("n_known", F.lit(0)) > 0, F.col("mean")).otherwise(F.lit(float(empty_score)))
+    frequent, others = most_frequent(table.select("term", "df", "idf"), HEAD, "df")
+    found = tokens.join(F.broadcast(frequent.select("term", F.col("idf").alias("told"))), "term", "left")
+    sums = found.groupBy(key, "pos").agg(F.count("*").alias("n"), F.sum("told").alias("s"), F.count("told").alias("k"))
+    rare = found.where("told IS NULL").join(others.select("term", "idf"), "term")
+    sums = sums.unionByName(rare.groupBy(key, "pos").agg(F.lit(0).cast("long").alias("n"), F.sum("idf").alias("s"), F.count("idf").alias("k")))
+    scores = sums.groupBy(key, "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("k").alias("n_known"))
+    mean = F.col("s") / F.col("n" if oov == "zero" or vocab is not None else "n_known")
+    score = F.when(F.coalesce("n_known", F.lit(0)) > 0, mean).otherwise(F.lit(float(empty_score)))
     scored = rows.join(scores, [key, "pos"], "left").withColumn("score", F.round(score, 9))
-    joined = scored.groupBy(key).agg(_ordered(key, [-F.col("score"), F.col("pos")], "sentence", " ").alias("text"))
+    joined = scored.groupBy(key).agg(_ordered([-F.col("score"), F.col("pos")], "sentence", " ").alias("text"))
     return profile.select(key).join(joined, key, "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
@@ -80,7 +103,7 @@ def rank_ngrams(profile: DataFrame, idf: DataFrame, sizes: tuple[int, ...] = (1,
 def shuffle_sentences(profile: DataFrame, seed: int = 42, key: str = "user_id") -> DataFrame:
     """(key, text): the sentences of a profile in an order given by a hash."""
     rows = _sentence_rows(profile, key).withColumn("order", hash_key(seed, key, "pos"))
-    return rows.groupBy(key).agg(_ordered(key, [F.col("order"), F.col("pos")], "sentence", " ").alias("text"))
+    return rows.groupBy(key).agg(_ordered([F.col("order"), F.col("pos")], "sentence", " ").alias("text"))
 
 
 def match_sentences(inter: DataFrame, items: DataFrame, idf: DataFrame, review: str = "review") -> DataFrame:
@@ -100,7 +123,7 @@ def match_sentences(inter: DataFrame, items: DataFrame, idf: DataFrame, review:
     like = F.when((F.col("sn") > 0) & (F.col("inorm") > 0), F.coalesce("d", F.lit(0.0)) / (F.col("sn") * F.col("inorm"))).otherwise(0.0)
     turn = F.row_number().over(Window.partitionBy("user_id", "item_id").orderBy(F.desc(F.round(like, 9)), "pos"))
     ranked = scored.withColumn("turn", turn)
-    return ranked.groupBy("user_id").agg(_ordered("user_id", [F.col("turn"), -F.col("rating"), F.col("item_id")], "sentence", " ").alias("text"))
+    return ranked.groupBy("user_id").agg(_ordered([F.col("turn"), -F.col("rating"), F.col("item_id")], "sentence", " ").alias("text"))
 
 
 def profile_chunks(profile: DataFrame, size: int, per_item: bool = False, key: str = "user_id") -> DataFrame:

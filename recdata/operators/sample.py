@@ -89,14 +89,31 @@ def frontier(inter: DataFrame, start: DataFrame, per_item: int, per_user: int, t
     return seen["user_id"], seen["item_id"], rounds
 
 
-def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
-    """(key, index): distinct keys numbered from 0 in their order.
+def dense_index(df: DataFrame, key: str | list[str], name: str = "idx") -> DataFrame:
+    """(key columns, index): distinct keys numbered from 0 in their order; keys with a null are left out.
 
     Keys are range-partitioned and stored; each range counts on from the ranges
     before it, so no task sees all of them.
     """
-    parts = materialize(df.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id()), "ranges")
+    keys = [key] if isinstance(key, str) else key
+    found = df.select(*keys).where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).distinct()
+    parts = materialize(found.repartitionByRange(*map(F.col, keys)).withColumn("__part", F.spark_partition_id()), "ranges")
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
-    return parts.withColumn("__rn", rank).join(F.broadcast(before), "__part").select(key, (F.col("__rn") + F.col("__before")).cast("long").alias(name))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1
+    return parts.withColumn("__rn", rank).join(F.broadcast(before), "__part").select(*keys, (F.col("__rn") + F.col("__before")).cast("long").alias(name))
+
+
+def most_frequent(table: DataFrame, most: int, count: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows with the largest counts, `most` at most; all others).
+
+    Cuts at a quarter of a power of two, so that only the number of rows for
+    each of these levels, 256 at most, reaches the driver.
+    """
+    level, kept, cut = F.floor(F.log2(F.col(count)) * 4), 0, None
+    for row in table.groupBy(level.alias("level")).agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():
+        if kept + row["k"] > most:
+            break
+        kept, cut = kept + row["k"], row["level"]
+    inside = F.coalesce(level >= cut, F.lit(False)) if cut is not None else F.lit(False)
+    return table.where(inside), table.where(~inside)

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recdata.functions.scalar import cosine, dot, scale_clamp
 
+#: Items of one part of a user, about.
+HEAVY = 1000
+
 
 def item_jaccard(inter: DataFrame) -> DataFrame:
     """(item_a, item_b, sim) with item_a < item_b: Jaccard similarity of the items' user sets, for pairs with a user in common.
 
     Pairs come from an equi-join on the user, so only those with a similarity
-    over zero are ever formed, and are counted before they are shuffled.
+    over zero are ever formed, and are counted before they are shuffled. A user
+    with over HEAVY items is cut into parts, each pair of parts a key of its own.
     """
     edges = inter.select("user_id", "item_id").distinct()
     sizes = edges.groupBy("item_id").agg(F.count("*").alias("n"))
-    a = edges.withColumnRenamed("item_id", "item_a")
-    b = edges.withColumnRenamed("item_id", "item_b")
-    common = a.join(b, "user_id").where("item_a < item_b").groupBy("item_a", "item_b").agg(F.count("*").alias("c"))
+    parts = F.ceil(F.count("*").over(Window.partitionBy("user_id")) / HEAVY).cast("int")
+    dealt = edges.withColumn("parts", parts).withColumns({"own": F.pmod(F.xxhash64("item_id"), F.col("parts").cast("long")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    a = dealt.select("user_id", F.col("item_id").alias("item_a"), F.col("own").alias("x"), F.col("other").alias("y"))
+    b = dealt.select("user_id", F.col("item_id").alias("item_b"), F.col("other").alias("x"), F.col("own").alias("y"))
+    common = a.join(b, ["user_id", "x", "y"]).where("item_a < item_b").groupBy("item_a", "item_b").agg(F.count("*").alias("c"))
     sized = common.join(sizes.select(F.col("item_id").alias("item_a"), F.col("n").alias("na")), "item_a").join(sizes.select(F.col("item_id").alias("item_b"), F.col("n").alias("nb")), "item_b")
     return sized.select("item_a", "item_b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("sim"))
 

@@ -240,8 +240,8 @@ SPLIT = f"{v.INTERACTIONS}, {v.split_sql()}, train AS (SELECT * FROM split WHERE
 _POS = f"{SPLIT}, pos AS (SELECT user_id, item_id FROM split WHERE split = 'test' AND rating >= 4), used AS (SELECT DISTINCT user_id, item_id FROM split)"
 
 
-def _uniform_sql(catalogue: str = "SELECT DISTINCT item_id FROM split", k: int = K_NEG) -> str:
-    return f"""{_POS}, need AS (SELECT user_id, count(*) * {k} AS need FROM pos GROUP BY user_id),
+def _uniform_sql(catalogue: str = "SELECT DISTINCT item_id FROM split", k: int = K_NEG, pos: str | None = None) -> str:
+    return f"""{pos or _POS}, need AS (SELECT user_id, count(*) * {k} AS need FROM pos GROUP BY user_id),
 idx AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM ({catalogue})),
 tries AS (SELECT user_id, need, d FROM need, range(0, need * 2 + 8) AS t(d)),
 drawn AS (SELECT user_id, need, {v.key_int(42, "user_id", "d")} % (SELECT count(*) FROM idx) AS idx, min(d) AS d FROM tries GROUP BY 1, 2, 3),
@@ -301,18 +301,30 @@ q0 AS (SELECT *, sum(cnt) OVER (PARTITION BY user_id) AS total, count(*) OVER (P
 q1 AS (SELECT *, least(n0, need) AS n, greatest(1, CAST(floor(CAST(cnt * need AS DOUBLE) / total + 0.5) AS BIGINT)) AS q FROM q0 WHERE rn <= need),
 q2 AS (SELECT *, CAST(sum(q) OVER (PARTITION BY user_id) - need AS BIGINT) AS over_, CAST(coalesce(sum(q - 1) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spare FROM q1),
 quota AS (SELECT user_id, genre, CAST(q - greatest(0, least(q - 1, over_ - spare)) + greatest(0, -over_) // n + CASE WHEN rn <= greatest(0, -over_) % n THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q2)"""
-_GENRE_NEG = f"""mine AS (SELECT user_id, p.item_id AS ref_item, genre, count(*) OVER (PARTITION BY user_id, p.item_id) AS n,
+_GENRE_INDEX = """gidx AS (SELECT genre, item_id, row_number() OVER (PARTITION BY genre ORDER BY item_id) - 1 AS idx FROM genre_items), gsize AS (SELECT genre, count(*) AS size FROM genre_items GROUP BY genre)"""
+_GENRE_NEG = f"""{_GENRE_INDEX}, mine AS (SELECT user_id, p.item_id AS ref_item, genre, count(*) OVER (PARTITION BY user_id, p.item_id) AS n,
   row_number() OVER (PARTITION BY user_id, p.item_id ORDER BY {v.key(42, "user_id", "p.item_id", "genre")}, genre) - 1 AS g FROM pos AS p JOIN genre_items AS gi ON gi.item_id = p.item_id),
-found AS (SELECT user_id, ref_item, m.genre, (3 - g) // n + 1 AS times, i.item_id FROM mine AS m JOIN genre_items AS i USING (genre) WHERE g <= 3),
-genre_neg AS (SELECT DISTINCT user_id, ref_item, item_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id, ref_item, genre ORDER BY {v.key(42, "user_id", "ref_item", "item_id")}, item_id) AS rn FROM found ANTI JOIN used USING (user_id, item_id)) WHERE rn <= times)"""
-
-
-def _drawn_sql(name: str, quota: str, banned: str) -> str:
-    """SQL of one pass of `negatives.neg_genre_proportional`."""
-    return f"""{name} AS (SELECT user_id, item_id, min(genre) AS genre FROM (
-  SELECT user_id, genre, quota, item_id, row_number() OVER (PARTITION BY user_id, genre ORDER BY {v.key(42, "user_id", "item_id")}, item_id) AS rn
-  FROM (SELECT user_id, genre, quota, item_id FROM {quota} JOIN genre_items USING (genre)) ANTI JOIN {banned} USING (user_id, item_id)) WHERE rn <= quota GROUP BY 1, 2)"""
+turns AS (SELECT user_id, ref_item, genre, (3 - g) // n + 1 AS wanted FROM mine WHERE g <= 3),
+tries AS (SELECT user_id, ref_item, genre, wanted, d FROM turns, range(0, wanted * 2 + 8) AS r(d)),
+drawn AS (SELECT user_id, ref_item, genre, wanted, {v.key_int(42, "user_id", "ref_item", "genre", "d")} % size AS idx, min(d) AS d FROM tries JOIN gsize USING (genre) GROUP BY ALL),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY user_id, ref_item, genre ORDER BY d) AS rn FROM (SELECT * FROM drawn JOIN gidx USING (genre, idx)) ANTI JOIN used USING (user_id, item_id)),
+enough AS (SELECT user_id, ref_item, genre, item_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id, ref_item, genre) AS got FROM fresh WHERE rn <= wanted) WHERE got >= wanted),
+again AS (SELECT *, row_number() OVER (PARTITION BY user_id, ref_item, genre ORDER BY {v.key(42, "user_id", "ref_item", "item_id")}, item_id) AS rn
+  FROM (SELECT user_id, ref_item, genre, wanted, item_id FROM (SELECT * FROM turns ANTI JOIN enough USING (user_id, ref_item, genre)) JOIN genre_items USING (genre)) ANTI JOIN used USING (user_id, item_id)),
+genre_neg AS (SELECT user_id, ref_item, item_id FROM enough UNION SELECT user_id, ref_item, item_id FROM again WHERE rn <= wanted)"""
+_PROPORTIONAL = f"""{_GENRE_INDEX}, tries AS (SELECT user_id, genre, quota AS wanted, d FROM quota, range(0, quota * 2 + 8) AS r(d)),
+drawn AS (SELECT user_id, genre, wanted, {v.key_int(42, "user_id", "genre", "d")} % size AS idx, min(d) AS d FROM tries JOIN gsize USING (genre) GROUP BY ALL),
+c1 AS (SELECT user_id, item_id, min(genre) AS genre, arg_min(wanted, genre) AS wanted, arg_min(d, genre) AS turn FROM (SELECT * FROM drawn JOIN gidx USING (genre, idx)) ANTI JOIN used USING (user_id, item_id) GROUP BY user_id, item_id),
+p1 AS (SELECT user_id, item_id, genre FROM (SELECT *, row_number() OVER (PARTITION BY user_id, genre ORDER BY turn, item_id) AS rn FROM c1) WHERE rn <= wanted),
+m1 AS (SELECT user_id, genre, quota - coalesce(got, 0) AS wanted FROM quota LEFT JOIN (SELECT user_id, genre, count(*) AS got FROM p1 GROUP BY ALL) USING (user_id, genre) WHERE quota > coalesce(got, 0)),
+b1 AS (SELECT user_id, item_id FROM used UNION SELECT user_id, item_id FROM p1),
+c2 AS (SELECT user_id, item_id, min(genre) AS genre, arg_min(wanted, genre) AS wanted, arg_min({v.key(42, "user_id", "genre", "item_id")}, genre) AS turn FROM (SELECT user_id, genre, wanted, item_id FROM m1 JOIN genre_items USING (genre)) ANTI JOIN b1 USING (user_id, item_id) GROUP BY user_id, item_id),
+p2 AS (SELECT user_id, item_id, genre FROM (SELECT *, row_number() OVER (PARTITION BY user_id, genre ORDER BY turn, item_id) AS rn FROM c2) WHERE rn <= wanted),
+taken AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2),
+short AS (SELECT user_id, CAST(sum(quota - coalesce(got, 0)) AS BIGINT) AS need FROM quota LEFT JOIN (SELECT user_id, genre, count(*) AS got FROM taken GROUP BY ALL) USING (user_id, genre) WHERE quota > coalesce(got, 0) GROUP BY user_id),
+b2 AS (SELECT user_id, item_id FROM used UNION SELECT user_id, item_id FROM taken),
+rest AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY cnt DESC, genre) AS best FROM (SELECT user_id, need, cnt, genre, item_id FROM cnts JOIN short USING (user_id) JOIN genre_items USING (genre)) ANTI JOIN b2 USING (user_id, item_id)),
+p3 AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cnt DESC, genre, {v.key(42, "user_id", "item_id")}, item_id) AS rn FROM rest WHERE best = 1) WHERE rn <= need)"""
 
 
 def bm25_sql(queries: str, docs: str, topn: int, name: str = "ranking", tags: str | None = None) -> str:
@@ -356,15 +368,13 @@ def _moments(kind: str, key: str) -> str:
 
 ORACLES = {
     "neg_uniform": f"WITH {_uniform_sql()} SELECT * FROM neg",
-    "neg_uniform_checks": "SELECT * FROM (VALUES ('used', 0::BIGINT), ('positives_only', 0::BIGINT), ('negatives_only', 0::BIGINT)) AS t(\"check\", bad)",
+    "neg_uniform_checks": f"""WITH {_uniform_sql()} SELECT 'used' AS "check", count(*) AS bad FROM neg SEMI JOIN used USING (user_id, item_id)
+UNION ALL SELECT 'positives_only', count(*) FROM (SELECT DISTINCT user_id FROM pos) ANTI JOIN neg USING (user_id) UNION ALL SELECT 'negatives_only', count(*) FROM (SELECT DISTINCT user_id FROM neg) ANTI JOIN pos USING (user_id)""",
     "neg_shortfall": f"WITH {_uniform_sql("SELECT DISTINCT item_id FROM split JOIN part ON p_partkey = item_id WHERE p_brand = 'Brand#11'", 3 * K_NEG)} SELECT user_id, need, coalesce(got, 0) AS got FROM (SELECT user_id, need FROM need) LEFT JOIN (SELECT user_id, count(*) AS got FROM neg GROUP BY user_id) USING (user_id) WHERE coalesce(got, 0) < need",
     "neg_all": f"WITH {_POS} SELECT user_id, item_id FROM (SELECT user_id, item_id FROM (SELECT DISTINCT user_id FROM split WHERE user_id % 20 = 0), (SELECT DISTINCT item_id FROM split)) ANTI JOIN train USING (user_id, item_id)",
     "neg_genre": f"WITH {_POS}, {_GENRES}, {_GENRE_NEG} SELECT * FROM genre_neg",
     "neg_genre_quota": f"WITH {_POS}, {_GENRES}, {_QUOTA} SELECT * FROM quota",
-    "neg_genre_proportional": f"""WITH {_POS}, {_GENRES}, {_QUOTA}, {_drawn_sql("p1", "quota", "used")}, got AS (SELECT user_id, genre, count(*) AS got FROM p1 GROUP BY ALL),
-missing AS (SELECT user_id, genre, quota - coalesce(got, 0) AS quota FROM quota LEFT JOIN got USING (user_id, genre) WHERE quota > coalesce(got, 0)),
-banned AS (SELECT user_id, item_id FROM used UNION SELECT user_id, item_id FROM p1), {_drawn_sql("p2", "missing", "banned")}
-SELECT user_id, item_id FROM p1 UNION ALL SELECT user_id, item_id FROM p2""",
+    "neg_genre_proportional": f"WITH {_POS}, {_GENRES}, {_QUOTA}, {_PROPORTIONAL} SELECT user_id, item_id FROM taken UNION ALL SELECT * FROM p3",
     "neg_search": f"""WITH {_POS}, {_ITEM_DOCS}, {_QUERY_ITEMS}, {bm25_sql("asked", "docs", 100)},
 near AS (SELECT DISTINCT user_id, item_id AS ref_item, doc_item AS item_id, rank FROM pos JOIN ranking ON query_item = item_id AND doc_item <> item_id)
 SELECT user_id, item_id, 0 AS label, ref_item FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ref_item ORDER BY rank, item_id) AS rn FROM near ANTI JOIN used USING (user_id, item_id)) WHERE rn <= 10""",
@@ -412,7 +422,9 @@ SELECT split, n_authors, {v.half_up("p / u::DOUBLE", 6)} AS authors_per_user, {v
     "stats_train_only": f"WITH {SPLIT} SELECT count(DISTINCT user_id) AS n_users, count(*) AS n_rows FROM split WHERE user_id NOT IN (SELECT user_id FROM split WHERE split <> 'train')",
     "stats_ratings": f"WITH {v.INTERACTIONS} SELECT count(*) AS n, {', '.join(f'count(*) FILTER (WHERE rating = {r}) AS n_{r}' for r in range(1, 6))} FROM inter",
     "stats_labels": f"WITH {_CAND}, {_groups_sql(5, 25)} SELECT \"group\", count(*) FILTER (WHERE label = 1) AS n_pos, count(*) FILTER (WHERE label = 0) AS n_neg FROM cand JOIN groups USING (user_id) GROUP BY 1",
-    "split_checks": "SELECT * FROM (VALUES ('repeated_users', 0::BIGINT), ('repeated_items', 0::BIGINT), ('unknown_users', 0::BIGINT), ('unknown_items', 0::BIGINT), ('pairs_in_two_splits', 0::BIGINT)) AS t(\"check\", bad)",
+    "split_checks": f"""WITH {SPLIT} SELECT 'repeated_users' AS "check", count(*) AS bad FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'repeated_items', count(*) FROM (SELECT p_partkey FROM part GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'unknown_users', count(*) FROM split WHERE user_id NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'unknown_items', count(*) FROM split WHERE item_id NOT IN (SELECT p_partkey FROM part)
+UNION ALL SELECT 'pairs_in_two_splits', count(*) FROM (SELECT user_id, item_id FROM split GROUP BY 1, 2 HAVING count(DISTINCT split) > 1)""",
     "report_runs": f"""WITH {_RUNS} SELECT run, profile, lr, "group", n_users, {", ".join(f"{_HUNDRED(m)} AS {m}" for m in ("ndcg_5", "p_1", "rr"))} FROM runs
 JOIN (VALUES ('popular', 'count', 0.0::DOUBLE), ('random', 'none', 0.0::DOUBLE), ('mixed', 'count', 0.01::DOUBLE)) AS c(run, profile, lr) USING (run)""",
     "report_best": f"""WITH {_RUNS}, long AS (SELECT run, "group", 'ndcg_5' AS metric, {_HUNDRED("ndcg_5")} AS value FROM runs UNION ALL SELECT run, "group", 'rr', {_HUNDRED("rr")} FROM runs)

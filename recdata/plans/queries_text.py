@@ -166,7 +166,7 @@ def favourite_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(similarity.item_jaccard(v.interactions(spark, sf_dir).where("rating >= 4")))
+    return _rounded(similarity.item_jaccard(v.interactions(spark, sf_dir)))
 
 
 def _tested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -296,7 +296,7 @@ def _normal_sql(text: str) -> str:
     return f"replace(lower(replace(coalesce({text}, ''), '<end of review>', '')), 'n''t', ' not')"
 
 
-_COSINE = "CASE WHEN list_dot_product(a.vec, a.vec) > 0 AND list_dot_product(b.vec, b.vec) > 0 THEN list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) ELSE 0 END"
+_COSINE = "CASE WHEN na > 0 AND nb > 0 THEN list_dot_product(a.vec, b.vec) / (na * nb) ELSE 0 END"
 _JACCARD = """jac AS (SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) / (any_value(na.n) + any_value(nb.n) - count(*))::DOUBLE AS sim
   FROM {t} AS a JOIN {t} AS b ON a.user_id = b.user_id AND a.item_id < b.item_id JOIN (SELECT item_id, count(*) AS n FROM {t} GROUP BY 1) AS na ON na.item_id = a.item_id
   JOIN (SELECT item_id, count(*) AS n FROM {t} GROUP BY 1) AS nb ON nb.item_id = b.item_id GROUP BY 1, 2)"""
@@ -352,12 +352,12 @@ ranked AS (SELECT r.user_id, r.item_id, rating, sentence, row_number() OVER (PAR
 made AS (SELECT user_id, string_agg(sentence, ' ' ORDER BY turn, rating DESC, item_id) AS text FROM ranked GROUP BY user_id)
 SELECT user_id, length(text) AS n_chars, md5(text) AS text_md5 FROM made""",
     "favourite_genres": f"WITH {v.INTERACTIONS}, {_GENRES}, c AS (SELECT user_id, genre, count(*) AS n FROM inter JOIN genre_items USING (item_id) GROUP BY user_id, genre), g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, genre) AS rn FROM c) SELECT user_id, string_agg(genre, ', ' ORDER BY rn) AS genres FROM g WHERE rn <= 5 GROUP BY user_id",
-    "item_jaccard": f"WITH {v.INTERACTIONS}, liked AS (SELECT * FROM inter WHERE rating >= 4), {_JACCARD.format(t='liked')} SELECT item_a, item_b, {v.half_up('sim', 6)} AS sim FROM jac",
+    "item_jaccard": f"WITH {v.INTERACTIONS}, {_JACCARD.format(t='inter')} SELECT item_a, item_b, {v.half_up('sim', 6)} AS sim FROM jac",
     "user_item_jaccard": f"""WITH {_POS}, {_JACCARD.format(t="train")}
 SELECT p.user_id, p.item_id, {v.half_up("avg(coalesce(sim, 0))", 6)} AS sim FROM pos AS p JOIN train AS t ON t.user_id = p.user_id AND t.item_id <> p.item_id
 LEFT JOIN jac ON item_a = least(p.item_id, t.item_id) AND item_b = greatest(p.item_id, t.item_id) GROUP BY 1, 2""",
     "item_cf_sim": f"""WITH {_POS}, {v.ITEM_VECTORS}, pairs AS (SELECT DISTINCT least(p.item_id, t.item_id) AS item_a, greatest(p.item_id, t.item_id) AS item_b FROM pos AS p JOIN train AS t ON t.user_id = p.user_id AND t.item_id <> p.item_id)
-SELECT item_a, item_b, {v.half_up(_COSINE, 6)} AS sim FROM pairs JOIN item_vecs AS a ON a.item_id = item_a JOIN item_vecs AS b ON b.item_id = item_b""",
+SELECT item_a, item_b, {v.half_up("sim", 6)} AS sim FROM (SELECT item_a, item_b, {_COSINE} AS sim FROM pairs JOIN (SELECT item_id, vec, sqrt(list_dot_product(vec, vec)) AS na FROM item_vecs) AS a ON a.item_id = item_a JOIN (SELECT item_id, vec, sqrt(list_dot_product(vec, vec)) AS nb FROM item_vecs) AS b ON b.item_id = item_b)""",
     "user_item_cf_sim": f"""WITH {_POS}, {v.ITEM_VECTORS}
 SELECT p.user_id, p.item_id, {v.half_up("avg(greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_dot_product(a.vec, b.vec) + 0.5::DOUBLE)))", 6)} AS sim FROM pos AS p JOIN train AS t ON t.user_id = p.user_id AND t.item_id <> p.item_id
 JOIN item_vecs AS a ON a.item_id = p.item_id JOIN item_vecs AS b ON b.item_id = t.item_id GROUP BY 1, 2""",
