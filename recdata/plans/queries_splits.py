@@ -123,7 +123,7 @@ def clean_same_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     inter = v.interactions(spark, sf_dir)
-    edges = filters.filter_rating(inter, 5).select((F.col("user_id") * 2).alias("a"), (F.col("item_id") * 2 + 1).alias("b"))
+    edges = inter.select((F.col("user_id") * 2).alias("a"), (F.col("item_id") * 2 + 1).alias("b"))
     return graph.connected_components(edges)
 
 
@@ -185,12 +185,12 @@ moved AS (SELECT user_id, coalesce(canonical, item_id) AS item_id, rating, revie
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY length(review) DESC, encode(review) DESC, rating DESC) AS rn FROM moved)
 SELECT user_id, item_id, rating, md5(review) AS review FROM ranked WHERE rn = 1""",
     "clean_same_review": f"""WITH {v.INTERACTIONS},
-rows AS (SELECT user_id, inter.item_id, rating, text AS review FROM inter JOIN benchmark AS b ON b.item_id = inter.item_id % (SELECT count(*) FROM benchmark)),
+rows AS (SELECT user_id, item_id, rating, text AS review FROM inter JOIN documents ON doc_id = item_id % (SELECT count(*) FROM documents)),
 used AS (SELECT item_id, count(*) AS uses FROM rows GROUP BY item_id),
 told AS (SELECT rows.*, uses, substr(p_brand, 1, 7) AS author, (p_size % 5) % 2 AS avg_rating FROM rows JOIN used USING (item_id) LEFT JOIN part ON p_partkey = item_id),
 ranked AS (SELECT *, row_number() OVER w AS n, first_value(author) OVER w AS a, first_value(avg_rating) OVER w AS r FROM told WINDOW w AS (PARTITION BY user_id, rating, review ORDER BY uses DESC, item_id))
 SELECT user_id, item_id, rating FROM ranked WHERE trim(review) = '' OR NOT (n > 1 AND author IS NOT DISTINCT FROM a AND avg_rating IS NOT DISTINCT FROM r)""",
-    "components": f"""WITH RECURSIVE {v.INTERACTIONS}, e AS (SELECT DISTINCT user_id * 2 AS a, item_id * 2 + 1 AS b FROM inter WHERE rating = 5),
+    "components": f"""WITH RECURSIVE {v.INTERACTIONS}, e AS (SELECT DISTINCT user_id * 2 AS a, item_id * 2 + 1 AS b FROM inter),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 least(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM both_ways UNION
   SELECT e.b, min(n.component) FROM least AS n JOIN both_ways AS e ON e.a = n.node JOIN recurring.least AS k ON k.node = e.b WHERE n.component < k.component GROUP BY e.b)

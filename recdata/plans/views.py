@@ -64,19 +64,19 @@ def item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str, inter: DataFrame) -> DataFrame:
-    """`inter` with the text of a review: a passage of `benchmark` chosen by user and item."""
-    return _passages(spark, sf_dir, inter, F.col("user_id") * 31 + F.col("item_id"))
+    """`inter` with the text of a review: the document whose doc_id is chosen by user and item."""
+    return _chosen(spark, sf_dir, inter, F.col("user_id") * 31 + F.col("item_id"))
 
 
 def item_reviews(spark: SparkSession, sf_dir: str, inter: DataFrame) -> DataFrame:
     """`inter` with the text of a review that all reviews of the item share."""
-    return _passages(spark, sf_dir, inter, F.col("item_id"))
+    return _chosen(spark, sf_dir, inter, F.col("item_id"))
 
 
-def _passages(spark: SparkSession, sf_dir: str, inter: DataFrame, number: Column) -> DataFrame:
-    texts = table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("passage"), F.col("text").alias("review"))
+def _chosen(spark: SparkSession, sf_dir: str, inter: DataFrame, number: Column) -> DataFrame:
+    texts = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("text", "review")
     n = texts.agg(F.count("*").alias("n"))
-    return inter.join(F.broadcast(n)).withColumn("passage", number % F.col("n")).drop("n").join(texts, "passage").drop("passage")
+    return inter.join(F.broadcast(n)).withColumn("doc_id", number % F.col("n")).drop("n").join(texts, "doc_id").drop("doc_id")
 
 
 INTERACTIONS = """inter AS (
@@ -89,7 +89,7 @@ USERS = """users AS (SELECT c_custkey AS user_id, c_name AS name, c_mktsegment A
 ITEM_VECTORS = """item_vecs AS (SELECT p_partkey AS item_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings))"""
 USER_VECTORS = """user_vecs AS (SELECT c_custkey AS user_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM customer JOIN embeddings ON vec_id = (c_custkey * 7) % (SELECT count(*) FROM embeddings))"""
 ITEM_TEXTS = """item_texts AS (SELECT p_partkey AS item_id, text FROM part JOIN documents ON doc_id = p_partkey % (SELECT count(*) FROM documents))"""
-REVIEWS = """reviews AS (SELECT i.*, b.text AS review FROM inter AS i JOIN benchmark AS b ON b.item_id = (i.user_id * 31 + i.item_id) % (SELECT count(*) FROM benchmark))"""
+REVIEWS = """reviews AS (SELECT i.*, d.text AS review FROM inter AS i JOIN documents AS d ON d.doc_id = (i.user_id * 31 + i.item_id) % (SELECT count(*) FROM documents))"""
 
 
 def key(seed: int, *columns: str) -> str:
