@@ -56,10 +56,15 @@ def parse_count(value: Column) -> Column:
 
 
 def parse_sales_rank(value: Column) -> Column:
-    """Ranks in Books, paid Kindle store, free Kindle store, and the first of any kind; infinity where there is none."""
-    patterns = {"books": r"([\d,]+) in Books", "paid": r"([\d,]+) Paid in Kindle Store", "free": r"([\d,]+) Free in Kindle Store", "any": r"([\d,]+) "}
-    number = lambda p: F.coalesce(F.regexp_replace(F.nullif(F.regexp_extract(value, p, 1), F.lit("")), ",", "").try_cast("double"), F.lit(float("inf")))
-    return F.struct(*(number(p).alias(name) for name, p in patterns.items()))
+    """The rank in Books, in the paid or the free Kindle store, or in anything else: the first that the text has fills its field, the others are infinite."""
+    patterns = {"books": r"([\d,]+) in Books", "paid": r"([\d,]+) Paid in Kindle Store", "free": r"([\d,]+) Free in Kindle Store", "any": r"([\d,]+) in "}
+    number = lambda p: F.regexp_replace(F.nullif(F.regexp_extract(value, p, 1), F.lit("")), ",", "").try_cast("double")
+    fields, found = [], F.lit(False)
+    for name, pattern in patterns.items():
+        rank = number(pattern)
+        fields.append(F.when(~found & rank.isNotNull(), rank).otherwise(F.lit(float("inf"))).alias(name))
+        found = found | rank.isNotNull()
+    return F.struct(*fields)
 
 
 def bucket(value: Column, bins: tuple = BINS) -> Column:

@@ -121,3 +121,18 @@ def losses(cand: DataFrame, pred: DataFrame, margin: float = 1.0) -> DataFrame:
 
 def keep_trained_users(cand: DataFrame, train: DataFrame) -> DataFrame:
     return cand.join(train.select("user_id"), "user_id", "left_semi")
+
+
+def evaluate_saved(splits: DataFrame, saved: DataFrame, negatives: dict[str, DataFrame], least: int = 4, groups: DataFrame | None = None, **options: object) -> DataFrame:
+    """Metrics of saved predictions for each split in `negatives` (validation, test): columns of `evaluate`, and split.
+
+    Positives are the split's rows rated `least` or better; `negatives` has
+    (user_id, item_id, label) for each split, and `saved` (user_id, item_id,
+    score) over both. Groups are counted among the users of the split.
+    """
+    out = None
+    for name, neg in negatives.items():
+        pos = splits.where((F.col("split") == name) & (F.col("rating") >= least)).select("user_id", "item_id", F.lit(1).alias("label"))
+        found = evaluate(pos.unionByName(neg.select("user_id", "item_id", "label")), saved, groups, **options).withColumn("split", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -43,6 +43,13 @@ def concat_vectors(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key, F.col("vec").alias("va")).join(b.select(key, F.col("vec").alias("vb")), key).select(key, F.concat("va", "vb").alias("vec"))
 
 
+def normalised_ids(df: DataFrame, key: str) -> DataFrame:
+    """(key, vec): one component, the place of the key among all, from 1 on, over their number."""
+    index = materialize(dense_index(df, key), "ids")
+    total = index.agg(F.count("*").alias("n"))
+    return index.join(F.broadcast(total)).select(key, F.array((F.col("idx") + 1) / F.col("n")).alias("vec"))
+
+
 def top_n(user_vectors: DataFrame, item_vectors: DataFrame, used: DataFrame, n: int = 1000, cover: DataFrame | None = None) -> DataFrame:
     """(user_id, item_id, score, rank) of the n best items that a user has not used; ties go to the smaller id.
 

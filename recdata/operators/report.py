@@ -28,3 +28,12 @@ def pivot_runs(long: DataFrame, metric: str, runs: list[str]) -> DataFrame:
 def mark_best(long: DataFrame) -> DataFrame:
     """Adds best: whether a value is the largest of its group and metric."""
     return long.withColumn("best", F.col("value") == F.max("value").over(Window.partitionBy("group", "metric")))
+
+
+def listing(cand: DataFrame, pred: DataFrame, users: DataFrame, items: DataFrame, n_users: int = 100) -> DataFrame:
+    """(user_id, user_text, rank, item_id, label, score, text): the candidates of the first `n_users` users (by id) by score, then smaller ids, with both texts."""
+    some = cand.select("user_id").distinct().orderBy("user_id").limit(n_users)
+    rows = cand.join(F.broadcast(some), "user_id").join(pred.select("user_id", "item_id", "score"), ["user_id", "item_id"])
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id"))
+    told = rows.withColumn("rank", rank).join(users.select("user_id", F.col("text").alias("user_text")), "user_id", "left").join(items.select("item_id", "text"), "item_id", "left")
+    return told.select("user_id", "user_text", "rank", "item_id", "label", "score", "text")

@@ -29,6 +29,11 @@ def item_jaccard(inter: DataFrame) -> DataFrame:
     return sized.select("item_a", "item_b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("sim"))
 
 
+def item_user_sets(inter: DataFrame) -> DataFrame:
+    """(item_id, users): for export, the users of each item in order. A popular item is one long row; computations use the long form."""
+    return inter.groupBy("item_id").agg(F.array_sort(F.collect_set("user_id")).alias("users"))
+
+
 def candidate_pairs(cand: DataFrame, train: DataFrame) -> DataFrame:
     """(user_id, item_id, own): each candidate with each training item of its user, itself excepted."""
     own = train.select("user_id", F.col("item_id").alias("own")).distinct()

@@ -218,11 +218,10 @@ def vector_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tower_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two layers of fixed weights over the item vectors, then inner products with themselves."""
-    width = len(v.table(spark, sf_dir, "embeddings", "embedding").first()[0])
-    layers = [(np.eye(width) * 2.0, np.full(width, 0.125)), (np.eye(width) * 0.5, np.zeros(width))]
-    out = models.apply_tower(v.item_vectors(spark, sf_dir), layers)
-    return _rounded(out.select("item_id", dot(F.col("vec"), F.col("vec")).alias("norm")))
+    """Every test pair by the inner product of a user tower and an item tower, two layers each."""
+    cand, _ = _tested(spark, sf_dir)
+    users = models.apply_tower(v.user_vectors(spark, sf_dir), v.tower(spark, sf_dir, 3))
+    return _rounded(models.score_pairs(cand, users, models.apply_tower(v.item_vectors(spark, sf_dir), v.tower(spark, sf_dir, 5))))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -369,7 +368,8 @@ SELECT user_id, item_id, {v.half_up("score", 6)} AS score, {v.half_up("1 / (1 +
 SELECT user_id, item_id, {v.half_up("score", 6)} AS score, rank FROM ranked LEFT JOIN last USING (user_id) WHERE rank <= greatest(20, coalesce(last, 0))""",
     "vector_pool": f"""WITH x AS (SELECT vec_id, vec_id % 20 AS key, CAST(p - 1 AS INTEGER) AS pos, CAST(embedding[p] AS DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(p))
 SELECT key, 'max' AS how, pos, {v.half_up("max(x)", 6)} AS x FROM x GROUP BY key, pos UNION ALL SELECT key, 'avg', pos, {v.half_up("avg(x)", 6)} FROM x GROUP BY key, pos UNION ALL SELECT key, 'masked', pos, {v.half_up("avg(x)", 6)} FROM x WHERE vec_id % 3 = 0 GROUP BY key, pos""",
-    "tower_scores": f"WITH {v.ITEM_VECTORS}, t AS (SELECT item_id, list_transform(vec, lambda x: greatest(x * 2 + 0.125, 0) * 0.5::DOUBLE) AS vec FROM item_vecs) SELECT item_id, {v.half_up('list_dot_product(vec, vec)', 6)} AS norm FROM t",
+    "tower_scores": f"""WITH {_POS}, {v.ITEM_VECTORS}, {v.USER_VECTORS}, us AS (SELECT user_id, {v.tower_sql("vec", 3)} AS vec FROM user_vecs), its AS (SELECT item_id, {v.tower_sql("vec", 5)} AS vec FROM item_vecs)
+SELECT user_id, item_id, {v.half_up("list_dot_product(u.vec, i.vec)", 6)} AS score FROM pos JOIN us AS u USING (user_id) JOIN its AS i USING (item_id)""",
 }
 QUERIES = {
     f.__name__: f

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,24 @@ def _chosen(spark: SparkSession, sf_dir: str, inter: DataFrame, number: Column)
     return inter.join(F.broadcast(n)).withColumn("doc_id", number % F.col("n")).drop("n").join(texts, "doc_id").drop("doc_id")
 
 
+#: Widths of the two layers of a tower; its weights follow from a rule, see `tower`.
+HIDDEN, OUT = 16, 8
+
+
+def tower(spark: SparkSession, sf_dir: str, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weights and biases of two layers for vectors as wide as those of `embeddings`: ((i * seed + j * 13) % 11 - 5) / 8, and j % 3 / 4."""
+    width = len(table(spark, sf_dir, "embeddings", "embedding").first()[0])
+    weight = lambda n, m: ((np.arange(n)[:, None] * seed + np.arange(m)[None, :] * 13) % 11 - 5) / 8.0
+    return [(weight(width, HIDDEN), np.arange(HIDDEN) % 3 / 4.0), (weight(HIDDEN, OUT), np.arange(OUT) % 3 / 4.0)]
+
+
+def tower_sql(vec: str, seed: int) -> str:
+    """SQL of `tower` applied to a list."""
+    layer = lambda x, m: f"list_transform(range(0, {m}), lambda j: list_sum(list_transform({x}, lambda a, i: a * ((((i - 1) * {seed} + j * 13) % 11 - 5) / 8.0::DOUBLE))) + j % 3 / 4.0::DOUBLE)"
+    hidden = f"list_transform({layer(vec, HIDDEN)}, lambda h: greatest(h, 0))"
+    return layer(hidden, OUT)
+
+
 INTERACTIONS = """inter AS (
   SELECT user_id, item_id, rating, ts FROM (
     SELECT o_custkey AS user_id, l_partkey AS item_id, CAST(1 + floor((l_quantity - 1) / 10) AS INTEGER) AS rating, l_shipdate AS ts,

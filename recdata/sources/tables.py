@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,20 +74,33 @@ def read_negatives(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("label", F.col("label").cast("int"))
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(user_id, item_id, score) of a JSON file user -> item -> score, bare or under the key predicted."""
-    scores = T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType()))
-    text = spark.read.text(path, wholetext=True)
-    wrapped = F.from_json("value", T.StructType([T.StructField("predicted", scores)]))["predicted"]
-    bare = F.from_json("value", scores)
-    users = text.select(F.explode(F.coalesce(wrapped, bare)).alias("user_id", "scores"))
+def _told(value: Column, path: str) -> Column:
+    """`value`, or an error where a file does not hold what it should."""
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"no sound JSON in {path}")))
+
+
+def read_predictions(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """(user_id, item_id, score) of lines {"user_id": ..., "scores": {item: score}}, as `write_predictions` makes them.
+
+    With lines=False of one JSON object user -> item -> score, bare or under the
+    key predicted; such a file is read whole by one task. Ids are texts. Raises
+    on malformed JSON.
+    """
+    scores = T.MapType(T.StringType(), T.DoubleType())
+    if lines:
+        row = F.from_json("value", T.StructType([T.StructField("user_id", T.StringType()), T.StructField("scores", scores)]))
+        users = spark.read.text(path).where(F.trim("value") != "").select(row.alias("r")).select(_told(F.col("r.user_id"), path).alias("user_id"), _told(F.col("r.scores"), path).alias("scores"))
+    else:
+        text = spark.read.text(path, wholetext=True)
+        wrapped = F.from_json("value", T.StructType([T.StructField("predicted", T.MapType(T.StringType(), scores))]))["predicted"]
+        users = text.select(F.explode(_told(F.coalesce(wrapped, F.from_json("value", T.MapType(T.StringType(), scores))), path)).alias("user_id", "scores"))
     return users.select("user_id", F.explode("scores").alias("item_id", "score"))
 
 
 def write_predictions(pred: DataFrame, path: str) -> None:
-    """One JSON object for each user: {"user_id": ..., "scores": {item: score}}."""
+    """One JSON object for each user, on a line of its own: {"user_id": ..., "scores": {item: score}}."""
     pairs = F.map_from_entries(F.collect_list(F.struct(F.col("item_id").cast("string"), "score")))
-    pred.groupBy("user_id").agg(pairs.alias("scores")).write.mode("overwrite").json(path)
+    pred.groupBy(F.col("user_id").cast("string").alias("user_id")).agg(pairs.alias("scores")).write.mode("overwrite").json(path)
 
 
 def read_profiles(spark: SparkSession, path: str, key: str, ids: DataFrame | None = None) -> DataFrame:
@@ -112,10 +125,14 @@ def parse_ngram_counts(lines: DataFrame) -> DataFrame:
     return rows.select("ngram", F.col("c")[0].cast("int").alias("year"), F.col("c")[1].cast("long").alias("matches"), F.col("c")[2].cast("long").alias("volumes"))
 
 
-def read_limit_list(spark: SparkSession, path: str) -> DataFrame:
-    """(user_id, item_id) of a JSON file user -> [items]."""
-    lists = T.MapType(T.StringType(), T.ArrayType(T.StringType()))
-    users = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", lists)).alias("user_id", "items"))
+def read_limit_list(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """(user_id, item_id) of lines {"user_id": ..., "items": [...]}, or with lines=False of one JSON object user -> [items], read whole by one task. Raises on malformed JSON."""
+    items = T.ArrayType(T.StringType())
+    if lines:
+        row = F.from_json("value", T.StructType([T.StructField("user_id", T.StringType()), T.StructField("items", items)]))
+        users = spark.read.text(path).where(F.trim("value") != "").select(row.alias("r")).select(_told(F.col("r.user_id"), path).alias("user_id"), _told(F.col("r.items"), path).alias("items"))
+    else:
+        users = spark.read.text(path, wholetext=True).select(F.explode(_told(F.from_json("value", T.MapType(T.StringType(), items)), path)).alias("user_id", "items"))
     return users.select("user_id", F.explode("items").alias("item_id"))
 
 
