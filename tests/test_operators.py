@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,9 +111,12 @@ def test_editions(spark):
     assert {tuple(r) for r in clean.merge_editions(items, inter).collect()} == {(1, 2), (3, 2)}
 
 
-def test_sentence_ranking(spark):
+@pytest.mark.parametrize("head", [100_000, 2, 0])
+def test_sentence_ranking(spark, monkeypatch, head):
+    """However many terms are sent to the tasks."""
+    monkeypatch.setattr(profiles, "HEAD", head)
     profile = spark.createDataFrame([(1, "Rare bird. The the the. Zzz qqq."), (2, ""), (3, None)], "user_id long, text string")
-    idf = spark.createDataFrame([("rare", 3.0), ("bird", 2.0), ("the", 0.1), (".", 0.0)], "term string, idf double")
+    idf = spark.createDataFrame([("rare", 1, 3.0), ("bird", 2, 2.0), ("the", 9, 0.1), (".", 9, 0.0)], "term string, df long, idf double")
     got = lambda **kw: {r["user_id"]: r["text"] for r in profiles.rank_sentences(profile, idf, **kw).collect()}
     assert got() == {1: "Rare bird. The the the. Zzz qqq.", 2: "", 3: ""}
     known = idf.where("term <> '.'")
@@ -126,6 +130,78 @@ def test_bm25_prefers_match(spark):
     assert [r["doc_item"] for r in got] == [1, 2] and got[0]["score"] > got[1]["score"]
 
 
+@pytest.mark.parametrize("topn", [1, 3, 50])
+def test_bm25_equals_brute_force(spark, monkeypatch, topn):
+    """Over several blocks and groups, with bounds carried from block to block, with and without tags."""
+    for name, value in (("BLOCK", 7), ("QUERIES", 3), ("CHUNK", 3)):
+        monkeypatch.setattr(corpus, name, value)
+    rng = random.Random(1)
+    texts = {i: " ".join(rng.choices([f"w{k}" for k in range(30)], [1 / (k + 1) for k in range(30)], k=rng.randint(0, 25))) for i in range(40)}
+    tags = {i: rng.sample(["a", "b", "c", "Books"], rng.randint(0, 3)) for i in texts}
+    words = {i: t.split() for i, t in texts.items()}
+    df = {w: sum(w in x for x in words.values()) for x in words.values() for w in x}
+    idf = {w: math.log(len(texts) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    mean, length = sum(idf.values()) / len(idf), sum(map(len, words.values())) / len(words)
+    idf = {w: x if x >= 0 else 0.25 * mean for w, x in idf.items()}
+    docs = spark.createDataFrame(list(texts.items()), "item_id long, text string").repartition(3)
+    tagged = spark.createDataFrame([(i, t) for i, ts in tags.items() for t in ts], "item_id long, tag string")
+    for filtered in (False, True):
+        want = set()
+        for q in range(0, 40, 4):
+            scores = {}
+            for d, x in words.items():
+                if set(x) & set(words[q]) and (not filtered or set(tags[q]) & set(tags[d]) - {"Books"}):
+                    scores[d] = sum(idf[w] * x.count(w) * 2.5 / (x.count(w) + 1.5 * (0.25 + 0.75 * len(x) / length)) for w in words[q])
+            best = sorted(scores, key=lambda d: (-round(scores[d], 9), d))[:topn]
+            want |= {(q, d, k + 1, round(scores[d], 6)) for k, d in enumerate(best)}
+        got = corpus.bm25(docs.where("item_id % 4 = 0"), docs, topn=topn, tags=tagged if filtered else None).collect()
+        assert {(r["query_item"], r["doc_item"], r["rank"], round(r["score"], 6)) for r in got} == want
+
+
+def test_genre_quotas_are_filled(spark):
+    """A genre without enough unused items is made up for by the user's other genres, the most frequent first."""
+    items = spark.createDataFrame([(i, ["few"] if i < 3 else ["many", "few"] if i < 5 else ["many"]) for i in range(40)], "item_id long, genres array<string>")
+    train = spark.createDataFrame([(1, i) for i in (0, 1, 2, 3, 10)] + [(2, i) for i in range(38)], "user_id long, item_id long")
+    pos = spark.createDataFrame([(1, 20), (1, 21), (2, 38)], "user_id long, item_id long")
+    used = train.unionByName(pos)
+    got = negatives.neg_genre_proportional(pos, train, items, used, 4)
+    assert got.count() == got.distinct().count() and got.join(used, ["user_id", "item_id"], "left_semi").count() == 0
+    assert {r["user_id"]: r["n"] for r in got.groupBy("user_id").agg(F.count("*").alias("n")).collect()} == {1: 8, 2: 1}
+
+
+def test_most_frequent_is_a_partition(spark):
+    df = spark.range(100).select("id", (F.col("id") % 9 + 1).alias("n"))
+    head, rest = sample.most_frequent(df, 40, "n")
+    assert head.count() <= 40 and head.count() + rest.count() == 100 and head.agg(F.min("n")).first()[0] > rest.agg(F.max("n")).first()[0]
+
+
+def test_heavy_users_in_jaccard(spark, monkeypatch):
+    rows = [(u, i) for u in range(6) for i in range(30) if (u * i) % 4 != 1]
+    df = spark.createDataFrame(rows, "user_id long, item_id long")
+    want = {tuple(r) for r in similarity.item_jaccard(df).collect()}
+    monkeypatch.setattr(similarity, "HEAVY", 7)
+    assert {tuple(r) for r in similarity.item_jaccard(df).collect()} == want and len(want) > 300
+
+
+def test_learned_scores(spark):
+    """A factorisation machine and a perceptron tell pairs of like vectors from unlike ones; word vectors put texts of one subject together."""
+    rng = random.Random(2)
+    kinds = {i: i % 2 for i in range(40)}
+    vec = lambda k: [1.0 * k + rng.gauss(0, 0.2), 1.0 * (1 - k) + rng.gauss(0, 0.2)]
+    users, items = (spark.createDataFrame([(i, vec(k)) for i, k in kinds.items()], f"{key} long, vec array<double>") for key in ("user_id", "item_id"))
+    cand = spark.createDataFrame([(u, i, int(kinds[u] == kinds[i])) for u in range(40) for i in range(40) if (u + i) % 3], "user_id long, item_id long, label int")
+    features = models.pair_features(cand, users, items).cache()
+    for model in (models.fit_fm(features, 4, 60), models.fit_mlp(features, 4, 8, 60)):
+        rows = models.predict(model, features).join(cand, ["user_id", "item_id"]).collect()
+        assert sum((r["score"] >= 0.5) == bool(r["label"]) for r in rows) > 0.9 * len(rows)
+    words = {0: [f"a{k}" for k in range(12)], 1: [f"b{k}" for k in range(12)]}
+    texts = spark.createDataFrame([(i, [rng.choice(words[i % 2]) for _ in range(40)]) for i in range(60)], "k long, tokens array<string>")
+    found = {r["k"]: r["vec"] for r in models.text_vectors(texts, 8).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    same, other = ([cos(found[i], found[j]) for i in range(60) for j in range(i) if (i - j) % 2 == odd] for odd in (0, 1))
+    assert sum(same) / len(same) > sum(other) / len(other) + 0.1
+
+
 def test_weighted_sample_prefers_weight(spark):
     df = spark.range(1000).select(F.col("id").alias("user_id"), F.when(F.col("id") < 100, 50.0).otherwise(1.0).alias("w"))
     got = [r["user_id"] for r in sample.weighted_sample(df, 100, F.col("w")).collect()]
@@ -173,15 +249,35 @@ def test_readers(spark, tmp_path):
     (tmp_path / "neg.csv").write_text("user_id,item_id,label,ref_item\nu,a,0,b\n")
     (tmp_path / "prof.csv").write_text('user_id,text\nu,"two\nlines, ""q"""\nv,\n')
     (tmp_path / "dup.csv").write_text("user_id,text\nu,x\nu,y\n")
-    assert {tuple(r) for r in tables.read_predictions(spark, str(tmp_path / "p.json")).collect()} == {("u_1", "i-1", 0.5), ("u_1", "i2", 1.0)}
-    assert [tuple(r) for r in tables.read_predictions(spark, str(tmp_path / "bare.json")).collect()] == [("u_1", "i-1", 0.5)]
-    assert {tuple(r) for r in tables.read_limit_list(spark, str(tmp_path / "limit.json")).collect()} == {("u-1", "a"), ("u-1", "b")}
+    assert {tuple(r) for r in tables.read_predictions(spark, str(tmp_path / "p.json"), lines=False).collect()} == {("u_1", "i-1", 0.5), ("u_1", "i2", 1.0)}
+    assert [tuple(r) for r in tables.read_predictions(spark, str(tmp_path / "bare.json"), lines=False).collect()] == [("u_1", "i-1", 0.5)]
+    assert {tuple(r) for r in tables.read_limit_list(spark, str(tmp_path / "limit.json"), lines=False).collect()} == {("u-1", "a"), ("u-1", "b")}
     assert tables.read_negatives(spark, str(tmp_path / "neg.csv")).first()["label"] == 0
     assert {r["user_id"]: r["text"] for r in tables.read_profiles(spark, str(tmp_path / "prof.csv"), "user_id").collect()} == {"u": 'two\nlines, "q"', "v": ""}
     with pytest.raises(ValueError):
         tables.read_profiles(spark, str(tmp_path / "dup.csv"), "user_id")
 
 
+def test_predictions_round_trip(spark, tmp_path):
+    pred = spark.createDataFrame([("u_1", "i-1", 0.5), ("u_1", "i2", -1.0), ("v", "i-1", 2.0)], "user_id string, item_id string, score double")
+    tables.write_predictions(pred, str(tmp_path / "p"))
+    assert sorted(map(tuple, tables.read_predictions(spark, str(tmp_path / "p")).collect())) == sorted(map(tuple, pred.collect()))
+    (tmp_path / "bad.json").write_text('{"user_id": "u", "scores"')
+    for read in (tables.read_predictions, tables.read_limit_list):
+        for lines in (True, False):
+            with pytest.raises(Exception, match="no sound JSON"):
+                read(spark, str(tmp_path / "bad.json"), lines).collect()
+
+
+def test_sales_rank_fills_one_field(spark):
+    from recdata.functions.scalar import parse_sales_rank
+
+    texts = ["1,234 in Books (See Top 100)", "['>#5 Paid in Kindle Store", "12 Free in Kindle Store", "#77 in Toys", "Top 100 sellers", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", parse_sales_rank(F.col("t")).alias("r")).orderBy("k").collect()
+    inf = float("inf")
+    assert [tuple(r["r"]) for r in rows] == [(1234.0, inf, inf, inf), (inf, 5.0, inf, inf), (inf, inf, 12.0, inf), (inf, inf, inf, 77.0), (inf,) * 4, (inf,) * 4]
+
+
 def test_ingest(spark):
     reviews = spark.createDataFrame([("u", "p", "N", "t\ta", "s", 5.0, 2), ("u", "p", "N", "old", "s", 1.0, 1), ("v", "q", None, None, None, 3.0, 1)], "reviewerID string, asin string, reviewerName string, reviewText string, summary string, overall double, unixReviewTime long")
     meta = spark.createDataFrame([("p", "T"), ("p", "T2"), ("q", "x getTime y"), ("z", "unused")], "asin string, title string")

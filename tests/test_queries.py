@@ -1,6 +1,9 @@
 """Every query that has SQL, held against DuckDB on the smallest tables; the others on invariants."""
 
+import hashlib
+import math
 import os
+from collections import Counter
 
 import pytest
 
@@ -40,11 +43,36 @@ def test_entry(spark):
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
-def test_frontier_samples_are_interactions(spark):
-    inter = plans.QUERIES["dedupe_interactions"](spark, SF)
-    for name in ("frontier_sample", "item_frontier_sample"):
-        got = plans.QUERIES[name](spark, SF)
-        assert got.join(inter, ["user_id", "item_id"], "left_anti").count() == 0 and got.count() > 0
+def walk(edges, start, side, per_item, per_user, total, weigh):
+    """The frontier walk by plain loops: (users, items, rounds)."""
+    degree = [Counter(e[k] for e in edges) for k in (0, 1)]
+    seen, front, rounds, idle = [set(), set()], set(start), 0, 0
+    seen[side] |= front
+    while len(seen[0]) < total and rounds < 20 and idle < 2 and front:
+        rounds += 1
+        target = 1 - side
+        reached = {e[target] for e in edges if e[side] in front} - seen[target]
+        quota = len(front) * (per_user if target else per_item)
+        quota = quota if target else min(quota, total - len(seen[0]))
+
+        def draw(x, target=target, rounds=rounds):
+            u = (int(hashlib.md5(f"{42 + rounds}|{x}".encode()).hexdigest()[:8], 16) + 0.5) / 4294967296.0
+            return round(-math.log(u) / weigh(degree[target][x]), 12), x
+
+        front = set(sorted(reached, key=draw)[:quota])
+        seen[target] |= front
+        idle = 0 if front else idle + 1
+        side = target
+    return seen[0], seen[1], rounds
+
+
+@pytest.mark.parametrize(("name", "side", "weigh"), [("frontier_sample", 0, float), ("item_frontier_sample", 1, lambda d: 1.0 / d)])
+def test_frontier_samples_equal_a_plain_walk(spark, name, side, weigh):
+    edges = [(r["user_id"], r["item_id"]) for r in plans.QUERIES["dedupe_interactions"](spark, SF).where("rating >= 4").collect()]
+    start = sorted({e[side] for e in edges}, key=lambda x: (hashlib.md5(f"42|{x}".encode()).hexdigest(), x))[:20]
+    users, items, rounds = walk(edges, start, side, 2, 3, 200, weigh)
+    got = [tuple(r) for r in plans.QUERIES[name](spark, SF).select("user_id", "item_id", "rounds").collect()]
+    assert sorted(got) == sorted((u, i, rounds) for u, i in edges if u in users and i in items) and got
 
 
 def test_proportional_negatives_are_unused(spark):
