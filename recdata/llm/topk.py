@@ -47,22 +47,25 @@ def _matrix(rows: list, width: int) -> np.ndarray:
     return out
 
 
-def _assigned(vectors: DataFrame, centres: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> DataFrame:
-    """Each vector with its upper node; for queries the k-th best score in the sample, which no k-th best score in all rows is below."""
+def _assigned(vectors: DataFrame, centres: np.ndarray, n_asked: int, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> DataFrame:
+    """Each vector with its upper node, for queries among the first `n_asked`, in rows of their own; for queries also the k-th best score in the sample, which no k-th best score in all rows is below."""
     width = sample.shape[1]
 
     def rows(batches: Iterator[tuple]) -> Iterator[dict]:
         for ids, vectors, queries in batches:
             x, asks = _matrix(vectors, width), np.array(queries, bool)
-            at = nearest(x, centres)
             least = np.full(len(x), -np.inf)
             own = np.array(ids, np.int64)
             if asks.any() and len(sample) > k:
                 scores = x[asks] @ sample.T
                 scores[own[asks][:, None] == sample_ids[None, :]] = -np.inf
                 least[asks] = np.partition(scores, -k, axis=1)[:, -k]
-            far = np.sqrt(((x - centres[at]) ** 2).sum(1))
-            yield {"id": own, "v": [r.tobytes() for r in x], "leaf": at.astype(np.int32), "far": far, "asks": queries, "least": least}
+            packed = [r.tobytes() for r in x]
+            for some, known, asking in ((np.arange(len(x)), centres, False), (np.flatnonzero(asks), centres[:n_asked], True)):
+                if len(some):
+                    at = nearest(x[some], known)
+                    far = np.sqrt(((x[some] - known[at]) ** 2).sum(1))
+                    yield {"id": own[some], "v": [packed[i] for i in some.tolist()], "leaf": at.astype(np.int32), "far": far, "asks": [asking] * len(some), "least": least[some]}
 
     fields = {"id": "long", "v": "binary", "leaf": "int", "far": "double", "asks": "boolean", "least": "double"}
     return map_rows(vectors, ["id", "v", "asks"], rows, fields)
@@ -116,13 +119,13 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_
     grows with their number, as exact search must where nothing can be pruned.
     """
     vectors = scaled(df, is_query, scale, id_col, vector_col)
-    total = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    total = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.sum(F.col("asks").cast("long")).alias("asked")).first()
     n, width = total["n"], max(1, total["width"] or 1)
     some = vectors.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).select("id", "v").toPandas().drop_duplicates("id")
     sample, sample_ids = _matrix(some["v"].tolist(), width), some["id"].to_numpy(np.int64)
     centres = sample[farthest_first(sample, min(UPPER, -(-n // BLOCK)))] if n else np.zeros((1, width))
-    placed = materialize(_assigned(vectors, centres, sample_ids, sample, k), "vectors")
-    data, asked = Upper(placed, BLOCK), Upper(placed.where("asks"), ASKED)
+    placed = materialize(_assigned(vectors, centres, max(1, -(-(total["asked"] or 0) // ASKED)), sample_ids, sample, k), "vectors")
+    data, asked = Upper(placed.where("NOT asks"), BLOCK), Upper(placed.where("asks"), ASKED)
     most = bounds(centres[asked.leaves], asked.radii, centres[data.leaves], data.radii)
     met = []
     for q, leaf in enumerate(asked.leaves.tolist()):
@@ -133,7 +136,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_
                 first += int(data.blocks[d])
     pairs = df.sparkSession.createDataFrame(met, "q_leaf int, leaf int, salts int, first int")
     left = _blocks(placed.where("asks"), asked, width, "queries").select(F.col("leaf").alias("q_leaf"), F.col("salt").alias("q_salt"), F.col("tree").alias("q_tree"))
-    right = _blocks(placed, data, width, "data")
+    right = _blocks(placed.where("NOT asks"), data, width, "data")
     joined = left.join(F.broadcast(pairs), "q_leaf").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(right, ["leaf", "salt"])
     turns = joined.withColumn("turn", F.col("first") + F.col("salt")).withColumn("chunk", F.floor(F.col("turn") / CHUNK))
 

@@ -53,6 +53,49 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def similar_pairs(texts, size=5, least=0.8):
+    """(pairs of ids whose shingle sets reach the similarity, the sets) by comparing all."""
+    sets = {}
+    for i, t in texts.items():
+        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+    like = lambda a, b: a == b or len(a & b) >= least * len(a | b)
+    return [(i, j) for i, j in itertools.combinations(sorted(sets), 2) if like(sets[i], sets[j])], sets
+
+
+def test_similar_documents(spark):
+    """Links of 0.8 and more are found, none below is made, and a large group of near copies needs no pairs of all."""
+    rng = random.Random(6)
+    fresh = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    texts, n = {}, 0
+    for _ in range(40):
+        base = fresh(rng.randint(60, 300))
+        for edits in (0, 1, 2, 5, 20):
+            words = list(base)
+            for at in rng.sample(range(len(words)), min(edits, len(words) // 3)):
+                words[at] = f"x{rng.random()}"
+            texts[n] = rng.choice([" ", "\n", "  "]).join(words)
+            n += 1
+    texts |= {n: None, n + 1: "", n + 2: "One", n + 3: "one", n + 4: "a b c", n + 5: "A b c"}
+    rows = [(i, t, "clash") for i, t in texts.items()]
+    df = spark.createDataFrame([*rows, rows[3], (None, "x", "y"), (None, None, None)], "doc_id int, text string, component_id string").repartition(3)
+    got = simhash.similar_documents(df).collect()
+    assert len(got) == len(rows) + 3 and sum(r["component_id"] is None for r in got) == 2
+    found = {r["doc_id"]: r["component_id"] for r in got}
+    pairs, sets = similar_pairs(texts)
+    assert sum(found[a] == found[b] for a, b in pairs) >= 0.9 * len(pairs) and len(pairs) > 100
+    parent = {i: i for i in texts}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a, b in pairs:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert all(root(i) == root(c) and c <= i for i, c in found.items() if i is not None)
+    assert found[n + 1] == n and found[n + 3] == n + 2 and found[n + 5] == n + 4
+    assert simhash.similar_documents(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("hot", [1, 3, 256])
 def test_links_are_complete(spark, hot):
     rng = np.random.default_rng(0)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -207,33 +208,67 @@ def test_scored_text_fits_training(spark):
 
 
 def test_pipeline(spark):
-    """Each stage on the smallest tables, against what it should keep."""
+    """Each stage on the smallest tables, against versions of its own in plain Python."""
     import corpus_pipeline
-    from recdata.llm import rules, simhash, substrings
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_dedup_operators import WORD, brute_removal, similar_pairs
 
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
-    columns = docs.columns
-    odd = spark.createDataFrame([(900001, None, None, None, None), (None, "", "en", "s", 0)], docs.schema)
-    docs = docs.unionByName(odd).unionByName(docs.where("doc_id = 3"))
-    stage = dict(corpus_pipeline.STAGES)
-    first = stage["quality_rules"](spark, docs, sf).cache()
-    assert first.columns == columns
-    verdict = {r["doc_id"] for r in rules.clean_lines(docs).where("kept").select("doc_id").collect()}
-    assert {r["doc_id"] for r in first.select("doc_id").collect()} == verdict
-    second = stage["quality_classifier"](spark, first, sf).cache()
-    good = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").join(first, "doc_id", "left_semi")
-    assert second.columns == columns and good.join(second, "doc_id", "left_anti").count() == 0
-    third = stage["simhash_near_dedup"](spark, second, sf).cache()
-    groups = simhash.near_duplicates(second).select("component_id").distinct()
-    assert third.columns == columns and {r[0] for r in groups.collect()} == {r["doc_id"] for r in third.select("doc_id").collect()}
-    assert third.count() == third.select("doc_id").distinct().count()
-    fourth = stage["substring_dedup"](spark, third, sf).cache()
-    left = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(third).collect()}
-    assert fourth.columns == columns and {r["doc_id"]: r["text"] for r in fourth.collect()} == left and len(left) == third.count()
-    packed = corpus_pipeline.run(spark, sf)
-    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {i for i in left}
+    raw = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(900001, None, None, None, None), (None, "", "en", "s", 0)], raw.schema)
+    docs = raw.unionByName(odd).unionByName(raw.where("doc_id = 3")).withColumns({c: F.lit("kept") for c in ("gone", "_gone", "__n", "spans")}).cache()
+    stage, frame = dict(corpus_pipeline.STAGES), {}
+    for name in ("quality_rules", "quality_classifier", "simhash_near_dedup", "substring_dedup"):
+        out = stage[name](spark, docs if not frame else frame[last][0], sf).cache()
+        assert out.columns == docs.columns and out.where("gone = 'kept' AND _gone = 'kept' AND __n = 'kept' AND spans = 'kept'").count() == out.count()
+        frame[name], last = (out, {r["doc_id"]: r["text"] for r in out.collect()}), name
+    first, second, third, fourth = (frame[name][1] for name in frame)
+    assert first == {r["doc_id"]: text for r in docs.collect() if (text := plain_rules(r["text"] or "")) is not None}
+    labels = pd.read_parquet(f"{sf}/labels.parquet").set_index("doc_id")["quality"]
+    assert set(second) <= set(first) and all(i in second for i in first if labels.get(i) == 1) and all(second[i] == first[i] for i in second)
+    assert not any(i in second for i in first if labels.get(i) == 0)
+    pairs, sets = similar_pairs(second)
+    parent = {i: i for i in second}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a, b in pairs:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert set(third) == {i for i in second if root(i) == i} and frame["simhash_near_dedup"][0].count() == len(third)
+    removed = {i: kept for i, _, _, kept in brute_removal(list(third.items()), 50)}
+    assert {i: " ".join(WORD.findall(t)) for i, t in fourth.items()} == removed
+    packed = corpus_pipeline.run(spark, sf).toPandas()
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert set(packed["doc_id"]) == set(fourth)
+    for doc_id, pieces in packed.groupby("doc_id"):
+        ids = np.array([*plain.encode(fourth[doc_id], add_special_tokens=False).ids, 0], "<u4")
+        assert sorted(zip(pieces["start"], pieces["length"], pieces["ids_crc32"], strict=True)) == [(s, len(ids[s : s + 1024]), zlib.crc32(ids[s : s + 1024].tobytes())) for s in range(0, len(ids), 1024)]
+    for _, pieces in packed.sort_values("offset").groupby("sequence_id"):
+        assert pieces["offset"].tolist() == [0, *pieces["length"].cumsum()[:-1]] and pieces["length"].sum() <= 1024
     nothing = docs.limit(0)
     for _, f in corpus_pipeline.STAGES:
         nothing = f(spark, nothing, sf)
     assert nothing.count() == 0
+
+
+def plain_rules(text):
+    """What the line rules leave of a text; None if they reject it."""
+    from recdata.llm import rules
+
+    find = lambda pattern, x: re.findall(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), pattern), x)
+    words = re.findall(rules.WORD, text)
+    windows = Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    if len(words) < 50 or 100 * len(covered) > 50 * len(words):
+        return None
+    kept, lost = [], 0
+    for line in text.split("\n"):
+        n, debris, bars = len(re.findall(rules.WORD, line)), len(find(rules.DEBRIS, line)), len(find(rules.SEPARATOR, line))
+        if n and ((debris >= 2 and 2 * debris >= n) or (bars >= 3 and 5 * bars >= n and rules.QUOTE not in line) or (n <= 15 and find(rules.BOILERPLATE, line))):
+            lost += sum(map(len, re.findall(rules.WORD, line)))
+        else:
+            kept.append(line)
+    return "\n".join(kept) if 100 * lost <= 50 * sum(map(len, words)) else None
