@@ -82,8 +82,9 @@ def top_n(user_vectors: DataFrame, item_vectors: DataFrame, used: DataFrame, n:
                 people, ids = np.asarray(row.users), np.asarray(row.ids)
                 scores = np.asarray(row.vectors).reshape(len(people), -1) @ np.asarray(row.matrix).reshape(len(ids), -1).T
                 most = np.minimum(len(ids), n + np.asarray(row.n_used))
-                ordered = -np.partition(-scores, np.unique(most - 1), axis=1)
-                least = np.minimum(ordered[np.arange(len(people)), most - 1], np.asarray(row.floors)) - 1e-9
+                deepest = int(most.max())
+                best = np.sort(np.partition(scores, len(ids) - deepest, axis=1)[:, len(ids) - deepest :], axis=1)
+                least = np.minimum(best[np.arange(len(people)), deepest - most], np.asarray(row.floors)) - 1e-9
                 u, i = np.nonzero(scores >= least[:, None])
                 yield pd.DataFrame({"user_id": people[u], "item_id": ids[i], "score": scores[u, i]})
 

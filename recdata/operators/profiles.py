@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from recdata.functions.scalar import hash_key
 from recdata.functions.text import END_OF_ITEM, chunk_items, chunk_tokens, join_fields, ngrams, normalise_text, sentences, tokenize
+from recdata.sources.scratch import materialize
 
 from .sample import most_frequent
 
 #: Terms of an idf table that are sent to every task, at most.
-HEAD = 100_000
+HEAD = 300_000
 
 
 def _ordered(order: list[Column], text: str, separator: str) -> Column:
@@ -72,14 +73,15 @@ def rank_sentences(profile: DataFrame, idf: DataFrame, oov: str = "skip", vocab:
     df and idf; its HEAD most frequent terms are sent to every task, so that
     only rare tokens are shuffled by term.
     """
-    rows = _sentence_rows(profile, key)
+    rows = materialize(_sentence_rows(profile, key), "sentences")
     table = idf if vocab is None else idf.join(vocab.select("term"), "term", "left_semi")
     tokens = rows.select(key, "pos", F.explode(tokenize(F.col("sentence"))).alias("term"))
     frequent, others = most_frequent(table.select("term", "df", "idf"), HEAD, "df")
     found = tokens.join(F.broadcast(frequent.select("term", F.col("idf").alias("told"))), "term", "left")
     sums = found.groupBy(key, "pos").agg(F.count("*").alias("n"), F.sum("told").alias("s"), F.count("told").alias("k"))
-    rare = found.where("told IS NULL").join(others.select("term", "idf"), "term")
-    sums = sums.unionByName(rare.groupBy(key, "pos").agg(F.lit(0).cast("long").alias("n"), F.sum("idf").alias("s"), F.count("idf").alias("k")))
+    if not others.isEmpty():
+        rare = found.where("told IS NULL").join(others.select("term", "idf"), "term")
+        sums = sums.unionByName(rare.groupBy(key, "pos").agg(F.lit(0).cast("long").alias("n"), F.sum("idf").alias("s"), F.count("idf").alias("k")))
     scores = sums.groupBy(key, "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("k").alias("n_known"))
     mean = F.col("s") / F.col("n" if oov == "zero" or vocab is not None else "n_known")
     score = F.when(F.coalesce("n_known", F.lit(0)) > 0, mean).otherwise(F.lit(float(empty_score)))

@@ -96,6 +96,29 @@ def report_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.runs_table(filters.filter_runs(configs, learning_rate=0.0, batch_size=32).select("run", "lr"), read, ["ndcg_5"])
 
 
+def ingest_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw interactions under the names of product reviews, some titles with page debris."""
+    raw = v.raw_interactions(spark, sf_dir)
+    number = F.unix_timestamp("ts")
+    reviews = raw.select(F.col("user_id").cast("string").alias("reviewerID"), F.col("item_id").cast("string").alias("asin"), F.lit("N").alias("reviewerName"), F.concat(F.lit("a\tb "), F.col("l_orderkey").cast("string")).alias("reviewText"), F.lit(None).cast("string").alias("summary"), F.col("rating").cast("double").alias("overall"), number.alias("unixReviewTime"))
+    meta = v.items(spark, sf_dir).select(F.col("item_id").cast("string").alias("asin"), F.when(F.col("item_id") % 7 == 0, "x getTime y").otherwise(F.col("title")).alias("title"))
+    inter, items, users = tables.ingest_product_reviews(reviews, meta)
+    return inter.join(items.select("item_id", "title"), "item_id", "left").join(users, "user_id").select("user_id", "item_id", "review", "title", "name")
+
+
+def ingest_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as books of two authors, with their words as genres."""
+    part = v.table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type")
+    key = F.col("p_partkey").cast("string").alias("book_id")
+    author = lambda c: F.struct(F.concat(F.lit(" "), F.col(c)).alias("author_id"))
+    books = part.select(key, F.col("p_name").alias("title"), F.lit("d").alias("description"), F.array(author("p_type"), author("p_brand")).alias("authors"))
+    genres = part.select(key, F.map_from_arrays(F.array(F.concat_ws(",", "p_type", "p_brand")), F.array(F.lit(1).cast("long"))).alias("genres"))
+    reviews = v.interactions(spark, sf_dir).select(F.col("user_id").cast("string").alias("user_id"), F.col("item_id").cast("string").alias("book_id"), "rating", F.lit("t").alias("review_text"), F.lit("now").alias("date_added"))
+    inter, items, users = tables.ingest_book_reviews(reviews, books.unionByName(books), genres)
+    joined = inter.join(items, "item_id").join(users, "user_id", "left_semi")
+    return joined.select("user_id", "item_id", "rating", "author", F.array_join("genres", "|").alias("genres"))
+
+
 # text and number columns
 
 
@@ -329,6 +352,10 @@ ORACLES = {
     "profiles_file": f"WITH {v.ITEMS} {_ITEM_PROFILE}",
     "eval_saved": f"SELECT *, 'validation' AS split FROM ({_EVAL_SAVED('validation')}) UNION ALL SELECT *, 'test' AS split FROM ({_EVAL_SAVED('test')})",
     "report_folder": f"WITH {_RUNS} SELECT run, 0.0::DOUBLE AS lr, \"group\", n_users, {_HUNDRED('ndcg_5')} AS ndcg_5 FROM runs WHERE run <> 'mixed'",
+    "ingest_products": f"""WITH raw AS (SELECT o_custkey AS u, l_partkey AS i, l_shipdate AS ts, 'a b ' || l_orderkey AS review FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY u, i ORDER BY epoch(ts)::BIGINT DESC, encode(review) DESC) AS rn FROM raw)
+SELECT CAST(u AS VARCHAR) AS user_id, CAST(i AS VARCHAR) AS item_id, review, CASE WHEN i % 7 <> 0 THEN p_name END AS title, 'N' AS name FROM r JOIN part ON p_partkey = i WHERE rn = 1""",
+    "ingest_books": f"WITH {v.INTERACTIONS} SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id, rating, least(p_type, p_brand) || ',' || greatest(p_type, p_brand) AS author, p_type || ' ' || p_brand AS genres FROM inter JOIN part ON p_partkey = item_id",
     "flatten_descriptions": "SELECT p_partkey, p_name AS description FROM part",
     "top_genres": f"WITH {v.INTERACTIONS}, {_FAVOURITES} SELECT user_id, string_agg(genre, ', ' ORDER BY rn) AS genres FROM g WHERE rn <= 2 GROUP BY user_id",
     "blank_cells": "SELECT p_partkey, CASE WHEN p_size % 3 = 0 OR p_name LIKE '%like%' THEN '' ELSE p_name END AS cell FROM part",
@@ -375,7 +402,7 @@ FROM cand JOIN popular USING (user_id, item_id) JOIN chosen USING (user_id) JOIN
 QUERIES = {
     f.__name__: f
     for f in (
-        dataset_folder, limit_list_file, negatives_file, profiles_file, eval_saved, report_folder, flatten_descriptions, top_genres, blank_cells, truncated_tokens, white_space, negation_tokens,
+        dataset_folder, limit_list_file, negatives_file, profiles_file, eval_saved, report_folder, ingest_products, ingest_books, flatten_descriptions, top_genres, blank_cells, truncated_tokens, white_space, negation_tokens,
         sales_ranks, written_counts, query_texts, rated_rows, users_min_authors, users_min_tokens, sound_items, trained_users, common_users, restricted_dims, refreshed_items, validation_rounds,
         neg_training, neg_validation, genre_negatives_once, user_profile_earlier, item_profile_file, item_user_sets, author_jaccard, normalised_ids, score_appended, external_items, graph_connected,
         eval_arrays, user_listing, model_selection,

@@ -64,13 +64,13 @@ def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_df_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types in two spellings stand for n-grams, months for years."""
-    events = v.table(spark, sf_dir, "events", "event_type", "ts", "user_id")
-    word = F.when(F.col("user_id") % 2 == 0, F.initcap("event_type")).otherwise(F.col("event_type"))
-    yearly = events.groupBy(word.alias("ngram"), (1990 + F.col("user_id") % 30).cast("int").alias("year")).agg(F.count("*").alias("matches"), F.countDistinct("user_id").alias("volumes"))
+    """The words of documents, as they are spelt, stand for n-grams, and documents for volumes; a document's year follows from its id."""
+    docs = v.table(spark, sf_dir, "documents", "doc_id", "text")
+    words = docs.select((1990 + F.col("doc_id") % 30).cast("int").alias("year"), "doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))).alias("ngram"))
+    yearly = words.groupBy("ngram", "year").agg(F.count("*").alias("matches"), F.countDistinct("doc_id").alias("volumes"))
     cells = F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", "year", "matches", "volumes"))), "\t")
     lines = yearly.groupBy("ngram").agg(cells.alias("cells")).select(F.concat_ws("\t", "ngram", "cells").alias("value"))
-    counts = tables.parse_ngram_counts(lines)
+    counts = materialize(tables.parse_ngram_counts(lines), "counts")
     merged = corpus.ngram_idf(counts, 1_000_000, from_year=2000, fold="max").withColumn("fold", F.lit("max"))
     return _rounded(merged.unionByName(corpus.ngram_idf(counts, 1_000_000, from_year=2000, fold="sum").withColumn("fold", F.lit("sum"))))
 
@@ -318,7 +318,7 @@ SELECT conv_id, turn, count(term) AS n, CAST(coalesce(sum(CASE WHEN term IS NOT
 FROM (SELECT conv_id, turn FROM t) LEFT JOIN w USING (conv_id, turn) LEFT JOIN i USING (term) GROUP BY conv_id, turn""",
     "idf_table": f"""WITH {_TOKENS}, g AS (SELECT doc_id, unnest(list_distinct(tokens || list_transform(range(1, greatest(len(tokens), 1)), lambda i: tokens[i] || ' ' || tokens[i + 1]))) AS term FROM toks)
 SELECT term, count(*) AS df, {v.half_up("log10((SELECT count(*) FROM documents) / CAST(count(*) AS DOUBLE))", 6)} AS idf FROM g GROUP BY term""",
-    "ngram_df_merge": f"""WITH y AS (SELECT CASE WHEN user_id % 2 = 0 THEN upper(event_type[1]) || event_type[2:] ELSE event_type END AS ngram, 1990 + user_id % 30 AS year, count(DISTINCT user_id) AS v FROM events GROUP BY 1, 2),
+    "ngram_df_merge": f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{{L}}+')) AS ngram FROM documents), y AS (SELECT ngram, 1990 + doc_id % 30 AS year, count(DISTINCT doc_id) AS v FROM w GROUP BY 1, 2),
 f AS (SELECT ngram, sum(v) AS v FROM y WHERE year >= 2000 AND regexp_matches(ngram, '^\\p{{L}}+( \\p{{L}}+)*$') GROUP BY 1), m AS (SELECT lower(ngram) AS term, 'max' AS fold, max(v) AS df FROM f GROUP BY 1 UNION ALL SELECT lower(ngram), 'sum', sum(v) FROM f GROUP BY 1)
 SELECT term, CAST(df AS BIGINT) AS df, {v.half_up("log10(1000000.0::DOUBLE / CAST(df AS DOUBLE))", 6)} AS idf, fold FROM m""",
     "bm25_topn": f"WITH {_ITEM_DOCS}, {_QUERY_ITEMS}, {bm25_sql('asked', 'docs', 10)} SELECT query_item, doc_item, {v.half_up('score', 6)} AS score, rank FROM ranking",
