@@ -27,6 +27,98 @@ def test_quality_on_held_out_rows(spark):
     assert (told["predicted"] == told["quality"]).mean() > 0.95
 
 
+def plain_step(g, h, leaves, least):
+    """A shallow tree over ordered bins by plain loops: (value of each bin)."""
+    bounds = [0, len(g)]
+    score = lambda a, b: sum(g[a:b]) ** 2 / (sum(h[a:b]) + 1)
+    for _ in range(leaves - 1):
+        best, at = 1e-9, None
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            for cut in range(a + 1, b):
+                gain = score(a, cut) + score(cut, b) - score(a, b)
+                if sum(h[a:cut]) >= least and sum(h[cut:b]) >= least and gain > best + 1e-12:
+                    best, at = gain, cut
+        if at is None:
+            break
+        bounds = sorted([*bounds, at])
+    return [sum(g[a:b]) / (sum(h[a:b]) + 1) for a, b in zip(bounds, bounds[1:], strict=False) for _ in range(a, b)]
+
+
+def plain_pair_step(g, h, least):
+    """The best table of one cut on each axis: (its entries, its gain)."""
+    best = (None, -math.inf)
+    n, m = len(g), len(g[0])
+    quarter = lambda t, i, j: [sum(t[a][b] for a in rows for b in cols) for rows in (range(i), range(i, n)) for cols in (range(j), range(j, m))]
+    for i in range(1, n):
+        for j in range(1, m):
+            gs, hs = quarter(g, i, j), quarter(h, i, j)
+            gain = sum(x * x / (y + 1) for x, y in zip(gs, hs, strict=True)) - sum(gs) ** 2 / (sum(hs) + 1)
+            if gain > best[1] + 1e-12:
+                leaf = [x / (y + 1) if y >= least else 0.0 for x, y in zip(gs, hs, strict=True)]
+                best = ([[leaf[2 * (a >= i) + (b >= j)] for b in range(m)] for a in range(n)], gain)
+    return best
+
+
+def test_gam_equals_plain_loops():
+    """Trees, pair tables, boosting and scores against plain loops over bins and rows."""
+    rng = np.random.default_rng(1)
+    for n in (2, 5, 12):
+        g, h = rng.normal(size=n), rng.uniform(0.1, 2, size=n)
+        assert gam._step(g, h, 4, 0.5) == pytest.approx(plain_step(g.tolist(), h.tolist(), 4, 0.5))
+        g, h = rng.normal(size=(n, 4)), rng.uniform(0.1, 2, size=(n, 4))
+        table, gain = gam._pair_step(g, h, 0.5)
+        want = plain_pair_step(g.tolist(), h.tolist(), 0.5)
+        assert gain == pytest.approx(want[1]) and np.allclose(table, want[0])
+    x = rng.integers(0, 6, size=(80, 3)).astype(float)
+    y = ((x[:, 0] > 2) ^ (x[:, 1] > 3)).astype(float)
+    model = gam.fit(x, y, bins=6, coarse_bins=3, rounds=3, pair_rounds=0, n_pairs=0)
+    logit = [model.base] * 80
+    tables = [[0.0] * (len(e) + 1) for e in model.edges]
+    bins = [[sum(v >= edge for edge in edges) for v in x[:, k]] for k, edges in enumerate(model.edges)]
+    for _ in range(3):
+        for k in range(3):
+            p = [1 / (1 + math.exp(-t)) for t in logit]
+            size = len(tables[k])
+            g = [sum(y[i] - p[i] for i in range(80) if bins[k][i] == b) for b in range(size)]
+            h = [sum(p[i] * (1 - p[i]) for i in range(80) if bins[k][i] == b) for b in range(size)]
+            step = [0.1 * v for v in plain_step(g, h, 4, 1.0)]
+            tables[k] = [a + b for a, b in zip(tables[k], step, strict=True)]
+            logit = [t + step[bins[k][i]] for i, t in enumerate(logit)]
+    for k in range(3):
+        assert model.tables[k] == pytest.approx(tables[k])
+    whole = gam.fit(x, y, bins=6, coarse_bins=3, rounds=3, pair_rounds=2, n_pairs=2)
+    for i in range(80):
+        total = whole.base + sum(t[sum(x[i, k] >= e for e in whole.edges[k])] for k, t in enumerate(whole.tables))
+        total += sum(t[sum(x[i, a] >= e for e in whole.coarse[a]), sum(x[i, b] >= e for e in whole.coarse[b])] for a, b, t in whole.pairs)
+        assert whole.logits(x[i : i + 1])[0] == pytest.approx(total)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    """Three million characters in one row, and columns named like those the operators add."""
+    from recdata.llm import chat, simhash
+
+    long = "the cat sat on the mat, and " * 110_000
+    rows = [(1, long, "en"), (2, "der Hund und die Katze", "de"), (3, "x" * 3_000_000, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("features", "__total", "__part", "fp", "f0", "least", "bits", "grams", "score")})
+    told = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, langid.train(df)).collect()}
+    assert told[1] == "en" and told[2] == "de" and set(told) == {1, 2, 3}
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert {r["doc_id"]: 0 <= r["score"] <= 1 for r in gam.classify(df, labels, F.lit(True)).collect()} == {1: True, 2: True, 3: True}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()} == {1: 1, 2: 2, 3: 3}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 3}
+    assert {r["doc_id"]: r["n_bytes"] for r in lm.score_documents(df, F.lit(True)).collect()} == {i: len(t.encode()) + 1 for i, t, _ in rows}
+    chats = df.select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("assistant").alias("role"), "text", F.lit("clash").alias("turns"), F.lit("clash").alias("formatted"), F.lit("clash").alias("t"))
+    made = chat.format_chats(chats.withColumn("parts", chat.text_part(F.col("text"))))
+    assert made.select(chat.read_loss(F.col("formatted"), F.col("mask"))).first()[0] == "".join(t for _, t, _ in rows)
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    train = spark.createDataFrame([(1, "one two", "bb"), (2, "one two", "aa")], "doc_id long, text string, lang string")
+    for heads in (0, 64):
+        got = langid.identify(train, langid.train(train, most_words=heads, most_grams=heads)).collect()
+        assert [r["lang_pred"] for r in got] == ["aa", "aa"] and all(r["score"] == pytest.approx(0.5) for r in got)
+
+
 def test_gam_learns_interactions():
     rng = np.random.default_rng(0)
     x = rng.uniform(size=(4000, len(gam.FEATURES)))
