@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recdata.sources.scratch import materialize
+from recdata.sources.scratch import materialize, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, keep: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
@@ -34,6 +34,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         after = keep(small, "edges")
         # a star forest of unchanged edges: nothing more to do
         changed = after.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(after, ["u", "v"], "left_anti").limit(1).count()
+        release(edges)  # each round is read by the next one alone
         edges = after
         if not changed:
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -28,8 +28,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read back.
 
     Cuts the lineage: a lost executor costs no more than its running tasks, and
-    columns are pruned on every later read. The files go when the application
-    ends.
+    columns are pruned on every later read. The files go with `release`, or when
+    the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recdata-{name}-{uuid.uuid4().hex}"
@@ -37,4 +37,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _paths[id(stored)] = (stored, hadoop_path)
+    return stored
+
+
+#: The folder of each stored table that may still be released.
+_paths: dict[int, tuple[DataFrame, object]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `materialize` gave; nothing may read them any more. Other tables are left alone."""
+    for df in tables:
+        _, path = _paths.pop(id(df), (None, None))
+        if path is not None:
+            spark = df.sparkSession
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
