@@ -8,17 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recdata.sources.scratch import materialize, shared_dir  # noqa: F401
+from recdata.functions.text import let  # noqa: F401
+from recdata.operators.sample import most_frequent  # noqa: F401
+from recdata.sources.scratch import materialize, release, shared_dir  # noqa: F401
 
 #: A word: a run of code points other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with `value` computed once, also where `body` uses it inside a lambda."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))
@@ -64,20 +61,6 @@ def slices(texts: list[str], most: int) -> Iterator[slice]:
         yield slice(first, len(texts))
 
 
-def most_frequent(table: DataFrame, most: int, count: str = "n") -> DataFrame:
-    """The rows with the largest counts, `most` at most: those from the lowest quarter power of two that leaves no more.
-
-    Only the number of rows for each of these levels, 256 at most, reaches the driver.
-    """
-    level = F.floor(F.log2(F.col(count)) * 4)
-    kept, cut = 0, None
-    for row in table.groupBy(level.alias("level")).agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():
-        if kept + row["k"] > most:
-            break
-        kept, cut = kept + row["k"], row["level"]
-    return table.where(level >= cut) if cut is not None else table.where(F.lit(False))
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names made from `names` that `df` does not have, in any case."""
     taken, mark = {c.lower() for c in df.columns}, "_"

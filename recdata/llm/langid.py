@@ -83,7 +83,7 @@ class Head:
     """The most frequent features and their log frequencies by language; `whole` if the table has no others."""
 
     def __init__(self, table: DataFrame, most: int, n_langs: int) -> None:
-        found = most_frequent(table, most).select("feature", "scores").toArrow()
+        found = most_frequent(table, most, "n")[0].select("feature", "scores").toArrow()
         self.at = {name: k for k, name in enumerate(found["feature"].to_pylist())}
         self.matrix = np.array(found["scores"].to_pylist(), float).reshape(len(self.at), n_langs)
         self.whole = len(self.at) == table.count()

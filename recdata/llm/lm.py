@@ -106,13 +106,13 @@ def score_documents(df: DataFrame, training: Column, depth: int = 4, nodes: int
     docs = df.select(F.col(id_col), F.col(text_col), F.coalesce(training, F.lit(False)).alias("__learn"))
     learned = docs.where("__learn")
     lengths = materialize(gram_bits(materialize(gram_counts(docs, depth, text_col, "__learn"), "grams"), depth), "lengths")
-    cached = most_frequent(lengths, nodes, "seen").select("gram", "bits").toArrow()
+    cached = most_frequent(lengths, nodes, "seen")[0].select("gram", "bits").toArrow()
     cached_grams, cached_bits = cached["gram"].to_numpy().view(np.uint64), cached["bits"].to_numpy()
     order = np.argsort(cached_grams)
     vocabulary = materialize(word_counts(learned, text_col), "words")
     totals = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
-    frequent = most_frequent(vocabulary, head).select("word", "n").toArrow().to_pydict()
+    frequent = most_frequent(vocabulary, head, "n")[0].select("word", "n").toArrow().to_pydict()
     first = materialize(_first_scores(docs, dict(zip(frequent["word"], frequent["n"], strict=True)), cached_grams[order], cached_bits[order], depth, id_col, text_col), "scores")
     rare = first.select("part", "row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("part", "row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     found = rare.join(vocabulary, "word").groupBy("part", "row").agg(F.sum("times").alias("known_rare"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("logs_rare"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from recdata.operators.graph import connected_components
 
-from .common import kind_of, map_rows, materialize, possible, slices
+from .common import kind_of, map_rows, materialize, possible, release, slices
 from .ctw import lower_bytes
 from .substrings import Hashed
 
@@ -161,11 +161,11 @@ def wide_fingerprints(df: DataFrame, id_col: str, text_col: str, size: int) -> D
     def rows(batches: Iterator[tuple]) -> Iterator[dict]:
         for keys, texts in batches:
             texts = [t or "" for t in texts]
-            for part in slices(texts, 1 << 20):
+            for part in slices(texts, 1 << 19):
                 hashes, n = _shingles(texts[part], size)
                 total, first = np.zeros((len(n), 256), np.int32), np.cumsum(n) - n
-                for at in range(0, len(hashes), 1 << 17):
-                    lanes = hashes[at : at + (1 << 17), None] ^ _LANES
+                for at in range(0, len(hashes), 1 << 15):
+                    lanes = hashes[at : at + (1 << 15), None] ^ _LANES
                     lanes = (lanes ^ (lanes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
                     lanes ^= lanes >> np.uint64(29)
                     bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8), axis=1, bitorder="little")
@@ -180,18 +180,18 @@ def wide_fingerprints(df: DataFrame, id_col: str, text_col: str, size: int) -> D
 def anchor_keys(distinct: DataFrame, tables: int) -> DataFrame:
     """(key, least): for each of `tables` words of a wide fingerprint its number and its anchor, the code word within 1 of it."""
     drawn = np.stack([np.random.default_rng(t).permutation(256)[:31] for t in range(tables)])
-    places, ones = np.arange(1, 32), np.int64(1) << np.arange(31, dtype=np.int64)
+    places, ones = np.arange(1, 32, dtype=np.uint8), np.int64(1) << np.arange(31, dtype=np.int64)
 
     def rows(batches: Iterator[tuple]) -> Iterator[dict]:
         for least, *lanes in batches:
-            for at in range(0, len(least), 512):
-                fps = np.stack([np.array(x[at : at + 512], np.int64) for x in lanes], axis=1)
+            for at in range(0, len(least), 128):
+                fps = np.stack([np.array(x[at : at + 128], np.int64) for x in lanes], axis=1)
                 bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, drawn].astype(bool)
-                off = np.bitwise_xor.reduce(np.where(bits, places, 0), axis=2)  # the bit, from 1 on, in which a word differs from its anchor
+                off = np.bitwise_xor.reduce(bits * places, axis=2).astype(np.int64)  # the bit, from 1 on, in which a word differs from its anchor
                 words = bits @ ones
                 anchors = np.where(off > 0, words ^ (np.int64(1) << np.maximum(off - 1, 0)), words)
                 keys = (np.arange(tables, dtype=np.int64) << 32) | anchors
-                yield {"key": keys.ravel(), "least": np.repeat(np.array(least[at : at + 512], np.int64), tables)}
+                yield {"key": keys.ravel(), "least": np.repeat(np.array(least[at : at + 128], np.int64), tables)}
 
     return map_rows(distinct, ["least", "f0", "f1", "f2", "f3"], rows, {"key": "long", "least": "long"})
 
@@ -225,6 +225,7 @@ def similar_documents(df: DataFrame, size: int = 5, least: float = 0.8, tables:
     sides = [distinct.select(F.col("least").alias(side), *(F.col(f).alias(f"{side}{f}") for f in lanes)) for side in ("a", "b")]
     apart = sum((F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in lanes), F.lit(0))
     near = materialize(met.join(sides[0], "a").join(sides[1], "b").where(apart <= radius).select("a", "b"), "near")
+    release(keys)
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = possible(docs, "id", wanted)[0].join(wanted, "id").groupBy("id").agg(F.min("text").alias("text"))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW, WORD, fresh, map_rows, materialize, possible, slices
+from .common import ARROW, WORD, fresh, map_rows, materialize, possible, release, slices
 from .fmindex import FMIndex, least_labels
 
 #: Words of an anchor.
@@ -269,12 +269,14 @@ def repeated_windows(df: DataFrame, size: int = 50) -> DataFrame:
     segments = materialize(_segments(docs, size), "segments")
     while True:
         shared = materialize(_shared(segments), "shared")
+        release(segments)
         if marks is not None and shared.isEmpty():
             return marks
         lists = _lists(shared)
         cut = materialize(_cut(possible(docs, "doc_id", lists.select("doc_id"))[0].join(lists, ["doc_id", "text_key"]), size), "cut")
         total = cut.agg(F.sum((F.col("n") + size - 1) * F.when(F.col("copy") < 0, F.col("copies")).otherwise(1))).first()[0] or 0
         found = materialize(_search(cut, size, max(1, -(-int(total) // SHARD))), "found")
+        release(shared, cut)
         gone = found.where("gone").select("doc_id", "text_key", F.col("start").alias("first"), "n")
         marks = gone if marks is None else marks.unionByName(gone)
         left = found.where("NOT gone").select("doc_id", "text_key", "start", F.posexplode("hashes").alias("at", "anchor"))
