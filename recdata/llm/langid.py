@@ -22,6 +22,8 @@ from .common import kind_of, map_rows, materialize, most_frequent
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
+#: To the counts of a language come those of so many features from all languages together. A rare feature of a large language so says little for a small one that has never had it.
+PRIOR = 10.0
 #: Marks the ends of a word in its n-grams.
 EDGE = "\x00"
 
@@ -130,7 +132,8 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", most_wo
     tables = []
     for counts in (words, grams):
         totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        by_lang = [F.log((F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) + 0.1) / (totals.get(lang, 0) + 1.0)) for lang in langs]
+        common = F.sum("n") * (PRIOR / max(1, sum(totals.values())))
+        by_lang = [F.log((F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) + common) / (totals.get(lang, 0) + PRIOR)) for lang in langs]
         tables.append(materialize(counts.groupBy("feature").agg(F.sum("n").alias("n"), F.array(*by_lang).cast("array<double>").alias("scores")), "scores"))
     n_docs = np.array([priors[lang] for lang in langs], float)
     heads = [Head(table, most, len(langs)) for table, most in zip(tables, (most_words, most_grams), strict=True)]

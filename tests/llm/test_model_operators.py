@@ -112,6 +112,20 @@ def test_very_long_texts_and_clashing_columns(spark):
     assert made.select(chat.read_loss(F.col("formatted"), F.col("mask"))).first()[0] == "".join(t for _, t, _ in rows)
 
 
+def test_large_language_among_small_ones(spark):
+    """Rare words of a language with nearly all of the text do not speak for one with little."""
+    rng = random.Random(8)
+    words = {lang: [f"{lang}{rng.randrange(26**4):x}" for _ in range(n)] for lang, n in (("en", 3000), ("de", 60))}
+    common = {lang: [f"{lang}the", f"{lang}of", f"{lang}and"] for lang in words}
+    make = lambda lang: " ".join(rng.choice(common[lang]) if rng.random() < 0.2 else rng.choice(words[lang]) for _ in range(60))
+    rows = [(i, make("de" if i % 200 == 0 else "en"), "de" if i % 200 == 0 else "en") for i in range(800)]
+    test = [(1000 + i, make(lang), lang) for i, lang in enumerate(["de", "en"] * 40)]
+    schema = "doc_id long, text string, lang string"
+    got = langid.identify(spark.createDataFrame(test, schema), langid.train(spark.createDataFrame(rows, schema))).collect()
+    told = {i: lang for i, _, lang in test}
+    assert sum(r["lang_pred"] == told[r["doc_id"]] for r in got) == len(got)
+
+
 def test_language_ties_go_to_the_first_name(spark):
     train = spark.createDataFrame([(1, "one two", "bb"), (2, "one two", "aa")], "doc_id long, text string, lang string")
     for heads in (0, 64):
@@ -171,7 +185,8 @@ def test_language_uses_every_word_and_gram(spark, heads):
                 grams[lang][gram] += n
 
     def score(table, lang, feature):
-        return math.log((table[lang][feature] + 0.1) / (sum(table[lang].values()) + 1))
+        share = sum(counts[feature] for counts in table.values()) / sum(sum(counts.values()) for counts in table.values())
+        return math.log((table[lang][feature] + 10 * share) / (sum(table[lang].values()) + 10))
 
     def known(table, feature):
         return any(feature in counts for counts in table.values())
