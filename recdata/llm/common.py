@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -29,6 +32,14 @@ def id_crc(id_column: Column, modulus: int) -> Column:
 ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers stay alive between tasks, and an executor has a few of them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, columns: list[str], rows: Callable[[Iterator[tuple]], Iterable[dict]], fields: dict[str, str]) -> DataFrame:
     """mapInArrow over some columns of `df`.
 
@@ -41,6 +52,7 @@ def map_rows(df: DataFrame, columns: list[str], rows: Callable[[Iterator[tuple]]
         for out in rows(tuple(column.to_pylist() for column in batch.columns) for batch in batches if batch.num_rows):
             arrays = [x if isinstance(x := out[name], pa.Array) else pa.array(x, kind) for name, kind in types.items()]
             yield pa.RecordBatch.from_arrays(arrays, names=list(types))
+        give_back()
 
     return df.select(*columns).mapInArrow(run, ", ".join(f"`{name}` {kind}" for name, kind in fields.items()))
 

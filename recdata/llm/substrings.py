@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW, WORD, fresh, map_rows, materialize, possible, release, slices
+from .common import ARROW, WORD, fresh, give_back, map_rows, materialize, possible, release, slices
 from .fmindex import FMIndex, least_labels
 
 #: Words of an anchor.
@@ -176,6 +176,7 @@ def _cut(wanted: DataFrame, size: int) -> DataFrame:
                     out, held = [], 0
             if out:
                 yield _batch(out, fields)
+        give_back()
 
     return wanted.select("doc_id", "text_key", "text", "start", "n", *_KIND).mapInArrow(run, schema)
 
