@@ -22,7 +22,8 @@ RUN = 1 << 12
 #: characters that are not white space, as no alternative holds a space
 #: anywhere but at its start or within white space.
 _SAFE = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})")
-_BLANKS = regex.compile(r"\p{White_Space}{%d,}+" % RUN)
+# a run is looked for at its first character alone, or shorter runs would take time squared
+_BLANKS = regex.compile(r"(?<!\p{White_Space})\p{White_Space}{%d,}+" % RUN)
 
 
 @functools.lru_cache(maxsize=4)
