@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from recdata.operators.graph import connected_components
 
+from . import prefixes
 from .common import kind_of, map_rows, materialize, possible, release, slices
 from .ctw import lower_bytes
-from .substrings import Hashed
+from .prefixes import unique_shingles
 
 #: Members of one anchor beyond which it is dealt out again; results do not depend on it.
 HOT = 256
@@ -141,28 +142,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-#: Words of 31 bits drawn from a wide fingerprint, each with an anchor of its own.
-TABLES = 128
+#: Words of 31 bits drawn from a wide fingerprint, each with an anchor of its own: they save work and change no result.
+TABLES = 24
+#: Standard deviations beyond the expected distance at which fingerprints are too far apart for a text to be compared by its shingles.
+MARGIN = 6.5
 _LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+LANES = [f"f{k}" for k in range(4)]
 
 
-def _shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of some texts, one text after the other, and how many each has; fewer words than `size` make one."""
-    hashed = Hashed([lower_bytes(t).split() for t in texts], 64)
-    n = np.maximum(hashed.counts - size + 1, np.minimum(hashed.counts, 1))
-    offset = np.cumsum(hashed.counts) - hashed.counts
-    start = np.repeat(offset - np.cumsum(n) + n, n) + np.arange(n.sum())
-    return hashed.of(start, np.minimum(start + size, np.repeat(offset + hashed.counts, n))), n
+def wide_fingerprints(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """((id, f0 to f3, set, n), sketch), both stored.
 
-
-def wide_fingerprints(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, f0 to f3): SimHash of 256 bits of every whole text; zero without words."""
+    f0 to f3: SimHash of 256 bits of the set of shingles of every whole text,
+    zero without words. set: a digest of that set, equal for equal sets alone. n:
+    its size. sketch: see `prefixes.merged_sketch`.
+    """
+    fields = {id_col: kind_of(df, id_col), **dict.fromkeys(LANES, "long"), "set": "binary", "n": "int", "block": "int", "part": "int", "counts": "binary"}
 
     def rows(batches: Iterator[tuple]) -> Iterator[dict]:
+        counted = np.zeros(prefixes.SKETCH, np.int64)
         for keys, texts in batches:
             texts = [t or "" for t in texts]
             for part in slices(texts, 1 << 19):
-                hashes, n = _shingles(texts[part], size)
+                hashes, n = unique_shingles(texts[part], size)
                 total, first = np.zeros((len(n), 256), np.int32), np.cumsum(n) - n
                 for at in range(0, len(hashes), 1 << 15):
                     lanes = hashes[at : at + (1 << 15), None] ^ _LANES
@@ -171,10 +173,15 @@ def wide_fingerprints(df: DataFrame, id_col: str, text_col: str, size: int) -> D
                     bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8), axis=1, bitorder="little")
                     some = np.flatnonzero((n > 0) & (first < at + len(bits)) & (first + n > at))
                     total[some] += np.add.reduceat(bits, np.maximum(first[some] - at, 0), axis=0, dtype=np.int32)
+                counted += np.bincount((hashes & np.uint64(prefixes.SKETCH - 1)).astype(np.int64), minlength=prefixes.SKETCH)
                 found = np.packbits(2 * total > n[:, None], axis=1, bitorder="little").view(np.int64)
-                yield {id_col: keys[part]} | {f"f{k}": found[:, k] for k in range(4)}
+                sets = [xxhash.xxh3_128_digest(hashes[s : s + k].tobytes()) for s, k in zip(first.tolist(), n.tolist(), strict=True)]
+                none = [None] * len(n)
+                yield {id_col: keys[part], **{f: found[:, k] for k, f in enumerate(LANES)}, "set": sets, "n": n.astype(np.int32), "block": none, "part": none, "counts": none}
+        yield from ({**dict.fromkeys(fields, [None] * len(told["block"])), **told} for told in prefixes.sketch_rows(counted))
 
-    return map_rows(df, [id_col, text_col], rows, {id_col: kind_of(df, id_col), **{f"f{k}": "long" for k in range(4)}})
+    stored = materialize(map_rows(df, [id_col, text_col], rows, fields), "fingerprints")
+    return stored.where("block IS NULL").select(id_col, *LANES, "set", "n"), stored.where("block IS NOT NULL").select("block", "part", "counts")
 
 
 def anchor_keys(distinct: DataFrame, tables: int) -> DataFrame:
@@ -193,48 +200,27 @@ def anchor_keys(distinct: DataFrame, tables: int) -> DataFrame:
                 keys = (np.arange(tables, dtype=np.int64) << 32) | anchors
                 yield {"key": keys.ravel(), "least": np.repeat(np.array(least[at : at + 128], np.int64), tables)}
 
-    return map_rows(distinct, ["least", "f0", "f1", "f2", "f3"], rows, {"key": "long", "least": "long"})
+    return map_rows(distinct, ["least", *LANES], rows, {"key": "long", "least": "long"})
 
 
-def similar_documents(df: DataFrame, size: int = 5, least: float = 0.8, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of every row: documents whose `size`-word shingles have a Jaccard similarity of `least` or more are linked.
-
-    A similarity of 0.8 lets fingerprints of 64 bits differ in up to 14 bits, too
-    many for one covering of fixed radius. So each text has 256 bits, from which
-    `tables` words of 31 bits are drawn; texts that share the anchor of a word
-    (see the module's text) are candidates of the smallest id there, those near
-    in all 256 bits are compared by their shingles, and only pairs that reach
-    `least` are links. A pair of similarity s meets at a given word with a chance
-    of about (1 - a)^26, a = acos(2 s / (1 + s)) / pi: with 128 words 0.84 of the
-    pairs at 0.8 and 0.98 of those at 0.85 meet. Copies are one fingerprint
-    before anything is compared, and an anchor of n texts gives n - 1
-    candidates, never all pairs. Ids are integers; rows with a null id get a null
-    component_id. Null and empty texts have no words and are linked with each
-    other. Repeated rows come back as often as they came; an empty table gives
-    an empty result; other columns are not read.
+def _verified(met: DataFrame, docs: DataFrame, distinct: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (a, b) of `met`, ids of `distinct`, whose shingles have a similarity of `least` or more; stored.
+
+    Pairs too far apart in all 256 bits are left out first: of pairs that reach
+    `least`, fewer than one in a thousand million are (see MARGIN).
     """
-    lanes = [f"f{k}" for k in range(4)]
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = materialize(wide_fingerprints(docs, "id", "text", size), "fingerprints")
-    distinct = materialize(prints.where("id IS NOT NULL").groupBy(*lanes).agg(F.min("id").alias("least")), "distinct")
-    keys = materialize(anchor_keys(distinct, tables), "anchors")
-    shared = keys.groupBy("key").agg(F.min("least").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    met = keys.withColumnRenamed("least", "b").join(shared, "key").where("a <> b").select("a", "b").distinct()
     angle = math.acos(2 * least / (1 + least)) / math.pi
-    radius = 256 * angle + 4 * math.sqrt(256 * angle * (1 - angle))
-    sides = [distinct.select(F.col("least").alias(side), *(F.col(f).alias(f"{side}{f}") for f in lanes)) for side in ("a", "b")]
-    apart = sum((F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in lanes), F.lit(0))
-    near = materialize(met.join(sides[0], "a").join(sides[1], "b").where(apart <= radius).select("a", "b"), "near")
-    release(keys)
+    radius = 256 * angle + MARGIN * math.sqrt(256 * angle * (1 - angle))
+    sides = [distinct.select(F.col("least").alias(side), F.col("n").alias(f"{side}n"), *(F.col(f).alias(f"{side}{f}") for f in LANES)) for side in ("a", "b")]
+    apart = sum((F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in LANES), F.lit(0))
+    fit = F.least("an", "bn") >= F.greatest("an", "bn") * least - 1e-9
+    near = materialize(met.join(sides[0], "a").join(sides[1], "b").where((apart <= radius) & fit).select("a", "b"), "near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = possible(docs, "id", wanted)[0].join(wanted, "id").groupBy("id").agg(F.min("text").alias("text"))
 
     def sets(batches: Iterator[tuple]) -> Iterator[dict]:
         for ids, texts in batches:
-            found = []
-            for text in texts:
-                found.append(np.unique(_shingles([text or ""], size)[0]).tobytes())
-            yield {"id": ids, "shingles": found}
+            yield {"id": ids, "shingles": [unique_shingles([text or ""], size)[0].tobytes() for text in texts]}
 
     shingled = materialize(map_rows(texts, ["id", "text"], sets, {"id": "long", "shingles": "binary"}), "shingles")
 
@@ -248,7 +234,49 @@ def similar_documents(df: DataFrame, size: int = 5, least: float = 0.8, tables:
         return pd.Series(out, dtype=float)
 
     pairs = near.join(shingled.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(shingled.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    found = connected_components(pairs.where(jaccard("sa", "sb") >= least).select("a", "b"))
-    named = distinct.join(found.withColumnRenamed("node", "least"), "least", "left").select(*lanes, F.coalesce("component", "least").alias("component_id"))
-    told = prints.where("id IS NOT NULL").join(named, lanes).select(F.col("id").alias(id_col), "component_id")
+    links = materialize(pairs.where(jaccard("sa", "sb") >= least).select("a", "b"), "links")
+    release(near, shingled)
+    return links
+
+
+def similar_documents(df: DataFrame, size: int = 5, least: float = 0.8, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of every row: documents whose sets of `size`-word shingles have a Jaccard similarity of `least` or more are linked.
+
+    Texts with equal sets are one from the start. Then links are found in two
+    ways. First by anchors: each set has a SimHash of 256 bits, from which
+    `tables` words of 31 bits are drawn; sets that share the anchor of a word
+    (see the module's text) are candidates of the smallest id there. That joins
+    most of a group of near copies at the price of a few candidates for each.
+    Then by prefixes (see `prefixes`), which miss no pair: two sets that reach
+    `least` share a shingle among the first few of each, in any order of all
+    shingles. Only pairs between components are still looked at, so a group
+    that has come together never becomes all its pairs. All candidates are
+    compared by their shingles.
+
+    Ids are integers; rows with a null id get a null component_id. Null and
+    empty texts have no words and are linked with each other; texts of fewer
+    than `size` words are one shingle. Repeated rows come back as often as they
+    came; rows of one id with different texts are linked by any of these texts
+    or by the least of them; an empty table gives an empty result; other columns
+    are not read.
+    """
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    prints, sketch = wide_fingerprints(docs, "id", "text", size)
+    lanes = [F.first(f).alias(f) for f in (*LANES, "n")]
+    distinct = materialize(prints.where("id IS NOT NULL").groupBy("set").agg(F.min("id").alias("least"), *lanes), "distinct")
+    keys = materialize(anchor_keys(distinct, tables), "anchors")
+    shared = keys.groupBy("key").agg(F.min("least").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    met = keys.withColumnRenamed("least", "b").join(shared, "key").where("a <> b").select("a", "b").distinct()
+    links = _verified(met, docs, distinct, size, least)
+    release(keys)
+    found = connected_components(links)
+    postings = prefixes.shared_postings(docs, prints, distinct, sketch, size, least)
+    turn, whole = 0, False
+    while not whole:
+        met, whole = prefixes.crossing(postings, found, least, turn)
+        links = materialize(links.unionByName(_verified(met, docs, distinct, size, least)), "links")
+        found = connected_components(links)
+        turn += 1
+    named = distinct.join(found.withColumnRenamed("node", "least"), "least", "left").select("set", F.coalesce("component", "least").alias("component_id"))
+    told = prints.where("id IS NOT NULL").join(named, "set").select(F.col("id").alias(id_col), "component_id")
     return told.unionByName(prints.where("id IS NULL").select(F.col("id").alias(id_col), F.lit(None).cast("long").alias("component_id")))

@@ -1,5 +1,6 @@
 """SimHash, substrings and top-k against brute force."""
 
+import collections
 import itertools
 import random
 import re
@@ -9,14 +10,18 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from recdata.llm import covertree, fmindex, simhash, substrings, topk
+from recdata.llm import covertree, fmindex, prefixes, simhash, substrings, topk
 from recdata.llm.common import possible
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def plain_words(text):
+    return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
 def brute_fingerprint(text):
-    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    words = plain_words(text)
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] * bool(words)
     hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
@@ -57,14 +62,31 @@ def similar_pairs(texts, size=5, least=0.8):
     """(pairs of ids whose shingle sets reach the similarity, the sets) by comparing all."""
     sets = {}
     for i, t in texts.items():
-        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        words = plain_words(t)
         sets[i] = {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
     like = lambda a, b: a == b or len(a & b) >= least * len(a | b)
     return [(i, j) for i, j in itertools.combinations(sorted(sets), 2) if like(sets[i], sets[j])], sets
 
 
-def test_similar_documents(spark):
-    """Links of 0.8 and more are found, none below is made, and a large group of near copies needs no pairs of all."""
+def components_of(nodes, pairs):
+    """The smallest node that each can reach."""
+    parent = {i: i for i in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in pairs:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in nodes}
+
+
+@pytest.mark.parametrize(("tables", "most", "turns"), [(24, 8, 6), (1, 0, 2), (1, 0, 0)])
+def test_similar_documents(spark, monkeypatch, tables, most, turns):
+    """All links of 0.8 and more are found and no other, also almost without anchors, with pivots in every turn and with none."""
+    monkeypatch.setattr(prefixes, "TURNS", turns)
+    monkeypatch.setattr(prefixes, "MANY", most)
     rng = random.Random(6)
     fresh = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
     texts, n = {}, 0
@@ -76,24 +98,48 @@ def test_similar_documents(spark):
                 words[at] = f"x{rng.random()}"
             texts[n] = rng.choice([" ", "\n", "  "]).join(words)
             n += 1
-    texts |= {n: None, n + 1: "", n + 2: "One", n + 3: "one", n + 4: "a b c", n + 5: "A b c"}
+    # a large group of near copies, and a passage that many unlike documents share
+    group, passage = fresh(120), fresh(60)
+    for k in range(60):
+        texts[n] = " ".join(group[:k] + [f"y{k}"] + group[k + 1 :])
+        texts[n + 1] = " ".join([*passage, *fresh(12)])
+        n += 2
+    texts |= {n: None, n + 1: "", n + 2: "One", n + 3: "one", n + 4: "a b c", n + 5: "A b c", n + 6: "a b c d e f"}
     rows = [(i, t, "clash") for i, t in texts.items()]
     df = spark.createDataFrame([*rows, rows[3], (None, "x", "y"), (None, None, None)], "doc_id int, text string, component_id string").repartition(3)
-    got = simhash.similar_documents(df).collect()
+    got = simhash.similar_documents(df, tables=tables).collect()
     assert len(got) == len(rows) + 3 and sum(r["component_id"] is None for r in got) == 2
-    found = {r["doc_id"]: r["component_id"] for r in got}
-    pairs, sets = similar_pairs(texts)
-    assert sum(found[a] == found[b] for a, b in pairs) >= 0.9 * len(pairs) and len(pairs) > 100
-    parent = {i: i for i in texts}
+    pairs, _ = similar_pairs(texts)
+    assert len(pairs) > 1500
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == components_of(texts, pairs)
+    assert simhash.similar_documents(df.limit(0)).count() == 0
 
-    def root(x):
-        return x if parent[x] == x else root(parent[x])
 
-    for a, b in pairs:
-        parent[max(root(a), root(b))] = min(root(a), root(b))
-    assert all(root(i) == root(c) and c <= i for i, c in found.items() if i is not None)
-    assert found[n + 1] == n and found[n + 3] == n + 2 and found[n + 5] == n + 4
-    assert simhash.similar_documents(df.limit(0)).count() == 0
+def test_similar_documents_of_whole_table(spark):
+    """No pair of unlike texts at 0.8 or more is lost, in any band, against all pairs that share a shingle of their first words' worth."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()}
+    sets = {i: frozenset(zip(*(w[k:] for k in range(5)), strict=False)) if len(w := plain_words(t)) >= 5 else frozenset([tuple(w)]) for i, t in docs.items()}
+    first = {}
+    for i in sorted(docs):
+        first.setdefault(sets[i], i)
+    count = collections.Counter(s for x in first for s in x)
+    held, bands = collections.defaultdict(list), collections.Counter()
+    pairs = [(i, first[x]) for i, x in sets.items() if first[x] != i]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")).collect()}
+    for x, i in first.items():
+        tried = set()
+        for s in sorted(x, key=lambda s: (count[s], s))[: len(x) - -(-len(x) * 4 // 5) + 1]:
+            for j in held[s]:
+                if j not in tried:
+                    tried.add(j)
+                    alike = len(x & sets[j]) / len(x | sets[j])
+                    if alike >= 0.8:
+                        pairs.append((i, j))
+                        bands[f"{alike * 20 // 1 / 20:.2f}", found[i] == found[j]] += 1
+            held[s].append(i)
+    print(sorted(bands.items()))
+    assert sum(bands.values()) > 30 and not [band for band, linked in bands if not linked]
+    assert found == components_of(docs, pairs)
 
 
 @pytest.mark.parametrize("hot", [1, 3, 256])
