@@ -6,10 +6,12 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,20 +52,25 @@ def query_text(fields: list[Column]) -> Column:
     return join_fields(fields, " ")
 
 
-#: Documents of a block, queries of a block, and document blocks of a task, about.
-BLOCK, QUERIES, CHUNK = 2048, 512, 2
+#: Documents of a block, and queries of a task, about.
+BLOCK, QUERIES = 2048, 32
+#: A term in this share of all blocks or more is bounded for all of them at once.
+WIDE = 0.9
+#: Terms by which like texts are put next to each other.
+LEAD = 3
 
 
 def _counted(texts: DataFrame) -> DataFrame:
-    """(item_id, length, terms, times): the tokens of each text, each once."""
+    """(item_id, length, terms, times, lead): the tokens of each text, each once, and its most frequent words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [Counter(tokens) for tokens in batch.column("tokens").to_pylist()]
-            columns = [batch.column("item_id"), pa.array([c.total() for c in found], pa.int64()), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["item_id", "length", "terms", "times"])
+            lead = [" ".join(sorted((t for t in c if t.isalpha()), key=lambda t: (-c[t], t))[:LEAD]) for c in found]
+            columns = [batch.column("item_id"), pa.array([c.total() for c in found], pa.int64()), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), pa.array(lead, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["item_id", "length", "terms", "times", "lead"])
 
-    return texts.select(F.col("item_id").cast("long"), tokenize(F.col("text")).alias("tokens")).mapInArrow(count, "item_id long, length long, terms array<string>, times array<int>")
+    return texts.select(F.col("item_id").cast("long"), tokenize(F.col("text")).alias("tokens")).mapInArrow(count, "item_id long, length long, terms array<string>, times array<int>, lead string")
 
 
 @dataclass
@@ -106,7 +113,7 @@ def best_of_block(weights: tuple[np.ndarray, np.ndarray], docs: Postings, n_docs
     none of those seen so far can reach it either, the block is done with.
     """
     codes, weight = weights
-    bound = weight * docs.most[codes]
+    bound = np.maximum(weight * docs.most[codes], 0)
     order = np.argsort(-bound)
     codes, weight = codes[order], weight[order]
     left = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)
@@ -131,6 +138,94 @@ def best_of_block(weights: tuple[np.ndarray, np.ndarray], docs: Postings, n_docs
     return found[keep], scores[keep]
 
 
+@dataclass
+class Ranking:
+    """What a search of blocks needs and finds; see `bm25`."""
+
+    rows: DataFrame
+    met: list[DataFrame]
+    n_blocks: int
+    n_queries: int
+
+    def share_met(self) -> float:
+        """The share of all pairs of a query and a block that were searched."""
+        return sum(pairs.count() for pairs in self.met) / max(1, self.n_blocks * self.n_queries)
+
+
+def inverted_blocks(counted: DataFrame, k1: float, b: float, avgdl: float) -> tuple[DataFrame, int]:
+    """((block, docs: ids, postings and tags pickled, terms, most), number of blocks): like texts next to each other, BLOCK to a block at most."""
+    names = ["item_id", "length", "terms", "times", *(["tags"] if "tags" in counted.columns else [])]
+
+    def invert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, k, part = [], 0, TaskContext.get().partitionId()
+        for frame in chain(frames, [None]):
+            if frame is not None:
+                held.append(frame)
+            n = sum(map(len, held))
+            while n >= BLOCK or frame is None and n:
+                rows = pd.concat(held)
+                some, held = rows.iloc[:BLOCK].sort_values("item_id"), [rows.iloc[BLOCK:]]
+                n -= len(some)
+                at, keys = _flat(some["terms"])
+                tf, length = _flat(some["times"], float)[1], some["length"].to_numpy(float)
+                postings = Postings.of(at, keys, tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[at] / avgdl)))
+                tagged = Postings.of(*(x := _flat(some["tags"])), np.ones(len(x[0]))) if "tags" in some else None
+                yield pd.DataFrame([{"part": part, "k": k, "docs": pickle.dumps((some["item_id"].to_numpy(), postings, tagged)), "terms": postings.keys.tolist(), "most": postings.most}])
+                k += 1
+
+    near = counted.repartitionByRange("lead", "item_id").sortWithinPartitions("lead", "item_id").select(*names)
+    stored = materialize(near.mapInPandas(invert, "part int, k int, docs binary, terms array<string>, most array<double>"), "blocks")
+    sizes = stored.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # one row for each partition, so it may be sent to all tasks
+    return stored.join(F.broadcast(before), "part").select((F.col("before") + F.col("k")).alias("block"), "docs", "terms", "most"), stored.count()
+
+
+def block_bounds(terms: DataFrame, blocks: DataFrame, n_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """((item_id, block, bound), (item_id, rest)): what a document of a block can score at most for a query.
+
+    The block directory (term, block, largest value) is joined with the terms of
+    the queries (item_id, term, weight). A term that nearly all blocks have adds
+    its largest value anywhere to the bound of every block instead, `rest`.
+    Blocks without any other term of a query have no row: for them `rest` is
+    the bound.
+    """
+    directory = blocks.select("block", F.explode(F.arrays_zip("terms", "most")).alias("t")).select("block", F.col("t.terms").alias("term"), F.col("t.most").alias("most"))
+    spread = directory.groupBy("term").agg(F.count("*").alias("n"), F.max("most").alias("top"))
+    weight = F.greatest("weight", F.lit(0.0))
+    known = materialize(terms.join(spread, "term").withColumn("wide", F.col("n") >= WIDE * n_blocks), "terms")
+    rest = known.groupBy("item_id").agg(F.sum(F.when(F.col("wide"), weight * F.col("top")).otherwise(0.0)).alias("rest"))
+    narrow = known.where("NOT wide").join(directory, "term").groupBy("item_id", "block").agg(F.sum(weight * F.col("most")).alias("bound"))
+    return materialize(narrow.join(rest, "item_id").select("item_id", "block", (F.col("bound") + F.col("rest")).alias("bound")), "bounds"), materialize(rest, "rest")
+
+
+def search_blocks(pairs: DataFrame, weighted: DataFrame, blocks: DataFrame, topn: int) -> DataFrame:
+    """(query_item, doc_item, score) of pairs (item_id, block, least): the documents of the block that may be among the query's `topn` best, all of which score `least` at least.
+
+    Queries of a block are dealt over copies of it, QUERIES to a copy about.
+    """
+
+    def search(key: tuple, asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(block):
+            ids, postings, tagged = pickle.loads(block["docs"].iloc[0])  # noqa: S301  written by inverted_blocks
+            for row in asked.itertuples(index=False):
+                codes, allowed = postings.keys.get_indexer(np.asarray(row.terms, object)), None
+                known = codes >= 0
+                if tagged is not None:
+                    allowed = np.zeros(len(ids), bool)
+                    mine = tagged.keys.get_indexer(np.asarray(row.tags, object))
+                    allowed[tagged.rows[tagged.places(mine[mine >= 0])]] = True
+                found, scores = best_of_block((codes[known], np.asarray(row.weights, float)[known]), postings, len(ids), topn, row.least, allowed)
+                out.append(pd.DataFrame({"query_item": row.item_id, "doc_item": ids[found], "score": scores}))
+        return pd.concat(out) if out else pd.DataFrame({"query_item": [], "doc_item": [], "score": []})
+
+    copies = pairs.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).alias("copies"))
+    asked = pairs.join(copies, "block").withColumn("copy", F.pmod(F.xxhash64("item_id"), F.col("copies"))).drop("copies").join(weighted, "item_id")
+    dealt = blocks.select("block", "docs").join(copies, "block").select("block", "docs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    return asked.groupBy("block", "copy").cogroup(dealt.groupBy("block", "copy")).applyInPandas(search, "query_item long, doc_item long, score double")
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, topn: int = 1000, tags: DataFrame | None = None, ignore_tag: str = "Books") -> DataFrame:
     """(query_item, doc_item, score, rank): Okapi BM25 of each query over the documents.
 
@@ -140,14 +235,23 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     `ignore_tag`, are ranked. Documents without a common term are not ranked.
     Ties go to the smaller id.
 
-    Documents are packed into inverted blocks and queries into blocks of their
-    own. A task takes one block of queries and a few blocks of documents, adds up
-    postings in memory and carries the `topn`-th score of each query from block
-    to block, so that terms, documents and whole blocks that cannot reach it
-    are left out (see `best_of_block`). What is shuffled is blocks, and `topn`
-    rows for each query and task, never a row for each query, term and
-    document. Only the number of documents and their mean length reach the
-    driver. Tags are matched within a block, never with each other.
+    See `bm25_ranking` for how it is found.
+    """
+    return bm25_ranking(queries, docs, k1, b, eps, topn, tags, ignore_tag).rows
+
+
+def bm25_ranking(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, topn: int = 1000, tags: DataFrame | None = None, ignore_tag: str = "Books") -> Ranking:
+    """`bm25` with the pairs of queries and blocks that were searched.
+
+    Documents are packed into inverted blocks, like texts together. A directory
+    of the blocks gives what each block can score at most for a query. Every
+    query is first searched in the block with its highest bound, which gives a
+    score that its `topn` best reach at least; after that only in blocks whose
+    bound reaches this score. Blocks and queries that have nothing to do with
+    each other never meet, and within a block terms and documents that cannot
+    reach the score are left out (see `best_of_block`). What is shuffled is the
+    terms of a query for each block it meets, copies of blocks, and `topn` rows
+    for each meeting. Only three numbers reach the driver.
     """
     counted = materialize(_counted(docs), "counted")
     asked = materialize(_counted(queries), "asked")
@@ -158,55 +262,27 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     mean = idf.agg(F.avg("idf")).first()[0] or 0.0
     idf = idf.withColumn("idf", F.when(F.col("idf") < 0, F.lit(eps * mean)).otherwise(F.col("idf")))
     terms = asked.select("item_id", F.explode(F.arrays_zip("terms", "times")).alias("t")).select("item_id", F.col("t.terms").alias("term"), F.col("t.times").alias("qtf"))
-    weighted = terms.join(idf, "term").groupBy("item_id").agg(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("weight"))).alias("w"))
-    weighted = weighted.select("item_id", F.col("w.term").alias("terms"), F.col("w.weight").alias("weights"))
-    rows = counted.select("item_id", "length", "terms", "times")
+    terms = materialize(terms.join(idf, "term").select("item_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "weights")
+    weighted = terms.groupBy("item_id").agg(F.collect_list(F.struct("term", "weight")).alias("w")).select("item_id", F.col("w.term").alias("terms"), F.col("w.weight").alias("weights"))
     if tags is not None:
         own = tags.where(F.col("tag") != ignore_tag).groupBy("item_id").agg(F.collect_set("tag").alias("tags"))
         none = F.array().cast("array<string>")
-        rows, weighted = (x.join(own, "item_id", "left").withColumn("tags", F.coalesce("tags", none)) for x in (rows, weighted))
-    n_blocks, n_groups = max(1, -(-n_docs // BLOCK)), max(1, -(-asked.count() // QUERIES))
-
-    def invert(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("item_id")
-        at, keys = _flat(frame["terms"])
-        tf, length = _flat(frame["times"], float)[1], frame["length"].to_numpy(float)
-        values = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[at] / avgdl))
-        tagged = Postings.of(*(x := _flat(frame["tags"])), np.ones(len(x[0]))) if "tags" in frame else None
-        return pd.DataFrame([{"block": int(frame["block"].iloc[0]), "docs": pickle.dumps((frame["item_id"].to_numpy(), Postings.of(at, keys, values), tagged))}])
-
-    def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        lists = {name: frame[name].tolist() for name in ("item_id", "terms", "weights", "tags") if name in frame}
-        return pd.DataFrame([{"group": int(frame["group"].iloc[0]), "asked": pickle.dumps(lists)}])
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        asked = pickle.loads(frame["asked"].iloc[0])  # noqa: S301  written by gather
-        sizes = np.array([len(t) for t in asked["terms"]])
-        terms, ends = np.concatenate([np.zeros(0, object), *asked["terms"]]), np.cumsum(sizes)
-        weights = np.concatenate([np.zeros(0), *asked["weights"]])
-        best: list[np.ndarray] = [np.full(topn, -np.inf)] * len(sizes)
-        out = []
-        for block in frame.sort_values("block")["docs"]:
-            ids, postings, tagged = pickle.loads(block)  # noqa: S301  written by invert
-            codes = postings.keys.get_indexer(terms)
-            for q, (size, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
-                some = slice(end - size, end)
-                known = codes[some] >= 0
-                allowed = None
-                if tagged is not None:
-                    allowed = np.zeros(len(ids), bool)
-                    mine = tagged.keys.get_indexer(np.array(asked["tags"][q], object))
-                    allowed[tagged.rows[tagged.places(mine[mine >= 0])]] = True
-                found, scores = best_of_block((codes[some][known], weights[some][known]), postings, len(ids), topn, best[q][0], allowed)
-                if len(found):
-                    both = np.concatenate([best[q], scores])
-                    best[q] = np.sort(np.partition(both, len(both) - topn)[len(both) - topn :])
-                    out.append(pd.DataFrame({"query_item": asked["item_id"][q], "doc_item": ids[found], "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_item": [], "doc_item": [], "score": []})
-
-    blocks = materialize(rows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInPandas(invert, "block int, docs binary"), "blocks")
-    groups = materialize(weighted.withColumn("group", F.pmod(F.xxhash64("item_id"), F.lit(n_groups)).cast("int")).groupBy("group").applyInPandas(gather, "group int, asked binary"), "groups")
-    met = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
-    found = met.withColumn("chunk", F.floor(F.col("block") / CHUNK)).groupBy("group", "chunk").applyInPandas(search, "query_item long, doc_item long, score double")
+        counted, weighted = (x.join(own, "item_id", "left").withColumn("tags", F.coalesce("tags", none)) for x in (counted, weighted))
+    weighted = materialize(weighted, "weighted")
+    blocks, n_blocks = inverted_blocks(counted, k1, b, avgdl)
+    bounds, rest = block_bounds(terms, blocks, n_blocks)
+    nothing = F.lit(float("-inf"))
+    home = bounds.groupBy("item_id").agg(F.max_by("block", F.struct("bound", -F.col("block"))).alias("home"))
+    home = materialize(rest.join(home, "item_id", "left").select("item_id", "rest", F.coalesce("home", F.lit(0).cast("long")).alias("block")), "home")
+    first = materialize(search_blocks(home.select("item_id", "block", nothing.alias("least")), weighted, blocks, topn), "first")
+    seeds = first.groupBy(F.col("query_item").alias("item_id")).agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("item_id", F.get("s", F.lit(topn - 1)).alias("seed"))
+    known = home.withColumnRenamed("block", "home").join(seeds, "item_id", "left").withColumn("least", F.coalesce("seed", nothing))
+    reaches = lambda bound: F.col("least") - 1e-7 * (1 + F.abs(bound)) <= bound
+    some = bounds.join(known, "item_id").where((F.col("block") != F.col("home")) & reaches(F.col("bound"))).select("item_id", "block", "least")
+    # where the terms of nearly all blocks suffice, or nothing is known, so does every block
+    anywhere = known.where(reaches(F.col("rest"))).select("item_id", "home", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
+    pairs = materialize(some.unionByName(anywhere.where("block <> home").select("item_id", "block", "least")).distinct(), "pairs")
+    found = first.unionByName(search_blocks(pairs, weighted, blocks, topn))
     order = Window.partitionBy("query_item").orderBy(F.desc(F.round("score", 9)), "doc_item")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= topn)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= topn)
+    return Ranking(ranked, [home, pairs], n_blocks, asked.count())

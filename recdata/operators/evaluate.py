@@ -109,13 +109,25 @@ def array_metrics(df: DataFrame, scores: str = "scores", labels: str = "labels",
 
 
 def losses(cand: DataFrame, pred: DataFrame, margin: float = 1.0) -> DataFrame:
-    """(bce, mse, margin_loss) over labelled predictions between 0 and 1; the margin loss over pairs of a user's positives and negatives."""
+    """(bce, mse, margin_loss) over labelled predictions between 0 and 1; the margin loss over pairs of a user's positives and negatives.
+
+    The pairs are never formed: a user's rows are sorted, and running counts and
+    sums of the negatives tell what each positive loses.
+    """
     rows = cand.select("user_id", "item_id", "label").join(pred.select("user_id", "item_id", "score"), ["user_id", "item_id"])
     p = F.least(F.greatest(F.col("score"), F.lit(1e-12)), F.lit(1 - 1e-12))
     y = F.col("label").cast("double")
     point = rows.agg(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("bce"), F.avg((F.col("score") - y) * (F.col("score") - y)).alias("mse"))
-    pairs = rows.where("label >= 1").select("user_id", F.col("score").alias("up")).join(rows.where("label < 1").select("user_id", F.col("score").alias("down")), "user_id")
-    pair = pairs.agg(F.avg(F.greatest(F.lit(0.0), F.lit(margin) - (F.col("up") - F.col("down")))).alias("margin_loss"))
+    # a positive at its score less the margin loses to the negatives that come after it, each by how far it is behind
+    at = F.when(F.col("label") >= 1, F.col("score") - F.lit(margin)).otherwise(F.col("score"))
+    below = F.col("label") < 1
+    over = Window.partitionBy("user_id").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.select("user_id", "label", at.alias("at"))
+    placed = placed.select("user_id", "label", "at", F.count(F.when(below, 1)).over(over).alias("k"), F.coalesce(F.sum(F.when(below, F.col("at"))).over(over), F.lit(0.0)).alias("s"))
+    lost = F.when(F.col("label") >= 1, F.col("s") - F.col("k") * F.col("at")).otherwise(0.0)
+    per_user = placed.groupBy("user_id").agg(F.sum(lost).alias("lost"), F.count(F.when(below, 1)).alias("down"), F.count(F.when(F.col("label") >= 1, 1)).alias("up"))
+    n_pairs = F.sum(F.col("down") * F.col("up"))
+    pair = per_user.agg(F.when(n_pairs > 0, F.sum("lost") / n_pairs).alias("margin_loss"))
     return point.join(F.broadcast(pair))
 
 

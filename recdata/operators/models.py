@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,8 @@ from recdata.sources.scratch import materialize
 
 from .sample import dense_index
 
-#: Items of one block of the catalogue, and users of one group, about.
-BLOCK, USERS = 8192, 512
+#: Items of one block of the catalogue, users that a copy of it meets, about, and those multiplied at once.
+BLOCK, USERS, STRIPE = 8192, 2048, 256
 
 
 def _column(rows: str, field: str, alias: str) -> Column:
@@ -50,55 +51,110 @@ def normalised_ids(df: DataFrame, key: str) -> DataFrame:
     return index.join(F.broadcast(total)).select(key, F.array((F.col("idx") + 1) / F.col("n")).alias("vec"))
 
 
+@dataclass
+class Ranking:
+    """The rows of `top_n`, and the pairs of users and blocks that it multiplied."""
+
+    rows: DataFrame
+    met: list[DataFrame]
+    n_blocks: int
+    n_users: int
+
+    def share_met(self) -> float:
+        return sum(pairs.count() for pairs in self.met) / max(1, self.n_blocks * self.n_users)
+
+
 def top_n(user_vectors: DataFrame, item_vectors: DataFrame, used: DataFrame, n: int = 1000, cover: DataFrame | None = None) -> DataFrame:
     """(user_id, item_id, score, rank) of the n best items that a user has not used; ties go to the smaller id.
 
-    The catalogue is packed into blocks of BLOCK items. A task multiplies a
-    batch of users with one block and keeps the best n plus as many as the
-    users have used, so what is shuffled is n rows and a few for each user and
-    block, never users times items. With `cover` (user_id, item_id) a user's
-    list is extended until it holds all of these, which costs the full scores
-    of those users' items above their lowest one.
+    With `cover` (user_id, item_id) a user's list is extended until it holds all
+    of these, which costs the full scores of those users' items above their
+    lowest one. See `top_n_ranking` for how it is found.
+    """
+    return top_n_ranking(user_vectors, item_vectors, used, n, cover).rows
+
+
+def _double(vector: str) -> Column:
+    return F.transform(vector, lambda x: x.cast("double")).alias("vec")
+
+
+def top_n_ranking(user_vectors: DataFrame, item_vectors: DataFrame, used: DataFrame, n: int = 1000, cover: DataFrame | None = None) -> Ranking:
+    """`top_n` with the pairs of users and blocks that were multiplied.
+
+    The catalogue is packed into blocks of BLOCK items in order of their
+    lengths, the longest first. No item of a block scores more for a user than
+    the user's length times the largest length in the block. So users begin with
+    the first block and go on, a few more blocks in each round, only as long as
+    the next block's bound reaches the n-th score they have; later blocks are
+    never read for them. Users of a block are dealt over copies of it, USERS to
+    a copy at most about. What a user has used is left out where scores are
+    made, so that n rows for each user and block leave a task.
     """
-    matrix = materialize(item_vectors.where("vec IS NOT NULL").select("item_id", F.transform("vec", lambda x: x.cast("double")).alias("vec")), "items")
-    index = dense_index(matrix, "item_id")
-    blocks = matrix.join(index, "item_id").groupBy(F.floor(F.col("idx") / BLOCK).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("item_id", "vec"))).alias("i"))
-    blocks = blocks.select("block", _column("i", "item_id", "ids"), F.flatten(F.transform("i", lambda x: x["vec"])).alias("matrix"))
-    n_used = used.select("user_id", "item_id").distinct().groupBy("user_id").agg(F.count("*").alias("n_used"))
-    users = user_vectors.where("vec IS NOT NULL").select("user_id", F.transform("vec", lambda x: x.cast("double")).alias("vec")).join(n_used, "user_id", "left")
-    users = users.select("user_id", "vec", F.coalesce("n_used", F.lit(0)).alias("n_used"))
+    items = item_vectors.where("vec IS NOT NULL").select("item_id", _double("vec"))
+    items = materialize(items.withColumn("length", F.sqrt(dot(F.col("vec"), F.col("vec")))), "items")
+    keyed = items.select("item_id", (-F.col("length")).alias("order"))
+    block = (F.col("idx") / BLOCK).cast("int").alias("block")
+    placed = materialize(dense_index(keyed, ["order", "item_id"]).select("item_id", block), "places")
+    packed = items.join(placed, "item_id").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("item_id", "vec"))).alias("i"), F.max("length").alias("top"))
+    blocks = materialize(packed.select("block", _column("i", "item_id", "ids"), F.flatten(F.transform("i", lambda x: x["vec"])).alias("matrix"), "top"), "blocks")
+    n_blocks = blocks.count()
+    taken = used.select("user_id", "item_id").distinct().join(placed, "item_id").groupBy("user_id", "block").agg(F.collect_list("item_id").alias("used"))
+    taken = materialize(taken, "used")
+    users = user_vectors.where("vec IS NOT NULL").select("user_id", _double("vec"))
+    users = users.withColumn("length", F.sqrt(dot(F.col("vec"), F.col("vec"))))
     if cover is not None:
-        wanted = score_pairs(cover, users, matrix).groupBy("user_id").agg(F.min("score").alias("floor"))
-        users = users.join(wanted, "user_id", "left")
+        users = users.join(score_pairs(cover, users, items).groupBy("user_id").agg(F.min("score").alias("floor")), "user_id", "left")
     else:
         users = users.withColumn("floor", F.lit(None).cast("double"))
-    groups = max(1, -(-users.count() // USERS))
-    packed = users.withColumn("group", F.pmod(F.xxhash64("user_id"), F.lit(groups))).groupBy("group").agg(F.collect_list(F.struct("user_id", "vec", "n_used", F.coalesce("floor", F.lit(float("inf"))).alias("floor"))).alias("u"))
-    packed = packed.select("group", _column("u", "user_id", "users"), _column("u", "n_used", "n_used"), _column("u", "floor", "floors"), F.flatten(F.transform("u", lambda x: x["vec"])).alias("vectors"))
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                people, ids = np.asarray(row.users), np.asarray(row.ids)
-                scores = np.asarray(row.vectors).reshape(len(people), -1) @ np.asarray(row.matrix).reshape(len(ids), -1).T
-                most = np.minimum(len(ids), n + np.asarray(row.n_used))
-                deepest = int(most.max())
-                best = np.sort(np.partition(scores, len(ids) - deepest, axis=1)[:, len(ids) - deepest :], axis=1)
-                least = np.minimum(best[np.arange(len(people)), deepest - most], np.asarray(row.floors)) - 1e-9
-                u, i = np.nonzero(scores >= least[:, None])
-                yield pd.DataFrame({"user_id": people[u], "item_id": ids[i], "score": scores[u, i]})
-
-    n_blocks = max(1, -(-index.count() // BLOCK))
-    salts = max(1, min(groups, 64 // n_blocks))  # so that few blocks do not mean few tasks
-    dealt = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("salt", (F.col("group") % salts).cast("int")).join(dealt, ["block", "salt"])
-    found = pairs.select("users", "n_used", "floors", "vectors", "ids", "matrix").mapInPandas(best, "user_id long, item_id long, score double")
-    left = found.join(used.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").withColumn("score", F.round("score", 9))
-    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")))
+    users = materialize(users, "users")
+    tops = blocks.select("block", "top")
+
+    def best(key: tuple, people: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(people) or not len(block):
+            return pd.DataFrame({"user_id": [], "item_id": [], "score": []})
+        ids = np.asarray(block["ids"].iloc[0])
+        matrix = np.asarray(block["matrix"].iloc[0]).reshape(len(ids), -1).T
+        k, out = min(n, len(ids)), []
+        for first in range(0, len(people), STRIPE):
+            some = people.iloc[first : first + STRIPE]
+            scores = np.stack(some["vec"].to_list()) @ matrix
+            for at, gone in enumerate(some["used"]):
+                if gone is not None:
+                    scores[at, np.searchsorted(ids, gone)] = -np.inf
+            last = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+            # what may be among the n best, and whatever lies over the floor
+            least = np.minimum(np.maximum(last, some["seed"].to_numpy()), some["floor"].to_numpy()) - 1e-9
+            u, i = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            out.append(pd.DataFrame({"user_id": some["user_id"].to_numpy()[u], "item_id": ids[i], "score": scores[u, i]}))
+        return pd.concat(out)
+
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))
+    known = users.select("user_id", "vec", "length", F.coalesce("floor", high).alias("floor"), low.alias("seed"))
+    first, last, found, met = 0, 1, None, []
+    while first < n_blocks:
+        steps = F.explode(F.sequence(F.lit(first), F.lit(min(last, n_blocks) - 1))).alias("block")
+        reach = known.select("user_id", "length", F.least("seed", "floor").alias("least"), steps).join(tops, "block")
+        pairs = materialize(reach.where(F.col("length") * F.col("top") * (1 + 1e-12) + 1e-8 >= F.col("least")).select("user_id", "block"), "pairs")
+        met.append(pairs)
+        copies = pairs.groupBy("block").agg(F.ceil(F.count("*") / USERS).alias("copies"))
+        asked = pairs.join(copies, "block").withColumn("copy", F.pmod(F.xxhash64("user_id"), F.col("copies"))).drop("copies").join(taken, ["user_id", "block"], "left").join(known, "user_id")
+        dealt = blocks.join(copies, "block").select("block", "ids", "matrix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+        scored = asked.groupBy("block", "copy").cogroup(dealt.groupBy("block", "copy")).applyInPandas(best, "user_id long, item_id long, score double")
+        scored = materialize(scored, "scored")
+        found = scored if found is None else found.unionByName(scored)
+        first, last = last, last * 4
+        if first < n_blocks:
+            seeds = found.groupBy("user_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("user_id", F.get("s", F.lit(n - 1)).alias("nth"))
+            known = known.drop("seed").join(seeds, "user_id", "left").withColumn("seed", F.coalesce("nth", low)).drop("nth")
+            known = materialize(known, "known")
+    if found is None:
+        found = items.sparkSession.createDataFrame([], "user_id long, item_id long, score double")
+    ranked = found.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")))
     if cover is None:
-        return ranked.where(F.col("rank") <= n)
-    last = ranked.join(cover.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi").groupBy("user_id").agg(F.max("rank").alias("last"))
-    return ranked.join(last, "user_id", "left").where(F.col("rank") <= F.greatest(F.lit(n), F.coalesce("last", F.lit(0)))).drop("last")
+        return Ranking(ranked.where(F.col("rank") <= n), met, n_blocks, users.count())
+    last_of = ranked.join(cover.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi").groupBy("user_id").agg(F.max("rank").alias("last"))
+    rows = ranked.join(last_of, "user_id", "left").where(F.col("rank") <= F.greatest(F.lit(n), F.coalesce("last", F.lit(0)))).drop("last")
+    return Ranking(rows, met, n_blocks, users.count())
 
 
 def fit_als(inter: DataFrame, rank: int = 100, iterations: int = 10, reg: float = 0.1, alpha: float = 1.0, seed: int = 42) -> ALSModel:

@@ -9,10 +9,12 @@ from recdata.functions.scalar import hash_key
 from recdata.functions.text import END_OF_ITEM, chunk_items, chunk_tokens, join_fields, ngrams, normalise_text, sentences, tokenize
 from recdata.sources.scratch import materialize
 
-from .sample import most_frequent
+from .sample import most_frequent, number_in_groups
 
 #: Terms of an idf table that are sent to every task, at most.
 HEAD = 300_000
+#: Reviews of one part of an item's profile.
+PART = 1000
 
 
 def _ordered(order: list[Column], text: str, separator: str) -> Column:
@@ -54,6 +56,22 @@ def item_profile(items: DataFrame, inter: DataFrame, users: DataFrame, item_fiel
     return whole.select("item_id", normalise_text(join_fields([*(F.col(c) for c in item_fields), F.col("collected")])).alias("text"))
 
 
+def item_profile_parts(items: DataFrame, inter: DataFrame, users: DataFrame, item_fields: list[str], user_fields: list[str] = (), review_fields: list[str] = (), size: int = PART) -> DataFrame:
+    """(item_id, part, text): `item_profile` in parts of `size` reviews, from 0 on; the item's fields stand in part 0.
+
+    Reviews are ordered and numbered over all tasks, so an item with any number
+    of reviews is many rows in many tasks, and none holds more than `size` of
+    them. Each part is normalised by itself.
+    """
+    rows = inter.join(users.select("user_id", *user_fields), "user_id")
+    rows = rows.where("item_id IS NOT NULL").select("item_id", (-F.coalesce("rating", F.lit(-1))).alias("worse"), "user_id", join_fields([F.col(c) for c in (*user_fields, *review_fields)]).alias("text"))
+    numbered = number_in_groups(rows, "item_id", ["worse", "user_id"]).withColumn("part", F.floor(F.col("place") / size))
+    joined = numbered.groupBy("item_id", "part").agg(_ordered([F.col("place")], "text", ". ").alias("collected"))
+    whole = items.select("item_id", *item_fields).join(joined, "item_id", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+    text = F.when(F.col("part") == 0, join_fields([*(F.col(c) for c in item_fields), F.col("collected")])).otherwise(F.col("collected"))
+    return whole.select("item_id", "part", normalise_text(text).alias("text"))
+
+
 def item_profile_from_items(items: DataFrame, fields: list[str], lists: list[str] = (), lower: bool = True, negation: bool = True) -> DataFrame:
     """(item_id, text): the fields of an item table alone, joined by ". ". Fields in `lists` are arrays, written with commas; null counts as empty."""
     written = [F.array_join(F.coalesce(f, F.array().cast("array<string>")), ", ") if f in lists else F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]

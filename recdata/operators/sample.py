@@ -9,9 +9,52 @@ from recdata.functions.scalar import hash_key, hash_uniform
 from recdata.sources.scratch import materialize
 
 
+#: Rows that may be sorted in one task, and parts of a histogram of draws.
+FEW, PARTS = 4096, 1024
+
+
+def smallest(df: DataFrame, n: int, draw: Column, *ties: str | Column) -> DataFrame:
+    """The `n` rows of `df` with the smallest `draw` (a number, not null), ties by `ties`; the same rows as a sort and a limit give.
+
+    A histogram of the draws tells in which of PARTS ranges the n-th lies; that
+    range is divided again until it holds few rows. Only those are sorted, all
+    before it pass a filter, so no task holds `n` rows. A pass over stored draws
+    for each division; the driver gets PARTS counts. Rows of one single draw are
+    sorted together, however many they are.
+    """
+    if n <= 0:
+        return df.limit(0)
+    rows = materialize(df.withColumn("__draw", draw.cast("double")), "draws")
+    inside, taken, need = rows, F.lit(False), n
+    here = F.lit(True)
+    while True:
+        told = inside.agg(F.min("__draw").alias("low"), F.max("__draw").alias("high"), F.count("*").alias("n")).first()
+        if told["n"] <= need:
+            return rows.where(taken | here).drop("__draw")
+        if told["n"] <= FEW or told["low"] == told["high"]:
+            break
+        part = F.least(F.floor((F.col("__draw") - F.lit(told["low"])) / F.lit(told["high"] - told["low"]) * PARTS), F.lit(PARTS - 1))
+        before, cut = 0, 0
+        for row in inside.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+            if before + row["n"] >= need:
+                cut = row["part"]
+                break
+            before += row["n"]
+        taken, here, need = taken | (here & (part < cut)), here & (part == cut), need - before
+        inside = rows.where(here)
+    last = inside.orderBy("__draw", *ties).limit(need)
+    return rows.where(taken).unionByName(last).drop("__draw")
+
+
+def hash_draw(key: Column) -> Column:
+    """The first 48 bits of a `hash_key` as a number; keys in their order have draws that do not descend."""
+    return F.conv(F.substring(key, 1, 12), 16, 10).cast("double")
+
+
 def sample_users(df: DataFrame, n: int, seed: int = 42, key: str = "user_id") -> DataFrame:
     """`n` distinct keys, chosen by hash. A seed for each round gives another set each round."""
-    return df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(hash_key(seed, key), key).limit(n)
+    drawn = hash_key(seed, key)
+    return smallest(df.select(key).where(F.col(key).isNotNull()).distinct(), n, hash_draw(drawn), drawn, key)
 
 
 def keep_users(df: DataFrame, users: DataFrame, key: str = "user_id") -> DataFrame:
@@ -24,7 +67,7 @@ def weighted_sample(df: DataFrame, n: int, weight: Column, seed: int = 42, key:
     `df` has one row for each key; weights that are null or not over zero are never drawn.
     """
     draw = F.round(-F.log(hash_uniform(hash_key(seed, key))) / weight, 12)
-    return df.where(F.coalesce(weight > 0, F.lit(False))).orderBy(draw, key).limit(n).select(key)
+    return smallest(df.where(F.coalesce(weight > 0, F.lit(False))), n, draw, key).select(key)
 
 
 def degrees(inter: DataFrame, key: str) -> DataFrame:
@@ -46,8 +89,8 @@ def two_hop(inter: DataFrame, n_start: int, n_tail: int, n_items: int, n_users:
     """
     by_user = degrees(inter, "user_id")
     weight = OBJECTIVES[objective](F.col("degree"))
-    start = by_user.where(F.col("degree") > tail).orderBy(hash_key(seed, "user_id"), "user_id").limit(n_start).select("user_id")
-    more = by_user.where(F.col("degree") <= tail).orderBy(hash_key(seed, "user_id"), "user_id").limit(n_tail).select("user_id")
+    start = sample_users(by_user.where(F.col("degree") > tail), n_start, seed)
+    more = sample_users(by_user.where(F.col("degree") <= tail), n_tail, seed)
     first = materialize(start.union(more), "start")
     reached = inter.join(first, "user_id", "left_semi").select("item_id").distinct()
     items = materialize(weighted_sample(degrees(inter, "item_id").join(reached, "item_id", "left_semi"), n_items, weight, seed + 1, "item_id"), "items")
@@ -104,6 +147,23 @@ def dense_index(df: DataFrame, key: str | list[str], name: str = "idx") -> DataF
     return parts.withColumn("__rn", rank).join(F.broadcast(before), "__part").select(*keys, (F.col("__rn") + F.col("__before")).cast("long").alias(name))
 
 
+def number_in_groups(df: DataFrame, group: str, order: list[str], place: str = "place", total: str = "total") -> DataFrame:
+    """Adds `place` (from 0 on in each group, in `order`) and `total` (rows of the group); `group` has no null.
+
+    Rows are range-partitioned by group and order, so a large group spreads over
+    many tasks; each range counts on from the ranges before it. Rows that are
+    equal in all these columns take their places in any order.
+    """
+    keys = [group, *order]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    stored = materialize(ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "ranges")
+    counted = stored.groupBy(group, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    whole = Window.partitionBy(group)
+    before = F.coalesce(F.sum("__n").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counted.select(group, "__part", (before - F.col("__first")).alias("__shift"), F.sum("__n").over(whole).alias(total))
+    return stored.join(starts, [group, "__part"]).withColumn(place, F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
+
+
 def most_frequent(table: DataFrame, most: int, count: str) -> tuple[DataFrame, DataFrame]:
     """(the rows with the largest counts, `most` at most; all others).
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,13 +74,66 @@ def user_item_sim(cand: DataFrame, train: DataFrame, vectors: DataFrame, low: fl
     return mean_similarity(cand, train, sims, (low, high))
 
 
+#: Keys for which a task holds pooled vectors at once.
+KEYS = 1 << 14
+
+
+def _pooled(batches: Iterator[pa.RecordBatch], add: np.ufunc) -> Iterator[pa.RecordBatch]:
+    """Partial results of a task: for each key the pooled vector and, for each component, how many values went into it."""
+    held: dict[object, tuple[np.ndarray, np.ndarray]] = {}
+    empty = -np.inf if add is np.maximum else 0.0
+
+    def told() -> pa.RecordBatch:
+        values, counts = zip(*held.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array(values, pa.list_(pa.float64())), pa.array(counts, pa.list_(pa.int64()))], names=["k", "x", "n"])
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        lists = batch.column(1)
+        sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(int)
+        flat = lists.flatten()
+        known = flat.is_valid().to_numpy(zero_copy_only=False)
+        values = np.where(known, flat.to_numpy(zero_copy_only=False), empty)
+        keys, codes = batch.column(0).to_pylist(), pa.compute.dictionary_encode(batch.column(0), null_encoding="encode").indices.to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        for size in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == size)
+            rows = rows[np.argsort(codes[rows], kind="stable")]
+            cells = starts[rows][:, None] + np.arange(size)
+            first = np.flatnonzero(np.append(True, codes[rows][1:] != codes[rows][:-1]))
+            sums, counts = add.reduceat(values[cells], first, axis=0), np.add.reduceat(known[cells].astype(np.int64), first, axis=0)
+            for at, x, n in zip(rows[first].tolist(), sums, counts, strict=True):
+                old = held.get(keys[at])
+                if old is not None:
+                    long, short = sorted((old, (x, n)), key=lambda p: -len(p[0]))
+                    x, n = long[0].copy(), long[1].copy()
+                    x[: len(short[0])] = add(x[: len(short[0])], short[0])
+                    n[: len(short[1])] += short[1]
+                held[keys[at]] = (x, n)
+        if len(held) >= KEYS:
+            yield told()
+            held.clear()
+    if held:
+        yield told()
+
+
 def pool_vectors(df: DataFrame, key: str, vec: str = "vec", how: str = "max") -> DataFrame:
-    """(key, vec): element-wise maximum or mean over the vectors of a key; nulls do not count."""
-    rows = df.select(key, F.posexplode(vec).alias("pos", "x"))
-    measure = {"max": F.max, "avg": F.avg}[how]
-    cells = rows.groupBy(key, "pos").agg(measure(F.col("x").cast("double")).alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
-    return cells.groupBy(key).agg(F.transform(ordered, lambda c: c["x"]).alias("vec"))
+    """(key, vec): element-wise maximum or mean over the vectors of a key; nulls do not count.
+
+    Each task pools whole arrays of its own rows; what is shuffled is one pooled
+    vector for each key and task. Keys with empty or null vectors alone are left
+    out; a component that is null in all vectors of a key is null.
+    """
+    add = {"max": np.maximum, "avg": np.add}[how]
+    rows = df.where(F.size(vec) > 0).select(F.col(key).alias("k"), F.transform(vec, lambda x: x.cast("double")).alias("x"))
+    parts = rows.mapInArrow(lambda batches: _pooled(batches, add), f"k {df.schema[key].dataType.simpleString()}, x array<double>, n array<bigint>")
+    one = {"max": F.greatest, "avg": lambda a, b: a + b}[how]
+    zip_sum = lambda a, b, with_: F.zip_with(a, b, lambda x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(with_(x, y)))
+    none = F.struct(F.array().cast("array<double>").alias("x"), F.array().cast("array<bigint>").alias("n"))
+    merged = F.aggregate(F.collect_list(F.struct("x", "n")), none, lambda a, b: F.struct(zip_sum(a["x"], b["x"], one).alias("x"), zip_sum(a["n"], b["n"], lambda x, y: x + y).alias("n")))
+    mean = F.zip_with("m.x", "m.n", lambda x, n: F.when(n > 0, x / n if how == "avg" else x))
+    return parts.groupBy("k").agg(merged.alias("m")).select(F.col("k").alias(key), mean.alias("vec"))
 
 
 def masked_mean(df: DataFrame, key: str, vec: str = "vec", mask: str = "mask") -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from recdata.functions.scalar import hash_key
 
+from .sample import number_in_groups
+
 
 def _order(seed: int, columns: tuple[str, ...]) -> list[Column]:
     return [hash_key(seed, *columns), *map(F.col, columns)]
@@ -20,9 +22,18 @@ def _cut(rank: Column, n: Column, r_val: float, r_test: float) -> Column:
 
 
 def split_ratio(inter: DataFrame, ratios: tuple[float, float, float] = (0.6, 0.2, 0.2), min_count: int = 4, keep_tail: bool = True, seed: int = 42, by: str = "user_id") -> DataFrame:
-    """Adds split, by user or by item. Keys with `min_count` rows or fewer go to train, or are dropped."""
-    group = Window.partitionBy(by)
-    ranked = inter.withColumns({"__n": F.count("*").over(group), "__rn": F.row_number().over(group.orderBy(*_order(seed, ("user_id", "item_id"))))})
+    """Adds split, by user or by item. Keys with `min_count` rows or fewer go to train, or are dropped.
+
+    A user's rows are ranked in one task; an item may have a large share of all
+    rows, so rows of items (or any other key) are numbered over many tasks.
+    """
+    if by == "user_id":
+        group = Window.partitionBy(by)
+        ranked = inter.withColumns({"__n": F.count("*").over(group), "__rn": F.row_number().over(group.orderBy(*_order(seed, ("user_id", "item_id"))))})
+    else:
+        drawn = inter.where(F.col(by).isNotNull()).withColumn("__draw", hash_key(seed, "user_id", "item_id"))
+        numbered = number_in_groups(drawn, by, ["__draw", "user_id", "item_id"], "__rn", "__n").withColumn("__rn", F.col("__rn") + 1).drop("__draw")
+        ranked = numbered.select(*inter.columns, "__n", "__rn")
     split = F.when(F.col("__n") <= min_count, "train").otherwise(_cut(F.col("__rn"), F.col("__n"), ratios[1], ratios[2]))
     out = ranked.withColumn("split", split)
     return (out if keep_tail else out.where(F.col("__n") > min_count)).drop("__n", "__rn")

@@ -105,6 +105,11 @@ def item_profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("item_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def item_profile_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = profiles.item_profile_parts(v.items(spark, sf_dir), _reviews(spark, sf_dir), v.users(spark, sf_dir), ["title", "author"], ["segment"], ["review"], size=8)
+    return made.select("item_id", "part", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def profile_item_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     inter = v.interactions(spark, sf_dir)
     made = profiles.user_profile(inter, v.items(spark, sf_dir), v.users(spark, sf_dir), ["title", "author"], least=4, per_item=True, lower=False)
@@ -331,6 +336,12 @@ SELECT user_id, length(text) AS n_chars, md5(text) AS text_md5 FROM m""",
     "item_profile_text": f"""WITH {v.INTERACTIONS}, {v.REVIEWS}, {v.ITEMS}, {v.USERS}, rows AS (SELECT user_id, item_id, rating, {_join_sql(["segment", "review"])} AS text FROM reviews JOIN users USING (user_id)),
 c AS (SELECT item_id, string_agg(text, '. ' ORDER BY rating DESC, user_id) AS collected FROM rows GROUP BY item_id), m AS (SELECT item_id, {_normal_sql(_join_sql(["title", "author", "collected"]))} AS text FROM items LEFT JOIN c USING (item_id))
 SELECT item_id, length(text) AS n_chars, md5(text) AS text_md5 FROM m""",
+    "item_profile_parts": f"""WITH {v.INTERACTIONS}, {v.REVIEWS}, {v.ITEMS}, {v.USERS}, rows AS (SELECT user_id, item_id, rating, {_join_sql(["segment", "review"])} AS text FROM reviews JOIN users USING (user_id)),
+n AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY rating DESC, user_id) - 1) // 8 AS part FROM rows),
+c AS (SELECT item_id, part, string_agg(text, '. ' ORDER BY rating DESC, user_id) AS collected FROM n GROUP BY item_id, part),
+w AS (SELECT item_id, coalesce(part, 0) AS part, CASE WHEN coalesce(part, 0) = 0 THEN {_join_sql(["title", "author", "collected"])} ELSE collected END AS whole FROM items LEFT JOIN c USING (item_id)),
+m AS (SELECT item_id, part, {_normal_sql("whole")} AS text FROM w)
+SELECT item_id, CAST(part AS BIGINT) AS part, length(text) AS n_chars, md5(text) AS text_md5 FROM m""",
     "profile_item_chunks": f"""WITH {v.INTERACTIONS}, {v.ITEMS}, {v.USERS}, rows AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) - 1 AS k, {tokens_sql(_join_sql(["title", "author"]))} AS t FROM inter JOIN items USING (item_id) WHERE rating >= 4)
 SELECT user_id, CAST(coalesce(k, 0) AS INTEGER) AS chunk_no, coalesce(array_to_string(t[1:4], ' '), '') AS chunk FROM users LEFT JOIN rows USING (user_id)""",
     "profile_idf_sentence": _sentence_sql("SELECT * FROM idf_all", False, 0.0),
@@ -375,7 +386,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         strip_markup_pages, clean_lists, normalise_negation, tokens, ngrams, vocab, token_chunks, encode_tokens, idf_table, ngram_df_merge, bm25_topn, bm25_tag_filtered,
-        user_profile_text, item_profile_text, profile_item_chunks, profile_idf_sentence, profile_idf_sentence_oov0, profile_idf_sentence_vocab, profile_idf_sentence_empty10,
+        user_profile_text, item_profile_text, item_profile_parts, profile_item_chunks, profile_idf_sentence, profile_idf_sentence_oov0, profile_idf_sentence_vocab, profile_idf_sentence_empty10,
         profile_tfidf_ngram, profile_idf_ngram, profile_random_sentence, profile_item_matched, favourite_genres, item_jaccard, user_item_jaccard, item_cf_sim, user_item_cf_sim,
         score_pairs, topn_all_items, topn_cover_test, vector_pool, tower_scores, als_topn, fm_score, mlp_score, word2vec_profile,
     )

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,36 @@ def test_ratio_groups(spark, inter):
         evaluate.user_groups(inter, ratios=(50, 20, 20))
 
 
+@pytest.mark.parametrize("hub", [2, 10_000])
+def test_components_of_random_graphs(spark, monkeypatch, hub):
+    """Many tasks, hubs that are dealt out, long chains, a star and strings as nodes, against a plain union-find."""
+    monkeypatch.setattr(graph, "HUB", hub)
+    monkeypatch.setattr(graph, "HUBS", 10**9)
+    monkeypatch.setattr(graph, "HELD", 7)
+    rng = random.Random(4)
+    pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(300)] + [(3300 - i, 3300) for i in range(200)]
+    parent = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = {x: root(x) for a, b in pairs if a != b for x in (a, b)}
+    edges = spark.createDataFrame([*pairs, (None, 5), (7, None)], "a long, b long").repartition(5)
+    assert {r["node"]: r["component"] for r in graph.connected_components(edges).collect()} == want
+    named = edges.select(F.format_string("n%05d", "a").alias("a"), F.format_string("n%05d", "b").alias("b")).where("a NOT LIKE '%null%' AND b NOT LIKE '%null%'")
+    assert {r["node"]: r["component"] for r in graph.connected_components(named).collect()} == {f"n{k:05d}": f"n{x:05d}" for k, x in want.items()}
+
+
+def test_a_spanning_forest_is_small(spark):
+    """All edges of a dense group leave a task as one edge for each node but one."""
+    edges = spark.range(400).crossJoin(spark.range(400).withColumnRenamed("id", "v")).select(F.col("id").alias("u"), "v").coalesce(1)
+    assert graph.spanning_forests(edges).count() == 399
+
+
 def test_components_and_mapping(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (7, 7), (None, 1), (2, 1)] + [(i, i + 1) for i in range(100, 140)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.connected_components(edges).collect()}
@@ -132,8 +163,8 @@ def test_bm25_prefers_match(spark):
 
 @pytest.mark.parametrize("topn", [1, 3, 50])
 def test_bm25_equals_brute_force(spark, monkeypatch, topn):
-    """Over several blocks and groups, with bounds carried from block to block, with and without tags."""
-    for name, value in (("BLOCK", 7), ("QUERIES", 3), ("CHUNK", 3)):
+    """Over several blocks and copies of them, with bounds of blocks, with and without tags."""
+    for name, value in (("BLOCK", 7), ("QUERIES", 3)):
         monkeypatch.setattr(corpus, name, value)
     rng = random.Random(1)
     texts = {i: " ".join(rng.choices([f"w{k}" for k in range(30)], [1 / (k + 1) for k in range(30)], k=rng.randint(0, 25))) for i in range(40)}
@@ -158,6 +189,18 @@ def test_bm25_equals_brute_force(spark, monkeypatch, topn):
         assert {(r["query_item"], r["doc_item"], r["rank"], round(r["score"], 6)) for r in got} == want
 
 
+def test_bm25_leaves_blocks_out(spark, monkeypatch):
+    """Texts of ten subjects: a query meets fewer than half of the blocks, and the ranking is that of one block."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["abcdefghij"[i % 10] * 3 + chr(97 + k) for k in range(26)], k=40) + rng.choices(["the", "of", "and"], k=5)) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").repartition(3)
+    whole = {tuple(r)[:2] + (round(r["score"], 6), r["rank"]) for r in corpus.bm25(docs.where("item_id % 9 = 0"), docs, topn=5).collect()}
+    monkeypatch.setattr(corpus, "BLOCK", 20)
+    found = corpus.bm25_ranking(docs.where("item_id % 9 = 0"), docs, topn=5)
+    assert {tuple(r)[:2] + (round(r["score"], 6), r["rank"]) for r in found.rows.collect()} == whole
+    assert found.n_blocks >= 20 and found.share_met() < 0.5
+
+
 def test_genre_quotas_are_filled(spark):
     """A genre without enough unused items is made up for by the user's other genres, the most frequent first."""
     items = spark.createDataFrame([(i, ["few"] if i < 3 else ["many", "few"] if i < 5 else ["many"]) for i in range(40)], "item_id long, genres array<string>")
@@ -236,6 +279,91 @@ def test_pooling(spark):
     assert {r["k"]: r["vec"] for r in similarity.masked_mean(df, "k").collect()} == {1: [1.0, 5.0], 2: [2.0, 2.0]}
 
 
+def test_pooling_equals_plain_loops(spark, monkeypatch):
+    """Nulls, vectors of unlike lengths, null keys, empty vectors, and more keys than a task holds."""
+    monkeypatch.setattr(similarity, "KEYS", 3)
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(8)]), rng.choice([None, [], *([rng.choice([None, rng.uniform(-1, 1)]) for _ in range(n)] for n in (1, 3, 3, 5))])) for _ in range(200)]
+    rows += [(99, None), (99, [])]
+    df = spark.createDataFrame(rows, "k int, vec array<double>").repartition(4)
+    cells = {}
+    for k, vec in rows:
+        for at, x in enumerate(vec or []):
+            cells.setdefault(k, {}).setdefault(at, []).extend([] if x is None else [x])
+    for how, of in (("max", max), ("avg", lambda xs: sum(xs) / len(xs))):
+        got = {r["k"]: r["vec"] for r in similarity.pool_vectors(df, "k", how=how).collect()}
+        assert got.keys() == cells.keys()
+        for k, at in cells.items():
+            assert got[k] == [pytest.approx(of(at[i])) if at[i] else None for i in range(len(at))]
+
+
+@pytest.mark.parametrize("few", [1, 50])
+@pytest.mark.parametrize("n", [0, 1, 7, 400, 999, 1000, 2000])
+def test_smallest_equals_sort_and_limit(spark, monkeypatch, few, n):
+    """Draws that lie close together, far apart and on one value."""
+    monkeypatch.setattr(sample, "FEW", few)
+    monkeypatch.setattr(sample, "PARTS", 8)
+    rng = random.Random(n)
+    rows = [(i, rng.choice([0.0, 5.0, rng.random(), 1e-9 * rng.random(), 1e9 * rng.random()])) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, x double").repartition(5)
+    got = sample.smallest(df, n, F.col("x"), F.desc("id"))
+    assert got.columns == ["id", "x"]
+    assert sorted(r["id"] for r in got.collect()) == sorted(i for i, _ in sorted(rows, key=lambda r: (r[1], -r[0]))[:n])
+
+
+def test_numbers_in_groups(spark):
+    rng = random.Random(0)
+    rows = [(rng.choice(["hot", "hot", "a", f"g{i % 7}"]), i * 37 % 500) for i in range(500)]
+    got = sample.number_in_groups(spark.createDataFrame(rows, "g string, x long").repartition(6), "g", ["x"]).collect()
+    groups = {}
+    for g, x in sorted(rows):
+        groups.setdefault(g, []).append(x)
+    assert sorted((r["g"], r["x"], r["place"], r["total"]) for r in got) == sorted((g, x, i, len(xs)) for g, xs in groups.items() for i, x in enumerate(xs))
+
+
+def test_margin_loss_equals_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(rng.randint(1, 6), i, int(rng.random() < 0.4), rng.choice([0.1, 0.5, 0.9, rng.random()])) for i in range(200)] + [(9, 1, 1, 0.5), (10, 1, 0, 0.5)]
+    df = spark.createDataFrame(rows, "user_id long, item_id long, label int, score double")
+    for margin in (0.0, 0.3, 1.0):
+        lost = [max(0.0, margin - (a[3] - b[3])) for a in rows for b in rows if a[0] == b[0] and a[2] and not b[2]]
+        assert evaluate.losses(df, df, margin).first()["margin_loss"] == pytest.approx(sum(lost) / len(lost))
+    assert evaluate.losses(df.where("label = 1"), df).first()["margin_loss"] is None
+
+
+def test_item_profile_in_parts(spark):
+    """Parts put together are the whole profile, none has more than `size` reviews, and an item without reviews has its fields."""
+    items = spark.createDataFrame([(1, "Big"), (2, "Small"), (3, "None")], "item_id long, title string")
+    users = spark.createDataFrame([(u, f"s{u}") for u in range(50)], "user_id long, segment string")
+    inter = spark.createDataFrame([(u, 1, u % 5 + 1, f"r{u}") for u in range(50)] + [(0, 2, 3, "one"), (1, 9, 3, "no item")], "user_id long, item_id long, rating int, review string")
+    whole = {r["item_id"]: r["text"] for r in profiles.item_profile(items, inter, users, ["title"], ["segment"], ["review"]).collect()}
+    parts = profiles.item_profile_parts(items, inter, users, ["title"], ["segment"], ["review"], size=8).orderBy("item_id", "part").collect()
+    assert [(r["item_id"], r["part"]) for r in parts] == [(1, k) for k in range(7)] + [(2, 0), (3, 0)]
+    for i, text in whole.items():
+        assert ". ".join(r["text"] for r in parts if r["item_id"] == i) == text
+    assert all(r["text"].count(". r") <= 8 for r in parts)
+
+
+def test_top_n_leaves_short_vectors_out(spark, monkeypatch):
+    """Blocks in order of length: users meet fewer than half of them, and the lists are those of all products."""
+    monkeypatch.setattr(models, "BLOCK", 20)
+    monkeypatch.setattr(models, "USERS", 7)
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(400, 4)) * np.exp(-np.arange(400) / 60)[:, None]
+    people = rng.normal(size=(30, 4))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "item_id long, vec array<double>").repartition(3)
+    users = spark.createDataFrame([(u, v.tolist()) for u, v in enumerate(people)] + [(99, [0.0] * 4)], "user_id long, vec array<double>")
+    used = spark.createDataFrame([(u, int(i)) for u in range(30) for i in rng.permutation(60)[: u % 9]] + [(3, 399)], "user_id long, item_id long")
+    gone = {tuple(r) for r in used.collect()}
+    found = models.top_n_ranking(users, items, used, 5)
+    got = {(r["user_id"], r["rank"]): r["item_id"] for r in found.rows.collect()}
+    for u, v in enumerate(people):
+        best = sorted((i for i in range(400) if (u, i) not in gone), key=lambda i: (-round(float(vectors[i] @ v), 9), i))[:5]
+        assert [got[u, k + 1] for k in range(5)] == best
+    assert [got[99, k + 1] for k in range(5)] == list(range(5))
+    assert found.n_blocks == 20 and found.share_met() < 0.5
+
+
 def test_ngram_idf(spark):
     counts = tables.parse_ngram_counts(spark.createDataFrame([("Cat\t1990,5,3\t2010,9,4",), ("cat\t2010,1,10",), ("c4t\t2010,1,1",)], "value string"))
     got = lambda fold, year=None: {r["term"]: r["df"] for r in corpus.ngram_idf(counts, 100, year, fold=fold).collect()}
