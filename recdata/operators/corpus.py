@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recdata.functions.text import all_letters, ngrams, tokenize
+from recdata.functions.text import all_letters, ngrams, sentences, tokenize
 from recdata.sources.scratch import materialize
 
 
@@ -46,6 +46,59 @@ def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(tokenize(F.col(text))).alias("term")).distinct()
 
 
+#: A word as the search for abbreviations sees it: white space around it, and the marks taken off both ends.
+WORD, OPENING, CLOSING = r"[^\x20\x09-\x0D]+", r"^[\"'(\[{]+", r"[\"')\]},;:!?]+$"
+#: Letters, with full stops inside.
+ABBREVIATED = r"^\p{L}+(\.\p{L}+)*$"
+#: Kiss and Strunk's threshold, and the chance of a full stop after an abbreviation.
+LEAST, STOPPED = 0.3, 0.99
+
+
+def abbreviations(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
+    """(term, with_stop, without, score): words that the texts themselves show to be abbreviations, in lower case.
+
+    Kiss and Strunk, "Unsupervised Multilingual Sentence Boundary Detection"
+    (2006): an abbreviation nearly always has a full stop behind it. The
+    log-likelihood ratio of the two being bound to each other rather than
+    independent counts more for short words and for full stops inside, and less
+    for every time the word stands without one. All words of all texts count.
+    """
+    found = docs.select(F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))).alias("w"))
+    bare = F.lower(F.regexp_replace(F.regexp_replace("w", OPENING, ""), CLOSING, ""))
+    words = found.select(bare.alias("w")).select(F.regexp_replace("w", r"\.$", "").alias("term"), F.col("w").endswith(".").alias("stop")).where(F.col("term").rlike(ABBREVIATED))
+    counts = materialize(words.groupBy("term").agg(F.count(F.when(F.col("stop"), 1)).alias("with_stop"), F.count(F.when(~F.col("stop"), 1)).alias("without")), "words")
+    total = counts.agg(F.sum("with_stop").alias("stops"), F.sum(F.col("with_stop") + F.col("without")).alias("words"))
+    rows = counts.where("with_stop > 0").join(F.broadcast(total))  # one row
+    p = F.least(F.greatest(F.col("stops") / F.col("words"), F.lit(1e-9)), F.lit(1 - 1e-9))
+    ratio = 2 * (F.col("with_stop") * (F.log(F.lit(STOPPED)) - F.log(p)) + F.col("without") * (F.log(F.lit(1 - STOPPED)) - F.log(1 - p)))
+    letters = F.length(F.regexp_replace("term", r"\.", ""))
+    score = ratio * F.exp(-letters.cast("double")) * (F.length("term") - letters + 1) * F.pow(letters.cast("double"), -F.col("without").cast("double"))
+    return rows.select("term", "with_stop", "without", F.round(score, 9).alias("score")).where(F.col("score") >= least)
+
+
+def split_sentences(docs: DataFrame, abbreviated: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pos, sentence): sentences as `functions.text.sentences` cuts them, but for cuts behind a word of `abbreviated` (term).
+
+    Rows are pieces between possible cuts; only the last word of each is looked
+    up. A short list is sent to all tasks, a long one is joined, where a hot
+    word's pieces may be split by Spark.
+    """
+    pieces = docs.select(key, F.posexplode(sentences(F.col(text))).alias("piece", "words"))
+    last = F.regexp_extract("words", r"([^\x20]*)\.$", 1)
+    pieces = pieces.withColumn("term", F.lower(F.regexp_replace(last, OPENING, "")))
+    known = abbreviated.select("term", F.lit(True).alias("glued")).distinct()
+    known = F.broadcast(known) if known.limit(SHORT_LIST + 1).count() <= SHORT_LIST else known
+    marked = pieces.join(known, "term", "left").withColumn("ends", F.when(F.col("glued"), 0).otherwise(1))
+    before = Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    placed = marked.withColumn("pos", F.coalesce(F.sum("ends").over(before), F.lit(0)).cast("int"))
+    ordered = F.array_sort(F.collect_list(F.struct("piece", "words")))
+    return placed.groupBy(key, "pos").agg(F.array_join(F.transform(ordered, lambda r: r["words"]), " ").alias("sentence"))
+
+
+#: Abbreviations that are sent to all tasks, at most.
+SHORT_LIST = 100_000
+
+
 def query_text(fields: list[Column]) -> Column:
     from recdata.functions.text import join_fields
 

@@ -17,6 +17,21 @@ HEAD = 300_000
 PART = 1000
 
 
+def with_terms(rows: DataFrame, table: DataFrame, count: str = "df", most: int = HEAD) -> DataFrame:
+    """`rows` (term and others) with the columns of `table` (term and others, one row a term); null for unknown terms.
+
+    The `most` most frequent terms, by `count`, are sent to every task, so that
+    only rare ones are shuffled by term and no task gets all rows of a frequent
+    one. `rows` should be stored or cheap, as it may be read twice.
+    """
+    frequent, others = most_frequent(table, most, count)
+    told = rows.join(F.broadcast(frequent.withColumn("__told", F.lit(True))), "term", "left")
+    if others.isEmpty():
+        return told.drop("__told")
+    rare = told.where("__told IS NULL").select(*rows.columns).join(others, "term", "left")
+    return told.where("__told").drop("__told").unionByName(rare)
+
+
 def _ordered(order: list[Column], text: str, separator: str) -> Column:
     """Texts of a group joined in the given order."""
     rows = F.array_sort(F.collect_list(F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)), F.col(text).alias("text"))))
@@ -91,9 +106,10 @@ def rank_sentences(profile: DataFrame, idf: DataFrame, oov: str = "skip", vocab:
     df and idf; its HEAD most frequent terms are sent to every task, so that
     only rare tokens are shuffled by term.
     """
-    rows = materialize(_sentence_rows(profile, key), "sentences")
+    # tokenised once: a sentence's tokens are read for the terms of the head and again for rare ones
+    rows = materialize(_sentence_rows(profile, key).withColumn("terms", tokenize(F.col("sentence"))), "sentences")
     table = idf if vocab is None else idf.join(vocab.select("term"), "term", "left_semi")
-    tokens = rows.select(key, "pos", F.explode(tokenize(F.col("sentence"))).alias("term"))
+    tokens = rows.select(key, "pos", F.explode("terms").alias("term"))
     frequent, others = most_frequent(table.select("term", "df", "idf"), HEAD, "df")
     found = tokens.join(F.broadcast(frequent.select("term", F.col("idf").alias("told"))), "term", "left")
     sums = found.groupBy(key, "pos").agg(F.count("*").alias("n"), F.sum("told").alias("s"), F.count("told").alias("k"))
@@ -103,7 +119,7 @@ def rank_sentences(profile: DataFrame, idf: DataFrame, oov: str = "skip", vocab:
     scores = sums.groupBy(key, "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("k").alias("n_known"))
     mean = F.col("s") / F.col("n" if oov == "zero" or vocab is not None else "n_known")
     score = F.when(F.coalesce("n_known", F.lit(0)) > 0, mean).otherwise(F.lit(float(empty_score)))
-    scored = rows.join(scores, [key, "pos"], "left").withColumn("score", F.round(score, 9))
+    scored = rows.drop("terms").join(scores, [key, "pos"], "left").withColumn("score", F.round(score, 9))
     joined = scored.groupBy(key).agg(_ordered([-F.col("score"), F.col("pos")], "sentence", " ").alias("text"))
     return profile.select(key).join(joined, key, "left").withColumn("text", F.coalesce("text", F.lit("")))
 
@@ -111,7 +127,8 @@ def rank_sentences(profile: DataFrame, idf: DataFrame, oov: str = "skip", vocab:
 def rank_ngrams(profile: DataFrame, idf: DataFrame, sizes: tuple[int, ...] = (1,), tf: bool = True, k: int | None = None, key: str = "user_id") -> DataFrame:
     """(key, text): the distinct n-grams of a profile by tf * idf (or idf), highest first, then by first place; unknown ones weigh zero."""
     rows = profile.select(key, F.posexplode(ngrams(tokenize(F.col("text")), sizes)).alias("pos", "term"))
-    counted = rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.min("pos").alias("pos")).join(idf.select("term", "idf"), "term", "left")
+    counted = materialize(rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.min("pos").alias("pos")), "counted")
+    counted = with_terms(counted, idf.select("term", "df", "idf"))
     weight = F.coalesce("idf", F.lit(0.0)) * (F.col("tf") if tf else F.lit(1))
     scored = counted.withColumn("weight", F.round(weight, 9))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "pos", "term")))
@@ -132,7 +149,11 @@ def match_sentences(inter: DataFrame, items: DataFrame, idf: DataFrame, review:
     Likeness is the cosine of tf-idf vectors of the sentence and the item's
     text. In each turn items come best rated first, then by smaller id.
     """
-    weigh = lambda rows, keys: rows.groupBy(*keys, "term").agg(F.count("*").alias("tf")).join(idf.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+
+    def weigh(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        counted = materialize(rows.groupBy(*keys, "term").agg(F.count("*").alias("tf")), "counted")
+        return with_terms(counted, idf.select("term", "df", "idf")).where("idf IS NOT NULL").withColumn("w", F.col("tf") * F.col("idf"))
+
     rows = inter.select("user_id", "item_id", "rating", F.posexplode(sentences(F.col(review))).alias("pos", "sentence"))
     sentence = weigh(rows.select("user_id", "item_id", "pos", F.explode(tokenize(F.col("sentence"))).alias("term")), ("user_id", "item_id", "pos"))
     item = weigh(items.select("item_id", F.explode(tokenize(F.col("text"))).alias("term")), ("item_id",))
@@ -154,7 +175,9 @@ def profile_chunks(profile: DataFrame, size: int, per_item: bool = False, key: s
 
 def encode(df: DataFrame, tokens: str, vocab: DataFrame, key: list[str]) -> DataFrame:
     """(key, ids): the index of each token in `vocab` (term, idx), 1 if it has none; rows without tokens have an empty array."""
-    rows = df.select(*key, F.posexplode(tokens).alias("pos", "term")).join(vocab, "term", "left")
+    rows = materialize(df.select(*key, F.posexplode(tokens).alias("pos", "term")), "tokens")
+    counted = rows.groupBy("term").agg(F.count("*").alias("n"))
+    rows = with_terms(rows, vocab.select("term", "idx").join(counted, "term"), "n")
     ids = rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("idx", F.lit(1)).alias("idx")))), lambda r: r["idx"]).alias("ids"))
     return df.select(*key).join(ids, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recdata.functions.scalar import parse_count, parse_sales_rank, rating_to_int, set_jaccard
+from recdata.functions.scalar import hash_int, hash_key, parse_count, parse_sales_rank, rating_to_int, set_jaccard
 from recdata.functions.text import blank_if_like, clean_white_space, flatten_description, normalise_tokens, tokenize, top_entries, truncate
 from recdata.operators import clean, corpus, evaluate, filters, graph, models, negatives, profiles, report, sample, similarity, split, stats
 from recdata.sources import tables
-from recdata.sources.scratch import materialize, shared_dir
+from recdata.sources.scratch import materialize, temporary_path
 
 from . import views as v
 from .queries_eval import _EVAL, _GENRE_NEG, _GENRES, _POPULAR, _POS, SPLIT, _detail_sql, _evaluated, _groups_sql, _metrics, _popularity, _positives, _rounded, _runs, _RUNS, _splits, _summary_sql, _uniform_sql, _HUNDRED, tokens_sql
@@ -19,16 +17,12 @@ from .queries_splits import ORACLES as splits_sql
 from .queries_text import _normal_sql, _reviews
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/recdata-{name}-{uuid.uuid4().hex}"
-
-
 # files
 
 
 def dataset_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as CSV under the names of product reviews, and read back."""
-    path, splits = _folder(spark, "dataset"), _splits(spark, sf_dir)
+    path, splits = temporary_path(spark, "dataset"), _splits(spark, sf_dir)
     for name in ("train", "validation", "test"):
         theirs = splits.where(F.col("split") == name).select(F.col("user_id").alias("reviewerID"), F.col("item_id").alias("asin"), F.col("rating").cast("double").alias("overall"), F.lit('said "so",\nand left').alias("reviewText"))
         theirs.write.option("header", True).option("escape", '"').csv(f"{path}/{name}.csv")
@@ -41,7 +35,7 @@ def dataset_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def limit_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five training items of each user, written as lines of JSON and read back."""
-    path, train = _folder(spark, "limit"), _splits(spark, sf_dir).where("split = 'train'")
+    path, train = temporary_path(spark, "limit"), _splits(spark, sf_dir).where("split = 'train'")
     few = split.limit_per_user(train, 5)
     few.groupBy(F.col("user_id").cast("string").alias("user_id")).agg(F.collect_list(F.col("item_id").cast("string")).alias("items")).write.json(path)
     listed = tables.read_limit_list(spark, path).select(*(F.col(c).cast("long").alias(c) for c in ("user_id", "item_id")))
@@ -51,14 +45,14 @@ def limit_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def negatives_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genre negatives written as CSV, read back, without ref_item each once."""
-    path, splits = _folder(spark, "negatives"), _splits(spark, sf_dir)
+    path, splits = temporary_path(spark, "negatives"), _splits(spark, sf_dir)
     negatives.neg_genre(_positives(splits), v.items(spark, sf_dir), negatives.used_items(splits, "test"), 4).write.option("header", True).csv(path)
     return negatives.drop_ref_item(tables.read_negatives(spark, path)).select(*(F.col(c).cast("long").alias(c) for c in ("user_id", "item_id")), "label")
 
 
 def profiles_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles written as CSV and read back with checks of their keys."""
-    path, items = _folder(spark, "profiles"), v.items(spark, sf_dir)
+    path, items = temporary_path(spark, "profiles"), v.items(spark, sf_dir)
     made = profiles.item_profile_from_items(items, ["title", "author", "genres"], ["genres"])
     made.write.option("header", True).option("escape", '"').csv(path)
     read = tables.read_profiles(spark, path, "item_id", items.select(F.col("item_id").cast("string").alias("item_id")))
@@ -72,7 +66,7 @@ def _saved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict
         found[name] = materialize(negatives.neg_uniform(pos, negatives.used_items(splits, name), splits.select("item_id"), 10), name)
         both = pos.unionByName(found[name].select("user_id", "item_id"))
         wanted = both if wanted is None else wanted.unionByName(both)
-    path = _folder(spark, "predictions")
+    path = temporary_path(spark, "predictions")
     tables.write_predictions(_popularity(splits, wanted.distinct()), path)
     saved = tables.read_predictions(spark, path)
     return splits, saved.select(*(F.col(c).cast("long").alias(c) for c in ("user_id", "item_id")), "score"), found
@@ -87,7 +81,7 @@ def eval_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configurations and results written in a folder for each run, read, filtered by learning rate and put into one table."""
-    path, results = _folder(spark, "runs"), materialize(_runs(spark, sf_dir), "runs")
+    path, results = temporary_path(spark, "runs"), materialize(_runs(spark, sf_dir), "runs")
     for run, rate in (("popular", 0.0), ("random", 0.0), ("mixed", 0.01)):
         spark.createDataFrame([(rate, 32)], "lr double, batch_size int").coalesce(1).write.json(f"{path}/configs/{run}")
         results.where(F.col("run") == run).drop("run").coalesce(1).write.option("header", True).csv(f"{path}/results/{run}")
@@ -317,8 +311,6 @@ def user_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much chance to mix with popularity, by ndcg on validation."""
-    from recdata.functions.scalar import hash_int, hash_key
-
     splits = _splits(spark, sf_dir)
     pos = splits.where("split = 'validation' AND rating >= 4").select("user_id", "item_id")
     neg = negatives.neg_uniform(pos, negatives.used_items(splits, "validation"), splits.select("item_id"), 10)
@@ -331,6 +323,45 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark.createDataFrame([(p["share"], m, p == best) for p, m in tried], "share double, ndcg_5 double, best boolean"))
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(candidates of validation with label, score by popularity, and chance from 0 to 10; their users)."""
+    splits = _splits(spark, sf_dir)
+    pos = splits.where("split = 'validation' AND rating >= 4").select("user_id", "item_id")
+    neg = negatives.neg_uniform(pos, negatives.used_items(splits, "validation"), splits.select("item_id"), 10)
+    cand = materialize(pos.withColumn("label", F.lit(1)).unionByName(neg), "candidates")
+    chance = (hash_int(hash_key(3, "user_id", "item_id")) % 1000).cast("double") / 100.0
+    rows = materialize(cand.join(_popularity(splits, cand), ["user_id", "item_id"]).withColumn("chance", chance), "popular")
+    return rows, rows.select("user_id").distinct()
+
+
+def model_halving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five shares of chance in popularity, by ndcg on validation: all on a quarter of the users, the better ones on more."""
+    rows, users = _mixed(spark, sf_dir)
+
+    def fit(candidates: list[dict], some: DataFrame) -> DataFrame:
+        tried = F.explode(F.array(*(F.struct(F.lit(c["candidate"]).alias("candidate"), F.lit(c["share"]).alias("share")) for c in candidates))).alias("c")
+        mixed = F.col("score") * (1.0 - F.col("c.share")) + F.col("chance") * F.col("c.share")
+        return rows.join(some, "user_id", "left_semi").select("*", tried).select("c.candidate", "user_id", "item_id", "label", mixed.alias("score"))
+
+    def score(pred: DataFrame) -> DataFrame:
+        detail = evaluate.ranking_detail(pred, pred, ks=(5,), ties="trec", key=("candidate", "user_id"))
+        return detail.groupBy("candidate").agg(F.avg("ndcg_5").alias("metric"))
+
+    grid = [{"share": s} for s in _HALVED]
+    best, told = models.select_by_halving(grid, fit, score, users)
+    after = [*(set(t["metrics"]) for t in told[1:]), {grid.index(best)}]
+    found = [(turn, t["share"], k, m, k in after[turn]) for turn, t in enumerate(told) for k, m in t["metrics"].items()]
+    return _rounded(spark.createDataFrame(found, "turn int, share double, candidate int, ndcg_5 double, kept boolean"))
+
+
+def existing_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset written twice with mode `ignore`, the second time without its users: what is there stays."""
+    path, splits, users, items = temporary_path(spark, "ignored"), _splits(spark, sf_dir), v.users(spark, sf_dir), v.items(spark, sf_dir)
+    for some in (users, users.limit(0)):
+        tables.write_dataset(splits, some, items, path, mode="ignore")
+    return spark.read.parquet(f"{path}/users").select("user_id", "segment")
+
+
 _SAVED = lambda name: _uniform_sql(pos=f"{SPLIT}, pos AS (SELECT user_id, item_id FROM split WHERE split = '{name}' AND rating >= 4), used AS (SELECT DISTINCT user_id, item_id FROM split WHERE {{}})".format({"train": "split = 'train'", "validation": "split <> 'test'", "test": "true"}[name]), k=4 if name == "train" else 10)
 _EVAL_SAVED = lambda name: f"WITH {_SAVED(name)}, cand AS (SELECT user_id, item_id, 1 AS label FROM pos UNION ALL SELECT * FROM neg), {_POPULAR.format(cand='cand')}, {_groups_sql(5, 25)}, {_detail_sql()} {_summary_sql('groups')}"
 _SHARES = (0.0, 0.25, 1.0)
@@ -339,6 +370,18 @@ _SELECTION = f"""WITH {_SAVED("validation")}, cand AS (SELECT user_id, item_id,
 {", ".join(f"s{k} AS (SELECT user_id, item_id, score * {1 - s}::DOUBLE + CAST({_CHANCE} AS DOUBLE) / 100.0::DOUBLE * {s}::DOUBLE AS score FROM popular), {_detail_sql(pred=f's{k}', ties='trec', ks=(5,), name=f'd{k}')}" for k, s in enumerate(_SHARES))},
 found AS ({" UNION ALL ".join(f"SELECT {s}::DOUBLE AS share, avg(ndcg_5) AS m FROM d{k}" for k, s in enumerate(_SHARES))})
 SELECT share, {v.half_up("m", 6)} AS ndcg_5, m = (SELECT max(m) FROM found) AS best FROM found"""
+#: Shares of chance, the better the less.
+_HALVED = (0.75, 0.0, 1.0, 0.25, 0.1)
+_DRAWN = f"({v.key_int(42, 'user_id')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+_TURN = lambda n, share, source, keep: f"""t{n} AS (SELECT candidate, avg(ndcg_5) AS m FROM told WHERE {_DRAWN} < {share}::DOUBLE AND candidate IN ({source}) GROUP BY candidate),
+k{n} AS (SELECT {n} AS turn, {share}::DOUBLE AS share, candidate, m, row_number() OVER (ORDER BY m DESC, candidate) <= {keep} AS kept FROM t{n})"""
+_HALVING = f"""WITH {_SAVED("validation")}, cand AS (SELECT user_id, item_id, 1 AS label FROM pos UNION ALL SELECT * FROM neg), {_POPULAR.format(cand="cand")},
+shares AS (SELECT * FROM (VALUES {", ".join(f"({k}, {s}::DOUBLE)" for k, s in enumerate(_HALVED))}) AS x(candidate, share)),
+asked AS (SELECT candidate, user_id, item_id, label FROM cand, shares),
+mixed AS (SELECT candidate, user_id, item_id, score * (1.0::DOUBLE - share) + CAST({_CHANCE} AS DOUBLE) / 100.0::DOUBLE * share AS score FROM popular, shares),
+{_detail_sql(cand="asked", pred="mixed", keys="candidate, user_id", ties="trec", ks=(5,), name="told")},
+{_TURN(0, 0.25, "SELECT candidate FROM shares", 3)}, {_TURN(1, 0.5, "SELECT candidate FROM k0 WHERE kept", 2)}, {_TURN(2, 1.0, "SELECT candidate FROM k1 WHERE kept", 1)}
+SELECT CAST(turn AS INTEGER) AS turn, share, CAST(candidate AS INTEGER) AS candidate, {v.half_up("m", 6)} AS ndcg_5, kept FROM (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2)"""
 _LIMITED = f"{SPLIT}, few AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {v.key(42, 'user_id', 'item_id')}, item_id) AS k FROM train)"
 _FAVOURITES = f"{_GENRES}, c AS (SELECT user_id, genre, count(*) AS n FROM inter JOIN genre_items USING (item_id) GROUP BY user_id, genre), g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, genre) AS rn FROM c)"
 _ITEM_PROFILE = f"SELECT item_id, {_normal_sql('title || chr(46) || chr(32) || author || chr(46) || chr(32) || array_to_string(genres, chr(44) || chr(32))')} AS text FROM (SELECT item_id, title, author, list_filter(genres, lambda x, i: list_position(genres, x) = i) AS genres FROM items)"
@@ -398,6 +441,8 @@ SELECT user_id, item_id, {v.half_up("score", 6)} AS score, rank FROM ranked WHER
 SELECT user_id, c_name AS user_text, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INTEGER) AS rank, item_id, label, score, p_name AS text
 FROM cand JOIN popular USING (user_id, item_id) JOIN chosen USING (user_id) JOIN customer ON c_custkey = user_id JOIN part ON p_partkey = item_id""",
     "model_selection": _SELECTION,
+    "model_halving": _HALVING,
+    "existing_kept": f"WITH {v.USERS} SELECT user_id, segment FROM users",
 }
 QUERIES = {
     f.__name__: f
@@ -405,6 +450,6 @@ QUERIES = {
         dataset_folder, limit_list_file, negatives_file, profiles_file, eval_saved, report_folder, ingest_products, ingest_books, flatten_descriptions, top_genres, blank_cells, truncated_tokens, white_space, negation_tokens,
         sales_ranks, written_counts, query_texts, rated_rows, users_min_authors, users_min_tokens, sound_items, trained_users, common_users, restricted_dims, refreshed_items, validation_rounds,
         neg_training, neg_validation, genre_negatives_once, user_profile_earlier, item_profile_file, item_user_sets, author_jaccard, normalised_ids, score_appended, external_items, graph_connected,
-        eval_arrays, user_listing, model_selection,
+        eval_arrays, user_listing, model_selection, model_halving, existing_kept,
     )
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from recdata.functions.scalar import dot, sigmoid
 from recdata.functions.text import ngrams as ngram_column
 from recdata.functions.text import normalise_text, parse_list, sentences, strip_markup, tokenize
-from recdata.operators import corpus, models, negatives, profiles, sample, similarity
+from recdata.operators import corpus, factors, models, negatives, profiles, sample, similarity
 from recdata.sources import tables
 from recdata.sources.scratch import materialize
 
@@ -242,17 +242,50 @@ def als_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.top_n(users, items, train.select("user_id", "item_id"), 10)
 
 
+def _trained_and_tested(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labelled pairs of train (`k` negatives for each positive), of validation and of test (two for each)."""
+    splits, found = _splits(spark, sf_dir), []
+    for name, n in (("train", k), ("validation", 2), ("test", 2)):
+        pos = splits.where((F.col("split") == name) & (F.col("rating") >= 4)).select("user_id", "item_id")
+        neg = negatives.neg_uniform(pos, negatives.used_items(splits, name), splits.select("item_id"), n)
+        found.append(materialize(pos.withColumn("label", F.lit(1)).unionByName(neg), f"{name}-pairs"))
+    return tuple(found)
+
+
+def _featured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Features of the pairs to learn from, of train, and of the pairs to score, of test."""
+    train, _, test = _trained_and_tested(spark, sf_dir, 2)
+    users, items = v.user_vectors(spark, sf_dir), v.item_vectors(spark, sf_dir)
+    return tuple(materialize(models.pair_features(pairs, users, items), "features") for pairs in (train, test))
+
+
 def fm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, cand, _ = _labelled(spark, sf_dir)
-    features = materialize(models.pair_features(cand, v.user_vectors(spark, sf_dir), v.item_vectors(spark, sf_dir)), "features")
-    return models.predict(models.fit_fm(features, 4, 5), features)
+    train, test = _featured(spark, sf_dir)
+    return models.predict(models.fit_fm(train, 4, 5), test)
 
 
 def mlp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, cand, _ = _labelled(spark, sf_dir)
-    features = materialize(models.pair_features(cand, v.user_vectors(spark, sf_dir), v.item_vectors(spark, sf_dir)), "features")
-    width = features.first()["features"].size
-    return models.predict(models.fit_mlp(features, width, 8, 5), features)
+    train, test = _featured(spark, sf_dir)
+    return models.predict(models.fit_mlp(train, train.first()["features"].size, 8, 5), test)
+
+
+def mf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test pairs by factors fitted to train pairs with log loss and both biases; the round with the best validation loss."""
+    train, validation, test = _trained_and_tested(spark, sf_dir, 4)
+    model = factors.fit_factors(train, rank=8, rounds=3, rate=0.02, reg=0.01, user_bias=True, item_bias=True, validation=validation, patience=1)
+    return factors.predict_pairs(model, test)
+
+
+def sentences_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of documents, not cut behind abbreviations learned from all of them."""
+    docs = v.table(spark, sf_dir, "documents", "doc_id", "text")
+    found = corpus.split_sentences(docs, materialize(corpus.abbreviations(docs), "abbreviations"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda r: r["sentence"]), "\n")).alias("sentences_md5"))
+
+
+def abbreviations_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of documents that have a full stop behind them, with their scores as abbreviations."""
+    return _rounded(corpus.abbreviations(v.table(spark, sf_dir, "documents", "doc_id", "text"), least=float("-inf")))
 
 
 def word2vec_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,6 +306,16 @@ def _sentences_sql(text: str) -> str:
 _SENTENCES = f"sents AS (SELECT doc_id, pos, ss[pos] AS sentence FROM (SELECT doc_id, {_sentences_sql('text')} AS ss FROM documents), unnest(range(1, len(ss) + 1)) AS u(pos))"
 
 
+_OPENING, _CLOSING = (x.replace("'", "''") for x in (corpus.OPENING, corpus.CLOSING))
+_LEARNED = f"""found AS (SELECT unnest(regexp_extract_all(coalesce(text, ''), '{corpus.WORD}')) AS w FROM documents),
+bare AS (SELECT lower(regexp_replace(regexp_replace(w, '{_OPENING}', ''), '{_CLOSING}', '')) AS w FROM found),
+words AS (SELECT regexp_replace(w, '\\.$', '') AS term, suffix(w, '.') AS stop FROM bare),
+counts AS (SELECT term, count(*) FILTER (WHERE stop) AS with_stop, count(*) FILTER (WHERE NOT stop) AS without FROM words WHERE regexp_matches(term, '{corpus.ABBREVIATED}') GROUP BY term),
+total AS (SELECT least(greatest(sum(with_stop) / sum(with_stop + without), 1e-9), 1 - 1e-9)::DOUBLE AS p FROM counts),
+lengths AS (SELECT *, length(replace(term, '.', ''))::DOUBLE AS n FROM counts WHERE with_stop > 0),
+learned AS (SELECT term, with_stop, without, round(2 * (with_stop * (ln({corpus.STOPPED}::DOUBLE) - ln(p)) + without * (ln(1 - {corpus.STOPPED}::DOUBLE) - ln(1 - p))) * exp(-n) * (length(term) - n + 1) * pow(n, -without::DOUBLE), 9) AS score FROM lengths, total)"""
+
+
 def _sentence_sql(table: str, zero: bool, empty: float) -> str:
     return f"""WITH {_IDF}, {_SENTENCES}, t AS ({table}),
 words AS (SELECT doc_id, pos, unnest({tokens_sql("sentence")}) AS term FROM sents),
@@ -312,6 +355,12 @@ ORACLES = {
     "clean_lists": "SELECT p_partkey, string_agg(g, '|' ORDER BY i) AS genres FROM (SELECT p_partkey, g, min(i) AS i FROM (SELECT p_partkey, gs[i] AS g, i FROM (SELECT p_partkey, string_split(p_name, ' ') || [p_type] AS gs FROM part), unnest(range(1, len(gs) + 1)) AS u(i)) GROUP BY 1, 2) GROUP BY 1",
     "strip_markup_pages": "SELECT page_id, md5(regexp_replace(html, '<[^\\n]*?>|&([a-z0-9]+|#[0-9]{1,6}|#x[0-9a-f]{1,6});', '', 'g')) AS text_md5 FROM pages",
     "normalise_negation": f"SELECT conv_id, turn, md5({_normal_sql(chr(39) + 'Didn' + chr(39) * 2 + 't. <end of review>' + chr(39) + ' || text')}) AS text_md5 FROM conversations",
+    "abbreviations_learned": f"WITH {_LEARNED} SELECT term, with_stop, without, {v.half_up('score', 6)} AS score FROM learned",
+    "sentences_learned": f"""WITH {_LEARNED}, {_SENTENCES}, known AS (SELECT term FROM learned WHERE score >= {corpus.LEAST}),
+marked AS (SELECT doc_id, pos, sentence, regexp_replace(lower(regexp_extract(sentence, '([^\\x20]*)\\.$', 1)), '{_OPENING}', '') IN (SELECT term FROM known) AS glued FROM sents),
+placed AS (SELECT *, coalesce(sum(CASE WHEN glued THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM marked),
+made AS (SELECT doc_id, s, string_agg(sentence, ' ' ORDER BY pos) AS sentence FROM placed GROUP BY doc_id, s)
+SELECT doc_id, count(*) AS n_sentences, md5(string_agg(sentence, chr(10) ORDER BY s)) AS sentences_md5 FROM made GROUP BY doc_id""",
     "tokens": f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5, len(s) AS n_sentences FROM (SELECT doc_id, {tokens_sql('text')} AS t, {_sentences_sql('text')} AS s FROM documents)",
     "ngrams": f"SELECT ngram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1])) AS ngram FROM (SELECT {tokens_sql('text')} AS t FROM conversations)) GROUP BY 1",
     "vocab": f"SELECT DISTINCT unnest({tokens_sql('text')}) AS term FROM documents",
@@ -388,6 +437,6 @@ QUERIES = {
         strip_markup_pages, clean_lists, normalise_negation, tokens, ngrams, vocab, token_chunks, encode_tokens, idf_table, ngram_df_merge, bm25_topn, bm25_tag_filtered,
         user_profile_text, item_profile_text, item_profile_parts, profile_item_chunks, profile_idf_sentence, profile_idf_sentence_oov0, profile_idf_sentence_vocab, profile_idf_sentence_empty10,
         profile_tfidf_ngram, profile_idf_ngram, profile_random_sentence, profile_item_matched, favourite_genres, item_jaccard, user_item_jaccard, item_cf_sim, user_item_cf_sim,
-        score_pairs, topn_all_items, topn_cover_test, vector_pool, tower_scores, als_topn, fm_score, mlp_score, word2vec_profile,
+        score_pairs, topn_all_items, topn_cover_test, vector_pool, tower_scores, als_topn, fm_score, mlp_score, mf_score, sentences_learned, abbreviations_learned, word2vec_profile,
     )
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _until_exit(spark: SparkSession, path: str) -> object:
+    """The path as Hadoop has it; its files, which must exist, go when the application ends."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return hadoop_path
+
+
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    folder = f"{shared_dir(spark)}/recdata-{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop_path)
+    _until_exit(spark, folder)
+    return f"{folder}/files"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read back.
 
@@ -34,22 +51,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recdata-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    hadoop_path = _until_exit(spark, path)
     stored = spark.read.schema(df.schema).parquet(path)
-    _paths[id(stored)] = (stored, hadoop_path)
+    _paths[stored] = hadoop_path
     return stored
 
 
-#: The folder of each stored table that may still be released.
-_paths: dict[int, tuple[DataFrame, object]] = {}
+#: The folder of each stored table that may still be released; tables that nothing refers to any more drop out.
+_paths: WeakKeyDictionary[DataFrame, object] = WeakKeyDictionary()
 
 
 def release(*tables: DataFrame) -> None:
     """Deletes the files of tables that `materialize` gave; nothing may read them any more. Other tables are left alone."""
     for df in tables:
-        _, path = _paths.pop(id(df), (None, None))
+        path = _paths.pop(df, None)
         if path is not None:
             spark = df.sparkSession
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -79,11 +79,37 @@ def _told(value: Column, path: str) -> Column:
     return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"no sound JSON in {path}")))
 
 
+_NAMED = r'"predicted"\s*:\s*\{'
+
+
+def _entries(spark: SparkSession, path: str, kind: T.DataType, close: str) -> DataFrame:
+    """(key, value) of the entries of one JSON object whose values end with `close`, a bracket; it may stand under the key predicted.
+
+    The file is read by byte ranges as lines that end with `close`, so any
+    number of tasks share it. A bracket within a text cuts an entry into two
+    that are not JSON; then the file is read whole by one task instead. Raises
+    on malformed JSON.
+    """
+    lines = spark.read.option("lineSep", close).text(path).select(F.trim(F.regexp_replace("value", r"[\r\n\t]", " ")).alias("value"), F.input_file_name().alias("file"))
+    body = F.regexp_replace(F.regexp_replace("value", r"^[,\s]*", ""), r"^\{(\s*" + _NAMED + ")?", "")
+    rows = lines.select("file", F.col("value").rlike(r"^\{\s*" + _NAMED).cast("int").alias("named"), F.trim(body).alias("value"))
+    ends = F.col("value").isin("", "}")
+    parsed = rows.select("*", F.from_json(F.concat(F.lit("{"), "value", F.lit(close + "}")), T.MapType(T.StringType(), kind)).alias("entry"))
+    sound = F.col("entry").isNotNull() & (F.size("entry") == 1) & F.forall(F.map_values("entry"), lambda x: x.isNotNull())
+    told = parsed.agg(F.count(F.when(~ends & ~F.coalesce(sound, F.lit(False)), 1)).alias("bad"), F.count(F.when(ends, 1)).alias("ends"), F.coalesce(F.sum("named"), F.lit(0)).alias("named"), F.countDistinct("file").alias("files")).first()
+    # what is left of a whole object is one end, and one more if it stands under a key
+    if not told["bad"] and told["ends"] == told["files"] + told["named"]:
+        return parsed.where(~ends).select(F.explode("entry").alias("key", "value"))
+    text, whole = spark.read.text(path, wholetext=True), T.MapType(T.StringType(), kind)
+    wrapped = F.from_json("value", T.StructType([T.StructField("predicted", whole)]))["predicted"]
+    return text.select(F.explode(_told(F.coalesce(wrapped, F.from_json("value", whole)), path)).alias("key", "value"))
+
+
 def read_predictions(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """(user_id, item_id, score) of lines {"user_id": ..., "scores": {item: score}}, as `write_predictions` makes them.
 
     With lines=False of one JSON object user -> item -> score, bare or under the
-    key predicted; such a file is read whole by one task. Ids are texts. Raises
+    key predicted, read by byte ranges (see `_entries`). Ids are texts. Raises
     on malformed JSON.
     """
     scores = T.MapType(T.StringType(), T.DoubleType())
@@ -91,9 +117,7 @@ def read_predictions(spark: SparkSession, path: str, lines: bool = True) -> Data
         row = F.from_json("value", T.StructType([T.StructField("user_id", T.StringType()), T.StructField("scores", scores)]))
         users = spark.read.text(path).where(F.trim("value") != "").select(row.alias("r")).select(_told(F.col("r.user_id"), path).alias("user_id"), _told(F.col("r.scores"), path).alias("scores"))
     else:
-        text = spark.read.text(path, wholetext=True)
-        wrapped = F.from_json("value", T.StructType([T.StructField("predicted", T.MapType(T.StringType(), scores))]))["predicted"]
-        users = text.select(F.explode(_told(F.coalesce(wrapped, F.from_json("value", T.MapType(T.StringType(), scores))), path)).alias("user_id", "scores"))
+        users = _entries(spark, path, scores, "}").select(F.col("key").alias("user_id"), F.col("value").alias("scores"))
     return users.select("user_id", F.explode("scores").alias("item_id", "score"))
 
 
@@ -126,13 +150,13 @@ def parse_ngram_counts(lines: DataFrame) -> DataFrame:
 
 
 def read_limit_list(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
-    """(user_id, item_id) of lines {"user_id": ..., "items": [...]}, or with lines=False of one JSON object user -> [items], read whole by one task. Raises on malformed JSON."""
+    """(user_id, item_id) of lines {"user_id": ..., "items": [...]}, or with lines=False of one JSON object user -> [items], read by byte ranges. Raises on malformed JSON."""
     items = T.ArrayType(T.StringType())
     if lines:
         row = F.from_json("value", T.StructType([T.StructField("user_id", T.StringType()), T.StructField("items", items)]))
         users = spark.read.text(path).where(F.trim("value") != "").select(row.alias("r")).select(_told(F.col("r.user_id"), path).alias("user_id"), _told(F.col("r.items"), path).alias("items"))
     else:
-        users = spark.read.text(path, wholetext=True).select(F.explode(_told(F.from_json("value", T.MapType(T.StringType(), items)), path)).alias("user_id", "items"))
+        users = _entries(spark, path, items, "]").select(F.col("key").alias("user_id"), F.col("value").alias("items"))
     return users.select("user_id", F.explode("items").alias("item_id"))
 
 
