@@ -14,10 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 # The control strings of the template.
 TURN, CONTENT, END = "<turn>", "<content>", "</turn>"
 PLACEHOLDERS = {"image": "<image>", "audio": "<audio>", "document": "<document>"}
 
+#: An attachment within a text: its kind and its reference.
+EMBEDDED = r"!\[(image|audio|document)\]\(([^()\x20\x09-\x0D]*)\)"
+
 PART = "struct<kind:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
 PATCH, IMAGE_LEAST, AUDIO_RATE, PAGE_TOKENS = 28, 4, 12.5, 1024
 
@@ -35,6 +40,21 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("uri"), *(F.lit(None).cast(t).alias(n) for n, t in (("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int")))))
 
 
+def parts_of(text: Column) -> Column:
+    """The content of a text in which attachments stand as `![kind](reference)`: texts and attachments in turn, a text first and last.
+
+    An attachment keeps what it was made of in `text`, so that it can be put back.
+    """
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]
+
+    def both(found: Column) -> Column:
+        said = lambda t: F.struct(F.lit("text").alias("kind"), t.alias("text"), F.lit(None).cast("string").alias("uri"), *nothing)
+        kept = lambda a: F.struct(F.regexp_extract(a, EMBEDDED, 1).alias("kind"), a.alias("text"), F.regexp_extract(a, EMBEDDED, 2).alias("uri"), *nothing)
+        return F.flatten(F.transform(F.split(text, EMBEDDED), lambda t, i: F.when(i < F.size(found), F.array(said(t), kept(F.get(found, i)))).otherwise(F.array(said(t)))))
+
+    return let(F.regexp_extract_all(text, F.lit(EMBEDDED), F.lit(0)), both)
+
+
 def part_tokens(part: Column) -> Column:
     """How many tokens the placeholder of an attachment stands for once expanded.
 
@@ -68,9 +88,9 @@ def flatten_parts(parts: Column) -> Column:
 
 
 def attachments(parts: Column) -> Column:
-    """The references of a turn's attachments, in the order of their placeholders."""
+    """The references of a turn's attachments, in the order of their placeholders, with what each stood as (`source`: its markup, or its placeholder)."""
     found = F.filter(parts, lambda p: F.coalesce(p["kind"].isin(*PLACEHOLDERS), F.lit(False)))
-    return F.transform(found, lambda p: F.struct(p["kind"].alias("kind"), p["uri"].alias("uri"), part_tokens(p).alias("n_tokens")))
+    return F.transform(found, lambda p: F.struct(p["kind"].alias("kind"), p["uri"].alias("uri"), part_tokens(p).alias("n_tokens"), F.coalesce(p["text"], F.concat(F.lit("<"), p["kind"], F.lit(">"))).alias("source")))
 
 
 def format_chats(df: DataFrame, parts_col: str = "parts", loss_role: str = "assistant") -> DataFrame:
@@ -79,7 +99,8 @@ def format_chats(df: DataFrame, parts_col: str = "parts", loss_role: str = "assi
     `df` has conv_id, turn, role and `parts_col`, an array of PART. Returns
     conv_id, formatted, mask: the lengths of consecutive stretches of
     `formatted` with whether they count in the loss (the content of turns of
-    `loss_role`), and attachments of the whole conversation. Null roles, texts
+    `loss_role`), attachments of the whole conversation, and by_turn, the same
+    for each turn. Null roles, texts
     and arrays count as empty; null turns come first; repeated rows are
     repeated turns; the rows with null conv_id are one conversation; other
     columns are not read. Rows are formatted before they are grouped, so that
@@ -102,23 +123,35 @@ def format_chats(df: DataFrame, parts_col: str = "parts", loss_role: str = "assi
         df.select("conv_id", turn.alias("t"))
         .groupBy("conv_id")
         .agg(rows.alias("turns"))
-        .select("conv_id", joined.alias("formatted"), mask.alias("mask"), F.flatten(F.transform("turns", lambda t: t["attachments"])).alias("attachments"))
+        .select("conv_id", joined.alias("formatted"), mask.alias("mask"), F.flatten(F.transform("turns", lambda t: t["attachments"])).alias("attachments"), F.transform("turns", lambda t: t["attachments"]).alias("by_turn"))
     )
 
 
-def read_turns(formatted: Column) -> Column:
-    """The turns of a formatted conversation: role and text (placeholders stay), unescaped."""
+_ANY = "<(?:" + "|".join(PLACEHOLDERS) + ")>"
+
+
+def _restored(content: Column, attached: Column | None) -> Column:
+    """A turn's content unescaped, with each placeholder replaced by the source of its attachment; without `attached` placeholders stay."""
+    if attached is None:
+        return unescape(content)
+    # texts hold no unescaped "<", so whatever looks like a placeholder is one
+    return F.array_join(F.transform(F.split(content, _ANY), lambda t, k: F.concat(unescape(t), F.coalesce(F.get(attached, k)["source"], F.lit("")))), "")
+
+
+def read_turns(formatted: Column, by_turn: Column | None = None) -> Column:
+    """The turns of a formatted conversation: role and text, unescaped. With `by_turn` attachments are put back, else placeholders stay."""
     pieces = F.filter(F.split(formatted, END), lambda piece: piece != "")
 
-    def turn(piece: Column) -> Column:
+    def turn(piece: Column, i: Column) -> Column:
         body = F.substring_index(piece, TURN, -1)
-        return F.struct(unescape(F.substring_index(body, CONTENT, 1)).alias("role"), unescape(F.substring_index(body, CONTENT, -1)).alias("text"))
+        attached = None if by_turn is None else F.get(by_turn, i)
+        return F.struct(unescape(F.substring_index(body, CONTENT, 1)).alias("role"), _restored(F.substring_index(body, CONTENT, -1), attached).alias("text"))
 
     return F.transform(pieces, turn)
 
 
-def read_loss(formatted: Column, mask: Column) -> Column:
-    """The text under the loss mask, unescaped.
+def read_loss(formatted: Column, mask: Column, by_turn: Column | None = None) -> Column:
+    """The text under the loss mask, unescaped; with `by_turn` attachments are put back.
 
     Three stretches of the mask stand for a turn, so each turn is cut out of
     its own piece and the time is linear in the length.
@@ -127,6 +160,7 @@ def read_loss(formatted: Column, mask: Column) -> Column:
 
     def counted(piece: Column, i: Column) -> Column:
         head, body = F.get(mask, 3 * i), F.get(mask, 3 * i + 1)
-        return F.when(body["loss"], unescape(piece.substr((head["n_chars"] + 1).cast("int"), body["n_chars"].cast("int")))).otherwise("")
+        attached = None if by_turn is None else F.get(by_turn, i)
+        return F.when(body["loss"], _restored(piece.substr((head["n_chars"] + 1).cast("int"), body["n_chars"].cast("int")), attached)).otherwise("")
 
     return F.array_join(F.transform(pieces, counted), "")

@@ -27,6 +27,11 @@ NAVIGATION_WORDS = 5
 #: A word followed by the same kind of symbol twice or more, as shouting and mark-up debris have it.
 DEBRIS = r"[^\x20\x09-\x0D](!!+|\?\?+|[#*$%&<>~^=+]{2,})"
 
+#: A line of this many words or more has a mark of a sentence somewhere.
+SENTENCE_WORDS, SENTENCE_MARK = 20, r"[.!?:;\x{2026}\x{3002}\x{ff01}\x{ff1f}]"
+#: Of a line that stands so often in a text, only the first stays.
+REPEATS = 3
+
 #: A document goes if its cleaning takes away this share of its word characters, in hundredths.
 MOST_LOST = 50
 
@@ -62,16 +67,37 @@ def repeated_words(tokens: Column) -> Column:
 
 
 def failing_line(line: Column, n_words: Column) -> Column:
-    """Whether a line of so many words goes: by punctuation, as navigation or as boilerplate. Lines without a word stay."""
+    """Whether a line of so many words goes: by punctuation (debris, or no sentence), as navigation or as boilerplate. Lines without a word stay."""
     punctuation = let(F.regexp_count(line, F.lit(DEBRIS)), lambda debris: (debris >= 2) & (2 * debris >= n_words))
     navigation = let(F.regexp_count(line, F.lit(SEPARATOR)), lambda n: (n >= 3) & (NAVIGATION_WORDS * n >= n_words)) & ~F.contains(line, F.lit(QUOTE))
-    return (n_words > 0) & (punctuation | navigation | ((n_words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)))
+    endless = (n_words >= SENTENCE_WORDS) & ~line.rlike(SENTENCE_MARK)
+    return (n_words > 0) & (punctuation | endless | navigation | ((n_words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)))
+
+
+def repeated_lines(lines: Column) -> Column:
+    """For each of some lines (structures with line and words) whether it has words, equals an earlier line, and stands REPEATS times or more.
+
+    Lines are sorted and compared with their neighbours, so the time is that of
+    a sort however many lines there are.
+    """
+
+    def told(at: Column) -> Column:
+        same = lambda p, j: (j >= 0) & (F.get(at, F.greatest(j, F.lit(0)))["line"] == p["line"])
+        after = lambda p, j: F.coalesce(F.get(at, j)["line"] == p["line"], F.lit(False))
+        return F.transform(at, lambda p, j: F.struct(p["i"].alias("i"), (same(p, j - 1) & (same(p, j - 2) | after(p, j + 1))).alias("again")))
+
+    placed = F.array_sort(F.transform(lines, lambda x, i: F.struct(x["line"].alias("line"), i.alias("i"))))
+    back = lambda flags: F.transform(F.array_sort(flags), lambda f: f["again"])
+    some = F.size(F.array_distinct(F.transform(lines, lambda x: x["line"]))) <= F.size(lines) - (REPEATS - 1)
+    flags = F.when(some, back(let(placed, told))).otherwise(F.array().cast("array<boolean>"))
+    return let(flags, lambda f: F.transform(lines, lambda x, i: (F.size(x["words"]) > 0) & F.coalesce(F.get(f, i), F.lit(False))))
 
 
 def _judged(text: Column, most_lost: int) -> Column:
     """All that `clean_lines` tells of a text, as one structure; every line is taken apart once."""
     lines = F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), words(line).alias("words")))
-    marked = lambda ls: F.transform(ls, lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), failing_line(x["line"], F.size(x["words"])).alias("fails")))
+    fails = lambda x, i, again: failing_line(x["line"], F.size(x["words"])) | F.get(again, i)
+    marked = lambda ls: let(repeated_lines(ls), lambda again: F.transform(ls, lambda x, i: F.struct(x["line"].alias("line"), x["words"].alias("words"), fails(x, i, again).alias("fails"))))
     joined = lambda ls, fails: F.array_join(F.transform(F.filter(ls, lambda x: x["fails"] == fails), lambda x: x["line"]), "\n")
     filled = lambda ls: F.transform(F.filter(ls, lambda x: F.size(x["words"]) > 0), lambda x: x["line"])
 
@@ -101,7 +127,7 @@ COUNTS = ("cleaned", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_rep
 
 
 def clean_lines(df: DataFrame, text_col: str = "text", most_lost: int = MOST_LOST) -> DataFrame:
-    """Judges every line by itself, removes those that fail, then judges the document.
+    """Judges every line, by itself and by how often it stands in its text, removes those that fail, then judges the document.
 
     Adds cleaned (the text of the lines left, in order), n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, n_lines, n_lines_failed, lost_chars

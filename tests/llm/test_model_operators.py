@@ -371,10 +371,12 @@ def plain_rules(text):
     covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
     if len(words) < 50 or 100 * len(covered) > 50 * len(words):
         return None
-    kept, lost = [], 0
+    kept, lost, seen, often = [], 0, set(), Counter(text.split("\n"))
     for line in text.split("\n"):
+        again = line in seen and often[line] >= 3
+        seen.add(line)
         n, debris, bars = len(re.findall(rules.WORD, line)), len(find(rules.DEBRIS, line)), len(find(rules.SEPARATOR, line))
-        if n and ((debris >= 2 and 2 * debris >= n) or (bars >= 3 and 5 * bars >= n and rules.QUOTE not in line) or (n <= 15 and find(rules.BOILERPLATE, line))):
+        if n and ((debris >= 2 and 2 * debris >= n) or (bars >= 3 and 5 * bars >= n and rules.QUOTE not in line) or (n <= 15 and find(rules.BOILERPLATE, line)) or (n >= 20 and not find(rules.SENTENCE_MARK, line)) or again):
             lost += sum(map(len, re.findall(rules.WORD, line)))
         else:
             kept.append(line)

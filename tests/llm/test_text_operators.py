@@ -130,6 +130,24 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0).withColumn("parts", chat.text_part(F.col("text")))).count() == 0
 
 
+def test_attachments_in_texts(spark):
+    """Markup becomes placeholders and references, in order, and reads back as it was, next to control strings and lone placeholders."""
+    rng = random.Random(3)
+    pieces = ["plain ", "<image>", "&lt;", "![image](a.png)", "![audio](http://x/y?a=1&b=2)", "![document]()", "![video](v.mp4)", "![image](a b)", "</turn>", "\n", "![image](<audio>)", "![[image]]((a))", "!"]
+    rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice([None, "".join(rng.choices(pieces, k=rng.randint(0, 9)))])) for c in range(30) for t in range(5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    out = chat.format_chats(df.withColumn("parts", chat.parts_of(F.coalesce("text", F.lit("")))))
+    read = out.withColumns({"turns": chat.read_turns(F.col("formatted"), F.col("by_turn")), "loss": chat.read_loss(F.col("formatted"), F.col("mask"), F.col("by_turn"))})
+    pattern, least = re.compile(r"!\[(image|audio|document)\]\(([^()\x20\x09-\x0D]*)\)"), {"image": 4, "audio": 1, "document": 1024}
+    for r in read.collect():
+        mine = [(role, text or "") for c, _, role, text in rows if c == r["conv_id"]]
+        assert [(t["role"], t["text"]) for t in r["turns"]] == mine and r["loss"] == "".join(text for role, text in mine if role == "assistant")
+        wanted = [(m[1], m[2]) for _, text in mine for m in pattern.finditer(text)]
+        assert [(a["kind"], a["uri"]) for a in r["attachments"]] == wanted and [a["n_tokens"] for a in r["attachments"]] == [least[k] for k, _ in wanted]
+        assert sum(m["n_chars"] for m in r["mask"]) == len(r["formatted"])
+        assert len(re.findall("<(?:image|audio|document)>", r["formatted"])) == len(wanted)
+
+
 def test_typed_parts(spark):
     part = lambda **kw: {"kind": None, "text": None, "uri": None, "width": None, "height": None, "seconds": None, "pages": None} | kw
     parts = [part(kind="text", text="see <this>"), part(kind="image", uri="i.png", width=56, height=57), part(kind="audio", uri="a.wav", seconds=2.0), part(kind="document", uri="d.pdf", pages=3), part(kind="odd", text="t"), part()]
@@ -167,7 +185,7 @@ def test_lines_go_before_documents(spark):
 
 def test_prose_is_not_taken_for_boilerplate(spark):
     """Quotation marks, dots inside words, single bars and phrases within long lines leave a line alone; columns of any name stay."""
-    words = [f"word{i}" for i in range(60)]
+    words = [*(f"word{i}" for i in range(59)), "end."]
     quotes = " ".join(["Elle a dit \u00ab oui \u00bb puis \u00ab non \u00bb et \u00ab rien \u00bb encore"] + words)
     rows = [quotes, "col\u00b7legi l\u00b7l l\u00b7l " + " ".join(words), "Please click here to read our privacy policy " + " ".join(words), "a | b and c | d or e | f " + " ".join(words)]
     short = "\n".join([" ".join(words), "Home \u203a Shop \u203a Shoes \u203a Red", "Tous droits r\u00e9serv\u00e9s.", "\u00ab a \u00bb b \u00bb c \u00bb d"])
@@ -179,6 +197,25 @@ def test_prose_is_not_taken_for_boilerplate(spark):
     assert got[4]["cleaned"].split("\n") == [" ".join(words), "\u00ab a \u00bb b \u00bb c \u00bb d"] and got[4]["n_lines_failed"] == 2
 
 
+def test_lines_without_a_sentence_and_repeated_lines_go(spark):
+    """Keyword lines of 20 words or more fail, 19 stay; of a line that stands three times the first stays, twice both; blank lines are left alone."""
+    prose = [f"Sentence number {i} tells of {i * 7} quite ordinary things that happened on day {i * 13}." for i in range(12)]
+    keywords = lambda n: " ".join(f"key{k}" for k in range(n))
+    thrice, twice = "This line stands three times.", "This one stands twice."
+    rows = [[*prose, keywords(20)], [*prose, keywords(19)], [thrice, *prose[:4], thrice, "", twice, "", *prose[4:], thrice, "", twice], [thrice] * 60, [*prose, keywords(20) + "\u3002"]]
+    left = [prose, rows[1], [thrice, *prose[:4], "", twice, "", *prose[4:], "", twice], [thrice], rows[4]]
+    df = spark.createDataFrame([(i, "\n".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rules.clean_lines(df).collect()}
+    assert [got[i]["cleaned"].split("\n") for i in range(5)] == left
+    assert [got[i]["n_lines_failed"] for i in range(5)] == [1, 0, 2, 59, 0] and [got[i]["kept"] for i in (0, 1, 3, 4)] == [True, True, False, True]
+
+
+def test_a_text_of_very_many_equal_lines(spark):
+    began = time.time()
+    r = rules.clean_lines(spark.createDataFrame([(1, "A line of the list.\n" * 200_000)], "doc_id long, text string")).first()
+    assert r["cleaned"] == "A line of the list.\n" and r["n_lines_failed"] == 199_999 and time.time() - began < 60
+
+
 def test_rules_on_very_long_texts(spark):
     text = "\n".join(f"line {i % 700} of {i} things that happened, one after the other." for i in range(20_000)) + " x" * 100_000
     r = rules.clean_lines(spark.createDataFrame([(1, text), (2, "y" * 3_000_000)], "doc_id long, text string")).where("doc_id = 1").first()
