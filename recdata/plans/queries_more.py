@@ -412,7 +412,7 @@ SELECT CAST(u AS VARCHAR) AS user_id, CAST(i AS VARCHAR) AS item_id, review, CAS
     "users_min_authors": f"WITH {v.INTERACTIONS} SELECT user_id, item_id FROM inter WHERE user_id IN (SELECT user_id FROM inter JOIN part ON p_partkey = item_id GROUP BY user_id HAVING count(DISTINCT p_brand) >= 20)",
     "users_min_tokens": f"WITH {v.INTERACTIONS}, sizes AS (SELECT doc_id, len({tokens_sql('text')}) AS n FROM documents) SELECT user_id FROM inter JOIN sizes ON doc_id = (user_id * 31 + item_id) % (SELECT count(*) FROM documents) GROUP BY user_id HAVING sum(n) >= 20000",
     "sound_items": f"WITH {v.INTERACTIONS} SELECT item_id, any_value(p_name) AS title FROM inter JOIN part ON p_partkey = item_id WHERE item_id % 7 <> 0 GROUP BY item_id HAVING count(*) > 30",
-    "trained_users": f"WITH {SPLIT} SELECT user_id, item_id FROM split WHERE split = 'test' AND user_id IN (SELECT user_id FROM train WHERE rating = 5)",
+    "trained_users": f"WITH {SPLIT}, fans AS MATERIALIZED (SELECT DISTINCT user_id FROM train WHERE rating = 5), tested AS MATERIALIZED (SELECT user_id, item_id FROM split WHERE split = 'test') SELECT user_id, item_id FROM tested SEMI JOIN fans USING (user_id)",
     "common_users": f"WITH {SPLIT} SELECT DISTINCT user_id FROM train WHERE user_id IN (SELECT user_id FROM split WHERE split = 'test')",
     "restricted_dims": f"WITH {v.INTERACTIONS} SELECT 'user' AS kind, c_custkey AS id FROM customer WHERE c_custkey IN (SELECT user_id FROM inter WHERE rating >= 5) UNION ALL SELECT 'item', p_partkey FROM part WHERE p_partkey IN (SELECT item_id FROM inter WHERE rating >= 5)",
     "refreshed_items": "SELECT p_partkey AS item_id, CASE WHEN p_size > 10 AND p_size % 2 = 0 THEN p_type ELSE p_name END AS title, CASE WHEN p_size > 10 THEN 'by ' || p_type ELSE p_brand END AS author FROM part",

@@ -152,7 +152,33 @@ merged AS (
   SELECT item_id, first_value(item_id) OVER (PARTITION BY author, avg_rating, num_rating ORDER BY coalesce(uses, 0) DESC, item_id) AS canonical
   FROM ed LEFT JOIN used USING (item_id) WHERE num_rating > 5)"""
 
+def _frontier_sql(start: str, start_key: str, per_item: int, per_user: int, total: int, weight: str, n_rounds: int = 10) -> str:
+    """SQL of `sample.frontier` with its rounds one after the other; rounds past its end draw nothing."""
+    none = {"user_id": "item_id", "item_id": "user_id"}
+    steps = [f"rows AS MATERIALIZED (SELECT user_id, item_id FROM inter WHERE rating >= 4), f0 AS MATERIALIZED ({start})"]
+    steps += [f"degree_{k} AS MATERIALIZED (SELECT {k}, count(*)::DOUBLE AS degree FROM rows GROUP BY {k})" for k in none]
+    seen, key = {start_key: ["f0"], none[start_key]: []}, start_key
+    for r in range(1, n_rounds + 1):
+        target = none[key]
+        users = " + ".join(f"(SELECT count(*) FROM {f})" for f in seen["user_id"]) or "0"
+        quota = f"(SELECT count(*) FROM f{r - 1}) * {per_user if target == 'item_id' else per_item}"
+        quota = f"least({quota}, {total} - ({users}))" if target == "user_id" else quota
+        known = " ".join(f"ANTI JOIN {f} USING ({target})" for f in seen[target])
+        draw = f"round(-ln(({v.key_int(42 + r, target)} + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / {weight}, 12)"
+        steps.append(f"q{r} AS MATERIALIZED (SELECT CASE WHEN {users} < {total} THEN {quota} ELSE 0 END AS quota, {users} < {total} AND (SELECT count(*) FROM f{r - 1}) > 0 AS walked)")
+        steps.append(f"r{r} AS (SELECT DISTINCT rows.{target} FROM rows JOIN f{r - 1} USING ({key}))")
+        steps.append(f"o{r} AS (SELECT {target}, row_number() OVER (ORDER BY {draw}, {target}) AS place FROM (SELECT * FROM r{r} {known}) JOIN degree_{target} USING ({target}))")
+        steps.append(f"f{r} AS MATERIALIZED (SELECT {target} FROM o{r}, q{r} WHERE place <= quota)")
+        seen[target].append(f"f{r}")
+        key = target
+    ids = {k: " UNION ALL ".join(f"SELECT {k} FROM {f}" for f in fs) for k, fs in seen.items()}
+    rounds = " + ".join(f"(SELECT CAST(walked AS INTEGER) FROM q{r})" for r in range(1, n_rounds + 1))
+    return f"WITH {v.INTERACTIONS}, {', '.join(steps)} SELECT user_id, item_id, {rounds} AS rounds FROM rows SEMI JOIN ({ids['user_id']}) AS u USING (user_id) SEMI JOIN ({ids['item_id']}) AS i USING (item_id)"
+
+
 ORACLES = {
+    "frontier_sample": _frontier_sql(f"SELECT user_id FROM (SELECT DISTINCT user_id FROM rows) ORDER BY {v.key(42, 'user_id')}, user_id LIMIT 20", "user_id", 2, 3, 200, "degree"),
+    "item_frontier_sample": _frontier_sql(f"SELECT item_id FROM (SELECT DISTINCT item_id FROM rows) ORDER BY {v.key(42, 'item_id')}, item_id LIMIT 20", "item_id", 2, 3, 200, "(1.0::DOUBLE / degree)"),
     "dedupe_interactions": f"WITH {v.INTERACTIONS} SELECT * FROM inter",
     "rating_filter_semi": f"WITH {v.INTERACTIONS} SELECT * FROM inter WHERE rating >= 4 AND item_id IN (SELECT p_partkey FROM part WHERE p_brand <> 'Brand#11')",
     "split_ratio": f"WITH {v.INTERACTIONS}, {v.split_sql()} SELECT * FROM split",

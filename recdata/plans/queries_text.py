@@ -343,7 +343,6 @@ def _normal_sql(text: str) -> str:
     return f"replace(lower(replace(coalesce({text}, ''), '<end of review>', '')), 'n''t', ' not')"
 
 
-_COSINE = "CASE WHEN na > 0 AND nb > 0 THEN list_dot_product(a.vec, b.vec) / (na * nb) ELSE 0 END"
 _JACCARD = """jac AS (SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) / (any_value(na.n) + any_value(nb.n) - count(*))::DOUBLE AS sim
   FROM {t} AS a JOIN {t} AS b ON a.user_id = b.user_id AND a.item_id < b.item_id JOIN (SELECT item_id, count(*) AS n FROM {t} GROUP BY 1) AS na ON na.item_id = a.item_id
   JOIN (SELECT item_id, count(*) AS n FROM {t} GROUP BY 1) AS nb ON nb.item_id = b.item_id GROUP BY 1, 2)"""
@@ -415,8 +414,10 @@ SELECT user_id, length(text) AS n_chars, md5(text) AS text_md5 FROM made""",
     "user_item_jaccard": f"""WITH {_POS}, {_JACCARD.format(t="train")}
 SELECT p.user_id, p.item_id, {v.half_up("avg(coalesce(sim, 0))", 6)} AS sim FROM pos AS p JOIN train AS t ON t.user_id = p.user_id AND t.item_id <> p.item_id
 LEFT JOIN jac ON item_a = least(p.item_id, t.item_id) AND item_b = greatest(p.item_id, t.item_id) GROUP BY 1, 2""",
-    "item_cf_sim": f"""WITH {_POS}, {v.ITEM_VECTORS}, pairs AS (SELECT DISTINCT least(p.item_id, t.item_id) AS item_a, greatest(p.item_id, t.item_id) AS item_b FROM pos AS p JOIN train AS t ON t.user_id = p.user_id AND t.item_id <> p.item_id)
-SELECT item_a, item_b, {v.half_up("sim", 6)} AS sim FROM (SELECT item_a, item_b, {_COSINE} AS sim FROM pairs JOIN (SELECT item_id, vec, sqrt(list_dot_product(vec, vec)) AS na FROM item_vecs) AS a ON a.item_id = item_a JOIN (SELECT item_id, vec, sqrt(list_dot_product(vec, vec)) AS nb FROM item_vecs) AS b ON b.item_id = item_b)""",
+    "item_cf_sim": f"""WITH {_POS}, {v.ITEM_VECTORS}, tested AS MATERIALIZED (SELECT user_id, item_id FROM pos), trained AS MATERIALIZED (SELECT user_id, item_id FROM train),
+pairs AS MATERIALIZED (SELECT DISTINCT least(p.item_id, t.item_id) AS item_a, greatest(p.item_id, t.item_id) AS item_b FROM tested AS p JOIN trained AS t ON t.user_id = p.user_id AND t.item_id <> p.item_id),
+a AS MATERIALIZED (SELECT item_id AS item_a, vec AS va, sqrt(list_dot_product(vec, vec)) AS na FROM item_vecs), b AS MATERIALIZED (SELECT item_a AS item_b, va AS vb, na AS nb FROM a)
+SELECT item_a, item_b, {v.half_up("CASE WHEN na > 0 AND nb > 0 THEN list_dot_product(va, vb) / (na * nb) ELSE 0 END", 6)} AS sim FROM pairs JOIN a USING (item_a) JOIN b USING (item_b)""",
     "user_item_cf_sim": f"""WITH {_POS}, {v.ITEM_VECTORS}
 SELECT p.user_id, p.item_id, {v.half_up("avg(greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_dot_product(a.vec, b.vec) + 0.5::DOUBLE)))", 6)} AS sim FROM pos AS p JOIN train AS t ON t.user_id = p.user_id AND t.item_id <> p.item_id
 JOIN item_vecs AS a ON a.item_id = p.item_id JOIN item_vecs AS b ON b.item_id = t.item_id GROUP BY 1, 2""",
