@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recdata.functions.scalar import hash_key
+from recdata.functions.scalar import cosine, hash_key
 from recdata.functions.text import END_OF_ITEM, chunk_items, chunk_tokens, join_fields, ngrams, normalise_text, sentences, tokenize
 from recdata.sources.scratch import materialize
 
@@ -147,7 +147,8 @@ def match_sentences(inter: DataFrame, items: DataFrame, idf: DataFrame, review:
     """(user_id, text): sentences of reviews, for each item those most like the item's text first, items taken in turn.
 
     Likeness is the cosine of tf-idf vectors of the sentence and the item's
-    text. In each turn items come best rated first, then by smaller id.
+    text; see `match_vectors` for vectors of another kind. In each turn items
+    come best rated first, then by smaller id.
     """
 
     def weigh(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -162,9 +163,22 @@ def match_sentences(inter: DataFrame, items: DataFrame, idf: DataFrame, review:
     dots = sentence.join(item.select("item_id", "term", F.col("w").alias("iw")), ["item_id", "term"]).groupBy("user_id", "item_id", "pos").agg(F.sum(F.col("w") * F.col("iw")).alias("d"))
     scored = rows.join(dots, ["user_id", "item_id", "pos"], "left").join(s_norm, ["user_id", "item_id", "pos"], "left").join(i_norm, "item_id", "left")
     like = F.when((F.col("sn") > 0) & (F.col("inorm") > 0), F.coalesce("d", F.lit(0.0)) / (F.col("sn") * F.col("inorm"))).otherwise(0.0)
+    return _in_turn(scored, like)
+
+
+def _in_turn(rows: DataFrame, like: Column) -> DataFrame:
+    """(user_id, text) of sentences (user_id, item_id, rating, pos, sentence): an item's most alike first, items taken in turn, best rated first, then by smaller id."""
     turn = F.row_number().over(Window.partitionBy("user_id", "item_id").orderBy(F.desc(F.round(like, 9)), "pos"))
-    ranked = scored.withColumn("turn", turn)
-    return ranked.groupBy("user_id").agg(_ordered([F.col("turn"), -F.col("rating"), F.col("item_id")], "sentence", " ").alias("text"))
+    return rows.withColumn("turn", turn).groupBy("user_id").agg(_ordered([F.col("turn"), -F.col("rating"), F.col("item_id")], "sentence", " ").alias("text"))
+
+
+def match_vectors(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """`match_sentences` by vectors that are given: `rows` has user_id, item_id, rating, pos, sentence and vec, `items` item_id and vec.
+
+    Likeness is the cosine of the two vectors, 0 where one is missing, null or zero.
+    """
+    scored = rows.join(items.select("item_id", F.col("vec").alias("ivec")), "item_id", "left")
+    return _in_turn(scored, F.coalesce(cosine(F.col("vec"), F.col("ivec")), F.lit(0.0)))
 
 
 def profile_chunks(profile: DataFrame, size: int, per_item: bool = False, key: str = "user_id") -> DataFrame:

@@ -165,6 +165,15 @@ def profile_item_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_md5(profiles.match_sentences(inter, v.item_texts(spark, sf_dir), idf), "user_id")
 
 
+def profile_vector_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences matched by vectors: a sentence has that of the embedding whose vec_id is chosen by user, item and place."""
+    rows = _reviews(spark, sf_dir).where("rating >= 4").select("user_id", "item_id", "rating", F.posexplode(sentences(F.col("review"))).alias("pos", "sentence"))
+    vectors = v.table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    n = vectors.agg(F.count("*").alias("n"))
+    chosen = rows.join(F.broadcast(n)).withColumn("vec_id", (F.col("user_id") * 31 + F.col("item_id") + F.col("pos") * 7) % F.col("n")).join(vectors.withColumnRenamed("embedding", "vec"), "vec_id")
+    return _text_md5(profiles.match_vectors(chosen, v.item_vectors(spark, sf_dir)), "user_id")
+
+
 def favourite_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = profiles.favourite_genres(v.interactions(spark, sf_dir), v.items(spark, sf_dir), 5)
     return found.select("user_id", F.array_join("sorted_genres", ", ").alias("genres"))
@@ -408,6 +417,14 @@ norms AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM iw GROUP BY item_id),
 ranked AS (SELECT r.user_id, r.item_id, rating, sentence, row_number() OVER (PARTITION BY r.user_id, r.item_id ORDER BY round(CASE WHEN sn > 0 AND n > 0 THEN coalesce(d, 0) / (sn * n) ELSE 0 END, 9) DESC, r.pos) AS turn
   FROM rows AS r LEFT JOIN near ON near.user_id = r.user_id AND near.item_id = r.item_id AND near.pos = r.pos LEFT JOIN norms ON norms.item_id = r.item_id),
 made AS (SELECT user_id, string_agg(sentence, ' ' ORDER BY turn, rating DESC, item_id) AS text FROM ranked GROUP BY user_id)
+SELECT user_id, length(text) AS n_chars, md5(text) AS text_md5 FROM made""",
+    "profile_vector_matched": f"""WITH {v.INTERACTIONS}, {v.REVIEWS}, {v.ITEM_VECTORS},
+vecs AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings),
+rows AS (SELECT user_id, item_id, rating, pos, ss[pos] AS sentence FROM (SELECT *, {_sentences_sql("review")} AS ss FROM reviews WHERE rating >= 4), unnest(range(1, len(ss) + 1)) AS u(pos)),
+near AS MATERIALIZED (SELECT a.vec_id, i.item_id, CASE WHEN list_dot_product(a.vec, a.vec) > 0 AND list_dot_product(i.vec, i.vec) > 0 THEN list_dot_product(a.vec, i.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(i.vec, i.vec))) ELSE 0 END AS sim
+  FROM (SELECT DISTINCT (user_id * 31 + item_id + (pos - 1) * 7) % (SELECT count(*) FROM embeddings) AS vec_id, item_id FROM rows) JOIN vecs AS a USING (vec_id) JOIN item_vecs AS i USING (item_id)),
+ranked AS (SELECT r.*, row_number() OVER (PARTITION BY r.user_id, r.item_id ORDER BY round(sim, 9) DESC, pos) AS turn FROM rows AS r JOIN near AS n ON n.item_id = r.item_id AND n.vec_id = (r.user_id * 31 + r.item_id + (pos - 1) * 7) % (SELECT count(*) FROM embeddings)),
+made AS (SELECT user_id, string_agg(sentence, ' ' ORDER BY turn, rating DESC, item_id) AS text FROM ranked GROUP BY user_id)
 SELECT user_id, length(text) AS n_chars, md5(text) AS text_md5 FROM made""",
     "favourite_genres": f"WITH {v.INTERACTIONS}, {_GENRES}, c AS (SELECT user_id, genre, count(*) AS n FROM inter JOIN genre_items USING (item_id) GROUP BY user_id, genre), g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, genre) AS rn FROM c) SELECT user_id, string_agg(genre, ', ' ORDER BY rn) AS genres FROM g WHERE rn <= 5 GROUP BY user_id",
     "item_jaccard": f"WITH {v.INTERACTIONS}, {_JACCARD.format(t='inter')} SELECT item_a, item_b, {v.half_up('sim', 6)} AS sim FROM jac",
@@ -437,7 +454,7 @@ QUERIES = {
     for f in (
         strip_markup_pages, clean_lists, normalise_negation, tokens, ngrams, vocab, token_chunks, encode_tokens, idf_table, ngram_df_merge, bm25_topn, bm25_tag_filtered,
         user_profile_text, item_profile_text, item_profile_parts, profile_item_chunks, profile_idf_sentence, profile_idf_sentence_oov0, profile_idf_sentence_vocab, profile_idf_sentence_empty10,
-        profile_tfidf_ngram, profile_idf_ngram, profile_random_sentence, profile_item_matched, favourite_genres, item_jaccard, user_item_jaccard, item_cf_sim, user_item_cf_sim,
+        profile_tfidf_ngram, profile_idf_ngram, profile_random_sentence, profile_item_matched, profile_vector_matched, favourite_genres, item_jaccard, user_item_jaccard, item_cf_sim, user_item_cf_sim,
         score_pairs, topn_all_items, topn_cover_test, vector_pool, tower_scores, als_topn, fm_score, mlp_score, mf_score, sentences_learned, abbreviations_learned, word2vec_profile,
     )
 }

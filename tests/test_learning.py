@@ -121,6 +121,14 @@ def test_long_lists_of_abbreviations_are_joined(spark, monkeypatch):
     assert corpus.split_sentences(docs, listed).orderBy("pos").collect() == whole and len(whole) > 5
 
 
+def test_sentences_match_by_given_vectors(spark):
+    """The most alike sentence of each item first, items in turn, the better rated first; missing vectors count as unlike."""
+    rows = [(1, 7, 5, 0, "far", [0.0, 1.0]), (1, 7, 5, 1, "near", [1.0, 0.1]), (1, 8, 4, 0, "none", None), (1, 8, 4, 1, "some", [1.0, 1.0]), (1, 9, 5, 0, "alone", [1.0, 0.0]), (2, 7, 1, 0, "other", [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "user_id long, item_id long, rating int, pos int, sentence string, vec array<double>")
+    items = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 2.0])], "item_id long, vec array<double>")
+    assert {r["user_id"]: r["text"] for r in profiles.match_vectors(df, items).collect()} == {1: "near alone some far none", 2: "other"}
+
+
 @pytest.mark.parametrize("most", [0, 3, 1000])
 def test_terms_are_looked_up_with_any_head(spark, most):
     rng = random.Random(most)
