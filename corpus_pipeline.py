@@ -48,6 +48,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more.
 
+    Every pair of documents that reaches it is linked, see `simhash.similar_documents`.
     Rows that repeat an id are one document, of which the row with the least
     text stays. Rows without an id stay. Null and empty texts are one group. An
     empty table stays empty.

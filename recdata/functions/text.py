@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The marks of items and reviews, and the pattern of mark-up.
 END_OF_ITEM = "<ENDOFITEM>"
 END_OF_REVIEW = "<end of review>"
 TAGS = r"<[^\n]*?>|&([a-z0-9]+|#[0-9]{1,6}|#x[0-9a-f]{1,6});"
