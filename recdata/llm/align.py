@@ -28,6 +28,8 @@ from .common import kind_of, map_rows, materialize, slices
 
 #: Documents of a container, and the pairs of a container at which it is closed early: they bound a container's memory.
 SLOTS, PAIRS = 1024, 1 << 20
+#: Ids of a vocabulary for which texts are kept ready.
+WIDEST = 1 << 16
 #: Documents up to which a bitmap is stored as slots.
 FEW = 48
 
@@ -41,13 +43,13 @@ def pieces(model_file: str) -> tuple[sentencepiece.SentencePieceProcessor, list[
 
 
 @functools.lru_cache(maxsize=2)
-def ranked(rank_file: str, pattern: str) -> tuple[list[bytes], np.ndarray]:
-    """(the bytes of each id, their lengths) of a byte-level vocabulary."""
+def ranked(rank_file: str, pattern: str) -> np.ndarray:
+    """How many bytes each id of a byte-level vocabulary stands for."""
     codec = encoding(rank_file, pattern)
-    table = [b""] * codec.n_vocab
+    sizes = np.zeros(codec.n_vocab, np.int64)
     for token, rank in codec._mergeable_ranks.items():
-        table[rank] = token
-    return table, np.array([len(x) for x in table], np.int64)
+        sizes[rank] = len(token)
+    return sizes
 
 
 @functools.lru_cache(maxsize=2)
@@ -81,28 +83,37 @@ def tokens_of(text: str, rank_file: str, pattern: str, model_file: str) -> tuple
         return none, none, none, none
     whole = " " + text
     raw = whole.encode()
-    table, sizes = ranked(rank_file, pattern)
+    codec, sizes = encoding(rank_file, pattern), ranked(rank_file, pattern)
     _, pieces_table, piece_sizes = pieces(model_file)
-    a = encode_text(encoding(rank_file, pattern), whole).astype(np.int64)
+    a = encode_text(codec, whole).astype(np.int64)
     b = piece_ids(model_file, text)
-    if b"".join(map(table.__getitem__, a.tolist())) != raw or b"".join(map(pieces_table.__getitem__, b.tolist())) != raw:
+    if codec.decode_bytes(a.tolist()) != raw or b"".join(map(pieces_table.__getitem__, b.tolist())) != raw:
         return none, none, none, none
     return a, np.cumsum(sizes[a]), b, np.cumsum(piece_sizes[b])
 
 
+@functools.lru_cache(maxsize=1)
+def _written(n: int) -> list[str]:
+    """The ids below `n` as text with a comma after them, then with a bar, then with a semicolon."""
+    return [f"{i}{mark}" for mark in ",|;" for i in range(n)]
+
+
 def aligned(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray) -> tuple[int, np.ndarray, str]:
     """(number of groups, the pair a * 2^32 + b of each link, the groups written out)."""
     if not len(a):
         return 0, np.zeros(0, np.int64), ""
     # tokens have a byte at least, so in each list every end stands once
-    _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-    links = (a[at_a] << 32) | b[at_b]
-    text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    groups, i, j = [], 0, 0
-    for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-        groups.append((text_a[i] if x == i + 1 else ",".join(text_a[i:x])) + "|" + (text_b[j] if y == j + 1 else ",".join(text_b[j:y])))
-        i, j = x, y
-    return len(groups), links, ";".join(groups)
+    common = ends_a[ends_b[np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)] == ends_a]
+    links = (a[np.searchsorted(ends_a, common)] << 32) | b[np.searchsorted(ends_b, common)]
+    # each token belongs to the first group that ends where it ends or later; A's come first in a group
+    side = np.concatenate([2 * np.searchsorted(common, ends_a), 2 * np.searchsorted(common, ends_b) + 1])
+    order = np.argsort(side, kind="stable")
+    side = side[order]
+    mark = np.full(len(side), 2)
+    mark[:-1] = np.where(side[1:] == side[:-1], 0, np.where(side[1:] >> 1 == side[:-1] >> 1, 1, 2))
+    n = max(WIDEST, int(a.max()) + 1, int(b.max()) + 1)
+    groups = "".join(map(_written(n).__getitem__, (mark * n + np.concatenate([a, b])[order]).tolist()))
+    return len(common), links, groups[:-1]
 
 
 def pack_planes(slots: np.ndarray, times: np.ndarray) -> bytes:
