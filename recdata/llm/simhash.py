@@ -274,9 +274,12 @@ def similar_documents(df: DataFrame, size: int = 5, least: float = 0.8, tables:
     turn, whole = 0, False
     while not whole:
         met, whole = prefixes.crossing(postings, found, least, turn)
-        links = materialize(links.unionByName(_verified(met, docs, distinct, size, least)), "links")
+        more = _verified(met, docs, distinct, size, least)
+        before, links = links, materialize(links.unionByName(more), "links")
+        release(met, more, before)
         found = connected_components(links)
         turn += 1
+    release(postings, links)
     named = distinct.join(found.withColumnRenamed("node", "least"), "least", "left").select("set", F.coalesce("component", "least").alias("component_id"))
     told = prints.where("id IS NOT NULL").join(named, "set").select(F.col("id").alias(id_col), "component_id")
     return told.unionByName(prints.where("id IS NULL").select(F.col("id").alias(id_col), F.lit(None).cast("long").alias("component_id")))
