@@ -87,7 +87,8 @@ def tokens_of(text: str, rank_file: str, pattern: str, model_file: str) -> tuple
     _, pieces_table, piece_sizes = pieces(model_file)
     a = encode_text(codec, whole).astype(np.int64)
     b = piece_ids(model_file, text)
-    if codec.decode_bytes(a.tolist()) != raw or b"".join(map(pieces_table.__getitem__, b.tolist())) != raw:
+    # A's tokens are pieces of the bytes themselves, so their lengths tell; B normalises, so its bytes must be compared
+    if sizes[a].sum() != len(raw) or b"".join(map(pieces_table.__getitem__, b.tolist())) != raw:
         return none, none, none, none
     return a, np.cumsum(sizes[a]), b, np.cumsum(piece_sizes[b])
 
