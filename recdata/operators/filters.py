@@ -37,9 +37,15 @@ def users_with_min_authors(inter: DataFrame, items: DataFrame, least: int) -> Da
     return inter.join(enough.select("user_id"), "user_id", "left_semi")
 
 
-def users_with_min_tokens(inter: DataFrame, field: str, least: int) -> DataFrame:
-    """(user_id) of users whose texts have at least `least` tokens in all."""
-    return inter.groupBy("user_id").agg(F.sum(F.size(tokenize(F.col(field)))).alias("n")).where(F.col("n") >= least).select("user_id")
+def users_with_min_tokens(inter: DataFrame, field: str, least: int, texts: DataFrame | None = None, ref: str = "doc_id") -> DataFrame:
+    """(user_id) of users whose texts have at least `least` tokens in all.
+
+    With `texts` (ref, field) the rows of `inter` name their text by `ref`: each
+    text is then tokenised once, and rows are joined with its number of tokens.
+    """
+    count = F.size(tokenize(F.col(field))).alias("n")
+    rows = inter.select("user_id", count) if texts is None else inter.select("user_id", ref).join(texts.select(ref, count), ref)
+    return rows.groupBy("user_id").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("user_id")
 
 
 def sound_items(items: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from recdata.sources.scratch import materialize, temporary_path
 from . import views as v
 from .queries_eval import _EVAL, _GENRE_NEG, _GENRES, _POPULAR, _POS, SPLIT, _detail_sql, _evaluated, _groups_sql, _metrics, _popularity, _positives, _rounded, _runs, _RUNS, _splits, _summary_sql, _uniform_sql, _HUNDRED, tokens_sql
 from .queries_splits import ORACLES as splits_sql
-from .queries_text import _normal_sql, _reviews
+from .queries_text import _normal_sql
 
 
 # files
@@ -179,7 +179,8 @@ def users_min_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def users_min_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.users_with_min_tokens(_reviews(spark, sf_dir), "review", 20_000)
+    refs = v.review_refs(spark, sf_dir, v.interactions(spark, sf_dir))
+    return filters.users_with_min_tokens(refs, "review", 20_000, v.review_texts(spark, sf_dir))
 
 
 def sound_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -427,3 +427,12 @@ def test_write_and_limit(spark, inter, tmp_path):
     assert spark.read.parquet(str(tmp_path / "d/interactions")).count() == inter.count()
     kept, removed = filters.limit_pairs(inter, split.limit_per_user(inter, 2).select("user_id", "item_id"))
     assert kept.count() == 7 and removed.count() == 14
+
+
+def test_texts_by_reference_are_tokenised_once(spark):
+    """Far more rows than texts: the reference gives the users that the texts themselves give, without a text in the joined rows."""
+    texts = spark.createDataFrame([(0, "a b c"), (1, "d."), (2, None)], "doc_id long, review string")
+    rows = spark.range(60).selectExpr("id % 7 AS user_id", "id AS item_id", "id % 4 AS doc_id")
+    named = filters.users_with_min_tokens(rows, "review", 13, texts)
+    whole = filters.users_with_min_tokens(rows.join(texts, "doc_id"), "review", 13)
+    assert 0 < named.count() < 7 and sorted(named.collect()) == sorted(whole.collect())
