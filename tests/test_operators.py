@@ -452,3 +452,19 @@ def test_reviews_are_cleaned_by_reference(spark):
     named = clean.apply_mapping(rows.join(clean.text_places(texts), "doc_id"), mapping, "place").join(texts, "doc_id")
     told = [sorted(map(str, df.select(*key, "review").collect())) for df in (named, clean.apply_mapping(whole, mapping))]
     assert told[0] == told[1]
+
+
+def test_profiles_move_a_text_once(spark):
+    """Profiles from references equal those from texts, and join the texts last."""
+    rng = random.Random(3)
+    texts = spark.createDataFrame([(i, f"Text {i}. It isn't long.") for i in range(9)], "doc_id long, review string")
+    rows = spark.createDataFrame([(u, i, rng.choice([None, 1, 4, 5]), rng.randrange(10)) for u in range(6) for i in range(40) if rng.random() < 0.6], "user_id long, item_id long, rating int, doc_id long")
+    items = spark.createDataFrame([(i, f"t{i}") for i in range(42)], "item_id long, title string")
+    users = spark.createDataFrame([(u, "s") for u in range(7)], "user_id long, segment string")
+    whole = rows.join(texts, "doc_id")
+    for make in (
+        lambda r, **k: profiles.user_profile(r, items, users, ["title"], ["review"], ["segment"], least=4, **k),
+        lambda r, **k: profiles.item_profile(items, r, users, ["title"], ["segment"], ["review"], **k),
+        lambda r, **k: profiles.item_profile_parts(items, r, users, ["title"], ["segment"], ["review"], size=2, **k),
+    ):
+        assert sorted(make(rows, texts=texts).collect()) == sorted(make(whole).collect())
