@@ -468,3 +468,15 @@ def test_profiles_move_a_text_once(spark):
         lambda r, **k: profiles.item_profile_parts(items, r, users, ["title"], ["segment"], ["review"], size=2, **k),
     ):
         assert sorted(make(rows, texts=texts).collect()) == sorted(make(whole).collect())
+
+
+def test_all_negatives_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "BLOCK", 4)
+    rng = random.Random(8)
+    used = {(u, i) for u in range(7) for i in range(23) if rng.random() < 0.4}
+    used |= {(1, i) for i in range(23)}
+    rows = spark.createDataFrame(sorted(used), "user_id long, item_id long")
+    got = negatives.neg_all(rows.where("user_id <> 5"), rows.select("item_id"), rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan  # the pairs of users and items are never joined
+    assert sorted((r["user_id"], r["item_id"]) for r in got.collect()) == sorted((u, i) for u in range(7) for i in {i for _, i in used} if u != 5 and (u, i) not in used)
