@@ -480,3 +480,14 @@ def test_all_negatives_in_blocks(spark, monkeypatch):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan  # the pairs of users and items are never joined
     assert sorted((r["user_id"], r["item_id"]) for r in got.collect()) == sorted((u, i) for u in range(7) for i in {i for _, i in used} if u != 5 and (u, i) not in used)
+
+
+def test_jaccard_moves_no_pair(spark):
+    """No join above the counts of pairs: sizes travel with the lists."""
+    rows = spark.createDataFrame([(u, i) for u in range(5) for i in range(u, 9)], "user_id long, item_id long")
+    got = similarity.item_jaccard(rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert next(i for i, line in enumerate(plan) if "Aggregate" in line) < next(i for i, line in enumerate(plan) if "Join" in line)
+    sets = {i: {u for u in range(5) if i >= u} for i in range(9)}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    assert {(r["item_a"], r["item_b"]): r["sim"] for r in got.collect()} == pytest.approx(want)
