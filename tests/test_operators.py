@@ -491,3 +491,14 @@ def test_jaccard_moves_no_pair(spark):
     sets = {i: {u for u in range(5) if i >= u} for i in range(9)}
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
     assert {(r["item_a"], r["item_b"]): r["sim"] for r in got.collect()} == pytest.approx(want)
+
+
+def test_word_vectors_are_learned_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(models, "LEARNED", 100)
+    seen = []
+    made = models.Word2Vec
+    monkeypatch.setattr(models, "Word2Vec", lambda **k: seen.append(k) or made(**k))
+    rows = [(k, [f"{'ab'[k % 2]}{(k * j) % 7}" for j in range(10)]) for k in range(60)]
+    got = models.text_vectors(spark.createDataFrame(rows, "doc_id long, tokens array<string>"), 4).collect()
+    assert seen[0]["numPartitions"] == 6
+    assert len(got) == 60 and all(len(r["vec"]) == 4 and all(map(math.isfinite, r["vec"])) for r in got)
