@@ -201,6 +201,19 @@ def test_bm25_leaves_blocks_out(spark, monkeypatch):
     assert found.n_blocks >= 20 and found.share_met() < 0.5
 
 
+def test_bm25_stores_copies_of_a_text_once(spark):
+    """Items that share a text share a row of a block, count for each item, and are ranked by their ids; a term in half of all items weighs nothing and still ranks."""
+    texts = ["plum jam half", "plum cake half", "rye bread other", "oat bread other"]
+    docs = spark.createDataFrame([(i, texts[i % 4]) for i in range(40)], "item_id long, text string").repartition(3)
+    found = corpus.bm25_ranking(docs.where("item_id IN (0, 3)"), docs, topn=12)
+    assert [m.count() for m in found.met] == [2, 0] and found.n_blocks <= 4
+    stored = corpus.Block(np.arange(3), np.array([0, 2, 3]), corpus.Postings.of(np.array([0, 1]), np.array(["a", "b"], object), np.ones(2)), np.ones(2), None)
+    total, touched = corpus.Scorer(stored.weighed(1.5), 2).scores([(np.array([0]), np.array([0.0])), (np.array([1]), np.array([2.0]))])
+    assert touched.tolist() == [[True, False], [False, True]] and total[1, 1] == 2.5
+    ranks = {q: [r["doc_item"] for r in found.rows.where(F.col("query_item") == q).orderBy("rank").collect()] for q in (0, 3)}
+    assert ranks == {0: [*range(0, 40, 4), 1, 5], 3: [*range(3, 40, 4), 2, 6]}
+
+
 def test_genre_quotas_are_filled(spark):
     """A genre without enough unused items is made up for by the user's other genres, the most frequent first."""
     items = spark.createDataFrame([(i, ["few"] if i < 3 else ["many", "few"] if i < 5 else ["many"]) for i in range(40)], "item_id long, genres array<string>")
