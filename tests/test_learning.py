@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recdata.functions.scalar import hash_key
-from recdata.operators import corpus, factors, models, profiles
+from recdata.operators import corpus, factors, models, negatives, profiles, similarity
 from recdata.sources import scratch, tables
 
 
@@ -186,3 +186,36 @@ def test_stored_tables_are_let_go(spark):
     scratch.release(kept)
     assert not os.path.isdir(folder) and len(scratch._paths) == before
     assert hash_key(1, "x") is not None
+
+
+def test_similarities_by_blocks_of_vectors(spark, monkeypatch):
+    """Over several blocks and copies, with equal vectors, missing ones and nulls: means of clamped products, and cosines of pairs."""
+    for name, value in (("BYTES", 48), ("IDS", 3), ("EACH", 0), ("PAIRS", 4)):
+        monkeypatch.setattr(similarity, name, value)
+    rng = np.random.default_rng(3)
+    vecs = {i: [float(np.float32(x)) for x in rng.normal(size=3)] for i in range(9)}
+    vecs |= {9: vecs[2], 10: [0.0, 0.0, 0.0], 11: [1.0, None, 2.0]}
+    vectors = spark.createDataFrame(list(vecs.items()), "item_id long, vec array<float>")
+    own = {u: [int(i) for i in rng.choice(14, 5, replace=False)] for u in range(6)}
+    asked = {u: [int(i) for i in rng.choice(14, 6, replace=False)] for u in range(7)}
+    table = lambda rows: spark.createDataFrame([(u, i) for u, items in rows.items() for i in items], "user_id long, item_id long")
+    product = lambda a, b: sum(x * y for x, y in zip(vecs[a], vecs[b], strict=True)) if 11 not in (a, b) else None
+    scaled = lambda x: min(1.0, max(0.0, (x + 0.5) / 1.0))
+    soft, mean, cosines = {}, {}, {}
+    for u, items in own.items():
+        for a in asked[u]:
+            found = [product(a, b) for b in items if a in vecs and b in vecs]
+            if found:
+                soft[u, a] = np.mean([scaled(x) for x in found if x is not None]) if set(found) != {None} else None
+            others = [b for b in items if b != a]
+            mean[u, a] = np.mean([scaled(product(a, b) or 0.0) if a in vecs and b in vecs else scaled(0.0) for b in others])
+            for b in others:
+                if a in vecs and b in vecs:
+                    low, high = sorted((a, b))
+                    norm = 0 if 11 in (a, b) else (product(a, a) * product(b, b)) ** 0.5
+                    cosines[low, high] = product(a, b) / norm if norm else 0.0
+    same = lambda got, want: got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert same({(r["user_id"], r["item_id"]): r["label"] for r in negatives.neg_cf_weighted(table(asked), table(own), vectors, -0.5, 0.5).collect()}, soft)
+    assert same({(r["user_id"], r["item_id"]): r["sim"] for r in similarity.user_item_sim(table(asked), table(own), vectors, -0.5, 0.5).collect()}, mean)
+    pairs = similarity.candidate_pairs(table(asked), table(own))
+    assert same({(r["item_a"], r["item_b"]): r["sim"] for r in similarity.vector_sim(pairs, vectors, "cosine").collect()}, cosines)
