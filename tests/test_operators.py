@@ -515,3 +515,25 @@ def test_word_vectors_are_learned_in_many_tasks(spark, monkeypatch):
     got = models.text_vectors(spark.createDataFrame(rows, "doc_id long, tokens array<string>"), 4).collect()
     assert seen[0]["numPartitions"] == 6
     assert len(got) == 60 and all(len(r["vec"]) == 4 and all(map(math.isfinite, r["vec"])) for r in got)
+
+
+def test_first_draws_do_for_nearly_all(spark, monkeypatch):
+    """A few draws more than asked for are stored, not all; whoever needs more gets them, and the same negatives result."""
+    stored = []
+    made = negatives.materialize
+    monkeypatch.setattr(negatives, "materialize", lambda df, name: stored.append((name, kept := made(df, name))) or kept)
+    items = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["b"]) for i in range(200)], "item_id long, genres array<string>")
+    pos = spark.createDataFrame([(u, u) for u in range(20)] + [(99, i) for i in range(5)], "user_id long, item_id long")
+    used = pos.unionByName(spark.createDataFrame([(99, i) for i in range(5, 150)], "user_id long, item_id long"))
+    uniform = negatives.neg_uniform(pos, used, items, 4)
+    counts = {u: n for u, n in uniform.groupBy("user_id").count().collect()}
+    assert counts == {**dict.fromkeys(range(20), 4), 99: 20}
+    late = {r["user_id"] for name, df in stored if name == "late" for r in df.collect()}
+    assert 99 in late and len(late) < 10
+    stored.clear()
+    genre = negatives.neg_genre(pos, items, used, 4)
+    late, turns = next(df.count() for name, df in stored if name == "late"), next(df.count() for name, df in stored if name == "turns")
+    assert 0 < late < turns / 2
+    monkeypatch.setattr(negatives, "TOLD", 0)
+    assert sorted(map(tuple, uniform.collect())) == sorted(map(tuple, negatives.neg_uniform(pos, used, items, 4).collect()))
+    assert sorted(map(tuple, genre.collect())) == sorted(map(tuple, negatives.neg_genre(pos, items, used, 4).collect()))
