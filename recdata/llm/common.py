@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recdata.functions.text import let  # noqa: F401
-from recdata.operators.sample import most_frequent  # noqa: F401
+from recdata.operators.sample import fresh, most_frequent, possible  # noqa: F401
 from recdata.sources.scratch import materialize, release, shared_dir  # noqa: F401
 
 #: A word: a run of code points other than the six ASCII white-space characters.
@@ -74,35 +74,3 @@ def slices(texts: list[str], most: int) -> Iterator[slice]:
         size += len(text)
     if first < len(texts):
         yield slice(first, len(texts))
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names made from `names` that `df` does not have, in any case."""
-    taken, mark = {c.lower() for c in df.columns}, "_"
-    while any((mark + name).lower() in taken for name in names):
-        mark += "_"
-    return [mark + name for name in names]
-
-
-#: Bits of the table of `possible`; its rows take 16 MB at most.
-FILTER_BITS = 1 << 26
-
-
-def possible(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows whose `column` may be among `keys`, the others), by a broadcast bit table of bounded size.
-
-    Keeps rows that have no partner out of a shuffle. Every row is in one of
-    the two, and those with a partner are in the first.
-    """
-
-    slot, bit, bits = fresh(df, "slot", "bit", "bits")
-
-    def place(frame: DataFrame) -> DataFrame:
-        at = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-        return frame.withColumns({slot: F.shiftright(at, 6), bit: at.bitwiseAND(F.lit(63).cast("long")).cast("int")})
-
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bit))
-    table = place(keys.select(column)).groupBy(slot).agg(F.bit_or(one).alias(bits))
-    marked = place(df).join(F.broadcast(table), slot, "left")
-    found = F.coalesce(F.getbit(bits, bit) == 1, F.lit(False))
-    return marked.where(found).select(*df.columns), marked.where(~found).select(*df.columns)

@@ -219,3 +219,25 @@ def test_similarities_by_blocks_of_vectors(spark, monkeypatch):
     assert same({(r["user_id"], r["item_id"]): r["sim"] for r in similarity.user_item_sim(table(asked), table(own), vectors, -0.5, 0.5).collect()}, mean)
     pairs = similarity.candidate_pairs(table(asked), table(own))
     assert same({(r["item_a"], r["item_b"]): r["sim"] for r in similarity.vector_sim(pairs, vectors, "cosine").collect()}, cosines)
+
+
+@pytest.mark.parametrize("head", [0, 2, 1000])
+def test_ngrams_are_counted_in_place(spark, monkeypatch, head):
+    """Only n-grams that the table has are shuffled; repeated keys are one profile; the order is that of a plain sort."""
+    monkeypatch.setattr(profiles, "HEAD", head)
+    joined = []
+    monkeypatch.setattr(profiles, "with_terms", lambda rows, *a, made=profiles.with_terms: joined.append(made(rows, *a)) or joined[-1])
+    texts = [(1, "b a b c"), (2, "c c a z"), (3, None), (4, "a b"), (4, "b b d")]
+    idf = {"a": 0.5, "b": 1.0, "c": 2.0, "a b": 3.0}
+    table = spark.createDataFrame([(t, i + 1, w) for i, (t, w) in enumerate(idf.items())], "term string, df long, idf double")
+    got = profiles.rank_ngrams(spark.createDataFrame(texts, "doc_id long, text string"), table, (1, 2), key="doc_id")
+    found, first, tf = {}, {}, {}
+    for d, text in texts:
+        words = (text or "").split()
+        for pos, g in enumerate(words + [" ".join(p) for p in zip(words, words[1:], strict=False)]):
+            first[d, g] = min(pos, first.get((d, g), pos))
+            tf[d, g] = tf.get((d, g), 0) + 1
+    for d, g in sorted(first, key=lambda x: (x[0], -tf[x] * idf.get(x[1], 0.0), first[x], x[1])):
+        found.setdefault(d, []).append(g)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {d: " ".join(found.get(d, [])) for d, _ in texts}
+    assert "Aggregate [doc_id" not in joined[0]._jdf.queryExecution().optimizedPlan().toString()  # stored per text, not shuffled per n-gram
