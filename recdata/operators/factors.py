@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from recdata.functions.scalar import sigmoid
 from recdata.sources.scratch import materialize, release
 
-from .models import score_pairs
+from .models import joined_scores
 
 #: Pairs of a cell, and bytes of the factors of a block, that a task should hold at most.
 CELL, BYTES = 1 << 18, 1 << 27
@@ -58,7 +58,7 @@ def initial(ids: DataFrame, kind: int, rank: int, seed: int, blocks: int) -> Dat
 
 def log_loss(pairs: DataFrame, users: DataFrame, items: DataFrame) -> float:
     """Mean log loss over pairs (user_id, item_id, label) whose user and item are known."""
-    scores = score_pairs(pairs, users, items, users, items).join(pairs.select("user_id", "item_id", "label"), ["user_id", "item_id"])
+    scores = joined_scores(pairs.select("user_id", "item_id", "label"), users, items)
     p = F.least(F.greatest(sigmoid(F.col("score")), F.lit(1e-12)), F.lit(1 - 1e-12))
     return scores.agg(F.avg(-F.when(F.col("label") >= 1, F.log(p)).otherwise(F.log(1 - p)))).first()[0]
 
@@ -123,4 +123,4 @@ def fit_factors(
 
 def predict_pairs(model: Factors, cand: DataFrame) -> DataFrame:
     """(user_id, item_id, score): the chance of each pair whose user and item were fitted."""
-    return score_pairs(cand, model.users, model.items, model.users, model.items).withColumn("score", sigmoid(F.col("score")))
+    return joined_scores(cand.select("user_id", "item_id"), model.users, model.items).withColumn("score", sigmoid(F.col("score"))).select("user_id", "item_id", "score")

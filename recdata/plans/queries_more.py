@@ -274,10 +274,9 @@ def normalised_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inner products of vectors with normalised ids put behind them."""
-    inter = v.interactions(spark, sf_dir).select("user_id", "item_id")
-    users = models.concat_vectors(v.user_vectors(spark, sf_dir), models.normalised_ids(inter, "user_id"), "user_id")
-    items = models.concat_vectors(v.item_vectors(spark, sf_dir), models.normalised_ids(inter, "item_id"), "item_id")
-    return _rounded(models.score_pairs(inter, users, items))
+    inter = materialize(v.interactions(spark, sf_dir).select("user_id", "item_id"), "interactions")
+    ids = models.normalised_ids(inter, "user_id"), models.normalised_ids(inter, "item_id")
+    return _rounded(models.score_pairs(inter, v.user_vectors(spark, sf_dir), v.item_vectors(spark, sf_dir), behind=ids))
 
 
 def external_items(spark: SparkSession, sf_dir: str) -> DataFrame:
