@@ -42,3 +42,29 @@ def test_pairs_meet_vectors_in_blocks(spark, monkeypatch, block, least):
         want = None if plain[u, i] is None else plain[u, i] + u / 10 * i / 7 + 0.25 + (i / 3 if i % 2 else 0)
         assert score is None if want is None else score == pytest.approx(want)
     assert len(models.score_pairs(cand, user_vectors, item_vectors).collect()) == len(plain)
+
+
+@pytest.mark.parametrize("cover", [False, True])
+def test_users_and_items_that_share_vectors_are_one(spark, monkeypatch, cover):
+    """Lists are those of all products, with ties, used items and ids without a vector; what is multiplied is distinct vectors."""
+    monkeypatch.setattr(models, "BLOCK", 2)
+    users, items, _, user_vectors, item_vectors, _ = tables(spark, seed=3)
+    users, items = ({k: v for k, v in t.items() if v is None or len(v) == 3} for t in (users, items))
+    user_vectors, item_vectors = (t.where("vec IS NULL OR size(vec) = 3") for t in (user_vectors, item_vectors))
+    user_vectors = user_vectors.unionByName(spark.createDataFrame([(90, [0.1, 0.2, -0.3])], user_vectors.schema))  # one that has a vector for itself
+    users[90] = [0.1, 0.2, -0.3]
+    rng = random.Random(5)
+    gone = {(u, i) for u in users for i in items if rng.random() < u % 4 / 6}
+    asked = {(u, i) for u in users for i in items if (u, i) not in gone and rng.random() < 0.1} if cover else set()
+    used = spark.createDataFrame(sorted(gone), "user_id long, item_id long")
+    covered = spark.createDataFrame(sorted(asked), "user_id long, item_id long") if cover else None
+    found = models.top_n_ranking(user_vectors, item_vectors, used, 4, covered)
+    got = {}
+    for r in found.rows.orderBy("user_id", "rank").collect():
+        got.setdefault(r["user_id"], []).append(r["item_id"])
+    for u, v in users.items():
+        scored = {i: product(v, x) for i, x in items.items() if (u, i) not in gone and product(v, x) is not None}
+        best = sorted(scored, key=lambda i: (-round(scored[i], 9), i))
+        last = max([4] + [best.index(i) + 1 for a, i in asked if a == u and i in scored])
+        assert got.get(u, []) == best[:last]
+    assert found.n_users == 8 and sum(p.count() for p in found.met) <= 8 * found.n_blocks
