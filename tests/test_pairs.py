@@ -68,3 +68,21 @@ def test_users_and_items_that_share_vectors_are_one(spark, monkeypatch, cover):
         last = max([4] + [best.index(i) + 1 for a, i in asked if a == u and i in scored])
         assert got.get(u, []) == best[:last]
     assert found.n_users == 8 and sum(p.count() for p in found.met) <= 8 * found.n_blocks
+
+
+def test_user_item_jaccard_is_the_mean_over_all_items(spark, monkeypatch):
+    """Also for items and users that training does not have, a candidate among the user's own items, and users with several lists."""
+    monkeypatch.setattr(similarity, "HEAVY", 4)
+    rng = random.Random(2)
+    train = sorted({(rng.randrange(12), int(15 * rng.random() ** 2)) for _ in range(90)})
+    cand = sorted({(rng.randrange(14), rng.randrange(18)) for _ in range(40)})
+    schema = "user_id long, item_id long"
+    asked, known = spark.createDataFrame(cand + cand[:3], schema), spark.createDataFrame(train + train[:5], schema)
+    got = {(r["user_id"], r["item_id"]): r["sim"] for r in similarity.user_item_jaccard(asked, known).collect()}
+    users = {i: {u for u, x in train if x == i} for i in range(18)}
+    want = {}
+    for u, i in cand:
+        sims = [len(users[i] & users[j]) / len(users[i] | users[j]) for v, j in train if v == u and j != i]
+        if sims:
+            want[u, i] = sum(sims) / len(sims)
+    assert got == pytest.approx(want)
