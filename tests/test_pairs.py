@@ -86,3 +86,47 @@ def test_user_item_jaccard_is_the_mean_over_all_items(spark, monkeypatch):
         if sims:
             want[u, i] = sum(sims) / len(sims)
     assert got == pytest.approx(want)
+
+
+def test_sentences_match_vectors_chosen_by_number(spark, monkeypatch):
+    """As with the vectors joined to sentences, in one block and in many; vectors that are null, zero, short or missing."""
+    texts = spark.createDataFrame([(d, " ".join(f"Word{d} number {k} here." for k in range(d + 2))) for d in range(4)] + [(4, ""), (5, None)], "doc_id long, review string")
+    inter = spark.createDataFrame([(u, i, 1 + (u + i) % 5, (u * 3 + i) % 6) for u in range(6) for i in range(7) if (u * i) % 4 != 1], "user_id long, item_id long, rating int, doc_id long")
+    rng = random.Random(4)
+    vectors = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(3)]) for k in range(8)] + [(8, None), (9, [0.0] * 3), (10, [1.0]), (11, [1.0, None, 0.0])], f"vec_id long, vec {VECTORS}")
+    items = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(5)] + [(5, None)], f"item_id long, vec {VECTORS}")
+    choose = lambda pos: (F.col("user_id") * 5 + F.col("item_id") + pos) % 13
+    rows = inter.join(texts, "doc_id").select("user_id", "item_id", "rating", F.posexplode(profiles.sentences(F.col("review"))).alias("pos", "sentence"))
+    want = {r["user_id"]: r["text"] for r in profiles.match_vectors(rows.withColumn("vec_id", choose(F.col("pos"))).join(vectors, "vec_id"), items).collect()}
+    for block in (1 << 27, 100):
+        monkeypatch.setattr(profiles, "BYTES", block)
+        assert {r["user_id"]: r["text"] for r in profiles.match_chosen(inter, texts, vectors, items, choose).collect()} == want
+
+
+def test_sentences_match_an_items_text(spark, monkeypatch):
+    """Against a loop over all reviews, also with texts and items that have no known term or are missing."""
+    docs = {0: "The cat sat. A dog ran home. The cat ran.", 1: "A fish swam. The dog sat here.", 2: "", 3: None, 4: "Unknown words only. More unknown things."}
+    bodies = {0: "cat sat cat", 1: "dog home", 2: "cat sat cat", 3: "nothing known", 4: ""}
+    idf = {"cat": 1.5, "dog": 1.1, "sat": 0.7, "ran": 0.4, "home": 2.0, "the": 0.1, "fish": 2.5}
+    inter = [(u, i, 4 + (u + i) % 2, (u + 2 * i) % 6) for u in range(5) for i in range(6)]
+    reviews = {d: [] if t is None else [s if s.endswith(".") else s + "." for s in t.split(". ") if s] for d, t in docs.items()}
+    want = {}
+    for user in range(5):
+        rows = []
+        for u, i, rating, d in inter:
+            if u != user or not reviews.get(d):
+                continue
+            v = {t: bodies.get(i, "").split().count(t) * idf[t] for t in bodies.get(i, "").split() if t in idf}
+            likes = []
+            for pos, sentence in enumerate(reviews[d]):
+                words = sentence.lower().rstrip(".").split()
+                w = {t: words.count(t) * idf[t] for t in words if t in idf}
+                norm = math.sqrt(sum(x * x for x in w.values()) * sum(x * x for x in v.values()))
+                likes.append((-round(sum(w[t] * v.get(t, 0) for t in w) / norm, 9) if norm else 0, pos, sentence))
+            rows += [(turn, -rating, i, s) for turn, (_, _, s) in enumerate(sorted(likes))]
+        if rows:
+            want[user] = " ".join(s for *_, s in sorted(rows))
+    frames = spark.createDataFrame(inter, "user_id long, item_id long, rating int, doc_id long"), spark.createDataFrame(list(docs.items()), "doc_id long, review string"), spark.createDataFrame(list(bodies.items()), "item_id long, text string"), spark.createDataFrame([(t, 1, x) for t, x in idf.items()], "term string, df long, idf double")
+    for block in (1 << 27, 60):
+        monkeypatch.setattr(profiles, "BYTES", block)
+        assert {r["user_id"]: r["text"] for r in profiles.match_sentences(*frames).collect()} == want
