@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recdata.operators import factors, models, profiles, similarity
+from recdata.operators import factors, learners, models, profiles, similarity
 
 VECTORS = "array<double>"
 
@@ -130,3 +130,35 @@ def test_sentences_match_an_items_text(spark, monkeypatch):
     for block in (1 << 27, 60):
         monkeypatch.setattr(profiles, "BYTES", block)
         assert {r["user_id"]: r["text"] for r in profiles.match_sentences(*frames).collect()} == want
+
+
+def test_learners_agree_with_those_on_features(spark, monkeypatch):
+    """In one block and in many: the same probabilities as Spark ML's learners give on features of each pair."""
+    rng = np.random.default_rng(3)
+    users = spark.createDataFrame([(u, rng.normal(size=2).tolist()) for u in range(10)], f"user_id long, vec {VECTORS}")
+    items = spark.createDataFrame([(i, rng.normal(size=2).tolist()) for i in range(10)], f"item_id long, vec {VECTORS}")
+    pairs = spark.createDataFrame([(u, i, int(rng.random() < (0.2, 0.8)[(u + i) % 2])) for u in range(10) for i in range(10)], "user_id long, item_id long, label int").coalesce(1)
+    features = models.pair_features(pairs, users, items).coalesce(1).cache()
+    plain = [{(r["user_id"], r["item_id"]): r["score"] for r in models.predict(m, features).collect()} for m in (models.fit_fm(features, 3, 6), models.fit_mlp(features, 4, 5, 5))]
+    for block, least in ((1 << 26, 1 << 16), (48, 9)):
+        monkeypatch.setattr(similarity, "BYTES", block)
+        monkeypatch.setattr(models, "PAIRS", least)
+        monkeypatch.setattr(models, "EACH", 1)
+        for fit, size, turns, want in ((learners.fit_fm, 3, 6, plain[0]), (learners.fit_mlp, 5, 5, plain[1])):
+            if block == 48 and fit is learners.fit_mlp:
+                turns = 1  # many short jobs
+                want = None
+            got = {(r["user_id"], r["item_id"]): r["score"] for r in fit(pairs, users, items, size, turns).predict(pairs, users, items).collect()}
+            assert len(got) == 100 and (want is None or got == pytest.approx(want, abs=2e-3))
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(5, 3)), rng.normal(size=(4, 3))
+    u, i, y = rng.integers(0, 5, 30), rng.integers(0, 4, 30), rng.integers(0, 2, 30).astype(float)
+    for gradient, n in ((learners._fm_gradient, 6 * 2 + 6 + 1), (learners._mlp_gradient, 6 * 4 + 4 + 8 + 2)):
+        w = rng.normal(size=n) / 2
+        told = gradient(a, b, u, i, y, w)[1]
+        for k in range(n):
+            step = np.eye(n)[k] * 1e-6
+            assert told[k] == pytest.approx((gradient(a, b, u, i, y, w + step)[0] - gradient(a, b, u, i, y, w - step)[0]) / 2e-6, rel=1e-4, abs=1e-5)
