@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recdata.functions.text import let  # noqa: F401
-from recdata.operators.sample import fresh, most_frequent, possible  # noqa: F401
+from recdata.operators.sample import fresh, grown, most_frequent, possible  # noqa: F401
 from recdata.sources.scratch import materialize, release, shared_dir  # noqa: F401
 
 #: A word: a run of code points other than the six ASCII white-space characters.

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from recdata.operators.graph import connected_components
 
 from . import prefixes
-from .common import kind_of, map_rows, materialize, possible, release, slices
+from .common import grown, kind_of, map_rows, materialize, possible, release, slices
 from .ctw import lower_bytes
 from .prefixes import unique_shingles
 
@@ -115,7 +115,7 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
         marked = rows.join(crowded, ["half", "anchor"], "left")
         return marked.select("fp", "half", "anchor", F.explode(F.when(F.col("hot"), F.array(*parts)).otherwise(whole)).alias("p")).select("fp", "half", "anchor", "p.part", "p.value")
 
-    x, y = dealt(own).withColumnRenamed("fp", "x"), dealt(near).withColumnRenamed("fp", "y")
+    x, y = (grown(dealt(rows)).withColumnRenamed("fp", name) for rows, name in ((own, "x"), (near, "y")))
     close = (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 2)
     met = x.join(y, (x.half == y.half) & (x.anchor == y.anchor) & (x.part == y.part) & (x.value == y.value) & close)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -319,3 +319,13 @@ def test_very_long_text(spark):
     words = [f"w{i * i % 7919}" for i in range(300_000)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[1000:290_000])), (3, " ".join(words[299_990:]))], "doc_id long, text string")
     assert {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(df).collect()} == {1: 0, 2: 289_000, 3: 0}
+
+
+def test_anchors_are_never_sent_to_all_tasks(spark, tmp_path):
+    # Spark takes the copies of a fingerprint at its anchors for one row, so it would broadcast millions
+    spark.createDataFrame([(0,), (1,), (7,), (1 << 40,)], "fp long").write.parquet(f"{tmp_path}/fps")
+    made = simhash.links(spark.read.parquet(f"{tmp_path}/fps"))
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert [line for line in plan.split("\n") if "bit_count" in line and "SortMergeJoin" in line]
+    assert not [line for line in plan.split("\n") if "bit_count" in line and "Broadcast" in line]
+    assert {tuple(r) for r in made.collect()} == {(0, 1), (0, 1 << 40), (1, 7), (1, 1 << 40)}
