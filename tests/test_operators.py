@@ -537,3 +537,18 @@ def test_first_draws_do_for_nearly_all(spark, monkeypatch):
     monkeypatch.setattr(negatives, "TOLD", 0)
     assert sorted(map(tuple, uniform.collect())) == sorted(map(tuple, negatives.neg_uniform(pos, used, items, 4).collect()))
     assert sorted(map(tuple, genre.collect())) == sorted(map(tuple, negatives.neg_genre(pos, items, used, 4).collect()))
+
+
+def test_draws_are_never_sent_to_all_tasks(spark, monkeypatch):
+    # Spark takes the draws of a user for one row, so it would broadcast millions
+    plans, keep = {}, negatives.materialize
+    monkeypatch.setattr(negatives, "TOLD", 0)
+    monkeypatch.setattr(negatives, "materialize", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().sparkPlan().toString()), keep(df, name))[1])
+    pos = spark.createDataFrame([(u, u % 7) for u in range(9)], "user_id long, item_id long")
+    items = spark.range(40).select(F.col("id").alias("item_id"))
+    assert negatives.neg_uniform(pos, pos, items, 3).count() == 27
+    assert "Generate posexplode" in plans["drawn"] and "Broadcast" not in plans["drawn"]
+    catalogue = items.withColumn("genres", F.array(F.lit("a"), (F.col("item_id") % 3).cast("string")))
+    assert negatives.neg_genre(pos, catalogue, pos, 2).count() == 18
+    joins = [line for line in plans["enough"].split("\n") if "Join [at#" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
