@@ -552,3 +552,30 @@ def test_draws_are_never_sent_to_all_tasks(spark, monkeypatch):
     assert negatives.neg_genre(pos, catalogue, pos, 2).count() == 18
     joins = [line for line in plans["enough"].split("\n") if "Join [at#" in line]
     assert joins and not [line for line in joins if "Broadcast" in line]
+
+
+def test_top_n_keeps_few_rows_in_a_task(spark, monkeypatch):
+    """Items of one vector fill a list by themselves; users who may get all items are dealt over more copies of a block."""
+    counts, keep = {}, models.materialize
+    monkeypatch.setattr(models, "ROWS", 100)
+
+    def kept(df, name):
+        stored = keep(df, name)
+        if name == "scored":
+            counts[name] = stored.count()
+        if name == "copies" and "at" in stored.columns:
+            counts[name] = stored.first()["copies"]
+        return stored
+
+    monkeypatch.setattr(models, "materialize", kept)
+    items = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(60)], "item_id long, vec array<double>")
+    users = spark.createDataFrame([(u, [1.0, 1.0 + u]) for u in range(20)], "user_id long, vec array<double>")
+    used = spark.createDataFrame([(4, 2)], "user_id long, item_id long")
+    best = [2, 5, 8, 11]
+    found = {(r["user_id"], r["rank"]): r["item_id"] for r in models.top_n(users, items, used, 4).collect()}
+    assert all([found[u, k + 1] for k in range(4)] == ([5, 8, 11, 14] if u == 4 else best) for u in range(20))
+    assert counts == {"scored": 80, "copies": 1}
+    cover = spark.createDataFrame([(u, 57) for u in range(20)], "user_id long, item_id long")
+    whole = models.top_n(users, items, used, 4, cover=cover)
+    assert whole.where("user_id = 4").count() == 59 and whole.where("user_id = 0").count() == 60
+    assert counts == {"scored": 20 * 60 - 1, "copies": 12}
