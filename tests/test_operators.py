@@ -579,3 +579,19 @@ def test_top_n_keeps_few_rows_in_a_task(spark, monkeypatch):
     whole = models.top_n(users, items, used, 4, cover=cover)
     assert whole.where("user_id = 4").count() == 59 and whole.where("user_id = 0").count() == 60
     assert counts == {"scored": 20 * 60 - 1, "copies": 12}
+
+
+def test_bm25_asks_for_a_text_once(spark, monkeypatch):
+    """Queries with one text are counted, weighed and, without tags, searched once; rows of a search are no more than a ranking has."""
+    counts, keep = {}, corpus.materialize
+    monkeypatch.setattr(corpus, "materialize", lambda df, name: (stored := keep(df, name), counts.update({name: stored.count()}))[0])
+    texts = ["plum jam half", "plum cake half", "rye bread other", "oat bread other"]
+    docs = spark.createDataFrame([(i, texts[i % 4]) for i in range(80)], "item_id long, text string").repartition(3)
+    rows = corpus.bm25(docs.where("item_id % 2 = 0"), docs, topn=6).collect()
+    assert {(q, d) for q, d, *_ in rows} == {(q, q % 4 + 4 * k) for q in range(0, 80, 2) for k in range(6)}
+    assert counts["asked"] == counts["weighted"] == 2 and counts["first"] == 12
+    tags = spark.createDataFrame([(i, f"t{i % 5}") for i in range(80)], "item_id long, tag string")
+    tagged = corpus.bm25(docs.where("item_id % 2 = 0"), docs, topn=3, tags=tags).collect()
+    # of one tag and one text are an item and every twentieth after it
+    assert {(q, d) for q, d, _, rank in tagged} == {(q, q % 20 + 20 * k) for q in range(0, 80, 2) for k in range(3)}
+    assert counts["asked"] == 2 and counts["weighted"] == 40
